@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,17 +24,42 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "4g
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: what the session names in spark.checkpoint.dir, or one of our own where that is
+    unset (tests, one machine)."""
+    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "citeloom-shared")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of df with a reliable checkpoint.
+    """Cut the lineage of df with a reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
+_written: list[tuple[SparkSession, str]] = []
 
-    The folder is the one the session names in spark.checkpoint.dir; only where that is unset (tests, one machine) a
-    folder of our own is set.
+
+def materialise(df: DataFrame) -> DataFrame:
+    """df written once as a table in the shared folder and read back.
+
+    It is for what is used more than once: the rows are computed once, survive the loss of any executor, and the plans
+    built on them start at a scan. Tables are compressed and removed when the driver ends.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            folder = os.path.join(tempfile.gettempdir(), "citeloom-checkpoints")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/citeloom-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    if not _written:
+        atexit.register(_remove_written)
+    _written.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove_written() -> None:
+    for spark, path in _written:
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001 - the session may be gone; its folder goes with the cluster
+            return
