@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.operators.skew import skew_join
+from citeloom.session import materialise
 
 #: Distinct items of a block. Larger baskets are cut into blocks of about this size, and each pair of blocks becomes a
 #: piece of its own, so no task ever holds more than two blocks of a basket.
@@ -13,8 +14,8 @@ BLOCK = 256
 
 
 def distinct_memberships(df: DataFrame, basket: str, item: str) -> DataFrame:
-    """__basket, __item: the distinct pairs without nulls."""
-    return df.select(F.col(basket).alias("__basket"), F.col(item).alias("__item")).filter("__basket is not null and __item is not null").distinct()
+    """__basket, __item: the distinct pairs without nulls, written once as all counts start from them."""
+    return materialise(df.select(F.col(basket).alias("__basket"), F.col(item).alias("__item")).filter("__basket is not null and __item is not null").distinct())
 
 
 def item_counts(memberships: DataFrame) -> DataFrame:
@@ -54,24 +55,24 @@ def basket_pairs(baskets: DataFrame, by: list[str] | None = None) -> DataFrame:
     return second.groupBy(*by, F.least("__x", "__y").alias("item_1"), F.greatest("__x", "__y").alias("item_2")).agg(F.sum("__weight").alias("n"))
 
 
-def cooccurrences(df: DataFrame, basket: str, item: str, min_count: int = 1, min_lift: float = 0.0, block: int = BLOCK) -> DataFrame:
+def cooccurrences(members: DataFrame, min_count: int = 1, min_lift: float = 0.0, block: int = BLOCK) -> DataFrame:
     """item_1, item_2, n, n_1, n_2, n_baskets, lift, conviction_12, conviction_21 of all pairs with the given least n and lift.
 
     n baskets hold both items, n_1 and n_2 each; lift is n * n_baskets / (n_1 * n_2); conviction_12 is that of item_1 ->
     item_2, (1 - n_2 / n_baskets) / (1 - n / n_1), null where no basket has item_1 without item_2.
 
-    Repeated memberships count once, those with a null basket or item not at all. Items that can be in no result are left
+    members: the result of distinct_memberships, so repeated memberships count once, those with a null basket or item not
+    at all. Items that can be in no result are left
     out before any pair is made, without loss: n is at most the smaller of n_1 and n_2, so both must reach min_count, and
-    lift is at most n_baskets over the larger one. Equal baskets are collapsed and their pairs enumerated once. An empty
-    df gives no rows. Item types need an order and equality, extra columns are ignored.
+    lift is at most n_baskets over the larger one. Equal baskets are collapsed and their pairs enumerated once. No
+    members give no rows. Item types need an order and equality.
     """
-    members = distinct_memberships(df, basket, item)
     baskets = members.select("__basket").distinct().agg(F.count(F.lit(1)).alias("__all"))
     every = baskets.scalar()
     total = members.agg(F.count(F.lit(1)).alias("n"))
     counts = item_counts(members)
     useful = counts.filter((F.col("__n") >= min_count) & (F.col("__n") * F.lit(float(min_lift)) <= every))
-    kept = skew_join(members, useful, "__item", "__n", total).select("__basket", "__item") if min_count > 1 or min_lift > 0 else members
+    kept = materialise(skew_join(members, useful, "__item", "__n", total).select("__basket", "__item")) if min_count > 1 or min_lift > 0 else members
     pairs = basket_pairs(collapsed_baskets(kept, block=block)).filter(F.col("n") >= min_count)
     one = useful.select(F.col("__item").alias("item_1"), F.col("__n").alias("n_1"))
     two = useful.select(F.col("__item").alias("item_2"), F.col("__n").alias("n_2"))
@@ -84,18 +85,17 @@ def cooccurrences(df: DataFrame, basket: str, item: str, min_count: int = 1, min
     return scored.withColumn("lift", lift).filter(F.col("lift") >= min_lift).select("item_1", "item_2", "n", "n_1", "n_2", "n_baskets", "lift", conviction("n_1", "n_2").alias("conviction_12"), conviction("n_2", "n_1").alias("conviction_21"))
 
 
-def counts_by_group(df: DataFrame, basket: str, item: str, groups: DataFrame, group_basket: str, group: str, wanted: DataFrame, block: int = BLOCK) -> DataFrame:
+def counts_by_group(members: DataFrame, groups: DataFrame, group_basket: str, group: str, wanted: DataFrame, block: int = BLOCK) -> DataFrame:
     """item_1, item_2, group, n: of the wanted pairs (item_1 < item_2), the baskets of each group that hold both.
 
     groups gives the group of a basket (rows with a null are ignored, repeated rows count once; a basket with several
     groups counts in each). Only items of a wanted pair are put into baskets.
     """
-    members = distinct_memberships(df, basket, item)
     items = wanted.select(F.explode(F.array("item_1", "item_2")).alias("__item")).distinct()
     counts = item_counts(members).join(items, "__item", "left_semi")
-    kept = skew_join(members, counts, "__item", "__n", members.agg(F.count(F.lit(1)).alias("n"))).select("__basket", "__item")
+    kept = materialise(skew_join(members, counts, "__item", "__n", members.agg(F.count(F.lit(1)).alias("n"))).select("__basket", "__item"))
     baskets = groups.select(F.col(group_basket).alias("__basket"), F.col(group).alias("__group")).filter("__basket is not null and __group is not null").distinct()
     sizes = kept.groupBy("__basket").agg(F.count(F.lit(1)).alias("__size")).filter("__size > 1")
-    grouped = skew_join(kept, sizes.join(baskets, "__basket"), "__basket", "__size", kept.agg(F.count(F.lit(1)).alias("n"))).select("__basket", "__item", "__group")
+    grouped = materialise(skew_join(kept, sizes.join(baskets, "__basket"), "__basket", "__size", kept.agg(F.count(F.lit(1)).alias("n"))).select("__basket", "__item", "__group"))
     pairs = basket_pairs(collapsed_baskets(grouped, ["__group"], block), ["__group"])
     return pairs.join(wanted.select("item_1", "item_2").distinct(), ["item_1", "item_2"], "left_semi").select("item_1", "item_2", F.col("__group").alias(group), "n")

@@ -5,25 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm.cooccurrence import cooccurrences, counts_by_group
+from citeloom.llm.cooccurrence import cooccurrences, counts_by_group, distinct_memberships
+from citeloom.llm.spans import shared_share, shared_spans
+from citeloom.llm.tokenizer import encode_documents
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _pairs(spark: SparkSession, folder: str, min_count: int, min_lift: float) -> DataFrame:
-    found = cooccurrences(table(spark, folder, "scopus_references"), "scp", "ref_sgr", min_count, min_lift)
+def _members(spark: SparkSession, folder: str) -> DataFrame:
+    return distinct_memberships(table(spark, folder, "scopus_references"), "scp", "ref_sgr")
+
+
+def _pairs(members: DataFrame, min_count: int, min_lift: float) -> DataFrame:
+    found = cooccurrences(members, min_count, min_lift)
     return found.withColumnsRenamed({"item_1": "cited_1", "item_2": "cited_2", "n_baskets": "n_records"})
 
 
 def p2_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Every pair that is cited together at least twice, with lift and conviction."""
-    return _pairs(spark, folder, 2, 0.0).select("cited_1", "cited_2", "n", "n_1", "n_2", "n_records", *(F.round(c, 6).alias(c) for c in ("lift", "conviction_12", "conviction_21")))
+    return _pairs(_members(spark, folder), 2, 0.0).select("cited_1", "cited_2", "n", "n_1", "n_2", "n_records", *(F.round(c, 6).alias(c) for c in ("lift", "conviction_12", "conviction_21")))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = _pairs(spark, folder, 8, 12.0).select(F.lit("pair").alias("kind"), "cited_1", "cited_2", F.lit(0).alias("co_cited_year"))
+    members = _members(spark, folder)
+    pairs = _pairs(members, 8, 12.0).select(F.lit("pair").alias("kind"), "cited_1", "cited_2", F.lit(0).alias("co_cited_year"))
     recorded = (
         table(spark, folder, "sb_plus_complete_kinetics")
         .select(F.least("cited_1", "cited_2").alias("item_1"), F.greatest("cited_1", "cited_2").alias("item_2"), F.col("cited_1").isNull() | F.col("cited_2").isNull() | F.col("co_cited_year").isNull() | F.col("frequency").isNull() | (F.col("cited_1") == F.col("cited_2")), F.col("co_cited_year").cast("int").alias("year"), "frequency")
@@ -33,13 +40,26 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
         .agg(F.min("frequency").alias("low"), F.max("frequency").alias("high"))
     )
     groups = table(spark, folder, "scopus_publication_groups").select("sgr", F.col("pub_year").cast("int").alias("year"))
-    counted = counts_by_group(table(spark, folder, "scopus_references"), "scp", "ref_sgr", groups, "sgr", "year", recorded)
+    counted = counts_by_group(members, groups, "sgr", "year", recorded)
     n = F.coalesce("n", F.lit(0))
     wrong = recorded.join(counted, ["item_1", "item_2", "year"], "left").filter((F.col("low") != n) | (F.col("high") != n))
     return pairs.unionByName(wrong.select(F.lit("frequency").alias("kind"), F.col("item_1").alias("cited_1"), F.col("item_2").alias("cited_2"), F.col("year").alias("co_cited_year")))
 
 
-QUERIES = {"p2_found": p2_found, "p2_pairs": p2_pairs}
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return encode_documents(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return shared_spans(table(spark, folder, "documents"), "doc_id", "text", 200)
+
+
+def p9_share(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return shared_share(documents, "doc_id", "text", shared_spans(documents, "doc_id", "text", 200))
+
+
+QUERIES = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p7_ids": p7_ids, "p9_found": p9_found, "p9_share": p9_share}
 
 _PAIRS = """
 WITH p AS (SELECT DISTINCT scp, ref_sgr FROM scopus_references WHERE scp IS NOT NULL AND ref_sgr IS NOT NULL),
