@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.llm.cooccurrence import cooccurrences, counts_by_group, distinct_memberships
+from citeloom.llm.leakage import leak_report, leaked_items
 from citeloom.llm.spans import shared_share, shared_spans
 from citeloom.llm.tokenizer import encode_documents
 
@@ -50,6 +51,14 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_documents(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaked_items(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "item_text")
+
+
+def p8_items(spark: SparkSession, folder: str) -> DataFrame:
+    return leak_report(p8_found(spark, folder), "item_id", "doc_id")
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return shared_spans(table(spark, folder, "documents"), "doc_id", "text", 200)
 
@@ -59,7 +68,7 @@ def p9_share(spark: SparkSession, folder: str) -> DataFrame:
     return shared_share(documents, "doc_id", "text", shared_spans(documents, "doc_id", "text", 200))
 
 
-QUERIES = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p7_ids": p7_ids, "p9_found": p9_found, "p9_share": p9_share}
+QUERIES = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p7_ids": p7_ids, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_share": p9_share}
 
 _PAIRS = """
 WITH p AS (SELECT DISTINCT scp, ref_sgr FROM scopus_references WHERE scp IS NOT NULL AND ref_sgr IS NOT NULL),
