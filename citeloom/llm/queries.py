@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from citeloom.llm.cooccurrence import cooccurrences, counts_by_group, distinct_memberships
 from citeloom.llm.leakage import leak_report, leaked_items
+from citeloom.llm.names import link_names, linked_pairs
 from citeloom.llm.spans import shared_share, shared_spans
 from citeloom.llm.tokenizer import encode_documents
 
@@ -47,6 +48,14 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.unionByName(wrong.select(F.lit("frequency").alias("kind"), F.col("item_1").alias("cited_1"), F.col("item_2").alias("cited_2"), F.col("year").alias("co_cited_year")))
 
 
+def p6_entities(spark: SparkSession, folder: str) -> DataFrame:
+    return link_names(table(spark, folder, "ct_overall_officials"), "id", "first_name", "last_name", "affiliation")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return linked_pairs(p6_entities(spark, folder), "id")
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_documents(table(spark, folder, "documents"), "doc_id", "text")
 
@@ -68,7 +77,7 @@ def p9_share(spark: SparkSession, folder: str) -> DataFrame:
     return shared_share(documents, "doc_id", "text", shared_spans(documents, "doc_id", "text", 200))
 
 
-QUERIES = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p7_ids": p7_ids, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_share": p9_share}
+QUERIES = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p6_found": p6_found, "p6_entities": p6_entities, "p7_ids": p7_ids, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_share": p9_share}
 
 _PAIRS = """
 WITH p AS (SELECT DISTINCT scp, ref_sgr FROM scopus_references WHERE scp IS NOT NULL AND ref_sgr IS NOT NULL),
