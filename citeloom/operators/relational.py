@@ -88,20 +88,30 @@ def range_join(left: DataFrame, right: DataFrame, value: str, low: Column, high:
     return joined.drop("__v")
 
 
+def _without_one(words: Column) -> Column:
+    """The words, and each with one character left out."""
+
+    def shorter(w: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1, F.greatest(F.length(w) - i, F.lit(0)))))
+        return F.when(F.length(w) > 0, cut).otherwise(F.array().cast("array<string>"))
+
+    return F.array_union(words, F.flatten(F.transform(words, shorter)))
+
+
 def fuzzy_match(left: DataFrame, right: DataFrame, a: str, b: str, edits: int = 1) -> DataFrame:
     """a, b, distance: for each a the nearest b at most edits away, the first in order of equally near ones.
 
-    Candidates share one of edits + 1 pieces of their ends or middle and about their length, so nothing is compared
-    with everything.
+    Two texts within that distance are equal after at most edits characters are left out of each, so the candidates meet
+    by equality of such remainders and nothing is compared with everything. Meant for short texts and 1 or 2 edits.
     """
-    x, y = left.select(a).distinct(), right.select(b).distinct()
 
-    def pieces(c: str) -> Column:
-        # With at most `edits` changes one of the pieces of the shorter text is whole and near its place.
-        n = F.length(c)
-        return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(edits)), lambda i: F.transform(F.sequence(-F.lit(edits), F.lit(edits)), lambda s: F.concat(i.cast("string"), F.lit(":"), F.substr(F.col(c), F.greatest(F.lit(1), F.floor(n * i / (edits + 1)).cast("int") + 1 + s), F.greatest(F.lit(1), F.floor(n / (edits + 1)).cast("int") - edits)))))))
+    def spread(df: DataFrame, c: str) -> DataFrame:
+        words = F.array(F.col(c))
+        for _ in range(edits):
+            words = _without_one(words)
+        return df.filter(F.col(c).isNotNull()).select(c).distinct().withColumn("__w", F.explode(words))
 
-    met = x.withColumn("__p", F.explode(pieces(a))).join(y.withColumn("__p", F.explode(pieces(b))), "__p").filter(F.abs(F.length(a) - F.length(b)) <= edits).select(a, b).distinct()
+    met = spread(left, a).join(spread(right, b), "__w").select(a, b).distinct()
     scored = met.withColumn("distance", F.levenshtein(a, b, edits)).filter("distance >= 0")
     return distinct_on(scored, [a], [F.col("distance"), F.col(b)])
 

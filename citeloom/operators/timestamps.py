@@ -110,7 +110,7 @@ def normalise_timestamps(df: DataFrame, value: str, default_zone: str = DEFAULT_
     Null, empty, blank and very long texts and texts that are no date give null in all three. Repeated rows stay
     repeated. Other columns are kept; out, precision and status replace columns of these names.
     """
-    columns = [c for c in df.columns if c not in (out, precision, status)]
+    columns = [F.col(f"`{c}`") for c in df.columns if c not in (out, precision, status)]
     text = F.lower(F.regexp_replace(F.col(value).cast("string"), r"[\s   　]+", " "))
     text = F.translate(text, *_ACCENTS)
     text = F.trim(F.regexp_replace(F.trim(text), r"[ .;,]+$", ""))

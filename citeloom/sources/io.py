@@ -19,7 +19,7 @@ def read_delimited(spark: SparkSession, path: str, schema: StructType | str, sep
     return df.na.fill("", force_not_null) if force_not_null else df
 
 
-def read_columns(spark: SparkSession, path: str, columns: list[str], drop_chars: str = ",", encoding: str = "latin1") -> DataFrame:
+def read_columns(spark: SparkSession, path: str, columns: list[str], drop_chars: str = ",", encoding: str = "ISO-8859-1") -> DataFrame:
     """Some columns of a file with a header, as texts, without the given characters."""
     df = spark.read.option("header", True).option("encoding", encoding).option("quote", '"').option("escape", '"').csv(path)
     return df.select(*(F.translate(F.col(f"`{c}`"), drop_chars, "").alias(c) for c in columns))
