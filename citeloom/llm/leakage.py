@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.llm.batches import slices
+
 #: The masks: which of successive words a seed takes. A seed is the taken words alone, so a word that one side lacks is
 #: met by another mask on the other side. Any passage of 12 or more words of which at most 2 in 10 are altered, dropped
 #: or added has four successive words left as they were, but for 15 words with three changes at even distances, where
@@ -203,13 +205,11 @@ def leaked_items(documents: DataFrame, doc_key: str, doc_text: str, items: DataF
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = ItemIndex(sent.value)
-            for batch in batches:
-                ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for ids, texts in slices(batches, TEXTS_AT_ONCE):
                 docs, found = [], []
-                for low in range(0, len(ids), TEXTS_AT_ONCE):
-                    for number, item in index.found([normal_words(t) for t in texts[low : low + TEXTS_AT_ONCE]]):
-                        docs.append(ids[low + number])
-                        found.append(item)
+                for number, item in index.found([normal_words(t) for t in texts]):
+                    docs.append(ids[number])
+                    found.append(item)
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(found, pa.int64())], names=["doc", "item"])
 
         cases = texts.mapInArrow(run, "doc long, item long")

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeloom.llm.batches import slices
 from citeloom.operators.skew import skew_join
 from citeloom.session import materialise
 
@@ -105,9 +106,9 @@ def window_rows(docs: DataFrame, least: int, gram: int = GRAM) -> DataFrame:
     width = least - gram + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for columns in slices(batches):
             sigs, docs, rows, ats = [], [], [], []
-            for doc, row, value in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for doc, row, value in zip(*columns, strict=True):
                 hashes = gram_hashes(_codes(value), gram)
                 places = np.array([c for _, c, _ in compact_windows(hashes, width)], np.int64)
                 sigs.append(hashes[places].view(np.int64))
@@ -125,9 +126,9 @@ def _surroundings(joined: DataFrame, least: int) -> DataFrame:
     how much of it is before that place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for columns in slices(batches):
             out: list[list] = [[], [], [], [], [], []]
-            for doc, row, value, hits in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for doc, row, value, hits in zip(*columns, strict=True):
                 for hit in hits:
                     at = hit["at"]
                     low = max(0, at + 1 - least)
@@ -194,15 +195,15 @@ def _compared(classes: DataFrame, least: int) -> DataFrame:
     """class, first, last of the classes collected by signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        kind = pa.struct([("sig", pa.int64()), ("head", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
+        for columns in slices(batches):
             names, firsts, lasts = [], [], []
-            for group in batch.column(0).to_pylist():
+            for group in columns[0]:
                 for member, reach in zip(group, shared_reach([(m["owner"], m["head"], m["around"]) for m in group], least), strict=True):
                     if reach:
                         names.append(member["class"])
                         firsts.append(reach[0])
                         lasts.append(reach[1])
-            kind = batch.schema.field(0).type.value_type.field("class").type
             yield pa.RecordBatch.from_arrays([pa.array(names, kind), pa.array(firsts, pa.int32()), pa.array(lasts, pa.int32())], names=["class", "first", "last"])
 
     return classes.groupBy("sig").agg(F.collect_list(F.struct("class", "owner", "head", "around")).alias("group")).select("group").mapInArrow(run, "class struct<sig:long,head:int,a:long,b:long>, first int, last int")

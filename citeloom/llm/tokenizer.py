@@ -16,6 +16,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from citeloom.llm.batches import slices
 
 #: Fixed value: the pattern that cuts a text into pieces before byte_bpe_50k's merges.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -174,17 +177,18 @@ def encode_documents(df: DataFrame, key: str, text: str, tokenizer: str = TOKENI
     mark = hash(definition.value)
     kept = df.select(F.col(key).alias(key), F.col(text).cast("string").alias("__text"))
 
+    kind = to_arrow_type(kept.schema[key].dataType)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded.get(mark)
         if bpe is None:
             _loaded.clear()
             bpe = _loaded[mark] = PrefixBPE(definition.value)
-        for batch in batches:
-            encoded = [bpe.encode(t) for t in batch.column(1).to_pylist()]
+        for keys, texts in slices(batches):
+            encoded = [bpe.encode(t) for t in texts]
             ends = np.zeros(len(encoded) + 1, dtype=np.int64)
             np.cumsum([len(x) for x in encoded], out=ends[1:])
             flat = np.fromiter((i for x in encoded for i in x), dtype=np.int32, count=int(ends[-1]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))], names=[key, out])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))], names=[key, out])
 
-    kind = kept.schema[key].dataType.simpleString()
-    return kept.mapInArrow(run, f"`{key}` {kind}, `{out}` array<int>")
+    return kept.mapInArrow(run, f"`{key}` {kept.schema[key].dataType.simpleString()}, `{out}` array<int>")
