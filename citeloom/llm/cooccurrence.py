@@ -41,8 +41,10 @@ def collapsed_baskets(memberships: DataFrame, by: list[str] | None = None, block
         F.array_sort(F.collect_list(F.when(F.col("__own") == F.least("__own", "__other"), F.col("__item")))).alias("__first"),
         F.array_sort(F.collect_list(F.when(F.col("__own") != F.least("__own", "__other"), F.col("__item")))).alias("__second"),
     )
-    split = F.when(F.col("__low") == F.col("__high"), F.lit(0)).otherwise(F.size("__first"))
-    return pieces.select(*by, F.concat("__first", "__second").alias("__items"), split.alias("__split")).filter(F.size("__items") > 1).groupBy(*by, "__items", "__split").agg(F.count(F.lit(1)).alias("__weight"))
+    # A double piece of which one block is empty has no pairs; its single pieces have them.
+    whole = F.col("__low") == F.col("__high")
+    split = F.when(whole, F.lit(0)).otherwise(F.size("__first"))
+    return pieces.filter(whole | ((F.size("__first") > 0) & (F.size("__second") > 0))).select(*by, F.concat("__first", "__second").alias("__items"), split.alias("__split")).filter(F.size("__items") > 1).groupBy(*by, "__items", "__split").agg(F.count(F.lit(1)).alias("__weight"))
 
 
 def basket_pairs(baskets: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -28,6 +28,8 @@ TEXTS_AT_ONCE = 1000
 LOOKALIKES = dict(zip("авеѕіјкмһоорсԁтухԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧοԍɡı", "abesijkmhoopcdtyxqwABEZHIKMNOPTYXogi" + "gi", strict=False))
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>|<!--.*?-->", re.DOTALL)
 _WORD = re.compile(r"[぀-ヿ㐀-鿿가-힯]|[^\W_぀-ヿ㐀-鿿가-힯]+")
+_BROKEN = re.compile(r"(?<=[^\W\d_])-[ \t]*\r?\n\s*(?=[^\W\d_])")
+_INSIDE = re.compile(r"(?<=[^\W_])[-.,'_](?=[^\W_])")
 _SPACE_CLASSES = frozenset({"Zs", "Zl", "Zp", "Cc"})
 
 
@@ -43,6 +45,10 @@ class _Folds(dict):
             out = LOOKALIKES[char]
         elif kind in ("Mn", "Me", "Cf", "So", "Sk", "Sm", "Co", "Cn", "Cs"):
             out = None
+        elif kind == "Pd":
+            out = "-"
+        elif char in "‘’ʼ":
+            out = "'"
         elif kind in _SPACE_CLASSES or kind[0] == "P":
             out = " "
         else:
@@ -64,7 +70,9 @@ def normal_words(text: str | None) -> list[str]:
         text = _TAG.sub(" ", text)
     if not text.isascii():
         text = unicodedata.normalize("NFKD", text).translate(_FOLDS)
-    return _WORD.findall(text.lower())
+    # A word may be broken at the end of a line; marks inside a word or number are no border.
+    text = _BROKEN.sub("", text)
+    return _WORD.findall(_INSIDE.sub("", text).lower())
 
 
 #: A passage of 24 words or more splits into halves of which one is a passage again, so those of 12 to 23 words decide.
@@ -163,6 +171,8 @@ class ItemIndex:
 def holds_passage(item: np.ndarray, text: np.ndarray) -> bool:
     """Whether the text repeats at least 12 successive words of the item with at most 2 in 10 changed.
 
+    A change may be at the ends too, so 10 words alone are 12 of which two were dropped; 9 are too few.
+
     The best score of an alignment of n words of the item that ends at each word of the text, for n = 0 to 11 and 12 or
     more; a word of the item gives 2, a change costs 10, so a score of 0 or more is a passage.
     """

@@ -88,7 +88,7 @@ def _form(word: str, kept: dict[str, str]) -> str:
     """The full form of an institution's word, also where it is mistyped; other words as they are."""
     if word not in kept:
         form = _FORM.get(word)
-        if form is None and len(word) >= 6:
+        if form is None and len(word) >= 5:
             form = next((full for full in (*KINDS, *COMPANY) if len(full) >= 6 and near(word, full, 1)), None)
         kept[word] = form or word
     return kept[word]
