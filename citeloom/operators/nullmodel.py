@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeloom.session import ship
+
 
 def year_slice(edges: DataFrame, pubs: DataFrame, year: int, min_refs: int = 2) -> DataFrame:
     """source_id, source_issn, ref_id, ref_year, ref_issn: references, not newer than the year, of the year's papers that
@@ -66,6 +68,7 @@ def mcmc_swap(rows: DataFrame, seed: int, sweeps: int = 1, retries: int = 20) ->
 
     Each swap depends on those before it, so a year is one Python group: the years run side by side.
     """
+    ship(rows.sparkSession)
     columns = rows.columns
 
     def swap(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -149,6 +152,7 @@ def category_counts(categories: DataFrame) -> DataFrame:
 
 def chi_square(df: DataFrame, observed: str, expected: str) -> DataFrame:
     """statistic, df, p_value of a goodness-of-fit test over the rows of df."""
+    ship(df.sparkSession)
     sums = df.agg(F.sum(F.pow(F.col(observed) - F.col(expected), 2) / F.col(expected)).alias("statistic"), (F.count(F.lit(1)) - 1).alias("df"))
     p = F.udf(lambda x, k: None if x is None or k < 1 else gamma_upper(k / 2, x / 2), "double")
     return sums.withColumn("p_value", p("statistic", "df"))  # one row: the UDF is not in the data's way

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citeloom.session import ship
+
 # Month names and their usual short forms, without accents.
 MONTHS = {
     1: "january jan janvier janv januar jan enero ene janner",
@@ -48,6 +50,7 @@ def zone_intervals(spark: SparkSession, zones: Iterable[str] | None = None) -> D
     finds its candidates by equality. The size depends on the zone database only (some 600 zones x 200 years), not on
     the data.
     """
+    ship(spark)
     names = sorted(zones if zones is not None else zoneinfo.available_timezones())
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import atexit
 import os
+import sys
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +41,26 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once an application, so that their Python workers can import it wherever the
+    driver was started. It is some 100 KB of source."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="citeloom-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    path = list(sys.path)
+    context.addPyFile(str(target))
+    sys.path[:] = path  # the driver has the package itself
+    _shipped.add(context.applicationId)
+
+
 _written: list[tuple[SparkSession, str]] = []
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from citeloom.operators.relational import upsert
+from citeloom.session import ship
 
 
 def windowed_counts(stream: DataFrame, time: str, by: list[str], width: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
@@ -39,6 +40,7 @@ def upsert_stream(stream: DataFrame, target: str, keys: list[str], seq: str, che
 def route_stream(stream: DataFrame, oci: str = "oci", citing: str = "citing", cited: str = "cited") -> DataFrame:
     """oci, citing, cited, route: rows of a feed routed as they arrive, with the state of each unordered pair kept: the first
     is main, later ones exact_repeat, duplicate, parallel or looping."""
+    ship(stream.sparkSession)
     pair = stream.withColumn("__pair", F.concat_ws("|", F.least(F.lower(citing), F.lower(cited)), F.greatest(F.lower(citing), F.lower(cited))))
 
     def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
