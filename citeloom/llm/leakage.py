@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.llm.batches import slices
+from citeloom.session import ship
 
 #: The masks: which of successive words a seed takes. A seed is the taken words alone, so a word that one side lacks is
 #: met by another mask on the other side. Any passage of 12 or more words of which at most 2 in 10 are altered, dropped
@@ -204,6 +205,7 @@ def leaked_items(documents: DataFrame, doc_key: str, doc_text: str, items: DataF
     once. Texts are taken whole, extra columns are ignored.
     """
     spark = documents.sparkSession
+    ship(spark)
     wanted = items.select(F.col(item_key).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).filter("item is not null and text is not null").distinct()
     size = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     blocks = max(1, -(-size[0] // BLOCK_ITEMS), -(-size[1] // BLOCK_CHARS))

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.session import materialise
+from citeloom.session import materialise, ship
 
 EDITS = 2
 #: A token counts as a given name if it has at least this share of all first names: at most 1 / GIVEN_SHARE tokens do.
@@ -255,6 +255,7 @@ def link_names(df: DataFrame, key: str, first: str, last: str, affiliation: str,
     Keys are whole numbers. Null keys and rows without any name give no row; repeated rows of a key are one. Extra
     columns are ignored, an empty df gives no rows.
     """
+    ship(df.sparkSession)
     given = given_names(df, first, last)
     rows = _mentions(df, key, first, last, affiliation, given).distinct()
     parts = ["kind", "name", "given", "place", "sort"]

@@ -1,6 +1,7 @@
 """Long exact spans shared between texts, by compact windows.
 
-The tokens of a text are its runs of GRAM characters, each with a hash. A compact window (l, c, r) stands for all
+The tokens of a text are its runs of `gram` characters (half the least length, so that shorter stock lines meet nothing),
+each with a hash. A compact window (l, c, r) stands for all
 sequences of tokens that begin in l..c and end in c..r, for all of which the least hash is that at c; the windows of a
 text are the nodes of the Cartesian tree over its hashes. Only windows that hold a sequence of full length are kept,
 about two for each such length. Two equal stretches of `least` characters have the same tokens, hence the same least
@@ -19,9 +20,8 @@ from pyspark.sql import functions as F
 
 from citeloom.llm.batches import slices
 from citeloom.operators.skew import skew_join
-from citeloom.session import materialise
+from citeloom.session import materialise, ship
 
-GRAM = 32
 #: Different surroundings of one signature that are compared in one task. Signatures with more go the other way, over
 #: the hashes of their single stretches, which has no bound on a group.
 GROUP = 256
@@ -101,7 +101,7 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def window_rows(docs: DataFrame, least: int, gram: int = GRAM) -> DataFrame:
+def window_rows(docs: DataFrame, least: int, gram: int) -> DataFrame:
     """sig, doc, row, at: signature and place c of each compact window of the texts of docs (doc, row, text)."""
     width = least - gram + 1
 
@@ -213,11 +213,11 @@ def _stretches(classes: DataFrame, least: int) -> DataFrame:
     """class, first, last by grouping the stretches of large groups by 128 bits of hashes: nothing is collected."""
     start = F.explode(F.sequence(F.lit(0), F.length("around") - least))
     cut = classes.filter(F.length("around") >= least).select("class", "sig", "owner", "head", "around", start.alias("s"))
-    piece = F.substring(F.col("around"), F.col("s") + 1, F.lit(least))
-    cut = cut.select("class", "owner", (F.col("s") - F.col("head")).alias("from"), F.struct("sig", (F.col("s") - F.col("head")).alias("from"), F.xxhash64(piece).alias("a"), F.xxhash64(F.lit(1), piece).alias("b")).alias("stretch"))
-    met = cut.groupBy("stretch").agg(F.min("owner").alias("low"), F.max("owner").alias("high"), F.count(F.lit(1)).alias("n")).filter("low != high or low = -1").select("stretch", "n")
-    found = skew_join(cut, met, "stretch", "n", cut.agg(F.count(F.lit(1)).alias("n")), "left_semi")
-    return found.groupBy("class").agg(F.min("from").cast("int").alias("first"), F.max("from").cast("int").alias("last"))
+    piece, place = F.substring(F.col("around"), F.col("s") + 1, F.lit(least)), (F.col("s") - F.col("head")).cast("int")
+    cut = materialise(cut.select(F.xxhash64("sig", place, piece).alias("stretch"), F.xxhash64(F.lit(1), piece).alias("more"), "class", "owner", place.alias("from")))
+    met = cut.groupBy("stretch", "more").agg(F.min("owner").alias("low"), F.max("owner").alias("high"), F.count(F.lit(1)).alias("n")).filter("low != high or low = -1").select("stretch", F.col("more").alias("other"), "n")
+    found = skew_join(cut, met, "stretch", "n", cut.agg(F.count(F.lit(1)).alias("n"))).filter("more = other")
+    return found.groupBy("class").agg(F.min("from").alias("first"), F.max("from").alias("last"))
 
 
 def merged_runs(spans: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
@@ -228,7 +228,7 @@ def merged_runs(spans: DataFrame, by: list[str], start: str, end: str) -> DataFr
     return fresh.withColumn("__run", F.sum("__new").over(upto)).groupBy(*by, "__run").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__run")
 
 
-def shared_spans(df: DataFrame, key: str, text: str, least: int = 200, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+def shared_spans(df: DataFrame, key: str, text: str, least: int = 200, gram: int | None = None, group: int = GROUP) -> DataFrame:
     """key, span_start, span_end: the maximal runs of characters that lie in least characters another key's text has too.
 
     key is a whole number. Starts are 0-based, ends exclusive, in Unicode characters of the text as it is. Rows with one
@@ -241,8 +241,10 @@ def shared_spans(df: DataFrame, key: str, text: str, least: int = 200, gram: int
     classes of a signature are compared where they meet; more are compared by grouping the hashes of their stretches, so
     that no task holds a group without bound, and nothing is left out.
     """
+    gram = max(1, least // 2) if gram is None else gram
     if not 0 < gram <= least:
         raise ValueError("gram must be between 1 and least")
+    ship(df.sparkSession)
     docs = df.select(F.col(key).cast("long").alias("doc"), F.xxhash64(F.col(text)).alias("row"), F.col(text).cast("string").alias("text")).filter(F.col("doc").isNotNull() & (F.length("text") >= least))
     rows = materialise(window_rows(docs, least, gram))
     met = rows.groupBy("sig").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("n")).filter("low != high").select("sig", "n")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from citeloom.llm.batches import slices
+from citeloom.session import ship
 
 #: Fixed value: the pattern that cuts a text into pieces before byte_bpe_50k's merges.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -165,6 +166,15 @@ class PrefixBPE:
 _loaded: dict[int, PrefixBPE] = {}
 
 
+def _tables(mark: int, definition: str) -> PrefixBPE:
+    """The tables of a vocabulary, kept by the worker from task to task."""
+    bpe = _loaded.get(mark)
+    if bpe is None:
+        _loaded.clear()
+        bpe = _loaded[mark] = PrefixBPE(definition)
+    return bpe
+
+
 def encode_documents(df: DataFrame, key: str, text: str, tokenizer: str = TOKENIZER, out: str = "ids") -> DataFrame:
     """key, out: the token ids of each row's text, a list of int, without special tokens.
 
@@ -172,6 +182,7 @@ def encode_documents(df: DataFrame, key: str, text: str, tokenizer: str = TOKENI
     texts are encoded, of any length. Repeated rows stay repeated; other columns are ignored. The vocabulary file is
     read on the driver and sent to the executors (its size does not depend on the data). There is no shuffle.
     """
+    ship(df.sparkSession)
     with open(tokenizer, encoding="utf-8") as file:
         definition = df.sparkSession.sparkContext.broadcast(file.read())
     mark = hash(definition.value)
@@ -180,10 +191,7 @@ def encode_documents(df: DataFrame, key: str, text: str, tokenizer: str = TOKENI
     kind = to_arrow_type(kept.schema[key].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _loaded.get(mark)
-        if bpe is None:
-            _loaded.clear()
-            bpe = _loaded[mark] = PrefixBPE(definition.value)
+        bpe = _tables(mark, definition.value)
         for keys, texts in slices(batches):
             encoded = [bpe.encode(t) for t in texts]
             ends = np.zeros(len(encoded) + 1, dtype=np.int64)
