@@ -13,6 +13,9 @@ from citeloom.operators import relational as R
 from citeloom.operators import text as T
 from citeloom.plans import reference as base
 from citeloom.plans.reference import A, E, Y, authors, citations, nodes, recorded_pairs, table
+from citeloom.session import scratch
+from citeloom.sources import io as IO
+from citeloom.sources.xmlrows import TableSpec, parse_xml, shred
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -541,3 +544,33 @@ def award_coauthor_links(spark, folder):
     li, s = table(spark, folder, "lineitem"), table(spark, folder, "supplier")
     members = li.join(s, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("l_orderkey").alias("w"), F.col("s_nationkey").cast("int").alias("g"))
     return W.coauthor_links(members, "w", "g")
+
+
+# Sources and sinks: written to the shared folder and read back.
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def src_delimited_roundtrip(spark, folder):
+    path = scratch(spark, "nation")
+    rows = table(spark, folder, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    IO.write_delimited(rows, path, sep="~")
+    return IO.read_delimited(spark, path, "n_nationkey int, n_name string, n_regionkey int", sep="~", null="NA")
+
+
+@query(f"WITH {base.K} SELECT citing, cited FROM k")
+def src_edge_list_roundtrip(spark, folder):
+    path = scratch(spark, "edges")
+    IO.write_delimited(recorded_pairs(spark, folder), path, sep="\t", header=False)
+    return IO.read_edges(spark, path)
+
+
+@query("SELECT o_orderkey, l_partkey, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL")
+def src_xml_shred(spark, folder):
+    """Orders written as XML documents with their lines nested, and shredded again."""
+    lines = table(spark, folder, "lineitem").select("l_orderkey", F.concat(F.lit("<line part='"), "l_partkey", F.lit("'/>")).alias("x"))
+    docs = lines.groupBy("l_orderkey").agg(F.concat_ws("", F.collect_list("x")).alias("x"))
+    docs = docs.join(table(spark, folder, "orders").select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("<order><id>"), "o_orderkey", F.lit("</id>"), "x", F.lit("</order>")).alias("x"))
+    parsed = parse_xml(docs, "x", "id long, line array<struct<_part:long>>").select("doc.*")
+    lines = shred(parsed, {"lines": TableSpec("line", {"o_orderkey": "id", "l_partkey": "r._part"})})["lines"]
+    return lines.groupBy("o_orderkey", "l_partkey").agg(F.count(F.lit(1)).alias("n"))
+

@@ -64,6 +64,15 @@ def ship(spark: SparkSession) -> None:
 _written: list[tuple[SparkSession, str]] = []
 
 
+def scratch(spark: SparkSession, name: str = "table") -> str:
+    """A new path in the shared folder, removed when the driver ends."""
+    path = f"{shared_folder(spark)}/citeloom-{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_remove_written)
+    _written.append((spark, path))
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """df written once as a table in the shared folder and read back.
 
@@ -71,11 +80,8 @@ def materialise(df: DataFrame) -> DataFrame:
     built on them start at a scan. Tables are compressed and removed when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/citeloom-{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.option("compression", "zstd").parquet(path)
-    if not _written:
-        atexit.register(_remove_written)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
