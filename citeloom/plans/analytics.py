@@ -256,6 +256,11 @@ def _tokens(spark, folder):
 _TOK = _TOK.replace("lower(text)", "lower(regexp_replace(text, '[^\\x00-\\x7f]', ' ', 'g'))")
 
 
+def _whole_tokens(spark, folder):
+    """Terms of the stored texts as words() makes them; _tokens has what DuckDB makes of their ASCII part."""
+    return T.token_table(table(spark, folder, "documents"), "doc_id", "text")
+
+
 def _doc_clusters(spark, folder):
     return table(spark, folder, "documents").select(F.col("doc_id").alias("node"), F.col("text_kind").alias("cluster_no")).filter("cluster_no is not null")
 
@@ -286,7 +291,7 @@ def text_cluster_jsd(spark, folder):
 
 @query()
 def text_coherence(spark, folder):
-    tokens, docs, clusters = _tokens(spark, folder), table(spark, folder, "documents"), _doc_clusters(spark, folder)
+    tokens, docs, clusters = _whole_tokens(spark, folder), table(spark, folder, "documents"), _doc_clusters(spark, folder)
     stats = T.cluster_jsd(tokens, clusters)
     return T.coherence(stats, T.random_jsd(tokens, docs, "doc_id", stats, 2)).withColumns({c: F.round(c, 7) for c in ("mean", "random_mean", "coherence")})
 
@@ -307,8 +312,8 @@ def _items(spark, folder):
 _BM = f"WITH {_TOK}, {_ITEMS}, le AS (SELECT doc, CAST(sum(n) AS BIGINT) AS length FROM tk GROUP BY doc), st AS (SELECT count(*) AS nd, avg(length) AS mean FROM le), iw AS (SELECT term, log10((nd - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tk, st GROUP BY term, nd), sc AS (SELECT query, doc, sum(idf * tk.n * 3.0 / (tk.n + 2.0 * (0.25 + 0.75 * length / mean))) AS score FROM (SELECT DISTINCT query, term FROM it) JOIN tk USING (term) JOIN iw USING (term) JOIN le USING (doc), st GROUP BY ALL)"
 
 
-def _bm25(spark, folder):
-    index = _tokens(spark, folder)
+def _bm25(spark, folder, tokens=_tokens):
+    index = tokens(spark, folder)
     return T.bm25(_items(spark, folder), index, index.groupBy("doc").agg(F.sum("n").alias("length")))
 
 
@@ -327,10 +332,40 @@ def text_cosine(spark, folder):
 
 @query()
 def text_rank_blend(spark, folder):
-    both = _bm25(spark, folder).join(T.similarities(_items(spark, folder), _tokens(spark, folder)), ["query", "doc"])
+    both = _bm25(spark, folder, _whole_tokens).join(T.similarities(_items(spark, folder), _whole_tokens(spark, folder)), ["query", "doc"])
     return T.rank_matches(both, "score", "cosine").withColumn("blend", F.round("blend", 6))
 
 
+# The same over the whole texts. DuckDB folds and splits beyond ASCII differently, so these have no SQL.
+
+
+@query()
+def text_token_counts_whole(spark, folder):
+    return _whole_tokens(spark, folder).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("n"))
+
+
+@query()
+def text_cluster_terms_whole(spark, folder):
+    return T.cluster_terms(_whole_tokens(spark, folder), _doc_clusters(spark, folder))
+
+
+@query()
+def text_doc_jsd_whole(spark, folder):
+    return T.doc_jsd(_whole_tokens(spark, folder), _doc_clusters(spark, folder)).withColumn("jsd", F.round("jsd", 7))
+
+
+@query()
+def text_cluster_jsd_whole(spark, folder):
+    out = T.cluster_jsd(_whole_tokens(spark, folder), _doc_clusters(spark, folder)).filter("mean is not null")
+    return out.withColumns({c: F.round(c, 7) for c in out.columns[2:]})
+
+
+@query()
+def text_idf_whole(spark, folder):
+    n = table(spark, folder, "documents").agg(F.count(F.lit(1)).cast("double")).scalar()
+    return T.idf(_whole_tokens(spark, folder), n).withColumn("idf", F.round("idf", 8))
+
+
 _NORM = "' ' || array_to_string(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''), ' ') || ' '"
 
 
