@@ -304,6 +304,12 @@ def cocite_normalized(spark, folder):
     return P.normalized_frequency(e, P.cocited_pairs(e).filter("frequency >= 4")).withColumn("normalized", F.round("normalized", 8))
 
 
+@query(f"WITH {E}, {_CO}, n AS (SELECT cited, count(*) AS n FROM e GROUP BY cited) SELECT c.*, round(frequency / sqrt(CAST(a.n AS DOUBLE) * b.n), 8) AS normalized FROM c JOIN n a ON a.cited = cited_1 JOIN n b ON b.cited = cited_2")
+def cocite_normalized_whole(spark, folder):
+    e = citations(spark, folder)
+    return P.normalized_frequency(e, P.cocited_pairs(e)).withColumn("normalized", F.round("normalized", 8))
+
+
 @query(f"WITH {E.replace('e AS', 'e0 AS', 1)}, e AS (SELECT * FROM e0 WHERE citing IN (SELECT citing FROM e0 GROUP BY citing HAVING count(*) >= 30)), {_CO} SELECT * FROM c WHERE frequency >= 2")
 def cocite_restricted_pairs(spark, folder):
     return P.cocited_pairs(P.restricted_edges(citations(spark, folder), 30)).filter("frequency >= 2")
@@ -462,6 +468,11 @@ def cocite_bibliographic_coupling(spark, folder):
     return P.bibliographic_coupling(citations(spark, folder)).filter("coupling >= 3")
 
 
+@query(f"WITH {E} SELECT a.citing AS citing_1, b.citing AS citing_2, count(*) AS coupling FROM e a JOIN e b ON a.cited = b.cited AND a.citing < b.citing GROUP BY ALL")
+def cocite_bibliographic_coupling_whole(spark, folder):
+    return P.bibliographic_coupling(citations(spark, folder))
+
+
 @query(f"WITH {E}, d AS (SELECT cited AS n FROM e GROUP BY cited HAVING count(*) >= 25), m AS (SELECT DISTINCT cited AS n FROM e WHERE citing = 7 AND cited IN (SELECT n FROM d)) SELECT m.n AS neighbour, b.cited AS other, count(*) AS n FROM m JOIN e a ON a.cited = m.n JOIN e b ON b.citing = a.citing AND b.cited <> m.n GROUP BY ALL")
 def cocite_common_neighbours(spark, folder):
     return P.common_neighbours(citations(spark, folder), 7, 25)
