@@ -507,6 +507,13 @@ def fn_author_key(spark, folder):
     return rows.select("id", C.author_key(F.col("last_name"), F.col("first_name")).alias("author_key"))
 
 
+@query()
+def fn_author_key_whole(spark, folder):
+    """Keys of all names; without SQL, as DuckDB's lower() differs beyond ASCII."""
+    rows = table(spark, folder, "ct_overall_officials").filter("last_name is not null")
+    return rows.select("id", C.author_key(F.col("last_name"), F.col("first_name")).alias("author_key"))
+
+
 @query("SELECT appl_no, product_no, CASE WHEN regexp_matches(strength, '\\d') THEN regexp_extract(strength, '(\\d+)', 1) END AS amount FROM fda_products")
 def fn_substring_match(spark, folder):
     return table(spark, folder, "fda_products").select("appl_no", "product_no", C.substring_match(F.col("strength"), r"(\d+)").alias("amount"))

@@ -1,4 +1,4 @@
-"""Text queries over texts and items beyond ASCII, against brute force."""
+"""Text queries over texts and items beyond ASCII, against brute force; keys of such names."""
 
 from __future__ import annotations
 
@@ -60,3 +60,9 @@ def test_coherence_sees_the_whole_texts(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string, text_kind string").write.parquet(f"{tmp_path}/documents.parquet")
     for query in (analytics.text_coherence, analytics.text_cluster_jsd_whole):
         assert [(r["cluster_no"], r["size"], r["mean"]) for r in query(spark, str(tmp_path)).collect()] == [("abstract", 12, 0.0)]
+
+
+def test_whole_author_keys(spark, rows, tmp_path):
+    names = [(1, "François", "Müller"), (2, "Zoë", " Ångström "), (3, "Élodie", "Smith"), (4, None, "Ødegård"), (5, "José", None), (6, "Ann", "Lee"), (7, "李", "王")]
+    spark.createDataFrame(names, "id long, first_name string, last_name string").write.parquet(f"{tmp_path}/ct_overall_officials.parquet")
+    assert rows(analytics.fn_author_key_whole(spark, str(tmp_path))) == [(1, "müllerf"), (2, "ångströmz"), (3, "smithé"), (4, "ødegård"), (6, "leea"), (7, "王李")]
