@@ -309,17 +309,25 @@ def _items(spark, folder):
     return T.token_table(table(spark, folder, "eval_items").filter("bench = 'labelcheck'"), "item_id", "item_text")
 
 
+def _whole_items(spark, folder):
+    return T.token_table(table(spark, folder, "eval_items"), "item_id", "item_text")
+
+
 _BM = f"WITH {_TOK}, {_ITEMS}, le AS (SELECT doc, CAST(sum(n) AS BIGINT) AS length FROM tk GROUP BY doc), st AS (SELECT count(*) AS nd, avg(length) AS mean FROM le), iw AS (SELECT term, log10((nd - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tk, st GROUP BY term, nd), sc AS (SELECT query, doc, sum(idf * tk.n * 3.0 / (tk.n + 2.0 * (0.25 + 0.75 * length / mean))) AS score FROM (SELECT DISTINCT query, term FROM it) JOIN tk USING (term) JOIN iw USING (term) JOIN le USING (doc), st GROUP BY ALL)"
 
 
-def _bm25(spark, folder, tokens=_tokens):
+def _bm25(spark, folder, items=_items, tokens=_tokens):
     index = tokens(spark, folder)
-    return T.bm25(_items(spark, folder), index, index.groupBy("doc").agg(F.sum("n").alias("length")))
+    return T.bm25(items(spark, folder), index, index.groupBy("doc").agg(F.sum("n").alias("length")))
+
+
+def _top_ten(scores):
+    return R.distinct_on(scores.withColumn("score", F.round("score", 6)), ["query", "doc"], [F.desc("score")]).transform(lambda d: d.withColumn("rn", F.row_number().over(base.S.Window.partitionBy("query").orderBy(F.desc("score"), "doc"))).filter("rn <= 10").drop("rn"))
 
 
 @query(_BM + " SELECT query, doc, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, doc) AS rn FROM sc) WHERE rn <= 10")
 def text_bm25(spark, folder):
-    return R.distinct_on(_bm25(spark, folder).withColumn("score", F.round("score", 6)), ["query", "doc"], [F.desc("score")]).transform(lambda d: d.withColumn("rn", F.row_number().over(base.S.Window.partitionBy("query").orderBy(F.desc("score"), "doc"))).filter("rn <= 10").drop("rn"))
+    return _top_ten(_bm25(spark, folder))
 
 
 _COS = f"WITH {_TOK}, {_ITEMS}, n1 AS (SELECT query, sqrt(sum(n * n)) AS x FROM it GROUP BY 1), n2 AS (SELECT doc, sqrt(sum(n * n)) AS y FROM tk GROUP BY 1), d AS (SELECT query, doc, sum(it.n * tk.n) AS d FROM it JOIN tk USING (term) GROUP BY ALL), cs AS (SELECT query, doc, d / (x * y) AS cosine FROM d JOIN n1 USING (query) JOIN n2 USING (doc))"
@@ -332,7 +340,7 @@ def text_cosine(spark, folder):
 
 @query()
 def text_rank_blend(spark, folder):
-    both = _bm25(spark, folder, _whole_tokens).join(T.similarities(_items(spark, folder), _whole_tokens(spark, folder)), ["query", "doc"])
+    both = _bm25(spark, folder, _whole_items, _whole_tokens).join(T.similarities(_whole_items(spark, folder), _whole_tokens(spark, folder)), ["query", "doc"])
     return T.rank_matches(both, "score", "cosine").withColumn("blend", F.round("blend", 6))
 
 
@@ -366,6 +374,16 @@ def text_idf_whole(spark, folder):
     return T.idf(_whole_tokens(spark, folder), n).withColumn("idf", F.round("idf", 8))
 
 
+@query()
+def text_bm25_whole(spark, folder):
+    return _top_ten(_bm25(spark, folder, _whole_items, _whole_tokens))
+
+
+@query()
+def text_cosine_whole(spark, folder):
+    return T.similarities(_whole_items(spark, folder), _whole_tokens(spark, folder)).withColumn("cosine", F.round("cosine", 8))
+
+
 _NORM = "' ' || array_to_string(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''), ' ') || ' '"
 
 

@@ -66,3 +66,19 @@ def test_whole_author_keys(spark, rows, tmp_path):
     names = [(1, "François", "Müller"), (2, "Zoë", " Ångström "), (3, "Élodie", "Smith"), (4, None, "Ødegård"), (5, "José", None), (6, "Ann", "Lee"), (7, "李", "王")]
     spark.createDataFrame(names, "id long, first_name string, last_name string").write.parquet(f"{tmp_path}/ct_overall_officials.parquet")
     assert rows(analytics.fn_author_key_whole(spark, str(tmp_path))) == [(1, "müllerf"), (2, "ångströmz"), (3, "smithé"), (4, "ødegård"), (6, "leea"), (7, "王李")]
+
+
+def test_whole_rankings_take_every_item(spark, folder):
+    items = [(1, "labelcheck", "plain trial"), (2, "trialqa", "Клиническое исследование"), (3, "citeread", "l'épidémiologie trial"), (4, "abstractfit", "臨床試験の結果"), (5, "trialqa", "of the")]
+    spark.createDataFrame(items, "item_id long, bench string, item_text string").write.mode("overwrite").parquet(f"{folder}/eval_items.parquet")
+    index, queries = {d: terms(t) for d, t, _ in TEXTS if terms(t)}, {i: terms(t) for i, _, t in items}
+    length = lambda v: math.sqrt(sum(n * n for n in v.values()))
+    shared = [(q, d) for q in queries for d in index if queries[q].keys() & index[d].keys()]
+    assert {q for q, _ in shared} == {1, 2, 3, 4}
+    cosine = {(q, d): sum(queries[q][t] * index[d][t] for t in queries[q]) / length(queries[q]) / length(index[d]) for q, d in shared}
+    assert {(r["query"], r["doc"]): r["cosine"] for r in analytics.text_cosine_whole(spark, folder).collect()} == {k: pytest.approx(v, abs=1e-7) for k, v in cosine.items()}
+    df, mean = Counter(t for v in index.values() for t in v), sum(sum(v.values()) for v in index.values()) / len(index)
+    weight = {t: math.log10((len(index) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+    score = {(q, d): sum(weight[t] * index[d][t] * 3 / (index[d][t] + 2 * (0.25 + 0.75 * sum(index[d].values()) / mean)) for t in queries[q].keys() & index[d].keys()) for q, d in shared}
+    assert {(r["query"], r["doc"]): r["score"] for r in analytics.text_bm25_whole(spark, folder).collect()} == {k: pytest.approx(v, abs=1e-5) for k, v in score.items()}
+    assert {r["query"] for r in analytics.text_rank_blend(spark, folder).collect()} == {1, 2, 3, 4}
