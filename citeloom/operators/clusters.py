@@ -322,17 +322,30 @@ def agglomerate(matrix: DataFrame, merges: int) -> DataFrame:
     return matrix.sparkSession.createDataFrame(steps, "step int, kept long, merged long, weight double")
 
 
-def mcl(edges: DataFrame, inflation: float = 2.0, rounds: int = 6, least: float = 1e-4) -> DataFrame:
-    """cluster_no, node: Markov clustering by sparse matrix products as joins; entries below least are dropped."""
+def mcl(edges: DataFrame, inflation: float = 2.0, max_rounds: int = 100, least: float = 1e-4, tolerance: float = 1e-6) -> DataFrame:
+    """cluster_no, node: Markov clustering by sparse matrix products as joins, until no entry changes by more than tolerance.
+
+    Entries below the share least of their column's largest are dropped, so every column keeps its largest. Raises an
+    error if the matrix still changes after max_rounds.
+    """
     both = symmetrise(edges).toDF("i", "j")
     loops = both.select(F.col("i"), F.col("i").alias("j")).distinct()
     m = both.unionByName(loops).distinct().withColumn("p", F.lit(1.0))
-    norm = lambda d: d.withColumn("p", F.col("p") / F.sum("p").over(Window.partitionBy("j")))
+    column = Window.partitionBy("j")
+    norm = lambda d: d.withColumn("p", F.col("p") / F.sum("p").over(column))
     m = checkpoint(norm(m))
-    for _ in range(rounds):
+    for _ in range(max_rounds):
         square = m.join(m.select(F.col("i").alias("j"), F.col("j").alias("l"), F.col("p").alias("q")), "j").groupBy("i", F.col("l").alias("j")).agg(F.sum(F.col("p") * F.col("q")).alias("p"))
-        m = checkpoint(norm(square.withColumn("p", F.pow("p", F.lit(inflation))).filter(F.col("p") > least)))
-    head = m.groupBy(F.col("j").alias("node")).agg(F.max_by("i", F.struct("p", -F.col("i"))).alias("h"))
+        scaled = square.withColumn("p", F.pow(F.col("p") / F.max("p").over(column), F.lit(inflation)))
+        new = checkpoint(norm(scaled.filter(F.col("p") >= least)))
+        both = new.unionByName(m.select("i", "j", (-F.col("p")).alias("p"))).groupBy("i", "j").agg(F.abs(F.sum("p")).alias("d"))
+        same = both.filter(F.col("d") > tolerance).isEmpty()
+        m = new
+        if same:
+            break
+    else:
+        raise RuntimeError(f"Markov clustering still changes after {max_rounds} rounds")
+    head = m.groupBy(F.col("j").alias("node")).agg(F.max_by("i", F.struct(F.round("p", 9), -F.col("i"))).alias("h"))
     found = components(head.select(F.col("node").alias("citing"), F.col("h").alias("cited")))
     return found.select(F.col("component").alias("cluster_no"), "node")
 

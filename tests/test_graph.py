@@ -144,3 +144,40 @@ def test_agglomerate_and_threshold(spark, rows):
     assert rows(K.agglomerate(m, 9)) == [(1, 3, 4, 6.5), (2, 1, 2, 5.0), (3, 1, 3, 7.0)]
     p = spark.createDataFrame([(1, 2, 9.0), (2, 3, 8.0), (3, 4, 1.0), (5, 6, 7.0)], "cited_1 long, cited_2 long, v double")
     assert rows(K.threshold_clusters(p, "v", [0.25, 0.75], 3)) == [(1, 1, 1), (1, 2, 1), (1, 3, 1), (5, 5, 1), (5, 6, 1)]
+
+
+def dense_mcl(pairs, rounds=200):
+    nodes = sorted({n for p in pairs for n in p})
+    m = {j: {i: 1.0 for i in nodes if i == j or (i, j) in pairs or (j, i) in pairs} for j in nodes}
+    m = {j: {i: p / sum(c.values()) for i, p in c.items()} for j, c in m.items()}
+    for _ in range(rounds):
+        new = {}
+        for j in nodes:
+            c = {}
+            for k, q in m[j].items():
+                for i, p in m[k].items():
+                    c[i] = c.get(i, 0.0) + p * q
+            c = {i: p * p for i, p in c.items() if p > 1e-12}
+            new[j] = {i: p / sum(c.values()) for i, p in c.items()}
+        m = new
+    name = {n: n for n in nodes}
+    for _ in nodes:
+        for j, c in m.items():
+            h = max(c, key=lambda i: (round(c[i], 9), -i))
+            name[j] = name[h] = min(name[j], name[h])
+    return sorted((c, n) for n, c in name.items())
+
+
+def test_mcl_keeps_the_nodes_of_a_dense_part(spark, rows):
+    pairs = [*clique(range(120)), (119, 200), (200, 201), (201, 202), (200, 202)]
+    got = rows(K.mcl(graph(spark, pairs)))
+    assert sorted(n for _, n in got) == [*range(120), 200, 201, 202]
+    assert {n for c, n in got if c == 0} == set(range(120))
+
+
+def test_mcl_runs_until_nothing_changes(spark, rows):
+    pairs = {(100 + i, 101 + i) for i in range(13)} | {(i, i + 1) for i in range(9)} | {(0, 20), (0, 21), (20, 21)}  # no ties
+    e = graph(spark, sorted(pairs))
+    assert sorted(rows(K.mcl(e, least=1e-9))) == dense_mcl(pairs)
+    with pytest.raises(RuntimeError):
+        K.mcl(e, max_rounds=2)
