@@ -2,7 +2,8 @@
 
 A name within k edits of another has, cut into k + 1 segments, at least one segment that the other holds unchanged, at
 most k places away. So the segments of all names make an inverted index, in which the names' shifted substrings are
-looked up; what is found is verified by a banded edit distance.
+looked up; what is found is verified by a banded edit distance. Surnames, given names and the words of institutions all
+go this way; mentions then meet by equality of what their parts were found to be alike to, never surname by surname.
 """
 
 from __future__ import annotations
@@ -10,40 +11,32 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.operators.graph import components
+from citeloom.operators.skew import skew_join
 from citeloom.session import materialise, ship
 
 EDITS = 2
-#: A token counts as a given name if it has at least this share of all first names: at most 1 / GIVEN_SHARE tokens do.
-GIVEN_SHARE = 1 / 2000
-
-# Short forms of given names.
-NICKNAMES = {
-    "alex": "alexander", "sasha": "alexander", "al": "alexander", "xander": "alexander", "sandy": "alexander",
-    "bill": "william", "billy": "william", "will": "william", "willy": "william", "liam": "william",
-    "bob": "robert", "bobby": "robert", "rob": "robert", "robbie": "robert", "bert": "robert",
-    "dick": "richard", "rick": "richard", "rich": "richard", "ricky": "richard", "richie": "richard",
-    "tom": "thomas", "tommy": "thomas", "ted": "theodore", "teddy": "theodore", "theo": "theodore",
-    "ed": "edward", "eddie": "edward", "ned": "edward", "mike": "michael", "mick": "michael", "mickey": "michael",
-    "nick": "nicholas", "nico": "nicholas", "niko": "nicholas", "klaus": "nicholas", "dan": "daniel", "danny": "daniel",
-    "chris": "christopher", "kit": "christopher", "topher": "christopher", "greg": "gregory", "steve": "stephen", "steven": "stephen", "stephan": "stephen",
-    "jim": "james", "jimmy": "james", "jack": "john", "johnny": "john", "joe": "joseph", "pepe": "jose", "hans": "johannes", "jan": "johannes", "hannes": "johannes",
-    "gianni": "giovanni", "gio": "giovanni", "vanni": "giovanni", "hiro": "hiroaki", "aki": "hiroaki", "seun": "oluwaseun", "olu": "oluwaseun",
-    "jurgen": "jurgen", "juergen": "jurgen", "soeren": "soren", "soren": "soren", "luke": "lukasz", "lukas": "lukasz",
-    "mo": "mohammed", "mohamed": "mohammed", "muhammad": "mohammed", "mohammad": "mohammed", "muhammed": "mohammed",
-    "becky": "rebecca", "becca": "rebecca", "beth": "elizabeth", "liz": "elizabeth", "lizzie": "elizabeth", "betty": "elizabeth", "betsy": "elizabeth", "eliza": "elizabeth", "lisa": "elizabeth",
-    "debbie": "deborah", "deb": "deborah", "debra": "deborah", "jen": "jennifer", "jenny": "jennifer", "jenn": "jennifer",
-    "kate": "katherine", "kathy": "katherine", "katie": "katherine", "cathy": "katherine", "catherine": "katherine", "kathryn": "katherine", "kat": "katherine", "kitty": "katherine",
-    "maggie": "margaret", "meg": "margaret", "peggy": "margaret", "marge": "margaret", "greta": "margaret", "pat": "patricia", "patty": "patricia", "trish": "patricia", "tricia": "patricia",
-    "sue": "susan", "susie": "susan", "suzy": "susan", "vicky": "victoria", "vicki": "victoria", "vic": "victoria", "tori": "victoria",
-    "fran": "francesca", "franny": "francesca", "cesca": "francesca", "gitta": "birgitta", "britta": "birgitta", "birgit": "birgitta", "brigitta": "birgitta",
-    "aga": "agnieszka", "agnes": "agnieszka", "priya": "priyanka", "pri": "priyanka", "elena": "yelena", "lena": "yelena", "helena": "yelena", "jelena": "yelena", "zoey": "zoe",
-    "annie": "annemarie", "annamarie": "annemarie", "franz": "francois", "frank": "francois", "tony": "anthony", "dave": "david", "sam": "samuel", "ben": "benjamin", "matt": "matthew",
+#: Rows of an entity that one task pairs with as many others.
+PAIR_BLOCK = 1024
+
+# Usual short forms of given names. Forms that are the beginning of the name need no entry.
+SHORT_FORMS = {
+    "alexander": "sasha xander sandy", "william": "bill billy liam", "robert": "bob bobby bert robbie", "richard": "dick rick ricky",
+    "theodore": "ted teddy", "thomas": "tom tommy", "edward": "ed eddie ned", "daniel": "danny", "michael": "mike mick mickey", "nicholas": "nick nico",
+    "christopher": "kit topher", "stephen": "steve steven", "james": "jim jimmy", "john": "jack johnny", "joseph": "joe", "jose": "pepe",
+    "johannes": "hans jan hannes", "giovanni": "gianni vanni", "oluwaseun": "seun", "mohammed": "mo muhammad mohammad", "anthony": "tony",
+    "rebecca": "becky becca", "elizabeth": "beth liz lizzie betty betsy lisa", "deborah": "debbie debra", "jennifer": "jenny",
+    "katherine": "kate kathy katie cathy catherine kathryn kitty", "margaret": "maggie meg peggy marge", "patricia": "patty trish tricia",
+    "susan": "sue susie suzy", "victoria": "vicky vicki tori", "francesca": "franny cesca", "birgitta": "gitta britta", "agnieszka": "aga",
+    "yelena": "lena elena", "david": "dave", "annemarie": "annie",
 }
+NICKNAMES = {short: full for full, shorts in reversed(SHORT_FORMS.items()) for short in shorts.split()}
 # Words that name the kind of an institution, with their short forms.
 KINDS = {
     "university": "university univ u uni universitat universite", "hospital": "hospital hosp hospitals", "institute": "institute inst institut", "medical": "medical med medicine medicinal",
@@ -52,6 +45,8 @@ KINDS = {
 }
 # Words of companies; the kind of business is part of the name, the rest is not.
 COMPANY = {"pharmaceuticals": "pharm pharma pharmaceutical pharmaceuticals", "therapeutics": "thera ther therapeutics therapeutic", "biosciences": "biosc biosci bioscience biosciences", "biotech": "biotech biotechnology biotechnologies", "laboratories": "lab labs laboratory laboratories"}
+# Words that name a part of an institution when they begin or end what stands between two marks.
+UNITS = frozenset("department division section unit ward service services office program programme branch campus".split())
 _EMPTY = frozenset("of the and at for de la du s main campus usa us uk canada germany france spain italy japan china india brazil kenya australia israel mexico sweden denmark poland netherlands switzerland austria belgium".split())
 _DEGREE_WORDS = re.compile(r"(?:[,;]\s*|\s+)(?:M\.?D\.?|Ph\.?\s?D\.?|MPH|M\.?Sc\.?|FRCP|FACP|MBBS|D\.?O\.?|R\.?N\.?|Pharm\.?D\.?|Jr\.?|Sr\.?|III?)(?=[\s,;.]|$)", re.IGNORECASE)
 _TITLES = re.compile(r"^(?:dr|prof|professor|mr|mrs|ms)\.?\s+", re.IGNORECASE)
@@ -88,21 +83,22 @@ def _form(word: str, kept: dict[str, str]) -> str:
     """The full form of an institution's word, also where it is mistyped; other words as they are."""
     if word not in kept:
         form = _FORM.get(word)
-        if form is None and len(word) >= 5:
-            form = next((full for full in (*KINDS, *COMPANY) if len(full) >= 6 and near(word, full, 1)), None)
+        if form is None and len(word) >= 4:
+            form = next((full for full in (*KINDS, *COMPANY) if len(full) >= 5 and near(word, full, 1)), None)
         kept[word] = form or word
     return kept[word]
 
 
 def institution(text: str | None, kept: dict[str, str]) -> tuple[str, str] | None:
-    """(own words, kind words) of an affiliation, each sorted; None if nothing is left."""
+    """(own words, kind words) of an affiliation, each sorted; None if nothing is left. Departments and other parts of an
+    institution that stand apart from its name are left out."""
     if not text:
         return None
     own: list[str] = []
     kinds: set[str] = set()
-    for part in fold(text).replace("'", "").split(","):
+    for part in re.split(r"[,;()]", fold(text).replace("'", "").replace("’", "")):
         words = [_form(w, kept) for w in re.findall(r"[a-z0-9]+", part)]
-        if words and words[0] in ("department", "division", "section"):
+        if words and (words[0] in UNITS or words[-1] in UNITS):
             continue
         for w in words:
             if w in KINDS or w in COMPANY:
@@ -118,10 +114,9 @@ def company(text: str, kept: dict[str, str]) -> tuple[str, str] | None:
     for i, w in enumerate(words):
         if w in COMPANY and i:
             return " ".join(words[:i]), w
-    for i, w in enumerate(words):
+    for w in words:
         if w in ("university", "hospital", "institute", "center", "clinic", "college", "foundation") and len(words) > 1:
-            found = institution(text, kept)
-            return found if found else None
+            return institution(text, kept)
     return None
 
 
@@ -134,13 +129,12 @@ def _tokens(text: str | None) -> list[str]:
     return re.findall(r"[^\W\d_]+", fold(text).replace("-", "").replace("'", "").replace("’", ""))
 
 
-def person(first: str | None, last: str | None, given: frozenset[str], kept: dict[str, bool]) -> tuple[str, str]:
-    """(given name or initial, surname) from the two fields, which may hold both parts, in either order, or be swapped."""
+def name_parts(first: str | None, last: str | None) -> tuple[str, str, str]:
+    """(front, back, how): what stands where the given name and the surname are meant to, and how sure that is.
 
-    def known(word: str) -> bool:
-        if word not in kept:
-            kept[word] = word in given or word in NICKNAMES or (len(word) >= 5 and any(near(word, g, 1) for g in given if len(g) >= 5))
-        return kept[word]
+    how: fields (two fields, which may be swapped), comma (surname, given name in one), loose (two words in one field, in
+    either order), sure (a single name, or an initial beside one word).
+    """
 
     def joined(words: list[str]) -> str:
         long = [w for w in words if len(w) > 1]
@@ -150,64 +144,84 @@ def person(first: str | None, last: str | None, given: frozenset[str], kept: dic
     plain = _DEGREE_WORDS.sub("", last or "").strip(" ,;")
     if "," in plain and not front:
         a, _, b = plain.partition(",")
-        return joined(_tokens(b)), joined(_tokens(a))
+        return joined(_tokens(b)), joined(_tokens(a)), "comma"
     back = _tokens(plain)
-    if not front:
-        if len(back) < 2:
-            return "", joined(back)
-        initials = [w for w in back if len(w) == 1]
-        long = [w for w in back if len(w) > 1]
-        if len(long) < 2:
-            return (initials[0] if initials else ""), joined(long)
-        if known(long[-1]) and not known(long[0]):
-            return long[-1], joined(long[:-1])
-        return joined(long[:-1]), long[-1]
-    front_name, back_name = joined(front), joined(back)
-    if known(back_name) and not known(front_name) and len(front_name) > 1:
-        return back_name, front_name
-    return front_name, back_name
-
-
-def _mentions(df: DataFrame, key: str, first: str, last: str, affiliation: str, given: frozenset[str]) -> DataFrame:
-    """id, kind, name, given, place, sort: the parts of each mention; place is null without affiliation."""
+    if front:
+        return joined(front), joined(back), "fields"
+    if len(back) < 2:
+        return "", joined(back), "sure"
+    initials, long = [w for w in back if len(w) == 1], [w for w in back if len(w) > 1]
+    if len(long) < 2:
+        return (initials[0] if initials else ""), joined(long), "sure"
+    return joined(long[:-1]), long[-1], "loose"
+
+
+def _parsed(df: DataFrame, key: str, first: str, last: str, affiliation: str, nicknames: dict[str, str]) -> DataFrame:
+    """id, kind, front, back, how, place, sort: the parts of each mention; place is null without affiliation."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         forms: dict[str, str] = {}
-        known: dict[str, bool] = {}
         for batch in batches:
             out = []
             for key_value, f, l, a in batch.itertuples(index=False, name=None):
                 f, l, a = (x if isinstance(x, str) and x.strip() else None for x in (f, l, a))
                 firm = company(l, forms) if l and not f else None
                 if firm:
-                    out.append((key_value, "organisation", firm[0].replace(" ", ""), firm[1], None, None))
-                    continue
-                front, name = person(f, l, given, known)
-                if not name:
+                    out.append((key_value, "organisation", firm[1], firm[0].replace(" ", ""), "sure", None, None))
                     continue
-                front = NICKNAMES.get(front, front)
+                front, back, how = name_parts(f, l)
                 place = institution(a, forms)
-                out.append((key_value, "person", name, front, *(place or (None, None))))
-            yield pd.DataFrame(out, columns=["id", "kind", "name", "given", "place", "sort"])
+                out.append((key_value, "person", nicknames.get(front, front), back, how, *(place or (None, None))))
+            yield pd.DataFrame(out, columns=["id", "kind", "front", "back", "how", "place", "sort"])
             if len(forms) > 500_000:
                 forms.clear()
-            if len(known) > 500_000:
-                known.clear()
 
     rows = df.select(F.col(key).cast("long").alias("id"), *(F.col(c).cast("string").alias(n) for c, n in ((first, "f"), (last, "l"), (affiliation, "a")))).filter("id is not null")
-    return rows.mapInPandas(run, "id long, kind string, name string, given string, place string, sort string")
+    return rows.mapInPandas(run, "id long, kind string, front string, back string, how string, place string, sort string")
 
 
-def given_names(df: DataFrame, first: str, last: str, share: float = GIVEN_SHARE) -> frozenset[str]:
-    """The words that stand in the first-name field more often than in the other and make up the given share of it.
+def _oriented(parsed: DataFrame, nicknames: dict[str, str]) -> DataFrame:
+    """id, kind, name, given, place, sort: given names told from surnames where the fields may be swapped.
 
-    At most 1 / share words come to the driver.
+    Of each word it is counted over all rows how often it stands in front and at the back. A row is turned round if its
+    back word is more of a given name, by these counts without the row itself, than its front word.
     """
-    words = lambda c: F.explode(F.split(F.lower(F.col(c)), r"[\s,.]+"))
-    tagged = df.select(words(first).alias("w"), F.lit(1).alias("front")).unionByName(df.select(words(last).alias("w"), F.lit(0).alias("front")))
-    counts = tagged.filter("length(w) > 1").groupBy("w").agg(F.sum("front").alias("front"), F.count(F.lit(1)).alias("n"))
-    total = df.filter(F.col(first).isNotNull()).count()
-    return frozenset(fold(r[0]).replace("-", "") for r in counts.filter((F.col("front") * 2 > F.col("n")) & (F.col("front") >= F.greatest(F.lit(3), F.lit(total * share)))).select("w").collect())
+    full = F.col("back")
+    if nicknames:
+        full = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in nicknames.items() for x in pair)), full), full)
+    rows = parsed.withColumn("given_back", full).withColumn("counted", F.col("how").isin("fields", "comma").cast("long"))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    open_row = F.col("how").isin("fields", "loose") & (F.col("front") != "") & (F.col("back") != "")
+    person = rows.filter(open_row)
+    told = rows.filter("kind = 'person'").select(
+        F.explode(
+            F.array(
+                F.struct(F.col("front").alias("word"), F.col("counted").alias("ahead"), zero.alias("behind"), open_row.cast("long").alias("n_front"), zero.alias("n_back")),
+                F.struct(F.col("given_back").alias("word"), zero.alias("ahead"), F.col("counted").alias("behind"), zero.alias("n_front"), open_row.cast("long").alias("n_back")),
+            )
+        ).alias("w")
+    ).select("w.*")
+    counts = materialise(told.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("ahead", "behind", "n_front", "n_back"))))
+    total = person.agg(F.count(one).alias("n"))
+
+    def side(c: str, name: str, n: str) -> DataFrame:
+        return counts.filter(F.col(n) > 0).select(F.col("word").alias(c), F.col("ahead").alias(f"ahead_{name}"), F.col("behind").alias(f"behind_{name}"), n)
+
+    met = skew_join(person, side("front", "f", "n_front"), "front", "n_front", total)
+    met = skew_join(met, side("given_back", "b", "n_back"), "given_back", "n_back", total)
+
+    def score(ahead: Column, behind: Column) -> Column:
+        return (ahead + 0.5) / (behind + 0.5)
+
+    of_front = score(F.col("ahead_f") - F.col("counted"), F.col("behind_f"))
+    of_back = score(F.col("ahead_b"), F.col("behind_b") - F.col("counted"))
+    turned = (F.length("front") > 1) & ((F.length("back") == 1) | (of_back > 2 * of_front))
+    columns = ("kind", "place", "sort")
+    open_rows = met.select("id", *columns, F.when(turned, F.col("front")).otherwise(F.col("back")).alias("name"), F.when(turned, F.col("given_back")).otherwise(F.col("front")).alias("given"))
+    rest = rows.filter(~open_row)
+    lone = F.when((F.col("back") == "") & (F.col("kind") == "person"), F.col("front")).otherwise(F.col("back"))
+    closed = rest.select("id", *columns, lone.alias("name"), F.when((F.col("back") == "") & (F.col("kind") == "person"), F.lit("")).otherwise(F.col("front")).alias("given"))
+    return open_rows.unionByName(closed).filter("name != ''").select("id", "kind", "name", "given", "place", "sort")
 
 
 def segment_pairs(names: DataFrame, name: str = "name", edits: int = EDITS) -> DataFrame:
@@ -236,54 +250,179 @@ def segment_pairs(names: DataFrame, name: str = "name", edits: int = EDITS) -> D
     return both.filter(F.levenshtein("name_1", "name_2", edits) >= 0)
 
 
+def _letters(c: Column) -> Column:
+    return F.array_join(F.array_sort(F.split(c, "")), "")
+
+
+def similar(words: DataFrame, edits: int = EDITS) -> DataFrame:
+    """name_1, name_2: the words (column name) with those they are alike to, both ways, themselves included.
+
+    Words of 5 letters or more may be `edits` apart, those of 3 or 4 letters one edit or one swap of letters; shorter ones
+    are alike to nothing else, as any other short word is a few edits away.
+    """
+    distinct = materialise(words.select("name").filter("name != ''").distinct())
+    n = F.length("name")
+    long = segment_pairs(distinct.filter(n >= 5), "name", edits)
+    short = segment_pairs(distinct.filter(n.between(3, 5)), "name", 1).filter(F.least(F.length("name_1"), F.length("name_2")) <= 4)
+    few = distinct.filter(n.between(3, 4)).select("name", _letters(F.col("name")).alias("letters"))
+    swapped = few.withColumnRenamed("name", "name_1").join(few.withColumnRenamed("name", "name_2"), "letters").filter((F.col("name_1") < F.col("name_2")) & (F.levenshtein("name_1", "name_2", 2) >= 0))
+    pairs = reduce(DataFrame.unionByName, (long, short, swapped.select("name_1", "name_2"))).distinct()
+    same = distinct.select(F.col("name").alias("name_1"), F.col("name").alias("name_2"))
+    return materialise(pairs.unionByName(pairs.select(F.col("name_2").alias("name_1"), F.col("name_1").alias("name_2"))).unionByName(same))
+
+
+def _alike(a: Column, b: Column) -> Column:
+    """What similar() says, of two words."""
+    short = F.least(F.length(a), F.length(b))
+    return (a == b) | F.when(short >= 5, F.levenshtein(a, b, 2) >= 0).otherwise((short >= 3) & ((F.levenshtein(a, b, 1) >= 0) | ((_letters(a) == _letters(b)) & (F.levenshtein(a, b, 2) >= 0))))
+
+
 def _given_fits(a: Column, b: Column) -> Column:
     short = F.least(F.length(a), F.length(b))
     initial = (short <= 1) & ((short == 0) | (F.substring(a, 1, 1) == F.substring(b, 1, 1)))
-    return initial | (a == b) | ((short >= 4) & (F.levenshtein(a, b, 2) >= 0)) | ((short >= 3) & (a.startswith(b) | b.startswith(a)))
+    return initial | (a == b) | ((short >= 4) & _alike(a, b)) | ((short >= 3) & (a.startswith(b) | b.startswith(a)))
+
+
+def given_pairs(given: DataFrame, alike: DataFrame) -> DataFrame:
+    """given_1, given_2: the given names (column name, no initials) that may fit each other, both ways, themselves
+    included. alike: similar() of a vocabulary that holds them."""
+    full = given.select("name").filter("length(name) > 1").distinct()
+    alike = alike.select(F.col("name_1").alias("given_1"), F.col("name_2").alias("given_2"))
+    cut = full.filter("length(name) > 3").select(F.col("name").alias("given_1"), F.explode(F.sequence(F.lit(3), F.length("name") - 1)).alias("k")).select("given_1", F.expr("left(given_1, k)").alias("given_2"))
+    begun = cut.join(full.select(F.col("name").alias("given_2")), "given_2").select("given_1", "given_2")
+    return alike.unionByName(begun).unionByName(begun.select(F.col("given_2").alias("given_1"), F.col("given_1").alias("given_2"))).distinct()
+
+
+def _same_words(a: Column, b: Column) -> Column:
+    """Whether each word of more than 3 letters of either text is alike to one of the other."""
 
+    def held(x: Column, y: Column) -> Column:
+        return F.forall(F.split(x, " "), lambda w: (F.length(w) <= 3) | F.exists(F.split(y, " "), lambda v: _alike(w, v)))
 
-def link_names(df: DataFrame, key: str, first: str, last: str, affiliation: str, edits: int = EDITS) -> DataFrame:
+    return (a == b) | (held(a, b) & held(b, a) & (F.length(a) > 3) & (F.length(b) > 3))
+
+
+def place_words(places: DataFrame) -> DataFrame:
+    """place, name: the words of more than 3 letters of each institution (own words, column place)."""
+    return places.select("place").filter("place is not null").distinct().select("place", F.explode(F.array_distinct(F.split("place", " "))).alias("name")).filter("length(name) > 3")
+
+
+def place_pairs(places: DataFrame, words: DataFrame, alike: DataFrame) -> DataFrame:
+    """place_1, place_2: the institutions that are alike, both ways, themselves included. words: their place_words;
+    alike: similar() of a vocabulary that holds these.
+
+    A place meets others by its rarest word: another place alike to it holds that word or one alike to it.
+    """
+    rarest = words.join(words.groupBy("name").agg(F.count(F.lit(1)).alias("n")), "name").groupBy("place").agg(F.min_by("name", F.struct("n", "name")).alias("name_1"))
+    met = rarest.withColumnRenamed("place", "place_1").join(alike, "name_1").join(words.select(F.col("place").alias("place_2"), F.col("name").alias("name_2")), "name_2")
+    found = met.select("place_1", "place_2").distinct().filter(_same_words(F.col("place_1"), F.col("place_2")))
+    return found.unionByName(places.filter("place is not null").select(F.col("place").alias("place_1"), F.col("place").alias("place_2"))).distinct()
+
+
+_PARTS = ("m", "name", "given", "place", "sort", "n")
+
+
+def _fits() -> Column:
+    """Whether two mentions whose names are alike fit each other in the rest."""
+    person = F.col("kind") == "person"
+    places = F.col("place_1").isNotNull() & F.col("place_2").isNotNull()
+    sort = (F.col("sort_1") == F.col("sort_2")) | (F.levenshtein("sort_1", "sort_2", 3) >= 0)
+    same_place = ~places | (_same_words(F.col("place_1"), F.col("place_2")) & sort)
+    sure = (F.col("name_1") == F.col("name_2")) | (F.least(F.length("name_1"), F.length("name_2")) > 4) | (places & (F.col("given_1") == F.col("given_2")) & (F.length("given_1") > 1))
+    return F.when(person, _given_fits(F.col("given_1"), F.col("given_2")) & same_place & sure).otherwise(F.col("given_1") == F.col("given_2"))
+
+
+def _side(mentions: DataFrame, number: int) -> DataFrame:
+    return mentions.select("kind", *(F.col(c).alias(f"{c}_{number}") for c in _PARTS))
+
+
+def _by_letter(left: DataFrame, right: DataFrame, names: DataFrame) -> DataFrame:
+    """Pairs of mentions that meet by name and first letter of the given name, or by name alone where one has none."""
+    letter = F.substring("given_1", 1, 1)
+    probes = F.when(F.col("given_1") == "", F.array(F.lit("*"))).otherwise(F.array(letter, F.lit("")))
+    a = left.join(names, "name_1").withColumn("key", F.explode(probes))
+    b = right.withColumn("key", F.explode(F.array(F.substring("given_2", 1, 1), F.lit("*"))))
+    return a.join(b, ["kind", "name_2", "key"]).filter(_fits()).select("m_1", "m_2", "n_2")
+
+
+def _heads(pairs: DataFrame, mentions: DataFrame) -> DataFrame:
+    """m, entity: the mentions of pairs (both ways, each with itself), each with the head of its entity.
+
+    A mention points to the one of most rows that it fits, of equal ones to that which fits most others; pointers are
+    followed until nothing changes. Entities of which two mentions fit each other are one, if their heads do not
+    contradict each other.
+    """
+    degree = pairs.groupBy(F.col("m_1").alias("m_2")).agg(F.count(F.lit(1)).alias("d_2"))
+    at = materialise(pairs.join(degree, "m_2").groupBy("m_1").agg(F.max_by("m_2", F.struct("n_2", "d_2", "m_2")).alias("head")))
+    while True:
+        up = at.select(F.col("m_1").alias("head"), F.col("head").alias("top"))
+        new = materialise(at.join(up, "head").select("m_1", "head", "top"))
+        still = new.filter("head != top").isEmpty()
+        at = new.select("m_1", F.col("top").alias("head"))
+        if still:
+            break
+    one, two = at.select("m_1", F.col("head").alias("h_1")), at.select(F.col("m_1").alias("m_2"), F.col("head").alias("h_2"))
+    across = pairs.join(one, "m_1").join(two, "m_2").filter("h_1 < h_2").select(F.col("h_1").alias("m_1"), F.col("h_2").alias("m_2")).distinct()
+    met = across.join(_side(mentions, 1), "m_1").join(_side(mentions, 2), ["kind", "m_2"]).filter(_fits() & (F.levenshtein("name_1", "name_2", 2 * EDITS) >= 0))
+    links = materialise(met.select(F.col("m_1").alias("citing"), F.col("m_2").alias("cited")))
+    out = at.select(F.col("m_1").alias("m"), F.col("head").alias("entity"))
+    if links.isEmpty():
+        return out
+    joined = components(links).withColumnRenamed("node", "entity")
+    return out.join(joined, "entity", "left").select("m", F.coalesce("component", "entity").alias("entity"))
+
+
+def link_names(df: DataFrame, key: str, first: str, last: str, affiliation: str, edits: int = EDITS, nicknames: dict[str, str] = NICKNAMES) -> DataFrame:
     """entity, key: the rows of each person or organisation; a row that fits several entities is in each.
 
-    Surnames (or the own words of an organisation's name) are at most edits apart, given names equal, alike, short forms
-    or initials of one another, and institutions alike or missing. The fields may be swapped or hold both parts, with
-    degrees, accents and reordered parts. Of equal mentions one stands for all; a mention then joins the most frequent
-    one it fits (of equally frequent ones the one that comes first in order), and that one's choice in turn, so that two
-    misspellings of one name meet. Mentions without affiliation or with an initial only join each entity they fit, and
-    do not join entities to each other.
+    Surnames (or the own words of an organisation's name) are alike as similar() says, given names equal, alike, short
+    forms or initials of one another, and institutions alike or missing; a surname of up to 4 letters may differ only
+    where given name and institution are both there and the given names equal. The fields may be swapped or hold both
+    parts, with degrees, accents and reordered parts. Of equal mentions one stands for all; see _heads for how mentions
+    make an entity, also in chains of misspellings. Mentions without affiliation or with an initial only join each entity
+    they fit and do not join entities to each other; those that fit none make entities among themselves.
+
+    Mentions meet by equality: those with an institution by (name, place), those with a given name only by (name, given
+    name), over what names, places and given names were found to be alike to; a frequent surname alone is never a key but
+    for mentions that have nothing else.
 
     Keys are whole numbers. Null keys and rows without any name give no row; repeated rows of a key are one. Extra
     columns are ignored, an empty df gives no rows.
     """
     ship(df.sparkSession)
-    given = given_names(df, first, last)
-    rows = _mentions(df, key, first, last, affiliation, given).distinct()
     parts = ["kind", "name", "given", "place", "sort"]
     mention = F.xxhash64(*(F.coalesce(F.col(c), F.lit("\0")) for c in parts)).alias("m")
-    rows = materialise(rows.select("id", *parts, mention))
-    mentions = rows.groupBy("m", *parts).agg(F.count(F.lit(1)).alias("n"))
-    weak = F.col("place").isNull() & (F.col("kind") == "person") | ((F.col("kind") == "person") & (F.length("given") <= 1))
-    mentions = mentions.withColumn("weak", weak)
-    alike = segment_pairs(mentions, "name", edits)
-    names = alike.unionByName(alike.select(F.col("name_2").alias("name_1"), F.col("name_1").alias("name_2"))).unionByName(mentions.select(F.col("name").alias("name_1"), F.col("name").alias("name_2")).distinct())
-    left = mentions.select(*(F.col(c).alias(f"{c}_1") for c in mentions.columns))
-    right = mentions.select(*(F.col(c).alias(f"{c}_2") for c in mentions.columns))
-    pairs = left.join(names, "name_1").join(right, "name_2").filter("kind_1 = kind_2")
-    longest = F.least(F.length("name_1"), F.length("name_2"))
-    same_place = F.col("place_1").isNull() | F.col("place_2").isNull() | ((F.levenshtein("place_1", "place_2", 2) >= 0) & ((F.col("sort_1") == F.col("sort_2")) | (F.levenshtein("sort_1", "sort_2", 3) >= 0)))
-    fits = F.when(F.col("kind_1") == "organisation", F.col("given_1") == F.col("given_2")).otherwise(_given_fits(F.col("given_1"), F.col("given_2")) & same_place)
-    pairs = materialise(pairs.filter(fits & ((longest > 4) | (F.col("name_1") == F.col("name_2")))).select("m_1", "weak_1", "m_2", "weak_2", "n_2"))
-    best = F.max_by("m_2", F.struct(F.col("n_2"), F.col("m_2"))).alias("head")
-    strong = pairs.filter("not weak_1 and not weak_2").groupBy("m_1").agg(best)
-    again = strong.select(F.col("m_1").alias("head"), F.col("head").alias("top"))
-    entity = strong.join(again, "head").select("m_1", F.col("top").alias("entity"))
-    joined = pairs.filter("weak_1 and not weak_2").select(F.col("m_1").alias("m"), F.col("m_2").alias("m_1")).join(entity, "m_1").select("m", "entity").distinct()
-    lone = pairs.filter("weak_1 and weak_2").join(joined.select(F.col("m").alias("m_1")).distinct(), "m_1", "left_anti").groupBy("m_1").agg(best).select(F.col("m_1").alias("m"), F.col("head").alias("entity"))
-    members = entity.select(F.col("m_1").alias("m"), "entity").unionByName(joined).unionByName(lone)
+    parsed = materialise(_parsed(df, key, first, last, affiliation, nicknames))
+    rows = materialise(_oriented(parsed, nicknames).distinct().select("id", *parts, mention))
+    person = F.col("kind") == "person"
+    mentions = materialise(rows.groupBy("m", *parts).agg(F.count(F.lit(1)).alias("n")).withColumn("weak", person & (F.col("place").isNull() | (F.length("given") <= 1))))
+    words, given = place_words(mentions), mentions.filter(person).select(F.col("given").alias("name"))
+    alike = similar(mentions.select("name").unionByName(words.select("name")).unionByName(given.filter("length(name) > 1")), edits)
+    names = alike.join(mentions.select(F.col("name").alias("name_1")).distinct(), "name_1", "left_semi")
+    one, two = _side(mentions, 1), _side(mentions.filter("not weak"), 2)
+    anchored = one.filter("place_1 is not null").join(names, "name_1").join(place_pairs(mentions, words, alike), "place_1").join(two, ["kind", "name_2", "place_2"])
+    firms = one.filter("kind = 'organisation'").join(names, "name_1").withColumn("given_2", F.col("given_1")).join(two, ["kind", "name_2", "given_2"])
+    bare = one.filter("kind = 'person' and place_1 is null")
+    named = bare.filter("length(given_1) > 1").join(names, "name_1").join(given_pairs(given, alike), "given_1").join(two, ["kind", "name_2", "given_2"])
+    met = [d.filter(_fits()).select("m_1", "m_2", "n_2") for d in (anchored, firms, named)]
+    met.append(_by_letter(bare.filter("length(given_1) <= 1"), two, names))
+    pairs = materialise(reduce(DataFrame.unionByName, met).distinct())
+    weak = mentions.filter("weak").select(F.col("m").alias("m_1"))
+    heads = _heads(pairs.join(weak, "m_1", "left_anti"), mentions)
+    joined = pairs.join(weak, "m_1", "left_semi").join(heads.select(F.col("m").alias("m_2"), "entity"), "m_2").select(F.col("m_1").alias("m"), "entity")
+    joined = materialise(joined.distinct())
+    alone = mentions.filter("weak").join(joined.select("m"), "m", "left_anti")
+    rest = _heads(materialise(_by_letter(_side(alone, 1), _side(alone, 2), names).distinct()), mentions)
+    members = heads.unionByName(joined).unionByName(rest)
     return rows.select("id", "m").join(members, "m").select("entity", F.col("id").alias(key)).distinct()
 
 
-def linked_pairs(members: DataFrame, key: str) -> DataFrame:
-    """id_1, id_2: all pairs of rows of one entity, id_1 < id_2."""
-    one, two = members.select("entity", F.col(key).alias("id_1")), members.select("entity", F.col(key).alias("id_2"))
-    return one.join(two, "entity").filter("id_1 < id_2").select("id_1", "id_2").distinct()
+def linked_pairs(members: DataFrame, key: str, block: int = PAIR_BLOCK) -> DataFrame:
+    """id_1, id_2: all pairs of rows of one entity, id_1 < id_2. A large entity is cut into blocks, each two of which meet
+    in a task of their own."""
+    sizes = members.groupBy("entity").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    rows = members.join(sizes, "entity").select("entity", F.col(key).alias("id"), "blocks", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int").alias("own"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    one = rows.select("entity", F.col("id").alias("id_1"), F.col("own").alias("p"), every.alias("q"))
+    two = rows.select("entity", F.col("id").alias("id_2"), F.col("own").alias("q"), every.alias("p"))
+    return one.join(two, ["entity", "p", "q"]).filter("id_1 < id_2").select("id_1", "id_2").distinct()

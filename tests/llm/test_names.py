@@ -6,9 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from citeloom.llm.names import company, institution, link_names, linked_pairs, near, person, segment_pairs
-
-GIVEN = frozenset({"robert", "patricia", "jennifer", "michael", "annemarie", "francois"})
+from citeloom.llm.names import company, given_pairs, institution, link_names, linked_pairs, name_parts, near, place_pairs, place_words, segment_pairs, similar
 
 
 def distance(a, b, swaps):
@@ -45,14 +43,33 @@ def test_segment_join_against_brute_force(spark, edits):
 @pytest.mark.parametrize(
     ("first", "last", "want"),
     [
-        ("Robert", "Starkrobal", ("robert", "starkrobal")), ("Starkrobal", "Robert", ("robert", "starkrobal")), (None, "Starkrobal, Robert", ("robert", "starkrobal")),
-        (None, "Robert Starkrobal", ("robert", "starkrobal")), (None, "J. M. Vivashochal", ("j", "vivashochal")), ("Bob F.", "Starkrobal, M.D.", ("bob", "starkrobal")),
-        ("Anne-Marie", "KROBR-OJAKRAR", ("annemarie", "krobrojakrar")), ("François", "Rikriklojur Ph.D.", ("francois", "rikriklojur")), ("R", "Starkrobal , FRCP", ("r", "starkrobal")), (None, "Starkrobal", ("", "starkrobal")),
-        (None, None, ("", "")), (None, "MD", ("", "md")),
+        ("Robert", "Starkrobal", ("robert", "starkrobal", "fields")), ("Starkrobal", "Robert", ("starkrobal", "robert", "fields")), (None, "Starkrobal, Robert", ("robert", "starkrobal", "comma")),
+        (None, "Robert Starkrobal", ("robert", "starkrobal", "loose")), (None, "J. M. Vivashochal", ("j", "vivashochal", "sure")), ("Bob F.", "Starkrobal, M.D.", ("bob", "starkrobal", "fields")),
+        ("Anne-Marie", "KROBR-OJAKRAR", ("annemarie", "krobrojakrar", "fields")), ("François", "Rikriklojur Ph.D.", ("francois", "rikriklojur", "fields")), ("R", "Starkrobal , FRCP", ("r", "starkrobal", "fields")),
+        (None, "Starkrobal", ("", "starkrobal", "sure")), (None, None, ("", "", "sure")), (None, "MD", ("", "md", "sure")),
     ],
 )
 def test_parts_of_names(first, last, want):
-    assert person(first, last, GIVEN, {}) == want
+    assert name_parts(first, last) == want
+
+
+def test_similar_words_by_length(spark):
+    words = ["wang", "wnag", "wong", "li", "lu", "kim", "kimm", "starkrobal", "starkobral", "starkroball", "abcde", "abxye", None, ""]
+    got = {tuple(r) for r in similar(spark.createDataFrame([(w,) for w in words], "name string")).collect()}
+    assert {(w, w) for w in words if w} <= got and {(b, a) for a, b in got} == got
+    assert {(a, b) for a, b in got if a < b} == {("wang", "wnag"), ("wang", "wong"), ("kim", "kimm"), ("starkobral", "starkrobal"), ("starkobral", "starkroball"), ("starkrobal", "starkroball"), ("abcde", "abxye")} - {
+        ("starkobral", "starkroball")
+    }
+
+
+def test_given_and_place_pairs(spark):
+    given_names = spark.createDataFrame([(x,) for x in ["christopher", "chris", "christina", "maria", "j", "", "jo"]], "name string")
+    got = {tuple(sorted(r)) for r in given_pairs(given_names, similar(given_names)).collect() if r[0] != r[1]}
+    assert {("chris", "christopher"), ("chris", "christina")} <= got and not any("maria" in p for p in got)
+    places = spark.createDataFrame([("alda brugado",), ("alda bruagdo",), ("alda bohekram",), ("brugado fo",), (None,)], "place string")
+    words = place_words(places)
+    got = {tuple(sorted(r)) for r in place_pairs(places, words, similar(words)).collect() if r[0] != r[1]}
+    assert got == {("alda bruagdo", "alda brugado")}
 
 
 def test_institutions_and_companies():
@@ -60,6 +77,8 @@ def test_institutions_and_companies():
     assert {institution(x, {}) for x in same} == {("vedrochand", "university")}
     assert institution("St. Alda Hosp., Bohekram", {}) == institution("Bohekram, Saint Alda Hospital", {}) != institution("Saint Alda Hospital, Brugado", {})
     assert institution("Kanolo Meedical Cener", {}) == institution("Kanolo Med. Center", {})
+    assert institution("University of Vedrochand; Clinical Research Unit", {}) == ("vedrochand", "university")
+    assert institution("Siant Alda Hosptial, Brugado", {}) == institution("Saint Alda Hospital, Brugado", {})
     assert institution(None, {}) is institution("", {}) is None
     firms = ["Dezeplakrel Pharmaceuticals, Inc.", "DEZEPLAKREL PHARM.", "Dezeplakrel Pharmaceuticals Clinical Trials"]
     assert {company(x, {}) for x in firms} == {("dezeplakrel", "pharmaceuticals")}
@@ -89,3 +108,55 @@ def test_links(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "id long, first_name string, last_name string, affiliation string")
     assert linked_pairs(link_names(df, "id", "first_name", "last_name", "affiliation"), "id").count() == 0
+
+
+SCHEMA = "id long, first_name string, last_name string, affiliation string"
+
+
+def pairs_of(spark, rows, **more):
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows, 1)], SCHEMA)
+    return {tuple(r) for r in linked_pairs(link_names(df, "id", "first_name", "last_name", "affiliation", **more), "id").collect()}
+
+
+def test_short_surnames_are_linked(spark):
+    place = "Kanolo Medical Center"
+    got = pairs_of(spark, [("Maria", "Wang", place)] * 3 + [("Maria", "Wnag", place), ("Maria", "Wang", "Vedrochand University"), ("Jun", "Wang", place)])
+    assert got == {(1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4)}
+
+
+def test_chains_of_misspellings(spark):
+    """Each spelling is two edits from the next and comes more often: all are one entity."""
+    place, spelt = "Kanolo Medical Center", ["Starkrobal", "Starkrobxx", "Starkrxxxx", "Stayyrxxxx"]
+    rows = [("Robert", name, place) for n, name in enumerate(spelt, 1) for _ in range(n)]
+    assert pairs_of(spark, rows) == {(a, b) for a in range(1, 11) for b in range(a + 1, 11)}
+
+
+def test_two_misspellings_of_one_name(spark):
+    place = "Kanolo Medical Center"
+    rows = [("Robert", "Starkrobal", place), ("Robert", "Sxxrkrobal", place), ("Robert", "Starkrobxx", place)]
+    assert pairs_of(spark, rows) == {(1, 2), (1, 3), (2, 3)}
+
+
+def test_alone_without_institution(spark):
+    rows = [("R.", "Starkrobal", None), ("Robert", "Starkrobal", None), (None, "Starkrobal", None), ("Robert", "Starkrobla", None)]
+    assert pairs_of(spark, rows) == {(a, b) for a in range(1, 5) for b in range(a + 1, 5)}
+
+
+def test_swapped_fields_by_counts(spark):
+    place = "Kanolo Medical Center"
+    known = [("Robert", f"Zz{c}ovalukes", "Namerom University") for c in "abcdefgh"]
+    got = pairs_of(spark, [("Robert", "Starkrobal", place), ("Starkrobal", "Robert", place), (None, "Starkrobal Robert", place), ("R.", "Starkrobal", place), ("Starkrobal", "R.", place), *known])
+    assert {(a, b) for a, b in got if b <= 5} == {(a, b) for a in range(1, 6) for b in range(a + 1, 6)}
+
+
+def test_large_entities_in_blocks(spark):
+    members = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 7), (2, 60)], "entity long, id long")
+    got = [tuple(r) for r in linked_pairs(members, "id", 8).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a in range(50) for b in range(a + 1, 50)} | {(7, 60)}
+
+
+def test_with_and_without_short_forms(spark):
+    place = "Kanolo Medical Center"
+    rows = [("Richard", "Starkrobal", place), ("Dick", "Starkrobal", place), ("Rich", "Starkrobal", place), ("Jim", "Starkrobal", place), ("Tim", "Starkrobal", place)]
+    assert pairs_of(spark, rows) == {(1, 2), (1, 3), (2, 3)}
+    assert pairs_of(spark, rows, nicknames={}) == {(1, 3)}
