@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.operators.graph import components, coreness, degrees, induced, kcore, nodes_of, symmetrise, unique_pairs
-from citeloom.session import checkpoint
+from citeloom.session import discard, materialise, replaced
 
 
 def labelled_edges(edges: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -89,6 +89,13 @@ def author_tiers(tiers: DataFrame, authors: DataFrame) -> DataFrame:
     return best.groupBy("author").agg(*(F.count_if(F.col("tier") == t).alias(f"tier_{t}") for t in (1, 2, 3)))
 
 
+def tier_shares(tiers: DataFrame, authors: DataFrame) -> DataFrame:
+    """author, clusters, tier_1_share: in what part of the author's clusters the best tier is 1."""
+    t = author_tiers(tiers, authors)
+    total = F.col("tier_1") + F.col("tier_2") + F.col("tier_3")
+    return t.select("author", total.alias("clusters"), (F.col("tier_1") / total).alias("tier_1_share"))
+
+
 def author_stats(clusters: DataFrame, authors: DataFrame, levels: tuple[float, ...] = (0.5, 0.9)) -> DataFrame:
     """For each cluster: articles, authors, co-author pairs (distinct, total, share of all possible), and for each level the
     discrete percentile of papers per author with the authors and articles at or above it."""
@@ -216,31 +223,33 @@ def code_composition(clusters: DataFrame, codes: DataFrame, values: list[str]) -
 
 def kc_clusters(edges: DataFrame, k: int) -> DataFrame:
     """cluster_no, node, modularity: the components of the k-core."""
-    core = checkpoint(kcore(edges, k))
+    core = materialise(kcore(edges, k))
     found = components(core).withColumnRenamed("component", "cluster_no")
     return found.join(modularity(unique_pairs(edges), found).select("cluster_no", "modularity"), "cluster_no")
 
 
-def ikc(edges: DataFrame, k: int, max_rounds: int = 1000) -> DataFrame:
-    """cluster_no, node, core: iterative k-core clustering. The components of the innermost core that keep all nodes at k or
-    more neighbours and have positive modularity are clusters; they are removed, and so on until the core is below k."""
-    full = checkpoint(unique_pairs(edges))
+def ikc(edges: DataFrame, k: int) -> DataFrame:
+    """cluster_no, node, core: iterative k-core clustering of all nodes. The components of the innermost core with positive
+    modularity are clusters; they are removed, and so on until the core is below k. What is rejected, and what is left
+    then, are clusters of one node each with core 0."""
+    full = materialise(unique_pairs(edges))
     left, out = full, None
-    for _ in range(max_rounds):
-        if left.isEmpty():
-            break
-        cores = checkpoint(coreness(left))
+    while not left.isEmpty():
+        cores = materialise(coreness(left))
         top = cores.agg(F.max("core")).first()[0]
-        if top is None or top < k:
+        if top < k:
             break
-        inner = induced(left, cores.filter(F.col("core") == top).select("node"))
-        found = checkpoint(components(inner).withColumnRenamed("component", "cluster_no"))
+        found = materialise(components(induced(left, cores.filter(F.col("core") == top).select("node"))).withColumnRenamed("component", "cluster_no"))
         good = modularity(full, found).filter("modularity > 0").select("cluster_no")
-        taken = checkpoint(found.join(good, "cluster_no", "left_semi").select("cluster_no", "node").withColumn("core", F.lit(top)))
+        taken = materialise(found.join(good, "cluster_no", "left_semi").select("cluster_no", "node").withColumn("core", F.lit(top)))
         out = taken if out is None else out.unionByName(taken)
         gone = found.select("node")
-        left = checkpoint(left.join(gone.withColumnRenamed("node", "citing"), "citing", "left_anti").join(gone.withColumnRenamed("node", "cited"), "cited", "left_anti").select("citing", "cited"))
-    return out if out is not None else nodes_of(full).select(F.col("node").alias("cluster_no"), "node", F.lit(0).alias("core")).limit(0)
+        rest = left.join(gone.withColumnRenamed("node", "citing"), "citing", "left_anti").join(gone.withColumnRenamed("node", "cited"), "cited", "left_anti").select("citing", "cited")
+        left = replaced(rest, *([left] if left is not full else []), found, cores)
+    every = nodes_of(edges)
+    lone = every if out is None else every.join(out.select("node"), "node", "left_anti")
+    lone = lone.select(F.col("node").alias("cluster_no"), "node", F.lit(0).alias("core"))
+    return lone if out is None else out.unionByName(lone)
 
 
 def kmp_parse(edges: DataFrame, clusters: DataFrame, k: int, p: int, skip_modularity: bool = False) -> DataFrame:
@@ -252,13 +261,13 @@ def kmp_parse(edges: DataFrame, clusters: DataFrame, k: int, p: int, skip_modula
     lowest name. With p < 0 nothing is attached.
     """
     inner = labelled_edges(unique_pairs(edges), clusters).filter("citing_cluster = cited_cluster").select("citing", "cited")
-    inner = checkpoint(inner)
-    core = checkpoint(kcore(inner, k))
+    inner = materialise(inner)
+    core = materialise(kcore(inner, k))
     found = components(core).select(F.col("component").alias("cluster_no"), "node")
     if not skip_modularity:
         good = modularity(unique_pairs(edges), found).filter("modularity > 0").select("cluster_no")
         found = found.join(good, "cluster_no", "left_semi")
-    found = checkpoint(found.select("cluster_no", "node"))
+    found = materialise(found.select("cluster_no", "node"))
     out = found.withColumn("is_core", F.lit(True))
     if p >= 0:
         members = nodes_of(inner).join(found.select("node"), "node", "left_anti")
@@ -284,42 +293,78 @@ def kmp_validity(edges: DataFrame, parsed: DataFrame, k: int, p: int) -> DataFra
     return rows.withColumns({"k_valid": F.coalesce(F.col("min_core_degree") >= k, F.lit(False)), "m_valid": F.coalesce(F.col("modularity") > 0, F.lit(False)), "p_valid": F.coalesce(F.col("min_attachment") >= p, F.lit(True))})
 
 
+def kmp_summary(validity: DataFrame) -> DataFrame:
+    """measure, n, low, middle, mean, high: over the clusters of kmp_validity, of each of its measures that is not null."""
+    names = ["size", "core_size", "min_core_degree", "min_attachment", "modularity"]
+    long = validity.select(F.explode(F.array(*(F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("v")) for c in names))).alias("r")).select("r.*").filter("v is not null")
+    return long.groupBy("measure").agg(F.count("v").alias("n"), F.min("v").alias("low"), F.percentile("v", 0.5).alias("middle"), F.avg("v").alias("mean"), F.max("v").alias("high"))
+
+
 def threshold_clusters(pairs: DataFrame, value: str, quantiles: list[float], max_size: int = 100) -> DataFrame:
     """cluster_no, node, round: single-link clusters of the pairs at or above a quantile of value; components of at most
     max_size nodes are kept, the others go on with the next, higher quantile."""
-    left = checkpoint(pairs.select(F.col("cited_1").alias("citing"), F.col("cited_2").alias("cited"), F.col(value).alias("v")))
+    left = materialise(pairs.select(F.col("cited_1").alias("citing"), F.col("cited_2").alias("cited"), F.col(value).alias("v")))
     out = None
     for i, q in enumerate(quantiles):
         limit = left.agg(F.percentile("v", q)).first()[0]
         if limit is None:
             break
         strong = left.filter(F.col("v") >= limit)
-        found = checkpoint(components(strong.select("citing", "cited")).withColumnRenamed("component", "cluster_no"))
+        found = materialise(components(strong.select("citing", "cited")).withColumnRenamed("component", "cluster_no"))
         sizes = found.groupBy("cluster_no").agg(F.count(F.lit(1)).alias("n"))
         last = i == len(quantiles) - 1
         good = sizes if last else sizes.filter(F.col("n") <= max_size)
-        taken = checkpoint(found.join(good, "cluster_no", "left_semi").select("cluster_no", "node").withColumn("round", F.lit(i + 1)))
+        taken = materialise(found.join(good, "cluster_no", "left_semi").select("cluster_no", "node").withColumn("round", F.lit(i + 1)))
         out = taken if out is None else out.unionByName(taken)
         rest = found.join(good, "cluster_no", "left_anti").select("node")
-        left = checkpoint(left.join(rest.withColumnRenamed("node", "citing"), "citing", "left_semi").join(rest.withColumnRenamed("node", "cited"), "cited", "left_semi"))
+        left = materialise(left.join(rest.withColumnRenamed("node", "citing"), "citing", "left_semi").join(rest.withColumnRenamed("node", "cited"), "cited", "left_semi"))
     return out
 
 
+def spanning_forest(links: DataFrame) -> DataFrame:
+    """a, b, w: the heaviest spanning forest of the links (a < b), of equal weights the lowest (a, b) first.
+
+    In each round every component takes its heaviest link to another one; there are at most log2(nodes) rounds.
+    """
+    best = F.max_by(F.struct("a", "b", "w"), F.struct(F.col("w"), -F.col("a"), -F.col("b"))).alias("e")
+    left = materialise(links.select("a", "b", "w", F.col("a").alias("x"), F.col("b").alias("y")))
+    out = None
+    while not left.isEmpty():
+        ends = left.select(F.col("x").alias("c"), "a", "b", "w").unionByName(left.select(F.col("y").alias("c"), "a", "b", "w"))
+        chosen = materialise(ends.groupBy("c").agg(best).select("e.*").distinct())
+        out = chosen if out is None else out.unionByName(chosen)
+        joined = left.join(chosen.select("a", "b"), ["a", "b"], "left_semi").select(F.col("x").alias("citing"), F.col("y").alias("cited"))
+        names = materialise(components(joined))
+        u, v = names.select(F.col("node").alias("x"), F.col("component").alias("u")), names.select(F.col("node").alias("y"), F.col("component").alias("v"))
+        moved = left.join(u, "x", "left").join(v, "y", "left").select("a", "b", "w", F.coalesce("u", "x").alias("x"), F.coalesce("v", "y").alias("y"))
+        left = replaced(moved.filter("x <> y"), left, names)
+    return out if out is not None else left.select("a", "b", "w")
+
+
 def agglomerate(matrix: DataFrame, merges: int) -> DataFrame:
-    """step, kept, merged, weight: greedy merging of the two clusters with the heaviest link (cluster_1, cluster_2, weight),
-    links of the merged pair being added up; ties go to the lowest numbers. Each step is one pass over the cluster pairs,
-    of which there are far fewer than edges."""
-    links = checkpoint(matrix.select(F.least("cluster_1", "cluster_2").alias("a"), F.greatest("cluster_1", "cluster_2").alias("b"), F.col("weight").cast("double").alias("w")).filter("a <> b").groupBy("a", "b").agg(F.sum("w").alias("w")))
-    steps = []
-    for step in range(1, merges + 1):
-        top = links.orderBy(F.desc("w"), "a", "b").first()
-        if top is None:
-            break
-        steps.append((step, top["a"], top["b"], top["w"]))
-        to = lambda c, top=top: F.when(F.col(c) == top["b"], top["a"]).otherwise(F.col(c))
-        moved = links.select(to("a").alias("x"), to("b").alias("y"), "w").filter("x <> y")
-        links = checkpoint(moved.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("w").alias("w")))
-    return matrix.sparkSession.createDataFrame(steps, "step int, kept long, merged long, weight double")
+    """step, cluster_a < cluster_b, merged, weight: greedy merging, `merges` times, of the two clusters with the heaviest link
+    (cluster_1, cluster_2, weight), of equal ones that between the lowest original numbers.
+
+    The merged pair gets a new number above all others and to each other cluster the heavier of the two links. So this is
+    single linkage: the merges are the links of the heaviest spanning forest from the heaviest on. That forest is
+    found in the cluster; only the first `merges` of its links come to the driver, which numbers them.
+    """
+    pairs = matrix.select(F.least("cluster_1", "cluster_2").cast("long").alias("a"), F.greatest("cluster_1", "cluster_2").cast("long").alias("b"), F.col("weight").cast("double").alias("w")).filter("a <> b")
+    links = materialise(pairs.groupBy("a", "b").agg(F.max("w").alias("w")))
+    number = links.agg(F.max("b")).first()[0] or 0
+    steps, name = [], {}
+
+    def now(x: int) -> int:
+        while x in name:
+            x = name[x]
+        return x
+
+    for step, (a, b, w) in enumerate(spanning_forest(links).orderBy(F.desc("w"), "a", "b").limit(merges).collect(), 1):
+        number += 1
+        low, high = sorted((now(a), now(b)))
+        name[low] = name[high] = number
+        steps.append((step, low, high, number, w))
+    return matrix.sparkSession.createDataFrame(steps, "step int, cluster_a long, cluster_b long, merged long, weight double")
 
 
 def mcl(edges: DataFrame, inflation: float = 2.0, max_rounds: int = 100, least: float = 1e-4, tolerance: float = 1e-6) -> DataFrame:
@@ -333,13 +378,14 @@ def mcl(edges: DataFrame, inflation: float = 2.0, max_rounds: int = 100, least:
     m = both.unionByName(loops).distinct().withColumn("p", F.lit(1.0))
     column = Window.partitionBy("j")
     norm = lambda d: d.withColumn("p", F.col("p") / F.sum("p").over(column))
-    m = checkpoint(norm(m))
+    m = materialise(norm(m))
     for _ in range(max_rounds):
         square = m.join(m.select(F.col("i").alias("j"), F.col("j").alias("l"), F.col("p").alias("q")), "j").groupBy("i", F.col("l").alias("j")).agg(F.sum(F.col("p") * F.col("q")).alias("p"))
         scaled = square.withColumn("p", F.pow(F.col("p") / F.max("p").over(column), F.lit(inflation)))
-        new = checkpoint(norm(scaled.filter(F.col("p") >= least)))
+        new = materialise(norm(scaled.filter(F.col("p") >= least)))
         both = new.unionByName(m.select("i", "j", (-F.col("p")).alias("p"))).groupBy("i", "j").agg(F.abs(F.sum("p")).alias("d"))
         same = both.filter(F.col("d") > tolerance).isEmpty()
+        discard(m)
         m = new
         if same:
             break
@@ -350,6 +396,65 @@ def mcl(edges: DataFrame, inflation: float = 2.0, max_rounds: int = 100, least:
     return found.select(F.col("component").alias("cluster_no"), "node")
 
 
+def edge_counts(edges: DataFrame, clusters: DataFrame) -> DataFrame:
+    """cluster_no, nodes, inner, incoming, outgoing: edges within each cluster and to and from all that is outside."""
+    s = _sums(edges, clusters).select("cluster_no", F.col("l_s").alias("inner"), F.col("ext_in").alias("incoming"), F.col("ext_out").alias("outgoing"))
+    sizes = clusters.groupBy("cluster_no").agg(F.count(F.lit(1)).alias("nodes"))
+    return sizes.join(s, "cluster_no", "left").na.fill(0, ["inner", "incoming", "outgoing"])
+
+
+def node_links(edges: DataFrame, clusters: DataFrame) -> DataFrame:
+    """cluster_no, node, in_inner, in_outer, out_inner, out_outer: of each clustered node the citations and references
+    within its cluster and across its border; 0 where it has none."""
+    e = labelled_edges(edges, clusters)
+    same = F.coalesce(F.col("citing_cluster") == F.col("cited_cluster"), F.lit(False))
+    ends = e.select(F.explode(F.array(F.struct(F.col("citing").alias("node"), F.lit("out").alias("way"), same.alias("same")), F.struct(F.col("cited").alias("node"), F.lit("in").alias("way"), same.alias("same")))).alias("x")).select("x.*")
+    names = {(w, s): f"{w}_{'inner' if s else 'outer'}" for w in ("in", "out") for s in (True, False)}
+    counts = ends.groupBy("node").agg(*(F.count_if((F.col("way") == w) & (F.col("same") == s)).alias(n) for (w, s), n in names.items()))
+    return clusters.select("cluster_no", "node").join(counts, "node", "left").na.fill(0, list(names.values())).select("cluster_no", "node", *names.values())
+
+
+def top_share(edges: DataFrame, clusters: DataFrame, share: float, by: str = "in_inner") -> DataFrame:
+    """cluster_no, node, value, place: the share of each cluster's nodes with the most links of a kind of node_links, at
+    least one node a cluster (ties by node)."""
+    w = Window.partitionBy("cluster_no")
+    rows = node_links(edges, clusters).select("cluster_no", "node", F.col(by).alias("value"))
+    rows = rows.withColumn("place", F.row_number().over(w.orderBy(F.desc("value"), "node"))).withColumn("__n", F.count(F.lit(1)).over(w))
+    return rows.filter(F.col("place") <= F.greatest(F.lit(1), F.floor(F.col("__n") * share))).drop("__n")
+
+
+def link_types(edges: DataFrame, clusters: DataFrame, pairs: DataFrame) -> DataFrame:
+    """cluster_1, cluster_2, kind, n, ratio, mean_rank: links between clusters by type, dc (one node cites the other), bc
+    (two nodes share references), cc (two nodes are cited together), of the given pairs (cited_1, cited_2).
+
+    n is the number of pairs with such a link, ratio its part of all the pair of clusters has of any type, and mean_rank the
+    average over the types of the rank by n (ties share their mean rank, 1 is the most).
+    """
+    links = pairs.select("cited_1", "cited_2").distinct()
+    flipped = edges.select(F.col("cited").alias("citing"), F.col("citing").alias("cited"))
+    direct = edges.select(F.least("citing", "cited").alias("cited_1"), F.greatest("citing", "cited").alias("cited_2")).distinct().join(links, ["cited_1", "cited_2"], "left_semi").withColumn("kind", F.lit("dc"))
+
+    def shared(e: DataFrame, kind: str) -> DataFrame:
+        one, two = e.select("citing", F.col("cited").alias("cited_1")), e.select("citing", F.col("cited").alias("cited_2"))
+        return links.join(one, "cited_1").join(two, ["citing", "cited_2"]).select("cited_1", "cited_2").distinct().withColumn("kind", F.lit(kind))
+
+    every = direct.unionByName(shared(flipped, "bc")).unionByName(shared(edges, "cc"))
+    a, b = clusters.select(F.col("node").alias("cited_1"), F.col("cluster_no").alias("a")), clusters.select(F.col("node").alias("cited_2"), F.col("cluster_no").alias("b"))
+    rows = every.join(a, "cited_1").join(b, "cited_2").filter("a <> b").groupBy(F.least("a", "b").alias("cluster_1"), F.greatest("a", "b").alias("cluster_2"), "kind").agg(F.count(F.lit(1)).alias("n"))
+    w, of_kind = Window.partitionBy("cluster_1", "cluster_2"), Window.partitionBy("kind").orderBy(F.desc("n"))
+    place = F.rank().over(of_kind) + (F.count(F.lit(1)).over(Window.partitionBy("kind", "n")) - 1) / 2
+    rows = rows.withColumns({"ratio": F.col("n") / F.sum("n").over(w), "__place": place})
+    return rows.withColumn("mean_rank", F.avg("__place").over(w)).drop("__place")
+
+
+def subject_ranks(clusters: DataFrame, subjects: DataFrame, top: int = 3) -> DataFrame:
+    """cluster_no, subject, n, place: the subjects (node, subject) of most distinct nodes of each cluster, ties included;
+    nodes without subject count under null."""
+    rows = clusters.select("cluster_no", "node").distinct().join(subjects.select("node", "subject").distinct(), "node", "left")
+    counts = rows.groupBy("cluster_no", "subject").agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("place", F.rank().over(Window.partitionBy("cluster_no").orderBy(F.desc("n")))).filter(F.col("place") <= top)
+
+
 def degree_top(edges: DataFrame, clusters: DataFrame, n: int) -> DataFrame:
     """cluster_no, node, degree, place: the n nodes of highest total degree of each cluster (ties by node)."""
     d = clusters.join(degrees(edges), "node", "left").na.fill(0, ["degree"])

@@ -51,13 +51,18 @@ def kinetics_summary(series: DataFrame, years: DataFrame, min_sum: int = 0, min_
     return rows.drop("__sum")
 
 
-def sleeping_beauty(series: DataFrame, value: str = "frequency", year: str = "co_cited_year", keys: list[str] | None = None) -> DataFrame:
+def sleeping_beauty(series: DataFrame, value: str = "frequency", year: str = "co_cited_year", keys: list[str] | None = None, start: DataFrame | None = None) -> DataFrame:
     """keys, sb: the sum over the years up to the peak of (line from the first year to the peak - value) / max(1, value).
 
-    The series is meant without gaps; the first of several peaks counts. A peak in the first year gives 0.
+    The series is meant without gaps; the first of several peaks counts. A peak in the first year gives 0. start (keys,
+    start_year) sets the year from which the line begins in place of the first one, with the value of that year; earlier
+    years do not count, and keys without that year or without start give no row.
     """
     keys = keys or PAIR
     w = Window.partitionBy(*keys)
+    if start is not None:
+        series = series.join(start.select(*keys, "start_year"), keys).filter(F.col(year) >= F.col("start_year"))
+        series = series.withColumn("__first", F.min(year).over(w)).filter("__first = start_year").drop("start_year", "__first")
     rows = series.withColumns({"__t0": F.min(year).over(w), "__top": F.max(value).over(w), "__c0": F.min_by(value, year).over(w)})
     rows = rows.withColumn("__tp", F.min(F.when(F.col(value) == F.col("__top"), F.col(year))).over(w)).filter(F.col(year) <= F.col("__tp"))
     line = F.try_divide(F.col("__top") - F.col("__c0"), F.col("__tp") - F.col("__t0")) * (F.col(year) - F.col("__t0")) + F.col("__c0")
@@ -109,18 +114,18 @@ def jaccard(edges: DataFrame, pairs: DataFrame, star: bool = False, closed: bool
     return out.withColumn("jaccard", F.try_divide(F.col("n_both").cast("double"), F.col("n_any")))
 
 
-def theta_omega(edges: DataFrame, years: DataFrame, pairs: DataFrame, first_year: str, prime: bool = False, closed: bool = True) -> DataFrame:
+def theta_omega(edges: DataFrame, years: DataFrame, pairs: DataFrame, first_year: str, prime: bool = False, delta: bool = False) -> DataFrame:
     """cited_1, cited_2, n_x, n_y, edges_xy, edges_yx, theta: citations between the citers of the two up to first_year.
 
-    X and Y are the citers of cited_1 and cited_2; prime leaves out the common ones. edges_xy run from X to Y. closed
-    counts an edge between the two ends themselves too, where they are among each other's citers. theta is the number of
-    distinct edges in either direction over n_x * n_y, 0 if that is 0.
+    X and Y are the citers of cited_1 and cited_2; prime leaves out the common ones up to first_year, delta those of any
+    year. An end that cites the other is one of its citers. edges_xy run from X to Y. theta is the number of distinct edges
+    in either direction over n_x * n_y, 0 if that is 0.
     """
     citers = _citers(edges, pairs, years, first_year)
     if prime:
         citers = citers.filter("in_x + in_y = 1")
-    if not closed:
-        citers = citers.filter("citing <> cited_1 and citing <> cited_2")
+    if delta:
+        citers = citers.join(_both(edges, pairs), [*PAIR, "citing"], "left_anti")
     sizes = citers.groupBy(*PAIR).agg(F.sum("in_x").alias("n_x"), F.sum("in_y").alias("n_y"))
     a = citers.select(*PAIR, F.col("citing").alias("u"), F.col("in_x").alias("ux"), F.col("in_y").alias("uy"))
     b = citers.select(*PAIR, F.col("citing").alias("v"), F.col("in_x").alias("vx"), F.col("in_y").alias("vy"))
@@ -201,6 +206,40 @@ def triplet_direct_citations(edges: DataFrame, triples: DataFrame) -> DataFrame:
     return triples.join(counts, key, "left").na.fill(0, ["direct"])
 
 
+def patent_cocitation(pairs: DataFrame, cites: DataFrame, document: list[str]) -> DataFrame:
+    """cited_1, cited_2, document: the patents that cite both publications of a pair. cites: document, scp."""
+    rows = cites.select(*document, "scp").distinct()
+    one, two = rows.withColumnRenamed("scp", "cited_1"), rows.withColumnRenamed("scp", "cited_2")
+    return pairs.select(*PAIR).distinct().join(one, "cited_1").join(two, [*document, "cited_2"]).select(*PAIR, *document)
+
+
+def edges_between(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """cited_1, cited_2, edges: how many citations run between the two, in either direction, of each given pair."""
+    either = edges.select(F.least("citing", "cited").alias("cited_1"), F.greatest("citing", "cited").alias("cited_2"))
+    counts = either.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("edges"))
+    return pairs.select(*PAIR).distinct().join(counts, PAIR, "left").na.fill(0, ["edges"])
+
+
+def self_citations(edges: DataFrame) -> DataFrame:
+    """node, edges: records that cite themselves."""
+    return edges.filter("citing = cited").groupBy(F.col("citing").alias("node")).agg(F.count(F.lit(1)).alias("edges"))
+
+
+def exy_density(theta: DataFrame) -> DataFrame:
+    """cited_1, cited_2, density: citations from X to Y and back over n_x * n_y, of what theta_omega gives; null if that
+    is 0."""
+    return theta.select(*PAIR, F.try_divide((F.col("edges_xy") + F.col("edges_yx")).cast("double"), F.col("n_x") * F.col("n_y")).alias("density"))
+
+
+def triplet_citers(edges: DataFrame, triples: DataFrame) -> DataFrame:
+    """scp1, scp2, scp3, citing: the papers that cite all three."""
+    key = ["scp1", "scp2", "scp3"]
+    out = triples.select(*key).distinct().join(edges.select("citing", F.col("cited").alias("scp1")), "scp1")
+    for name in key[1:]:
+        out = out.join(edges.select("citing", F.col("cited").alias(name)), ["citing", name])
+    return out.select(*key, "citing")
+
+
 def mutual_citations(edges: DataFrame) -> DataFrame:
     """node_1 < node_2 that cite each other."""
     back = edges.select(F.col("cited").alias("citing"), F.col("citing").alias("cited"))

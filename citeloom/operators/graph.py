@@ -1,12 +1,12 @@
 """Graph operators over an edge table (citing, cited). Loops run on the driver, each round is a plan over DataFrames whose
-lineage is cut in the shared folder."""
+lineage is cut by a table in the shared folder. Loops run until nothing changes."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.session import checkpoint
+from citeloom.session import discard, materialise, replaced
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def k_hop(edges: DataFrame, seed: DataFrame, k: int, direction: str = "cited") -
     front = seen
     for hop in range(1, k + 1):
         new = front.join(steps, front["node"] == steps["citing"]).select(F.col("cited").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("hop", F.lit(hop))
-        front = checkpoint(new) if k > 2 else new
+        front = materialise(new) if k > 2 else new
         seen = seen.unionByName(front)
     return seen
 
@@ -71,6 +71,25 @@ def seed_network(edges: DataFrame, seed: DataFrame) -> DataFrame:
     return refs.unionByName(cites).filter("citing <> cited").groupBy("citing", "cited").agg(F.min("tag").alias("tag"))
 
 
+def multi_year_network(edges: DataFrame, seeds: list[DataFrame], texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The edges of the networks of several seeds (node) as one, each once, and their nodes with the columns of texts."""
+    seed = None
+    for s in seeds:
+        seed = s.select("node") if seed is None else seed.unionByName(s.select("node"))
+    found = seed_network(edges, seed).select("citing", "cited")
+    return found, nodes_of(found).join(texts, "node", "left")
+
+
+def with_attributes(nodes: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """nodes with one array column for each table (node, value): the distinct values of the node, sorted, empty where it has
+    none. A node's values are its own record's, so they are few."""
+    out = nodes
+    for name, rows in tables.items():
+        values = rows.filter("value is not null").groupBy("node").agg(F.array_sort(F.collect_set("value")).alias(name))
+        out = out.join(values, "node", "left").withColumn(name, F.coalesce(name, F.array().cast(values.schema[name].dataType)))
+    return out
+
+
 def sabpq(edges: DataFrame, seed: DataFrame) -> DataFrame:
     """node, tag: the seed S, its citers A and references B, and the citers P and references Q of all these; of several
     tags the first in the order S, A, B, P, Q."""
@@ -107,7 +126,7 @@ def relabel(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     Labels are counted within sorted partitions and shifted by the partitions' sizes, so no task sorts all nodes.
     """
     spread = nodes_of(edges).repartitionByRange("node").sortWithinPartitions("node").withColumn("__p", F.spark_partition_id())
-    spread = checkpoint(spread)
+    spread = materialise(spread)
     sizes = spread.groupBy("__p").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.withColumn("__before", F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))).select("__p", F.coalesce("__before", F.lit(0)).alias("__before"))
     mapping = spread.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy("node"))).join(before, "__p").select("node", (F.col("__i") + F.col("__before")).cast("long").alias("label"))
@@ -120,36 +139,38 @@ def adjacency_lists(edges: DataFrame) -> DataFrame:
     return symmetrise(edges).groupBy(F.col("citing").alias("label")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("cited")), lambda x: x.cast("string")), " ").alias("neighbours"))
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, component: weakly connected components, named by their least node.
 
     Alternating star contractions: every node hands its larger neighbours to its least one, then its smaller neighbours
     too; the number of rounds grows with the logarithm of the size. A hub's neighbours are aggregated, never collected.
     """
-    pairs = checkpoint(edges.filter("citing <> cited").select(F.greatest("citing", "cited").alias("u"), F.least("citing", "cited").alias("v")).distinct())
-    for _ in range(max_rounds):
+    pairs = materialise(edges.filter("citing <> cited").select(F.greatest("citing", "cited").alias("u"), F.least("citing", "cited").alias("v")).distinct())
+    n = pairs.count()
+    while n:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
-        new = checkpoint(small)
-        same = new.count() == pairs.count() and new.join(pairs, ["u", "v"], "left_anti").isEmpty()
-        pairs = new
+        new = materialise(small)
+        m = new.count()
+        same = m == n and new.join(pairs, ["u", "v"], "left_anti").isEmpty()
+        discard(pairs)
+        pairs, n = new, m
         if same:
             break
     return nodes_of(edges).join(pairs.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def kcore(edges: DataFrame, k: int, max_rounds: int = 1000) -> DataFrame:
+def kcore(edges: DataFrame, k: int) -> DataFrame:
     """The edges (citing < cited) of the k-core: nodes with fewer than k neighbours are dropped until there are none."""
-    left = checkpoint(unique_pairs(edges))
+    left = materialise(unique_pairs(edges))
     n = left.count()
-    for _ in range(max_rounds):
+    while n:
         keep = degrees(left).filter(F.col("degree") >= k).select("node")
-        new = checkpoint(induced(left, keep))
-        m = new.count()
-        left = new
+        left = replaced(induced(left, keep), left)
+        m = left.count()
         if m == n:
             break
         n = m
@@ -157,59 +178,93 @@ def kcore(edges: DataFrame, k: int, max_rounds: int = 1000) -> DataFrame:
 
 
 def coreness(edges: DataFrame) -> DataFrame:
-    """node, core: the highest k whose k-core holds the node."""
-    out, left, k = None, checkpoint(unique_pairs(edges)), 1
-    while not left.isEmpty():
-        rest = kcore(left, k + 1)
-        gone = nodes_of(left).join(nodes_of(rest), "node", "left_anti").withColumn("core", F.lit(k))
-        out = gone if out is None else out.unionByName(gone)
-        left, k = rest, k + 1
-    return out if out is not None else nodes_of(edges).withColumn("core", F.lit(0)).limit(0)
-
-
-def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-4, max_rounds: int = 100) -> DataFrame:
-    """node, rank: ranks that sum to 1; what nodes without references hold is spread over all. Stops when the ranks change
-    by less than tolerance in sum."""
-    links = checkpoint(edges.select("citing", "cited").distinct())
+    """node, core: the highest k whose k-core holds the node.
+
+    One loop for all k: a node starts with its degree and takes the h-index of its neighbours' values (the most h of
+    which h or more have at least h) until no value changes, which is then its coreness. Neighbours are counted by value
+    before the shuffle, so a hub is as many rows as its neighbours have values up to its own.
+    """
+    links = materialise(symmetrise(unique_pairs(edges)).toDF("node", "near"))
+    at = materialise(links.groupBy("node").agg(F.count(F.lit(1)).alias("core")))
+    down = Window.partitionBy("node").orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, 0)
+    while True:
+        values = links.join(at.select(F.col("node").alias("near"), F.col("core").alias("other")), "near").join(at, "node")
+        counts = values.groupBy("node", "core", F.least("core", "other").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        reached = counts.withColumn("upto", F.sum("n").over(down))
+        new = materialise(reached.groupBy("node", F.col("core").alias("old")).agg(F.max(F.least("v", "upto")).alias("core")))
+        same = new.filter("core <> old").isEmpty()
+        discard(at)
+        at = new
+        if same:
+            return at.select("node", F.col("core").cast("int").alias("core"))
+
+
+def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-4) -> DataFrame:
+    """node, rank: ranks that sum to 1; what nodes without references hold is spread over all. Ends when the ranks change
+    by less than tolerance in sum, which they do by a factor of damping each round."""
+    links = materialise(edges.select("citing", "cited").distinct())
     out = links.groupBy("citing").agg(F.count(F.lit(1)).alias("n"))
-    base = checkpoint(nodes_of(links).join(out.withColumnRenamed("citing", "node"), "node", "left"))
-    n = base.count()
+    base = materialise(nodes_of(links).join(out.withColumnRenamed("citing", "node"), "node", "left"))
+    n, moved = base.count(), 1.0
     ranks = base.withColumn("rank", F.lit(1.0 / n) if n else F.lit(0.0))
-    for _ in range(max_rounds):
+    while n and moved >= tolerance:
         lost = ranks.filter("n is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
         given = links.join(ranks.filter("n is not null").select(F.col("node").alias("citing"), (F.col("rank") / F.col("n")).alias("p")), "citing").groupBy(F.col("cited").alias("node")).agg(F.sum("p").alias("p"))
-        new = ranks.join(given, "node", "left").select("node", "n", (F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("p", F.lit(0.0))).alias("rank"), F.col("rank").alias("old"))
-        new = checkpoint(new)
+        step = ranks.join(given, "node", "left").select("node", "n", (F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("p", F.lit(0.0))).alias("rank"), F.col("rank").alias("old"))
+        new = materialise(step)
         moved = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
-        ranks = new.drop("old")
-        if moved < tolerance:
-            break
+        discard(base)
+        base, ranks = new, new.drop("old")
     return ranks.select("node", "rank")
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, max_depth: int = 20) -> DataFrame:
-    """source, node, distance, paths: the number of shortest directed paths from each source (breadth first, all at once)."""
-    seen = sources.select(F.col("node").alias("source"), "node").distinct().withColumns({"distance": F.lit(0), "paths": F.lit(1).cast("long")})
-    front, links = checkpoint(seen), edges.select("citing", "cited").distinct()
-    seen = front
-    for depth in range(1, max_depth + 1):
+def shortest_paths(edges: DataFrame, sources: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """source, node, distance, paths: the number of shortest directed paths from each source (breadth first, all at once),
+    to all nodes that can be reached or, with max_depth, to those within so many steps."""
+    front, links = materialise(sources.select(F.col("node").alias("source"), "node").distinct().withColumns({"distance": F.lit(0), "paths": F.lit(1).cast("long")})), materialise(edges.select("citing", "cited").distinct())
+    seen, depth = front, 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         new = front.join(links, front["node"] == links["citing"]).groupBy("source", F.col("cited").alias("node")).agg(F.sum("paths").alias("paths"))
-        front = checkpoint(new.join(seen, ["source", "node"], "left_anti").select("source", "node", F.lit(depth).alias("distance"), "paths"))
+        front = materialise(new.join(seen.select("source", "node"), ["source", "node"], "left_anti").select("source", "node", F.lit(depth).alias("distance"), "paths"))
         if front.isEmpty():
             break
-        seen = seen.unionByName(front)
+        seen = replaced(seen.unionByName(front), seen) if depth % 8 == 0 else seen.unionByName(front)
     return seen
 
 
-def closeness(edges: DataFrame, sources: DataFrame, max_depth: int = 20) -> DataFrame:
+def through_flagged(edges: DataFrame, sources: DataFrame, targets: DataFrame, flagged: DataFrame) -> DataFrame:
+    """source, target, distance, paths, paths_through: the shortest paths from each source to each target, and how many of
+    them pass through a flagged node between the two.
+
+    Paths that avoid the flagged nodes inside are counted along the levels of the breadth-first search, so none is listed.
+    """
+    levels = materialise(shortest_paths(edges, sources))
+    links, marks = edges.select("citing", "cited").distinct(), flagged.select("node").distinct().withColumn("flag", F.lit(True))
+    deepest = levels.agg(F.max("distance")).first()[0] or 0
+    free = levels.filter("distance = 0").select("source", "node", F.lit(1).cast("long").alias("clear"))
+    out = None
+    for depth in range(1, deepest + 1):
+        here = levels.filter(F.col("distance") == depth)
+        given = free.join(links, free["node"] == links["citing"]).groupBy("source", F.col("cited").alias("node")).agg(F.sum("clear").alias("clear"))
+        level = materialise(here.join(given, ["source", "node"], "left").join(marks, "node", "left").select("source", "node", "distance", "paths", F.coalesce("clear", F.lit(0)).alias("clear"), F.coalesce("flag", F.lit(False)).alias("flag")))
+        free = level.filter("not flag").select("source", "node", "clear")
+        found = level.join(targets.select("node").distinct(), "node", "left_semi").select("source", F.col("node").alias("target"), "distance", "paths", (F.col("paths") - F.col("clear")).alias("paths_through"))
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return levels.limit(0).select("source", F.col("node").alias("target"), "distance", "paths", F.col("paths").alias("paths_through"))
+    return out
+
+
+def closeness(edges: DataFrame, sources: DataFrame, max_depth: int | None = None) -> DataFrame:
     """node, reached, closeness of each source: nodes reached over the sum of their distances."""
     rows = shortest_paths(edges, sources, max_depth).filter("distance > 0")
     return rows.groupBy(F.col("source").alias("node")).agg(F.count(F.lit(1)).alias("reached"), (F.count(F.lit(1)) / F.sum("distance")).alias("closeness"))
 
 
-def betweenness(edges: DataFrame, sources: DataFrame, max_depth: int = 20) -> DataFrame:
+def betweenness(edges: DataFrame, sources: DataFrame, max_depth: int | None = None) -> DataFrame:
     """node, betweenness: the shares of the shortest paths from the sources that pass through the node (not its ends)."""
-    tree = checkpoint(shortest_paths(edges, sources, max_depth))
+    tree = materialise(shortest_paths(edges, sources, max_depth))
     links = edges.select("citing", "cited").distinct()
     deepest = tree.agg(F.max("distance")).first()[0] or 0
     above = tree.select("source", F.col("node").alias("citing"), F.col("distance").alias("d0"), F.col("paths").alias("p0"))
@@ -220,7 +275,7 @@ def betweenness(edges: DataFrame, sources: DataFrame, max_depth: int = 20) -> Da
         up = low.join(links, low["node"] == links["cited"]).join(above.filter(F.col("d0") == depth - 1), ["source", "citing"])
         given = up.groupBy("source", F.col("citing").alias("node")).agg(F.sum(F.col("p0") / F.col("paths") * (1 + F.col("delta"))).alias("delta"))
         level = tree.filter(F.col("distance") == depth - 1).select("source", "node").join(given, ["source", "node"], "left").na.fill(0.0, ["delta"])
-        share = checkpoint(level)
+        share = materialise(level)
         total = total.unionByName(share)
     return total.filter("source <> node").groupBy("node").agg(F.sum("delta").alias("betweenness"))
 
@@ -232,28 +287,41 @@ def bounded_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_
     front = sources.select("node").distinct().withColumn("paths", F.lit(1).cast("long"))
     out = None
     for length in range(1, max_length + 1):
-        front = checkpoint(front.join(links, front["node"] == links["citing"]).groupBy(F.col("cited").alias("node")).agg(F.sum("paths").alias("paths")))
+        front = materialise(front.join(links, front["node"] == links["citing"]).groupBy(F.col("cited").alias("node")).agg(F.sum("paths").alias("paths")))
         found = front.join(targets.select("node").distinct(), "node", "left_semi").agg(F.coalesce(F.sum("paths"), F.lit(0)).alias("paths")).withColumn("length", F.lit(length))
         out = found if out is None else out.unionByName(found)
     return out.select("length", "paths")
 
 
-def most_used_nodes(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_length: int, k: int, through: Column | None = None) -> DataFrame:
-    """node, paths: the k nodes inside most walks of up to max_length steps from a source to a target, ends not counted."""
+def most_used_nodes(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_length: int, k: int, through: DataFrame | None = None) -> DataFrame:
+    """node, paths: the k nodes inside most walks of up to max_length steps from a source to a target, ends not counted.
+
+    through (node) asks for walks that pass, inside, through one of these nodes at least. Walks are counted by length with
+    and without having met such a node, from either end, never listed.
+    """
     links = edges.select("citing", "cited").distinct()
     back = links.select(F.col("cited").alias("citing"), F.col("citing").alias("cited"))
+    marks = through.select("node").distinct().withColumn("flag", F.lit(1)) if through is not None else None
 
     def counts(start: DataFrame, steps: DataFrame) -> list[DataFrame]:
-        level = [start.select("node").distinct().withColumn("n", F.lit(1).cast("long"))]
-        for _ in range(max_length - 1):
-            level.append(checkpoint(level[-1].join(steps, level[-1]["node"] == steps["citing"]).groupBy(F.col("cited").alias("node")).agg(F.sum("n").alias("n"))))
+        """By length: node, walks to it, and those that met no flagged node before it (ends not looked at)."""
+        level = [start.select("node").distinct().withColumns({"n": F.lit(1).cast("long"), "clear": F.lit(1).cast("long")})]
+        for length in range(1, max_length):
+            front = level[-1]
+            if marks is not None and length > 1:
+                front = front.join(marks, "node", "left").withColumn("clear", F.when(F.col("flag").isNull(), F.col("clear")).otherwise(0)).drop("flag")
+            level.append(materialise(front.join(steps, front["node"] == steps["citing"]).groupBy(F.col("cited").alias("node")).agg(F.sum("n").alias("n"), F.sum("clear").alias("clear"))))
         return level
 
     ahead, behind = counts(sources, links), counts(targets, back)
     out = None
     for a in range(1, max_length):
         for b in range(1, max_length - a + 1):
-            part = ahead[a].join(behind[b].withColumnRenamed("n", "m"), "node").select("node", (F.col("n") * F.col("m")).alias("paths"))
+            part = ahead[a].join(behind[b].withColumnsRenamed({"n": "m", "clear": "clear_m"}), "node")
+            paths = F.col("n") * F.col("m")
+            if marks is not None:
+                part = part.join(marks, "node", "left")
+                paths = F.when(F.col("flag").isNotNull(), paths).otherwise(paths - F.col("clear") * F.col("clear_m"))
+            part = part.select("node", paths.alias("paths"))
             out = part if out is None else out.unionByName(part)
-    rows = out.filter(through) if through is not None else out
-    return rows.groupBy("node").agg(F.sum("paths").alias("paths")).orderBy(F.desc("paths"), "node").limit(k)
+    return out.groupBy("node").agg(F.sum("paths").alias("paths")).filter("paths > 0").orderBy(F.desc("paths"), "node").limit(k)

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.session import ship
+from citeloom.operators.relational import numbered
+from citeloom.session import materialise, ship
 
 
 def year_slice(edges: DataFrame, pubs: DataFrame, year: int, min_refs: int = 2) -> DataFrame:
@@ -34,11 +35,15 @@ def k_values(rows: DataFrame) -> DataFrame:
 
 
 def portable_hash(*parts: Column) -> Column:
-    """A whole-number hash below 2^31 that other engines can compute: multiplications modulo a prime."""
+    """A whole-number hash below 2^31 that other engines can compute: squares and products modulo a prime.
+
+    Each step squares what came before; with products alone another first part would only turn the order of all hashes
+    round, and every permutation would give the same shuffle.
+    """
     h = F.lit(17).cast("long")
-    for p in parts:
-        h = F.pmod(h * 48271 + F.pmod(p.cast("long"), F.lit(2147483647)) * 69621 + 12345, F.lit(2147483647))
-    return F.pmod(h * 16807, F.lit(2147483647))
+    for p in (*parts, F.lit(0)):
+        h = F.pmod(h * h + h * 48271 + F.pmod(p.cast("long"), F.lit(2147483647)) * 69621 + 12345, F.lit(2147483647))
+    return h
 
 
 def shuffle_refs(rows: DataFrame, permutations: int, drop: str | None = "rows") -> DataFrame:
@@ -49,12 +54,13 @@ def shuffle_refs(rows: DataFrame, permutations: int, drop: str | None = "rows")
     that a source gets more than once, sources removes such sources, None keeps all.
     """
     many = rows.withColumn("perm_id", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    order = [portable_hash(F.col("perm_id"), F.col("source_id"), F.col("ref_id")), F.col("source_id"), F.col("ref_id")]
-    w = Window.partitionBy("perm_id", "ref_year").orderBy(*order)
-    whole = Window.partitionBy("perm_id", "ref_year").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ref = F.struct("ref_id", "ref_issn")
-    out = many.select("perm_id", "source_id", "source_issn", "ref_year", F.coalesce(F.lead(ref).over(w), F.first(ref).over(whole)).alias("r"))
-    out = out.select("perm_id", "source_id", "source_issn", "ref_year", "r.ref_id", "r.ref_issn")
+    hashed = many.withColumn("__h", portable_hash(F.col("perm_id"), F.col("source_id"), F.col("ref_id")))
+    placed = materialise(numbered(hashed, ["perm_id", "ref_year", "__h", "source_id", "ref_id"], "__i"))
+    ends = placed.groupBy("perm_id", "ref_year").agg(F.min("__i").alias("__low"), F.max("__i").alias("__high"))
+    # A row's successor is found by its number, the last one's is the first: no task holds a whole year.
+    following = placed.join(ends, ["perm_id", "ref_year"]).withColumn("__next", F.when(F.col("__i") == F.col("__high"), F.col("__low")).otherwise(F.col("__i") + 1))
+    refs = placed.select(F.col("__i").alias("__next"), "ref_id", "ref_issn")
+    out = following.drop("ref_id", "ref_issn").join(refs, "__next").select("perm_id", "source_id", "source_issn", "ref_year", "ref_id", "ref_issn")
     if drop is None:
         return out
     twice = F.count(F.lit(1)).over(Window.partitionBy("perm_id", "source_id", "ref_id"))
@@ -118,22 +124,50 @@ def z_scores(observed: DataFrame, background: DataFrame, permutations: int, miss
     """
     key = ["issn_1", "issn_2"]
     f = F.col("frequency").cast("double")
-    sums = background.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum(f).alias("s"), F.sum(f * f).alias("q"))
+    sums = background.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.avg(f).alias("__mean"), F.var_pop(f).alias("__var"))
     rows = observed.withColumnRenamed("frequency", "observed").join(sums, key, "left")
     m = F.lit(permutations) if missing == "zero" else F.col("n")
-    rows = rows.withColumn("mean", F.try_divide(F.col("s"), m))
-    rows = rows.withColumn("std", F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.col("q") - F.col("s") * F.col("mean"), m - ddof))))
+    # The permutations without the pair are m - n zeros: their part is added to the n others' squares about the mean.
+    rows = rows.withColumn("mean", F.try_divide(F.col("__mean") * F.col("n"), m))
+    squares = F.col("n") * F.col("__var") + F.try_divide(F.col("n") * (m - F.col("n")) * F.pow("__mean", 2), m)
+    rows = rows.withColumn("std", F.sqrt(F.try_divide(squares, m - ddof)))
     gap = F.col("observed") - F.col("mean")
     infinite = F.when(gap > 0, F.lit(float("inf"))).when(gap < 0, F.lit(float("-inf")))
     return rows.select(*key, "observed", "mean", "std", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("std") > 1e-12, gap / F.col("std")).otherwise(infinite).alias("z"))
 
 
 def pub_z_summary(rows: DataFrame, z: DataFrame) -> DataFrame:
-    """source_id, med, ten, one: median, 10th and 1st percentile of the z-scores of a paper's journal pairs."""
-    journals = rows.select("source_id", "ref_issn").distinct()
-    pairs = journals.select("source_id", F.col("ref_issn").alias("issn_1")).join(journals.select("source_id", F.col("ref_issn").alias("issn_2")), "source_id").filter("issn_1 <= issn_2")
+    """source_id, med, ten, one: median, 10th and 1st percentile of the finite z-scores of a paper's pairs of references.
+
+    Each pair of references counts, so a journal pair counts as often as the paper has such pairs, and a journal's pair
+    with itself only where the paper cites it more than once.
+    """
+    counts = rows.filter("ref_issn is not null").groupBy("source_id", "ref_issn").agg(F.count(F.lit(1)).alias("n"))
+    one, two = counts.toDF("source_id", "issn_1", "a"), counts.toDF("source_id", "issn_2", "b")
+    times = F.when(F.col("issn_1") == F.col("issn_2"), F.floor(F.col("a") * (F.col("a") - 1) / 2)).otherwise(F.col("a") * F.col("b")).cast("long")
+    pairs = one.join(two, "source_id").filter("issn_1 <= issn_2").select("source_id", "issn_1", "issn_2", times.alias("times")).filter("times > 0")
     scored = pairs.join(z.select("issn_1", "issn_2", "z"), ["issn_1", "issn_2"]).filter("z is not null and abs(z) < double('infinity')")
-    return scored.groupBy("source_id").agg(F.percentile("z", 0.5).alias("med"), F.percentile("z", 0.1).alias("ten"), F.percentile("z", 0.01).alias("one"))
+    return scored.groupBy("source_id").agg(*(F.percentile("z", p, F.col("times")).alias(name) for name, p in (("med", 0.5), ("ten", 0.1), ("one", 0.01))))
+
+
+def pub_pairs(rows: DataFrame, z: DataFrame) -> DataFrame:
+    """source_id, ref_1, ref_2, issn_1, issn_2, observed, mean, std, n, z: each pair of references of a paper with the
+    figures of its journal pair; pairs without a z-score are left out. issn_1 <= issn_2, of equal ones ref_1 < ref_2."""
+    refs = rows.filter("ref_issn is not null").select("source_id", "ref_id", "ref_issn")
+    one, two = refs.toDF("source_id", "ref_1", "issn_1"), refs.toDF("source_id", "ref_2", "issn_2")
+    pairs = one.join(two, "source_id").filter("issn_1 < issn_2 or (issn_1 = issn_2 and ref_1 < ref_2)")
+    known = z.filter("z is not null").select("issn_1", "issn_2", "observed", "mean", "std", "n", "z")
+    return pairs.join(known, ["issn_1", "issn_2"]).select("source_id", "ref_1", "ref_2", "issn_1", "issn_2", "observed", "mean", "std", "n", "z")
+
+
+def category_shares(summary: DataFrame, subset: DataFrame | None = None, low: str = "ten") -> DataFrame:
+    """category, n, percent: papers by novelty and conventionality, as whole percents rounded down. With a subset
+    (source_id) only its papers count, and conventionality is taken against their own median."""
+    rows = summary if subset is None else summary.join(subset.select("source_id").distinct(), "source_id", "left_semi")
+    middle, total = rows.agg(F.percentile("med", 0.5)).scalar(), rows.agg(F.count(F.lit(1))).scalar()
+    category = F.concat(F.when(F.col("med") <= middle, "LC").otherwise("HC"), F.when(F.col(low) >= 0, "LN").otherwise("HN"))
+    counts = rows.groupBy(category.alias("category")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("percent", F.floor(100 * F.col("n") / total).cast("long"))
 
 
 def novelty_category(summary: DataFrame, citations: str = "citation_count", low: str = "ten", hit: float = 0.9) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeloom.session import materialise
+
 
 def distinct_on(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in the given order (null keys are one group)."""
@@ -21,8 +23,14 @@ def dedup_last(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
 
 
 def upsert(base: DataFrame, delta: DataFrame, keys: list[str], seq: str | None = None) -> DataFrame:
-    """base with delta's rows put in place by key; of several delta rows of a key the last by seq wins."""
-    new = dedup_last(delta, keys, seq) if seq else delta
+    """base with delta's rows put in place by key, one row a key: of several delta rows of a key the last by seq wins, or,
+    without seq, the greatest by its other columns in order."""
+    rest = [c for c in base.columns if c not in keys]
+    if seq:
+        new = dedup_last(delta, keys, seq)
+    else:
+        best = delta.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("__r")) if rest else delta.select(*keys).distinct()
+        new = best.select(*keys, *(F.col(f"__r.{c}").alias(c) for c in rest))
     new = new.select(*base.columns)
     return base.join(new.select(*keys), keys, "left_anti").select(*base.columns).unionByName(new)
 
@@ -45,6 +53,30 @@ def expire_and_upsert(base: DataFrame, delta: DataFrame, keys: list[str], status
     return old.select(*columns, status).unionByName(delta.select(*columns).withColumn(status, F.lit(current)))
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with name: the place of each row from 1 on in the order of the columns, which should decide ties.
+
+    Rows are range-partitioned, counted within the partitions and shifted by the partitions' sizes, so no task sorts or
+    numbers all of them; only one row a partition is broadcast.
+    """
+    spread = materialise(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
+    sizes = spread.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    within = spread.withColumn(name, F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
+    return within.join(F.broadcast(before), "__p").withColumn(name, (F.col(name) + F.col("__before")).cast("long")).drop("__p", "__before")
+
+
+def tiles(df: DataFrame, order: list[str], n: int, name: str) -> DataFrame:
+    """df with name: the number of its bin of n bins of equal size in the order of the columns, as ntile gives it, without
+    one task for all rows."""
+    rows = numbered(df, order, "__i")
+    total = df.agg(F.count(F.lit(1))).scalar()
+    size, larger, at = F.floor(total / n), total % n, F.col("__i") - 1
+    head = larger * (size + 1)
+    bin_ = F.when(at < head, F.floor(at / (size + 1))).otherwise(larger + F.floor((at - head) / F.greatest(size, F.lit(1))))
+    return rows.withColumn(name, (bin_ + 1).cast("int")).drop("__i")
+
+
 def exists_flag(left: DataFrame, right: DataFrame, on: list[str], name: str) -> DataFrame:
     """left with a boolean: has right a row with these keys."""
     return left.join(right.select(*on).distinct().withColumn(name, F.lit(True)), on, "left").withColumn(name, F.coalesce(name, F.lit(False)))
@@ -62,11 +94,52 @@ def sample_rows(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
 
 
-def matched_control(pool: DataFrame, cases: DataFrame, key: str, factor: int, order: list[Column]) -> DataFrame:
-    """factor times as many rows of the pool as there are cases, none of them a case."""
-    rest = pool.join(cases.select(key), key, "left_anti")
-    ranked = rest.withColumn("__rn", F.row_number().over(Window.orderBy(*order)))
-    return ranked.filter(F.col("__rn") <= cases.agg(F.count(F.lit(1)) * factor).scalar()).drop("__rn")
+def explode_ids(df: DataFrame, owner: str, ids: str, prefix: str = "", sep: str = " ") -> DataFrame:
+    """owner, id: the ids in one text of each row, apart by sep, once each; the owner gets the prefix. Null and empty texts
+    give no row."""
+    items = F.filter(F.split(F.col(ids), sep), lambda x: x != "")
+    return df.filter(F.col(owner).isNotNull()).select(F.concat(F.lit(prefix), F.col(owner).cast("string")).alias(owner), F.explode(items).alias("id")).distinct()
+
+
+def support_flags(df: DataFrame, key: str, grants: DataFrame, number: str, agency: str, flag: str, others: str) -> DataFrame:
+    """df with two booleans: has the key a grant of the agency, and one of another. The agency is the 4th and 5th
+    character of the grant's number. grants: key, number; one aggregation by key, no join by grant."""
+    code = F.substring(number, 4, 2)
+    known = grants.groupBy(key).agg(F.bool_or(code == agency).alias(flag), F.bool_or(code != agency).alias(others))
+    return df.join(known, key, "left").na.fill(False, [flag, others])
+
+
+def repair_ids(ids: Column, known: tuple[str, ...], prefix: str) -> Column:
+    """Ids that do not begin with a known prefix get the given one; empty ids stay, null stays null."""
+    return F.when((ids == "") | ids.rlike("^(?:" + "|".join(known) + ")"), ids).otherwise(F.concat(F.lit(prefix), ids))
+
+
+def text_join(texts: DataFrame, text: str, phrases: DataFrame, phrase: str) -> DataFrame:
+    """texts joined with the phrases of which they hold all words next to each other in order.
+
+    Of each phrase the rarest word is looked up among the words of the texts (an equality join), and the whole phrase is
+    then looked for in what is found. Case and marks do not count; phrases without a word match nothing.
+    """
+    def plain(c: str) -> Column:
+        return F.filter(F.split(F.lower(F.col(c)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+    left = texts.withColumn("__id", F.monotonically_increasing_id()).withColumn("__t", plain(text))
+    right = phrases.withColumn("__p", plain(phrase)).filter("size(__p) > 0")
+    words = left.select("__id", F.explode(F.array_distinct("__t")).alias("__w"))
+    counts = words.groupBy("__w").agg(F.count(F.lit(1)).alias("__n"))
+    keyed = right.withColumn("__k", F.monotonically_increasing_id())
+    rare = keyed.select("__k", F.explode(F.array_distinct("__p")).alias("__w")).join(counts, "__w", "left").groupBy("__k").agg(F.min_by("__w", F.struct(F.coalesce("__n", F.lit(0)), F.col("__w"))).alias("__w"))
+    met = rare.join(words, "__w").select("__k", "__id")
+    held = F.concat(F.lit(" "), F.array_join("__t", " "), F.lit(" ")).contains(F.concat(F.lit(" "), F.array_join("__p", " "), F.lit(" ")))
+    return met.join(keyed, "__k").join(left, "__id").filter(held).drop("__k", "__id", "__t", "__p")
+
+
+def matched_control(pool: DataFrame, cases: DataFrame, key: str, factor: int, order: Column) -> DataFrame:
+    """factor times as many rows of the pool as there are cases, none of them a case: the first in the given order, such as
+    a seeded hash for a random draw; ties go by key."""
+    rest = pool.join(cases.select(key), key, "left_anti").withColumn("__o", order)
+    ranked = numbered(rest, ["__o", key], "__rn")
+    return ranked.filter(F.col("__rn") <= cases.agg(F.count(F.lit(1)) * factor).scalar()).drop("__rn", "__o")
 
 
 def find(df: DataFrame, filters: dict[str, object], sort_by: list[str], offset: int = 0, limit: int | None = None) -> DataFrame:

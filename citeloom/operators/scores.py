@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeloom.operators.relational import tiles
+
 
 def citation_counts(edges: DataFrame, years: DataFrame | None = None, span: int | None = None) -> DataFrame:
     """node, citation_count (and pub_year): citers of each cited node; with span only citers of its first years."""
@@ -15,6 +17,13 @@ def citation_counts(edges: DataFrame, years: DataFrame | None = None, span: int
     return counts if years is None else counts.join(years.select("node", F.col("year").alias("pub_year")), "node")
 
 
+def counts_of_kind(edges: DataFrame, years: DataFrame, first: int, last: int, kinds: DataFrame, kind: object) -> DataFrame:
+    """node, pub_year, citation_count: citers of the cited nodes of the years first to last that are of one kind (node,
+    kind). A node of several entries of the kind counts once."""
+    wanted = years.filter(F.col("year").between(first, last)).select("node", F.col("year").alias("pub_year")).distinct().join(kinds.filter(F.col("kind") == kind).select("node"), "node", "left_semi")
+    return edges.groupBy(F.col("cited").alias("node")).agg(F.count(F.lit(1)).alias("citation_count")).join(wanted, "node").select("node", "pub_year", "citation_count")
+
+
 def weighted_citation(edges: DataFrame) -> DataFrame:
     """node, citation, weighted_citation: citers, and citers plus the citers of each of them; 0 for nodes never cited."""
     counts = edges.groupBy(F.col("cited").alias("node")).agg(F.count(F.lit(1)).alias("citation"))
@@ -62,11 +71,11 @@ def percentile_bands(df: DataFrame, value: str, cuts: list[float]) -> DataFrame:
 
 def bin_profile(df: DataFrame, value: str, key: str, n: int) -> DataFrame:
     """bin, n, low, high, middle of n bins of equal size by (value, key)."""
-    binned = df.withColumn("bin", F.ntile(n).over(Window.orderBy(value, key)))
+    binned = tiles(df, [value, key], n, "bin")
     return binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), F.median(value).alias("middle"))
 
 
 def hit_rate_by_bin(df: DataFrame, value: str, key: str, flag: Column, n: int) -> DataFrame:
     """bin, n, hits, rate over n bins of equal size."""
-    binned = df.withColumn("bin", F.ntile(n).over(Window.orderBy(value, key)))
+    binned = tiles(df, [value, key], n, "bin")
     return binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.count_if(flag).alias("hits")).withColumn("rate", F.col("hits") / F.col("n"))

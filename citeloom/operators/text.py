@@ -7,14 +7,23 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeloom.operators.relational import numbered
+from citeloom.session import materialise
+
 # English stop words.
 STOP_WORDS = "a about after all also an and any are as at be because been before but by can could did do does each for from had has have he her his how if in into is it its may more most no not of on one only or other our out over she so some such than that the their them then there these they this those through to two under up was we were what when where which while who will with would you".split()
 
 
+def folded(text: Column) -> Column:
+    """Lower case, in which a letter does not depend on its place: the final form of the Greek sigma is the usual one, and
+    the dotted capital I becomes a plain i."""
+    return F.translate(F.lower(F.translate(text, "\u0130", "i")), "\u03c2", "\u03c3")
+
+
 def words(text: Column, least: int = 3, stop: list[str] | None = None) -> Column:
     """Lower-case words of letters and digits, at least `least` long, not all digits, without stop words, in order."""
     stops = F.array(*(F.lit(w) for w in (STOP_WORDS if stop is None else stop)))
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: (F.length(w) >= least) & ~w.rlike(r"^\d+$") & ~F.array_contains(stops, w))
+    return F.filter(F.split(folded(text), r"[^\p{L}\p{N}]+"), lambda w: (F.length(w) >= least) & ~w.rlike(r"^\d+$") & ~F.array_contains(stops, w))
 
 
 def ngrams(tokens: Column, n: int) -> Column:
@@ -63,7 +72,9 @@ def cluster_jsd(tokens: DataFrame, clusters: DataFrame, min_docs: int = 10, leas
 def random_clusters(docs: DataFrame, doc: str, sizes: DataFrame, repeats: int, seed: int = 1) -> DataFrame:
     """size, cluster_no, node: for each cluster size, `repeats` random sets of that many documents (seeded hash order)."""
     many = docs.select(F.col(doc).alias("node")).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-    order = many.withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy(F.xxhash64(F.lit(seed), "rep", "node"), "node")))
+    placed = materialise(numbered(many.withColumn("h", F.xxhash64(F.lit(seed), "rep", "node")), ["rep", "h", "node"], "i"))
+    first = placed.groupBy("rep").agg(F.min("i").alias("low"))
+    order = placed.join(F.broadcast(first), "rep").withColumn("place", F.col("i") - F.col("low") + 1)
     picked = order.join(sizes.select("size").distinct(), F.col("place") <= F.col("size"))
     return picked.select("size", F.concat_ws("-", "size", "rep").alias("cluster_no"), "node")
 
@@ -122,10 +133,24 @@ def rank_matches(scores: DataFrame, first: str, second: str, top: int = 10, shar
     return rows.withColumn("place", F.row_number().over(w.orderBy(F.desc("blend"), "doc"))).filter(F.col("place") <= top).select("query", "doc", "blend", "place")
 
 
+def match_any(df: DataFrame, fields: dict[str, float], doc: str, query: str) -> DataFrame:
+    """doc, hits, score: rows of which some field holds some word of the query (an OR over words and fields).
+
+    hits counts the query's words found in any field; score adds up, for each word, the weight of the best field that
+    holds it, as a disjunction-max query does.
+    """
+    wanted = list(dict.fromkeys("".join(c.lower() if c.isalnum() else " " for c in query).split()))
+    lists = {c: F.coalesce(F.split(folded(F.col(c)), r"[^\p{L}\p{N}]+"), F.array().cast("array<string>")) for c in fields}
+    best = [F.greatest(F.lit(0.0), *(F.when(F.array_contains(lists[c], w), F.lit(float(weight))).otherwise(0.0) for c, weight in fields.items())) for w in wanted]
+    rows = df.select(F.col(doc).alias("doc"), F.array(*best).alias("b"))
+    hits, score = F.size(F.filter("b", lambda x: x > 0)), F.aggregate("b", F.lit(0.0), lambda a, x: a + x)
+    return rows.select("doc", hits.alias("hits"), score.alias("score")).filter("hits > 0")
+
+
 def text_match(df: DataFrame, doc: str, text: str, query: str, mode: str = "all") -> DataFrame:
     """doc of the texts that match the query: all words, any word, or the words next to each other in order (phrase)."""
     wanted = [w for w in "".join(c.lower() if c.isalnum() else " " for c in query).split()]
-    tokens = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    tokens = F.filter(F.split(folded(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     if mode == "phrase":
         test = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" ")).contains(" " + " ".join(wanted) + " ")
     else:

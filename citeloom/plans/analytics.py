@@ -11,6 +11,7 @@ from citeloom.operators import cocitation as P
 from citeloom.operators import quality as Q
 from citeloom.operators import relational as R
 from citeloom.operators import text as T
+from citeloom.operators.nullmodel import portable_hash
 from citeloom.plans import reference as base
 from citeloom.plans.reference import A, E, Y, authors, citations, nodes, recorded_pairs, table
 from citeloom.session import scratch
@@ -152,6 +153,20 @@ def clus_assign_unclustered(spark, folder):
     return K.assign_unclustered(citations(spark, folder), _clusters(spark, folder).filter("cluster_no < 15"), 2).withColumn("share", F.round("share", 8))
 
 
+def _assign_sql(links: str) -> str:
+    return f"{W_}, c AS (SELECT cluster_no, node FROM y WHERE cluster_no < 15), l AS ({links}), n AS (SELECT l.node, c.cluster_no, count(DISTINCT near) AS n FROM l JOIN c ON c.node = near WHERE l.node NOT IN (SELECT node FROM c) GROUP BY ALL), s AS (SELECT cluster_no, count(*) AS size FROM c GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY n / size DESC, cluster_no) AS rn FROM n JOIN s USING (cluster_no)) SELECT cluster_no, node, n, round(n / size, 8) AS share FROM r WHERE rn = 1"
+
+
+@query(_assign_sql("SELECT citing AS node, cited AS near FROM e"))
+def clus_assign_by_references(spark, folder):
+    return K.assign_unclustered(citations(spark, folder), _half(spark, folder), 1, "out").withColumn("share", F.round("share", 8))
+
+
+@query(_assign_sql("SELECT cited AS node, citing AS near FROM e"))
+def clus_assign_by_citations(spark, folder):
+    return K.assign_unclustered(citations(spark, folder), _half(spark, folder), 1, "in").withColumn("share", F.round("share", 8))
+
+
 @query(f"WITH {_TWO} SELECT CAST(a AS BIGINT) AS cluster_no, node FROM x UNION ALL SELECT b + (SELECT max(a) + 1 FROM x), node FROM z")
 def clus_merge(spark, folder):
     return K.merge_clusterings(list(_two(spark, folder)))
@@ -162,10 +177,10 @@ def clus_renumber(spark, folder):
     return K.renumber_by_size(_two(spark, folder)[0])
 
 
-@query(f"WITH {_TWO} SELECT a AS cluster_no, node FROM x WHERE a NOT IN (SELECT a FROM x WHERE node IN (SELECT node FROM z WHERE b < 120))")
+@query(f"WITH {_TWO} SELECT a AS cluster_no, node FROM x WHERE a NOT IN (SELECT a FROM x WHERE node IN (SELECT node FROM z WHERE b % 100 < 4))")
 def clus_unsplit(spark, folder):
     a, b = _two(spark, folder)
-    return K.unsplit(a, b.filter("cluster_no < 120"))
+    return K.unsplit(a, b.filter("cluster_no % 100 < 4"))
 
 
 _MARK = "m AS (SELECT p_partkey AS node FROM part WHERE p_retailprice > (SELECT quantile_cont(p_retailprice, 0.98) FROM part))"
@@ -200,19 +215,72 @@ def clus_code_composition(spark, folder):
     return K.code_composition(_two(spark, folder)[0], codes, ["Brand#11", "Brand#22"])
 
 
+@query(f"{W_}, {_LAB}, l2 AS (SELECT citing, cited FROM le), t AS (SELECT count(*) AS m FROM le), su AS (SELECT c AS cluster_no, count(*) AS volume, count(*) FILTER (WHERE NOT s) AS boundary FROM (SELECT ca AS c, ca = cb AS s FROM le UNION ALL SELECT cb, ca = cb FROM le) GROUP BY c) SELECT cluster_no, boundary, volume, round(boundary / least(volume, 2 * m - volume), 3) AS conductance FROM su, t".replace(", l2 AS (SELECT citing, cited FROM le)", "").replace("FROM y)", "FROM y WHERE cluster_no < 15)").replace("JOIN y a ON", "JOIN (SELECT * FROM y WHERE cluster_no < 15) a ON").replace("JOIN y b ON", "JOIN (SELECT * FROM y WHERE cluster_no < 15) b ON"))
+def clus_conductance_study(spark, folder):
+    """Only edges with both ends in a cluster count, 3 digits."""
+    return K.conductance(citations(spark, folder), _clusters(spark, folder).filter("cluster_no < 15"), "study")
+
+
+_HALF = "e2 AS (SELECT citing, cited, a.cluster_no AS ca, b.cluster_no AS cb FROM e LEFT JOIN (SELECT * FROM y WHERE cluster_no < 15) a ON a.node = citing LEFT JOIN (SELECT * FROM y WHERE cluster_no < 15) b ON b.node = cited), cl AS (SELECT cluster_no, node FROM y WHERE cluster_no < 15)"
+
+
+def _half(spark, folder):
+    return _clusters(spark, folder).filter("cluster_no < 15")
+
+
+@query(f"{W_}, {_HALF} SELECT cluster_no, count(*) AS nodes, (SELECT count(*) FROM e2 WHERE ca = cluster_no AND cb = cluster_no) AS inner, (SELECT count(*) FROM e2 WHERE cb = cluster_no AND ca IS DISTINCT FROM cluster_no) AS incoming, (SELECT count(*) FROM e2 WHERE ca = cluster_no AND cb IS DISTINCT FROM cluster_no) AS outgoing FROM cl GROUP BY cluster_no".replace("AS inner,", 'AS "inner",'))
+def clus_edge_counts(spark, folder):
+    return K.edge_counts(citations(spark, folder), _half(spark, folder))
+
+
+_LINKS = f"{_HALF}, nl AS (SELECT cl.cluster_no, cl.node, count(*) FILTER (WHERE way = 'in' AND same) AS in_inner, count(*) FILTER (WHERE way = 'in' AND NOT same) AS in_outer, count(*) FILTER (WHERE way = 'out' AND same) AS out_inner, count(*) FILTER (WHERE way = 'out' AND NOT same) AS out_outer FROM cl LEFT JOIN (SELECT citing AS node, 'out' AS way, coalesce(ca = cb, FALSE) AS same FROM e2 UNION ALL SELECT cited, 'in', coalesce(ca = cb, FALSE) FROM e2) x ON x.node = cl.node GROUP BY ALL)"
+
+
+@query(f"{W_}, {_LINKS} SELECT * FROM nl")
+def clus_node_links(spark, folder):
+    return K.node_links(citations(spark, folder), _half(spark, folder))
+
+
+@query(f"{W_}, {_LINKS}, r AS (SELECT cluster_no, node, in_inner AS value, row_number() OVER (PARTITION BY cluster_no ORDER BY in_inner DESC, node) AS place, count(*) OVER (PARTITION BY cluster_no) AS n FROM nl) SELECT cluster_no, node, value, CAST(place AS INTEGER) AS place FROM r WHERE place <= greatest(1, floor(n * 0.1))")
+def clus_top_share(spark, folder):
+    return K.top_share(citations(spark, folder), _half(spark, folder), 0.1)
+
+
+@query(f"{W_}, {A}, {_TIER}, b AS (SELECT cluster_no, author, min(tier) AS tier FROM ti JOIN a USING (node) GROUP BY ALL) SELECT author, count(*) AS clusters, round(count(*) FILTER (WHERE tier = 1) / count(*), 8) AS tier_1_share FROM b GROUP BY author")
+def clus_tier_shares(spark, folder):
+    return K.tier_shares(K.article_tiers(citations(spark, folder), _clusters(spark, folder)), authors(spark, folder)).withColumn("tier_1_share", F.round("tier_1_share", 8))
+
+
+@query(
+    f"{W_}, {base.L}, d AS (SELECT DISTINCT l.cited_1, l.cited_2, 'dc' AS kind FROM l JOIN e ON (citing = cited_1 AND cited = cited_2) OR (citing = cited_2 AND cited = cited_1)), b AS (SELECT DISTINCT l.cited_1, l.cited_2, 'bc' AS kind FROM l JOIN e u ON u.citing = cited_1 JOIN e v ON v.citing = cited_2 AND v.cited = u.cited), c AS (SELECT DISTINCT l.cited_1, l.cited_2, 'cc' AS kind FROM l JOIN e u ON u.cited = cited_1 JOIN e v ON v.cited = cited_2 AND v.citing = u.citing), "
+    "n AS (SELECT least(p.cluster_no, q.cluster_no) AS cluster_1, greatest(p.cluster_no, q.cluster_no) AS cluster_2, kind, count(*) AS n FROM (SELECT * FROM d UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c) z JOIN y p ON p.node = z.cited_1 JOIN y q ON q.node = z.cited_2 WHERE p.cluster_no <> q.cluster_no GROUP BY ALL), r AS (SELECT *, n / sum(n) OVER (PARTITION BY cluster_1, cluster_2) AS ratio, rank() OVER (PARTITION BY kind ORDER BY n DESC) + (count(*) OVER (PARTITION BY kind, n) - 1) / 2 AS place FROM n) "
+    "SELECT cluster_1, cluster_2, kind, n, round(ratio, 8) AS ratio, round(avg(place) OVER (PARTITION BY cluster_1, cluster_2), 6) AS mean_rank FROM r"
+)
+def clus_link_types(spark, folder):
+    out = K.link_types(citations(spark, folder), _clusters(spark, folder), base.pair_list(spark, folder))
+    return out.withColumns({"ratio": F.round("ratio", 8), "mean_rank": F.round("mean_rank", 6)})
+
+
+@query(f"WITH {Y}, c AS (SELECT cluster_no, issn AS subject, count(*) AS n FROM y GROUP BY ALL) SELECT cluster_no, subject, n, CAST(place AS INTEGER) AS place FROM (SELECT *, rank() OVER (PARTITION BY cluster_no ORDER BY n DESC) AS place FROM c) WHERE place <= 3")
+def clus_subject_ranks(spark, folder):
+    """The subjects of most of each cluster's articles."""
+    n = nodes(spark, folder)
+    return K.subject_ranks(_clusters(spark, folder), n.select("node", F.col("issn").alias("subject")))
+
+
 @query(f"{W_}, d AS (SELECT node, count(*) AS degree FROM (SELECT citing AS node FROM e UNION ALL SELECT cited FROM e) GROUP BY node) SELECT * FROM (SELECT cluster_no, y.node, coalesce(degree, 0) AS degree, CAST(row_number() OVER (PARTITION BY cluster_no ORDER BY coalesce(degree, 0) DESC, y.node) AS INTEGER) AS place FROM y LEFT JOIN d ON d.node = y.node) WHERE place <= 5")
 def clus_degree_top(spark, folder):
     return K.degree_top(citations(spark, folder), _clusters(spark, folder), 5)
 
 
-@query()
+@query(f"WITH RECURSIVE {E}, {base._U}, {base._KCORE}, kk AS (SELECT a, b FROM k WHERE i = {base.ROUNDS}), kb AS (SELECT a AS x, b AS z FROM kk UNION ALL SELECT b, a FROM kk), cc(i, x, c) AS (SELECT DISTINCT 0, x, x FROM kb UNION ALL SELECT i + 1, r.x, least(r.c, m.c) FROM cc r JOIN (SELECT kb.x, min(q.c) AS c FROM kb JOIN cc q ON q.x = kb.z GROUP BY kb.x) m ON m.x = r.x WHERE i < 12), fc AS (SELECT x AS node, c AS cluster_no FROM cc WHERE i = 12), t AS (SELECT count(*) AS m FROM u), ls AS (SELECT p.cluster_no, count(*) AS l FROM u JOIN fc p ON p.node = u.a JOIN fc q ON q.node = u.b AND q.cluster_no = p.cluster_no GROUP BY 1), ds AS (SELECT p.cluster_no, count(*) AS d FROM b2 JOIN fc p ON p.node = b2.x GROUP BY 1) SELECT cluster_no, node, round(l / m - pow(d / (2 * m), 2), 8) AS modularity FROM fc JOIN ls USING (cluster_no) JOIN ds USING (cluster_no), t")
 def clus_kc(spark, folder):
-    return K.kc_clusters(recorded_pairs(spark, folder), 2).withColumn("modularity", F.round("modularity", 8))
+    return K.kc_clusters(citations(spark, folder), base.CORE_K).withColumn("modularity", F.round("modularity", 8))
 
 
 @query()
 def clus_ikc(spark, folder):
-    return K.ikc(recorded_pairs(spark, folder), 2)
+    return K.ikc(citations(spark, folder), 10)
 
 
 @query()
@@ -226,16 +294,23 @@ def clus_kmp_validity(spark, folder):
     return K.kmp_validity(e, K.kmp_parse(e, c, 2, 1), 2, 1).withColumn("modularity", F.round("modularity", 8))
 
 
+@query()
+def clus_kmp_summary(spark, folder):
+    e, c = citations(spark, folder), _clusters(spark, folder)
+    out = K.kmp_summary(K.kmp_validity(e, K.kmp_parse(e, c, 2, 1), 2, 1))
+    return out.withColumns({x: F.round(x, 8) for x in ("low", "middle", "mean", "high")})
+
+
 @query()
 def clus_threshold(spark, folder):
-    rows = table(spark, folder, "sb_plus_complete_kinetics").filter("cited_1 < cited_2").groupBy("cited_1", "cited_2").agg(F.sum("frequency").alias("f")).filter("f is not null")
+    rows = table(spark, folder, "sb_plus_complete_kinetics").filter("cited_1 <> cited_2").groupBy(F.least("cited_1", "cited_2").alias("cited_1"), F.greatest("cited_1", "cited_2").alias("cited_2")).agg(F.sum("frequency").alias("f")).filter("f is not null")
     return K.threshold_clusters(rows, "f", [0.5, 0.8, 0.95], 20)
 
 
 @query()
 def clus_agglomerate(spark, folder):
     m = K.inter_cluster_matrix(P.cocited_pairs(citations(spark, folder)), _clusters(spark, folder), "frequency")
-    return K.agglomerate(m.select("cluster_1", "cluster_2", F.col("n").alias("weight")), 5)
+    return K.agglomerate(m.select("cluster_1", "cluster_2", F.col("max").alias("weight")), 12)
 
 
 @query()
@@ -243,22 +318,15 @@ def clus_mcl(spark, folder):
     return K.mcl(recorded_pairs(spark, folder))
 
 
-# Texts.
+# Texts. Words are folded alike in both engines, over all scripts (see folded()).
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
-_TOK = f"tk AS (SELECT doc, term, count(*) AS n FROM (SELECT doc_id AS doc, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS term FROM documents) WHERE length(term) >= 3 AND NOT regexp_full_match(term, '[0-9]+') AND term NOT IN ({_STOP}) GROUP BY ALL)"
-
+_FOLDED = "translate(lower(translate({}, chr(304), 'i')), chr(962), chr(963))"
+_TOK = f"tk AS (SELECT doc, term, count(*) AS n FROM (SELECT doc_id AS doc, unnest(regexp_split_to_array({_FOLDED.format('text')}, '[^\\p{{L}}\\p{{N}}]+')) AS term FROM documents) WHERE length(term) >= 3 AND NOT regexp_full_match(term, '[0-9]+') AND term NOT IN ({_STOP}) GROUP BY ALL)"
 
-def _tokens(spark, folder):
-    return T.token_table(table(spark, folder, "documents").select("doc_id", F.regexp_replace("text", r"[^\x00-\x7f]", " ").alias("text")), "doc_id", "text")
 
-
-_TOK = _TOK.replace("lower(text)", "lower(regexp_replace(text, '[^\\x00-\\x7f]', ' ', 'g'))")
-
-
-def _whole_tokens(spark, folder):
-    """Terms of the stored texts as words() makes them; _tokens has what DuckDB makes of their ASCII part."""
-    return T.token_table(table(spark, folder, "documents"), "doc_id", "text")
+def _tokens(spark, folder, n=1):
+    return T.token_table(table(spark, folder, "documents"), "doc_id", "text", n)
 
 
 def _doc_clusters(spark, folder):
@@ -283,15 +351,15 @@ def text_doc_jsd(spark, folder):
     return T.doc_jsd(_tokens(spark, folder), _doc_clusters(spark, folder)).withColumn("jsd", F.round("jsd", 7))
 
 
-@query(f"WITH {_JSD}, s AS (SELECT text_kind AS c, count(*) AS size FROM documents WHERE text_kind IS NOT NULL GROUP BY 1) SELECT s.c AS cluster_no, size, round(avg(jsd), 7) AS mean, round(stddev_pop(jsd), 7) AS deviation, round(min(jsd), 7) AS low, round(quantile_cont(jsd, 0.25), 7) AS q1, round(quantile_cont(jsd, 0.5), 7) AS middle, round(quantile_cont(jsd, 0.75), 7) AS q3, round(max(jsd), 7) AS high FROM s JOIN j ON j.c = s.c GROUP BY ALL HAVING count(*) >= 10")
+@query(f"WITH {_JSD}, s AS (SELECT text_kind AS c, count(*) AS size FROM documents WHERE text_kind IS NOT NULL GROUP BY 1) SELECT s.c AS cluster_no, size, CASE WHEN count(jsd) >= 10 THEN round(avg(jsd), 7) END AS mean, CASE WHEN count(jsd) >= 10 THEN round(stddev_pop(jsd), 7) END AS deviation, CASE WHEN count(jsd) >= 10 THEN round(min(jsd), 7) END AS low, CASE WHEN count(jsd) >= 10 THEN round(quantile_cont(jsd, 0.25), 7) END AS q1, CASE WHEN count(jsd) >= 10 THEN round(quantile_cont(jsd, 0.5), 7) END AS middle, CASE WHEN count(jsd) >= 10 THEN round(quantile_cont(jsd, 0.75), 7) END AS q3, CASE WHEN count(jsd) >= 10 THEN round(max(jsd), 7) END AS high FROM s LEFT JOIN j ON j.c = s.c GROUP BY ALL")
 def text_cluster_jsd(spark, folder):
-    out = T.cluster_jsd(_tokens(spark, folder), _doc_clusters(spark, folder)).filter("mean is not null")
+    out = T.cluster_jsd(_tokens(spark, folder), _doc_clusters(spark, folder))
     return out.withColumns({c: F.round(c, 7) for c in out.columns[2:]})
 
 
 @query()
 def text_coherence(spark, folder):
-    tokens, docs, clusters = _whole_tokens(spark, folder), table(spark, folder, "documents"), _doc_clusters(spark, folder)
+    tokens, docs, clusters = _tokens(spark, folder), table(spark, folder, "documents"), _doc_clusters(spark, folder)
     stats = T.cluster_jsd(tokens, clusters)
     return T.coherence(stats, T.random_jsd(tokens, docs, "doc_id", stats, 2)).withColumns({c: F.round(c, 7) for c in ("mean", "random_mean", "coherence")})
 
@@ -302,23 +370,19 @@ def text_idf(spark, folder):
     return T.idf(_tokens(spark, folder), n).withColumn("idf", F.round("idf", 8))
 
 
-_ITEMS = "it AS (SELECT item_id AS query, term, count(*) AS n FROM (SELECT item_id, unnest(regexp_split_to_array(lower(item_text), '[^\\p{L}\\p{N}]+')) AS term FROM eval_items WHERE bench = 'labelcheck') WHERE length(term) >= 3 AND NOT regexp_full_match(term, '[0-9]+') AND term NOT IN (" + _STOP + ") GROUP BY ALL)"
+_ITEMS = "it AS (SELECT item_id AS query, term, count(*) AS n FROM (SELECT item_id, unnest(regexp_split_to_array(" + _FOLDED.format("item_text") + ", '[^\\p{L}\\p{N}]+')) AS term FROM eval_items) WHERE length(term) >= 3 AND NOT regexp_full_match(term, '[0-9]+') AND term NOT IN (" + _STOP + ") GROUP BY ALL)"
 
 
 def _items(spark, folder):
-    return T.token_table(table(spark, folder, "eval_items").filter("bench = 'labelcheck'"), "item_id", "item_text")
-
-
-def _whole_items(spark, folder):
     return T.token_table(table(spark, folder, "eval_items"), "item_id", "item_text")
 
 
 _BM = f"WITH {_TOK}, {_ITEMS}, le AS (SELECT doc, CAST(sum(n) AS BIGINT) AS length FROM tk GROUP BY doc), st AS (SELECT count(*) AS nd, avg(length) AS mean FROM le), iw AS (SELECT term, log10((nd - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tk, st GROUP BY term, nd), sc AS (SELECT query, doc, sum(idf * tk.n * 3.0 / (tk.n + 2.0 * (0.25 + 0.75 * length / mean))) AS score FROM (SELECT DISTINCT query, term FROM it) JOIN tk USING (term) JOIN iw USING (term) JOIN le USING (doc), st GROUP BY ALL)"
 
 
-def _bm25(spark, folder, items=_items, tokens=_tokens):
-    index = tokens(spark, folder)
-    return T.bm25(items(spark, folder), index, index.groupBy("doc").agg(F.sum("n").alias("length")))
+def _bm25(spark, folder, okapi=True):
+    index = _tokens(spark, folder)
+    return T.bm25(_items(spark, folder), index, index.groupBy("doc").agg(F.sum("n").alias("length")), okapi=okapi)
 
 
 def _top_ten(scores):
@@ -330,58 +394,43 @@ def text_bm25(spark, folder):
     return _top_ten(_bm25(spark, folder))
 
 
+@query(_BM.replace("(tk.n + 2.0 *", "(idf + 2.0 *") + " SELECT query, doc, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, doc) AS rn FROM sc) WHERE rn <= 10")
+def text_bm25_study(spark, folder):
+    """The form with the idf in the denominator."""
+    return _top_ten(_bm25(spark, folder, False))
+
+
 _COS = f"WITH {_TOK}, {_ITEMS}, n1 AS (SELECT query, sqrt(sum(n * n)) AS x FROM it GROUP BY 1), n2 AS (SELECT doc, sqrt(sum(n * n)) AS y FROM tk GROUP BY 1), d AS (SELECT query, doc, sum(it.n * tk.n) AS d FROM it JOIN tk USING (term) GROUP BY ALL), cs AS (SELECT query, doc, d / (x * y) AS cosine FROM d JOIN n1 USING (query) JOIN n2 USING (doc))"
 
 
-@query(_COS + " SELECT query, doc, round(cosine, 8) AS cosine FROM cs WHERE cosine >= 0.2")
+@query(_COS + " SELECT query, doc, round(cosine, 8) AS cosine FROM cs")
 def text_cosine(spark, folder):
-    return T.similarities(_items(spark, folder), _tokens(spark, folder)).filter("cosine >= 0.2").withColumn("cosine", F.round("cosine", 8))
+    return T.similarities(_items(spark, folder), _tokens(spark, folder)).withColumn("cosine", F.round("cosine", 8))
 
 
 @query()
 def text_rank_blend(spark, folder):
-    both = _bm25(spark, folder, _whole_items, _whole_tokens).join(T.similarities(_whole_items(spark, folder), _whole_tokens(spark, folder)), ["query", "doc"])
+    both = _bm25(spark, folder).join(T.similarities(_items(spark, folder), _tokens(spark, folder)), ["query", "doc"])
     return T.rank_matches(both, "score", "cosine").withColumn("blend", F.round("blend", 6))
 
 
-# The same over the whole texts. DuckDB folds and splits beyond ASCII differently, so these have no SQL.
-
-
-@query()
-def text_token_counts_whole(spark, folder):
-    return _whole_tokens(spark, folder).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("n"))
-
-
-@query()
-def text_cluster_terms_whole(spark, folder):
-    return T.cluster_terms(_whole_tokens(spark, folder), _doc_clusters(spark, folder))
-
-
-@query()
-def text_doc_jsd_whole(spark, folder):
-    return T.doc_jsd(_whole_tokens(spark, folder), _doc_clusters(spark, folder)).withColumn("jsd", F.round("jsd", 7))
-
-
-@query()
-def text_cluster_jsd_whole(spark, folder):
-    out = T.cluster_jsd(_whole_tokens(spark, folder), _doc_clusters(spark, folder)).filter("mean is not null")
-    return out.withColumns({c: F.round(c, 7) for c in out.columns[2:]})
-
-
-@query()
-def text_idf_whole(spark, folder):
-    n = table(spark, folder, "documents").agg(F.count(F.lit(1)).cast("double")).scalar()
-    return T.idf(_whole_tokens(spark, folder), n).withColumn("idf", F.round("idf", 8))
+@query(f"WITH {_TOK}, {_ITEMS}, w AS (SELECT term, log10(((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tk GROUP BY term), x AS (SELECT query, term, n * idf AS v FROM it JOIN w USING (term)), z AS (SELECT doc, term, n * idf AS v FROM tk JOIN w USING (term)), n1 AS (SELECT query, sqrt(sum(v * v)) AS a FROM x GROUP BY 1), n2 AS (SELECT doc, sqrt(sum(v * v)) AS b FROM z GROUP BY 1), d AS (SELECT query, doc, sum(x.v * z.v) AS d FROM x JOIN z USING (term) GROUP BY ALL) SELECT query, doc, round(d / (a * b), 7) AS cosine FROM d JOIN n1 USING (query) JOIN n2 USING (doc)")
+def text_cosine_weighted(spark, folder):
+    """Cosines of the vectors weighted by idf."""
+    tokens = _tokens(spark, folder)
+    weights = T.idf(tokens, table(spark, folder, "documents").agg(F.count(F.lit(1)).cast("double")).scalar())
+    return T.similarities(_items(spark, folder), tokens, weights).withColumn("cosine", F.round("cosine", 7))
 
 
-@query()
-def text_bm25_whole(spark, folder):
-    return _top_ten(_bm25(spark, folder, _whole_items, _whole_tokens))
+@query(f"WITH {_TOK.replace('tk AS', 't1 AS', 1)}, g AS (SELECT doc_id AS doc, list_filter(regexp_split_to_array({_FOLDED.format('text')}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 3 AND NOT regexp_full_match(x, '[0-9]+') AND x NOT IN ({_STOP})) AS w FROM documents), b AS (SELECT doc, unnest(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM g WHERE len(w) > 1) SELECT term, count(DISTINCT doc) AS df, count(*) AS n FROM b GROUP BY term")
+def text_bigram_counts(spark, folder):
+    return _tokens(spark, folder, 2).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("n"))
 
 
-@query()
-def text_cosine_whole(spark, folder):
-    return T.similarities(_whole_items(spark, folder), _whole_tokens(spark, folder)).withColumn("cosine", F.round("cosine", 8))
+@query(f"WITH d AS (SELECT doc_id AS doc, regexp_split_to_array({_FOLDED.format('coalesce(text, $$$$)')}, '[^\\p{{L}}\\p{{N}}]+') AS a, regexp_split_to_array({_FOLDED.format('coalesce(source, $$$$)')}, '[^\\p{{L}}\\p{{N}}]+') AS b FROM documents), s AS (SELECT doc, list_transform(['patients', 'trial', 'abstract'], lambda w: CASE WHEN list_contains(b, w) THEN 2.0 WHEN list_contains(a, w) THEN 1.0 ELSE 0.0 END) AS v FROM d) SELECT doc, CAST(len(list_filter(v, lambda x: x > 0)) AS INTEGER) AS hits, CAST(list_sum(v) AS DOUBLE) AS score FROM s WHERE len(list_filter(v, lambda x: x > 0)) > 0")
+def text_match_any(spark, folder):
+    """Any of several words in any of several fields, weighted."""
+    return T.match_any(table(spark, folder, "documents"), {"source": 2.0, "text": 1.0}, "doc_id", "Patients trial abstract")
 
 
 _NORM = "' ' || array_to_string(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''), ' ') || ' '"
@@ -396,9 +445,9 @@ def text_match(spark, folder):
 # Loads.
 
 
-@query("WITH d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY appl_no, product_no, type ORDER BY trade_name DESC, strength DESC, approval_date DESC) AS rn FROM fda_products WHERE trade_name IS NOT NULL AND strength IS NOT NULL AND approval_date IS NOT NULL) WHERE rn = 1) SELECT appl_no, product_no, type, trade_name, strength, approval_date FROM d")
+@query("WITH d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY appl_no, product_no, type ORDER BY trade_name DESC, strength DESC, approval_date DESC) AS rn FROM fda_products) WHERE rn = 1) SELECT appl_no, product_no, type, trade_name, strength, approval_date FROM d")
 def dml_distinct_on(spark, folder):
-    rows = table(spark, folder, "fda_products").filter("trade_name is not null and strength is not null and approval_date is not null")
+    rows = table(spark, folder, "fda_products")
     return R.distinct_on(rows, ["appl_no", "product_no", "type"], [F.desc("trade_name"), F.desc("strength"), F.desc("approval_date")]).select("appl_no", "product_no", "type", "trade_name", "strength", "approval_date")
 
 
@@ -480,7 +529,42 @@ def set_pairwise_intersections(spark, folder):
 @query("SELECT c_custkey, c_acctbal FROM (SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS rn FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 4)) WHERE rn <= 2 * (SELECT count(*) FROM customer WHERE c_nationkey = 4)")
 def set_matched_control(spark, folder):
     c = table(spark, folder, "customer").select("c_custkey", "c_acctbal", "c_nationkey")
-    return R.matched_control(c, c.filter("c_nationkey = 4"), "c_custkey", 2, [F.col("c_acctbal"), F.col("c_custkey")]).select("c_custkey", "c_acctbal")
+    return R.matched_control(c, c.filter("c_nationkey = 4"), "c_custkey", 2, F.col("c_acctbal")).select("c_custkey", "c_acctbal")
+
+
+@query(f"WITH r AS (SELECT c_custkey, {base._hash_sql('7', 'c_custkey')} AS h FROM customer WHERE c_nationkey <> 4) SELECT c_custkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY h, c_custkey) AS rn FROM r) WHERE rn <= 2 * (SELECT count(*) FROM customer WHERE c_nationkey = 4)")
+def set_matched_random(spark, folder):
+    """The control group drawn at random, by a seeded hash."""
+    c = table(spark, folder, "customer").select("c_custkey", "c_nationkey")
+    return R.matched_control(c, c.filter("c_nationkey = 4"), "c_custkey", 2, portable_hash(F.lit(7), F.col("c_custkey"))).select("c_custkey")
+
+
+@query("SELECT DISTINCT 'omid:' || p_partkey AS owner, id FROM (SELECT p_partkey, unnest(string_split('doi:' || p_size || ' pmid:' || p_partkey || ' doi:' || p_size, ' ')) AS id FROM part)")
+def dml_explode_ids(spark, folder):
+    part = table(spark, folder, "part").select(F.col("p_partkey").alias("owner"), F.concat(F.lit("doi:"), F.col("p_size"), F.lit(" pmid:"), F.col("p_partkey"), F.lit(" doi:"), F.col("p_size")).alias("ids"))
+    return R.explode_ids(part, "owner", "ids", "omid:")
+
+
+_GRANTS = "g AS (SELECT o_custkey AS k, 'R01' || CASE WHEN o_orderkey % 3 = 0 THEN 'DA' WHEN o_orderkey % 3 = 1 THEN 'CA' ELSE 'GM' END || o_orderkey AS number FROM orders WHERE o_custkey % 2 = 0)"
+
+
+@query(f"WITH {_GRANTS} SELECT c_custkey, EXISTS (SELECT 1 FROM g WHERE k = c_custkey AND substring(number, 4, 2) = 'DA') AS agency_support, EXISTS (SELECT 1 FROM g WHERE k = c_custkey AND substring(number, 4, 2) <> 'DA') AS other_support FROM customer")
+def fn_support_flags(spark, folder):
+    """Flags of grants of one agency and of others, by the code within the grant's number."""
+    o = F.col("o_orderkey")
+    grants = table(spark, folder, "orders").filter("o_custkey % 2 = 0").select(F.col("o_custkey").alias("c_custkey"), F.concat(F.lit("R01"), F.when(o % 3 == 0, "DA").when(o % 3 == 1, "CA").otherwise("GM"), o).alias("number"))
+    return R.support_flags(table(spark, folder, "customer").select("c_custkey"), "c_custkey", grants, "number", "DA", "agency_support", "other_support")
+
+
+_PLAIN = "' ' || array_to_string(list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''), ' ') || ' '"
+
+
+@query(f"WITH q AS (SELECT DISTINCT split_part(brief_title, ' in ', 1) AS drug FROM ct_clinical_studies WHERE brief_title IS NOT NULL), q2 AS (SELECT drug, {_PLAIN.format('drug')} AS p FROM q), d AS (SELECT nct_id, brief_title, {_PLAIN.format('brief_title')} AS t FROM ct_clinical_studies) SELECT nct_id, brief_title, drug FROM q2 JOIN d ON trim(p) <> '' AND contains(t, p)")
+def join_text(spark, folder):
+    """Titles joined with the names they hold."""
+    studies = table(spark, folder, "ct_clinical_studies").select("nct_id", "brief_title")
+    phrases = studies.filter("brief_title is not null").select(F.split_part("brief_title", F.lit(" in "), F.lit(1)).alias("drug")).distinct()
+    return R.text_join(studies, "brief_title", phrases, "drug").select("nct_id", "brief_title", "drug")
 
 
 @query()
@@ -519,15 +603,8 @@ def fn_iso_interval(spark, folder):
     return table(spark, folder, "part").select("p_partkey", C.iso_interval(text).alias("i")).select("p_partkey", F.col("i.months").cast("long").alias("months"), F.col("i.days").cast("long").alias("days"))
 
 
-@query("SELECT id, lower(concat(trim(last_name), substr(trim(first_name), 1, 1))) AS author_key FROM ct_overall_officials WHERE last_name IS NOT NULL AND regexp_full_match(last_name || coalesce(first_name, ''), '[ -~]*')")
+@query("SELECT id, lower(concat(trim(last_name, ' '), substr(trim(first_name, ' '), 1, 1))) AS author_key FROM ct_overall_officials WHERE last_name IS NOT NULL")
 def fn_author_key(spark, folder):
-    rows = table(spark, folder, "ct_overall_officials").filter(F.col("last_name").isNotNull() & F.concat("last_name", F.coalesce("first_name", F.lit(""))).rlike("^[ -~]*$"))
-    return rows.select("id", C.author_key(F.col("last_name"), F.col("first_name")).alias("author_key"))
-
-
-@query()
-def fn_author_key_whole(spark, folder):
-    """Keys of all names; without SQL, as DuckDB's lower() differs beyond ASCII."""
     rows = table(spark, folder, "ct_overall_officials").filter("last_name is not null")
     return rows.select("id", C.author_key(F.col("last_name"), F.col("first_name")).alias("author_key"))
 

@@ -16,6 +16,7 @@ from citeloom.operators import graph as G
 from citeloom.operators import nullmodel as N
 from citeloom.operators import relational as R
 from citeloom.operators import scores as S
+from citeloom.session import materialise
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -132,6 +133,13 @@ def score_hit_rate(spark, folder):
     return S.hit_rate_by_bin(_counts(spark, folder).na.fill(0, ["citation_count"]), "citation_count", "node", F.col("year") >= 1990, 10).withColumn("rate", F.round("rate", 6))
 
 
+@query(f"{W}, k AS (SELECT p_partkey AS node, p_size % 5 AS kind FROM part) SELECT y.node, y.year AS pub_year, count(*) AS citation_count FROM e JOIN y ON y.node = e.cited JOIN k ON k.node = y.node WHERE y.year BETWEEN 1980 AND 1995 AND k.kind = 2 GROUP BY ALL")
+def score_counts_of_kind(spark, folder):
+    """Citations of the papers of a range of years and of one type."""
+    kinds = table(spark, folder, "part").select(F.col("p_partkey").alias("node"), (F.col("p_size") % 5).alias("kind"))
+    return S.counts_of_kind(citations(spark, folder), nodes(spark, folder), 1980, 1995, kinds, 2)
+
+
 # Degrees.
 
 _DEG = f"WITH {E}, d AS (SELECT node, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree, count(*) AS degree FROM (SELECT citing AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT cited, 1, 0 FROM e) GROUP BY node)"
@@ -191,6 +199,39 @@ def net_expand(spark, folder):
     return G.expand(citations(spark, folder), _seed(spark, folder), 1, "both")
 
 
+_SEEDS = "ss AS (SELECT node, year AS seed_year FROM y WHERE year BETWEEN 1985 AND 1987), mn AS (SELECT citing, cited FROM e WHERE citing IN (SELECT node FROM ss) UNION SELECT citing, cited FROM e WHERE cited IN (SELECT node FROM ss))"
+
+
+@query(f"{W}, {_SEEDS}, v AS (SELECT citing AS node FROM mn UNION SELECT cited FROM mn) SELECT v.node, p_name AS title, p_type AS abstract, CAST((SELECT count(*) FROM mn WHERE mn.citing = v.node) AS BIGINT) AS n_refs FROM v LEFT JOIN part ON p_partkey = v.node")
+def net_multi_year(spark, folder):
+    """The networks of three years' seeds as one, with its nodes and their texts."""
+    seeds = nodes(spark, folder).filter("year between 1985 and 1987")
+    texts = table(spark, folder, "part").select(F.col("p_partkey").alias("node"), F.col("p_name").alias("title"), F.col("p_type").alias("abstract"))
+    edges, found = G.multi_year_network(citations(spark, folder), [seeds.filter(F.col("year") == y) for y in (1985, 1986, 1987)], texts)
+    refs = edges.groupBy(F.col("citing").alias("node")).agg(F.count(F.lit(1)).alias("n_refs"))
+    return found.join(refs, "node", "left").na.fill(0, ["n_refs"]).select("node", "title", "abstract", "n_refs")
+
+
+@query(f"{W}, {A}, {_SEEDS}, v AS (SELECT citing AS node FROM mn UNION SELECT cited FROM mn), p AS (SELECT author AS a, s_nationkey AS nation FROM (SELECT DISTINCT author FROM a) JOIN supplier ON s_suppkey = author) SELECT v.node, y.year, (SELECT count(DISTINCT author) FROM a WHERE a.node = v.node) AS n_authors, (SELECT count(DISTINCT nation) FROM a JOIN p ON p.a = a.author WHERE a.node = v.node) AS n_places FROM v LEFT JOIN y ON y.node = v.node")
+def net_attributes(spark, folder):
+    """Years, authors and places of a network's nodes."""
+    n = nodes(spark, folder)
+    seeds = n.filter("year between 1985 and 1987")
+    found = G.multi_year_network(citations(spark, folder), [seeds], n.select("node"))[1]
+    who = authors(spark, folder)
+    places = who.join(table(spark, folder, "supplier").select(F.col("s_suppkey").alias("author"), "s_nationkey"), "author").select("node", F.col("s_nationkey").alias("place"))
+    rows = G.with_attributes(found.select("node"), {"authors": who.withColumnRenamed("author", "value"), "places": places.withColumnRenamed("place", "value")})
+    return rows.join(n.select("node", "year"), "node", "left").select("node", "year", F.size("authors").cast("long").alias("n_authors"), F.size("places").cast("long").alias("n_places"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'MED:' || p_partkey WHEN p_partkey % 5 = 1 THEN '' WHEN p_partkey % 5 = 2 THEN NULL ELSE 'W:' || p_partkey END AS id FROM part")
+def net_repair_ids(spark, folder):
+    """Ids without a known prefix get the usual one."""
+    key = F.col("p_partkey")
+    raw = F.when(key % 5 == 0, F.concat(F.lit("MED:"), key)).when(key % 5 == 1, "").when(key % 5 == 2, F.lit(None)).otherwise(key.cast("string"))
+    return table(spark, folder, "part").select("p_partkey", R.repair_ids(raw, ("MED:", "W:"), "W:").alias("id"))
+
+
 @query(f"{W} SELECT citing, cited FROM e WHERE citing IN (SELECT node FROM y WHERE cluster_no < 5) AND cited IN (SELECT node FROM y WHERE cluster_no < 5)")
 def net_induced(spark, folder):
     return G.induced(citations(spark, folder), nodes(spark, folder).filter("cluster_no < 5"))
@@ -211,14 +252,14 @@ def net_edge_class(spark, folder):
     return G.edge_class(citations(spark, folder), 30)
 
 
-@query(f"WITH {K}, v AS (SELECT citing AS node FROM k UNION SELECT cited FROM k), m AS (SELECT node, row_number() OVER (ORDER BY node) AS label FROM v) SELECT a.label AS citing, b.label AS cited FROM k JOIN m a ON a.node = citing JOIN m b ON b.node = cited")
+@query(f"WITH {E}, v AS (SELECT citing AS node FROM e UNION SELECT cited FROM e), m AS (SELECT node, row_number() OVER (ORDER BY node) AS label FROM v) SELECT a.label AS citing, b.label AS cited FROM e JOIN m a ON a.node = citing JOIN m b ON b.node = cited")
 def net_relabel(spark, folder):
-    return G.relabel(recorded_pairs(spark, folder))[0]
+    return G.relabel(citations(spark, folder))[0]
 
 
-@query(f"WITH {K}, b AS (SELECT citing AS x, cited AS z FROM k UNION SELECT cited, citing FROM k) SELECT x AS label, string_agg(CAST(z AS VARCHAR), ' ' ORDER BY z) AS neighbours FROM b GROUP BY x")
+@query(f"WITH {E}, b AS (SELECT citing AS x, cited AS z FROM e UNION SELECT cited, citing FROM e) SELECT x AS label, string_agg(CAST(z AS VARCHAR), ' ' ORDER BY z) AS neighbours FROM b GROUP BY x")
 def net_adjacency_lists(spark, folder):
-    return G.adjacency_lists(recorded_pairs(spark, folder))
+    return G.adjacency_lists(citations(spark, folder))
 
 
 @query(f"{W} SELECT y.node, y.year, y.issn, a.citing AS citer, z.year AS citer_year FROM y JOIN e a ON a.cited = y.node JOIN y z ON z.node = a.citing")
@@ -227,52 +268,85 @@ def net_enrich(spark, folder):
     return citations(spark, folder).join(n.select(F.col("node").alias("cited"), "year", "issn"), "cited").join(n.select(F.col("node").alias("citing"), F.col("year").alias("citer_year")), "citing").select(F.col("cited").alias("node"), "year", "issn", F.col("citing").alias("citer"), "citer_year")
 
 
-# Loops over the sparse graph.
+# Loops over the citation graph. In the SQL a loop is a recursion whose rows carry the whole state and its number.
 
-_REACH = f"WITH RECURSIVE {K}, b AS (SELECT citing AS x, cited AS z FROM k UNION SELECT cited, citing FROM k), r(x, z) AS (SELECT x, x FROM b UNION SELECT r.x, b.z FROM r JOIN b ON b.x = r.z)"
+_U = "u AS (SELECT DISTINCT least(citing, cited) AS a, greatest(citing, cited) AS b FROM e), b2 AS (SELECT a AS x, b AS z FROM u UNION ALL SELECT b, a FROM u)"
+CORE_K, ROUNDS = 41, 60
 
 
-@query(_REACH + " SELECT x AS node, min(z) AS component FROM r GROUP BY x")
+@query(f"WITH RECURSIVE {E}, {_U}, v AS (SELECT DISTINCT x FROM b2), r(i, x, c) AS (SELECT 0, x, x FROM v UNION ALL SELECT i + 1, r.x, least(r.c, m.c) FROM r JOIN (SELECT b2.x, min(q.c) AS c FROM b2 JOIN r q ON q.x = b2.z GROUP BY b2.x) m ON m.x = r.x WHERE i < 12) SELECT x AS node, c AS component FROM r WHERE i = 12")
 def graph_components(spark, folder):
-    return G.components(recorded_pairs(spark, folder))
+    return G.components(citations(spark, folder))
 
 
-@query()
+_KCORE = f"k(i, a, b) AS (SELECT 0, a, b FROM u UNION ALL SELECT i + 1, k.a, k.b FROM k WHERE i < {ROUNDS} AND k.a IN (SELECT x FROM (SELECT a AS x FROM k UNION ALL SELECT b FROM k) GROUP BY x HAVING count(*) >= {CORE_K}) AND k.b IN (SELECT x FROM (SELECT a AS x FROM k UNION ALL SELECT b FROM k) GROUP BY x HAVING count(*) >= {CORE_K}))"
+
+
+@query(f"WITH RECURSIVE {E}, {_U}, {_KCORE} SELECT a AS citing, b AS cited FROM k WHERE i = {ROUNDS}")
 def graph_kcore(spark, folder):
-    return G.kcore(recorded_pairs(spark, folder), 2)
+    return G.kcore(citations(spark, folder), CORE_K)
 
 
-@query()
+_CORENESS = f"d0 AS (SELECT x, count(*) AS c FROM b2 GROUP BY x), h(i, x, c) AS (SELECT 0, x, c FROM d0 UNION ALL SELECT i + 1, x, max(least(v, n)) FROM (SELECT q.i, b2.x, w.c AS v, row_number() OVER (PARTITION BY b2.x ORDER BY w.c DESC) AS n FROM b2 JOIN h w ON w.x = b2.z JOIN h q ON q.x = b2.x WHERE q.i < {ROUNDS}) GROUP BY i, x)"
+
+
+@query(f"WITH RECURSIVE {E}, {_U}, {_CORENESS} SELECT x AS node, CAST(c AS INTEGER) AS core FROM h WHERE i = {ROUNDS}")
 def graph_coreness(spark, folder):
-    return G.coreness(recorded_pairs(spark, folder))
+    return G.coreness(citations(spark, folder))
 
 
-@query()
+_RANK = (
+    "v AS (SELECT citing AS x FROM e UNION SELECT cited FROM e), o AS (SELECT citing AS x, count(*) AS n FROM e GROUP BY citing), t AS (SELECT count(*) AS n FROM v), "
+    "p(i, x, r) AS (SELECT 0, x, 1.0::DOUBLE / t.n FROM v, t UNION ALL SELECT p.i + 1, p.x, 0.15 / t.n + 0.85 * l.lost / t.n + 0.85 * coalesce(g.r, 0) FROM p, t, (SELECT coalesce(sum(q.r), 0) AS lost FROM p q WHERE q.x NOT IN (SELECT x FROM o)) l "
+    "LEFT JOIN (SELECT e.cited AS x, sum(q.r / o.n) AS r FROM e JOIN p q ON q.x = e.citing JOIN o ON o.x = e.citing GROUP BY e.cited) g ON g.x = p.x WHERE p.i < 40), "
+    "m AS (SELECT a.i, sum(abs(a.r - b.r)) AS moved FROM p a JOIN p b ON b.i = a.i - 1 AND b.x = a.x GROUP BY a.i), w AS (SELECT min(i) AS i FROM m WHERE moved < 1e-4)"
+)
+
+
+@query(f"WITH RECURSIVE {E}, {_RANK} SELECT x AS node, round(r, 8) AS rank FROM p WHERE i = (SELECT i FROM w)")
 def graph_pagerank(spark, folder):
     return G.pagerank(citations(spark, folder)).withColumn("rank", F.round("rank", 8))
 
 
-def _ends(spark, folder):
-    n = nodes(spark, folder)
-    return n.filter("year = 2009 and cluster_no = 19").select("node"), n.filter("year = 1970 and cluster_no = 0").select("node")
+LEVELS = 8
 
 
-@query()
+def _levels_sql() -> str:
+    """Breadth first from the seed, level by level: l<d> (source, node, paths), lv all levels with their distance."""
+    out = ["l0 AS (SELECT node AS source, node, 1::HUGEINT AS paths FROM s)", "z0 AS (SELECT source, node FROM l0)"]
+    for d in range(1, LEVELS + 1):
+        out.append(f"l{d} AS (SELECT n.* FROM (SELECT source, e.cited AS node, sum(paths) AS paths FROM l{d - 1} JOIN e ON e.citing = node GROUP BY ALL) n ANTI JOIN z{d - 1} z ON z.source = n.source AND z.node = n.node)")
+        out.append(f"z{d} AS (SELECT * FROM z{d - 1} UNION ALL SELECT source, node FROM l{d})")
+    every = " UNION ALL ".join(f"SELECT source, node, {d} AS distance, paths FROM l{d}" for d in range(LEVELS + 1))
+    return ", ".join(out) + f", lv AS ({every})"
+
+
+_BFS = f"{W}, s AS (SELECT node FROM y WHERE year = 1985 AND cluster_no = 15), {_levels_sql()}"
+
+
+@query(_BFS + " SELECT source, node, CAST(distance AS INTEGER) AS distance, CAST(paths AS BIGINT) AS paths FROM lv")
 def graph_shortest_paths(spark, folder):
-    links = recorded_pairs(spark, folder)
-    return G.shortest_paths(links, G.nodes_of(links))
+    return G.shortest_paths(citations(spark, folder), _seed(spark, folder))
 
 
-@query()
+@query(_BFS + " SELECT source AS node, count(*) AS reached, round(count(*) / sum(distance), 8) AS closeness FROM lv WHERE distance > 0 GROUP BY source")
 def graph_closeness(spark, folder):
-    links = recorded_pairs(spark, folder)
-    return G.closeness(links, G.nodes_of(links)).withColumn("closeness", F.round("closeness", 8))
+    return G.closeness(citations(spark, folder), _seed(spark, folder)).withColumn("closeness", F.round("closeness", 8))
 
 
-@query()
+_DELTA = f"b{LEVELS} AS (SELECT source, node, 0.0::DOUBLE AS delta FROM l{LEVELS})" + "".join(
+    f", b{d} AS (SELECT a.source, a.node, coalesce(sum(CASE WHEN c.node IS NOT NULL THEN a.paths / c.paths::DOUBLE * (1 + g.delta) END), 0) AS delta FROM l{d} a LEFT JOIN e ON e.citing = a.node LEFT JOIN l{d + 1} c ON c.source = a.source AND c.node = e.cited LEFT JOIN b{d + 1} g ON g.source = c.source AND g.node = c.node GROUP BY a.source, a.node)" for d in range(LEVELS - 1, 0, -1)
+)
+
+
+@query(_BFS + f", {_DELTA} SELECT node, round(sum(delta), 5) AS betweenness FROM (" + " UNION ALL ".join(f"SELECT node, delta FROM b{d}" for d in range(1, LEVELS + 1)) + ") GROUP BY node")
 def graph_betweenness(spark, folder):
-    links = recorded_pairs(spark, folder)
-    return G.betweenness(links, G.nodes_of(links)).withColumn("betweenness", F.round("betweenness", 6))
+    return G.betweenness(citations(spark, folder), _seed(spark, folder)).withColumn("betweenness", F.round("betweenness", 5))
+
+
+def _ends(spark, folder):
+    n = nodes(spark, folder)
+    return n.filter("year = 2009 and cluster_no = 19").select("node"), n.filter("year = 1970 and cluster_no = 0").select("node")
 
 
 _WALK = "s AS (SELECT node FROM y WHERE year = 2009 AND cluster_no = 19), t AS (SELECT node FROM y WHERE year = 1970 AND cluster_no = 0)"
@@ -283,6 +357,26 @@ def graph_bounded_paths(spark, folder):
     return G.bounded_paths(citations(spark, folder), *_ends(spark, folder), 3)
 
 
+_FLAG = "f AS (SELECT node FROM y WHERE cluster_no = 7)"
+
+
+@query(f"{W}, {_WALK}, {_FLAG}, s1 AS (SELECT DISTINCT s.node AS source, e.cited AS node FROM s JOIN e ON e.citing = s.node), p2 AS (SELECT a.source, e.cited AS target, count(*) AS paths, count(*) FILTER (WHERE a.node IN (SELECT node FROM f)) AS paths_through FROM s1 a JOIN e ON e.citing = a.node GROUP BY ALL), near AS (SELECT source, node AS target, 1 AS distance, 1 AS paths, 0 AS paths_through FROM s1 UNION ALL SELECT source, target, 2, paths, paths_through FROM p2 WHERE source <> target AND (source, target) NOT IN (SELECT (source, node) FROM s1)), p3 AS (SELECT a.source, d.cited AS target, count(*) AS paths, count(*) FILTER (WHERE a.node IN (SELECT node FROM f) OR c.cited IN (SELECT node FROM f)) AS paths_through FROM s1 a JOIN e c ON c.citing = a.node JOIN e d ON d.citing = c.cited JOIN t ON t.node = d.cited WHERE c.cited <> a.source AND (a.source, c.cited) NOT IN (SELECT (source, node) FROM s1) GROUP BY ALL) "
+       "SELECT source, target, CAST(distance AS INTEGER) AS distance, CAST(paths AS BIGINT) AS paths, CAST(paths_through AS BIGINT) AS paths_through FROM near JOIN t ON t.node = target WHERE source <> target UNION ALL SELECT source, target, 3, paths, paths_through FROM p3 WHERE source <> target AND (source, target) NOT IN (SELECT (source, target) FROM near)".replace("(SELECT (source, node)", "(SELECT row(source, node)").replace("(SELECT (source, target)", "(SELECT row(source, target)").replace("(source, target) NOT IN", "row(source, target) NOT IN").replace("(a.source, c.cited) NOT IN", "row(a.source, c.cited) NOT IN"))
+def graph_through_flagged(spark, folder):
+    """Shortest paths between two sets of nodes, at most 3 steps here, with those through a flagged node."""
+    found = G.through_flagged(citations(spark, folder), *_ends(spark, folder), nodes(spark, folder).filter("cluster_no = 7"))
+    return found.filter("distance <= 3")
+
+
+@query(
+    f"{W}, {_WALK}, {_FLAG}, p2 AS (SELECT a.cited AS u FROM e a JOIN s ON s.node = a.citing JOIN e b ON b.citing = a.cited JOIN t ON t.node = b.cited WHERE a.cited IN (SELECT node FROM f)), "
+    "p3 AS (SELECT a.cited AS u, b.cited AS v FROM e a JOIN s ON s.node = a.citing JOIN e b ON b.citing = a.cited JOIN e c ON c.citing = b.cited JOIN t ON t.node = c.cited WHERE a.cited IN (SELECT node FROM f) OR b.cited IN (SELECT node FROM f)), "
+    "n AS (SELECT u AS node FROM p2 UNION ALL SELECT u FROM p3 UNION ALL SELECT v FROM p3) SELECT node, count(*) AS paths FROM n GROUP BY node ORDER BY count(*) DESC, node LIMIT 10"
+)
+def graph_most_used_through(spark, folder):
+    return G.most_used_nodes(citations(spark, folder), *_ends(spark, folder), 3, 10, nodes(spark, folder).filter("cluster_no = 7"))
+
+
 @query(f"{W}, {_WALK}, m AS (SELECT a.cited AS node, count(*) AS p FROM e a JOIN s ON s.node = a.citing JOIN e b ON b.citing = a.cited JOIN t ON t.node = b.cited GROUP BY 1) SELECT node, CAST(p AS BIGINT) AS paths FROM m ORDER BY p DESC, node LIMIT 10")
 def graph_most_used_nodes(spark, folder):
     return G.most_used_nodes(citations(spark, folder), *_ends(spark, folder), 2, 10)
@@ -298,14 +392,8 @@ def cocite_pairs(spark, folder):
     return P.cocited_pairs(citations(spark, folder))
 
 
-@query(f"WITH {E}, {_CO}, n AS (SELECT cited, count(*) AS n FROM e GROUP BY cited) SELECT c.*, round(frequency / sqrt(CAST(a.n AS DOUBLE) * b.n), 8) AS normalized FROM c JOIN n a ON a.cited = cited_1 JOIN n b ON b.cited = cited_2 WHERE frequency >= 4")
-def cocite_normalized(spark, folder):
-    e = citations(spark, folder)
-    return P.normalized_frequency(e, P.cocited_pairs(e).filter("frequency >= 4")).withColumn("normalized", F.round("normalized", 8))
-
-
 @query(f"WITH {E}, {_CO}, n AS (SELECT cited, count(*) AS n FROM e GROUP BY cited) SELECT c.*, round(frequency / sqrt(CAST(a.n AS DOUBLE) * b.n), 8) AS normalized FROM c JOIN n a ON a.cited = cited_1 JOIN n b ON b.cited = cited_2")
-def cocite_normalized_whole(spark, folder):
+def cocite_normalized(spark, folder):
     e = citations(spark, folder)
     return P.normalized_frequency(e, P.cocited_pairs(e)).withColumn("normalized", F.round("normalized", 8))
 
@@ -320,6 +408,34 @@ def cocite_given_pairs(spark, folder):
     return P.cocited_pairs(citations(spark, folder), pair_list(spark, folder))
 
 
+@query(_HAZEN + ", t AS (SELECT node FROM r WHERE citation_count > 0 AND 100 * (ar - 0.5) / n >= 90), te AS (SELECT e.* FROM e JOIN t ON t.node = e.cited) SELECT a.cited AS cited_1, b.cited AS cited_2, count(*) AS frequency FROM te a JOIN te b ON a.citing = b.citing AND a.cited < b.cited GROUP BY ALL")
+def cocite_top_ranked(spark, folder):
+    """Pairs among the references of the highest ranks of their year."""
+    top = S.hazen(_counts(spark, folder), "citation_count", "year").filter("hazen_perc >= 90").select(F.col("node").alias("cited"))
+    return P.cocited_pairs(citations(spark, folder).join(top, "cited", "left_semi"))
+
+
+_PAT = "pt AS (SELECT DISTINCT CASE WHEN l_linenumber = 1 THEN 'US' ELSE 'EP' END AS country, l_orderkey AS doc_number, l_partkey AS scp FROM lineitem)"
+
+
+@query(f"{WP}, {_PAT} SELECT l.cited_1, l.cited_2, a.country, a.doc_number FROM l JOIN pt a ON a.scp = l.cited_1 JOIN pt b ON b.country = a.country AND b.doc_number = a.doc_number AND b.scp = l.cited_2")
+def cocite_patents(spark, folder):
+    """Patents that cite both publications of a pair."""
+    cites = table(spark, folder, "lineitem").select(F.when(F.col("l_linenumber") == 1, "US").otherwise("EP").alias("country"), F.col("l_orderkey").alias("doc_number"), F.col("l_partkey").alias("scp"))
+    return P.patent_cocitation(pair_list(spark, folder), cites, ["country", "doc_number"])
+
+
+@query(f"{WP} SELECT l.cited_1, l.cited_2, (SELECT count(*) FROM e WHERE (citing = l.cited_1 AND cited = l.cited_2) OR (citing = l.cited_2 AND cited = l.cited_1)) AS edges FROM l")
+def cocite_edges_between(spark, folder):
+    return P.edges_between(citations(spark, folder), pair_list(spark, folder))
+
+
+@query(f"SELECT l_partkey AS node, count(*) AS edges FROM lineitem WHERE l_orderkey % {COUNT} = l_partkey GROUP BY 1")
+def cocite_self_citations(spark, folder):
+    parts = table(spark, folder, "part").agg(F.count(F.lit(1))).scalar()
+    return P.self_citations(table(spark, folder, "lineitem").select(F.pmod(F.col("l_orderkey"), parts).alias("citing"), F.col("l_partkey").alias("cited")))
+
+
 _KIN = "ks AS (SELECT l.cited_1, l.cited_2, z.year AS co_cited_year, count(*) AS frequency FROM l JOIN e u ON u.cited = l.cited_1 JOIN e v ON v.cited = l.cited_2 AND v.citing = u.citing JOIN y z ON z.node = u.citing GROUP BY ALL)"
 
 
@@ -339,17 +455,49 @@ def cocite_kinetics_summary(spark, folder):
 
 
 def _filled(spark, folder):
-    rows = table(spark, folder, "sb_plus_complete_kinetics").filter("cited_1 < cited_2 and co_cited_year is not null and frequency is not null")
-    series = rows.groupBy("cited_1", "cited_2", F.col("co_cited_year").cast("int").alias("co_cited_year")).agg(F.max("frequency").alias("frequency"))
+    rows = table(spark, folder, "sb_plus_complete_kinetics").filter("cited_1 <> cited_2 and co_cited_year is not null and frequency is not null")
+    series = rows.groupBy(F.least("cited_1", "cited_2").alias("cited_1"), F.greatest("cited_1", "cited_2").alias("cited_2"), F.col("co_cited_year").cast("int").alias("co_cited_year")).agg(F.max("frequency").alias("frequency"))
     return R.fill_years(series, ["cited_1", "cited_2"], "co_cited_year", F.min("co_cited_year"), F.max("co_cited_year"), ["frequency"])
 
 
 _FILL = (
-    "WITH s AS (SELECT cited_1, cited_2, CAST(co_cited_year AS INTEGER) AS y, max(frequency) AS f FROM sb_plus_complete_kinetics WHERE cited_1 < cited_2 AND co_cited_year IS NOT NULL AND frequency IS NOT NULL GROUP BY ALL), "
+    "WITH s AS (SELECT least(cited_1, cited_2) AS cited_1, greatest(cited_1, cited_2) AS cited_2, CAST(co_cited_year AS INTEGER) AS y, max(frequency) AS f FROM sb_plus_complete_kinetics WHERE cited_1 <> cited_2 AND co_cited_year IS NOT NULL AND frequency IS NOT NULL GROUP BY ALL), "
     "r AS (SELECT cited_1, cited_2, unnest(generate_series(min(y), max(y))) AS y FROM s GROUP BY cited_1, cited_2), g AS (SELECT r.cited_1, r.cited_2, CAST(r.y AS INTEGER) AS co_cited_year, coalesce(s.f, 0) AS frequency FROM r LEFT JOIN s USING (cited_1, cited_2, y))"
 )
 
 
+_POSSIBLE = "f AS (SELECT least(cited_1, cited_2) AS cited_1, greatest(cited_1, cited_2) AS cited_2, CAST(min(first_possible_year) AS INTEGER) AS f FROM sb_plus_complete_kinetics WHERE cited_1 <> cited_2 AND first_possible_year IS NOT NULL GROUP BY 1, 2)"
+
+
+def _possible(spark, folder):
+    rows = table(spark, folder, "sb_plus_complete_kinetics").filter("cited_1 <> cited_2 and first_possible_year is not null")
+    return rows.groupBy(F.least("cited_1", "cited_2").alias("cited_1"), F.greatest("cited_1", "cited_2").alias("cited_2")).agg(F.min("first_possible_year").cast("int").alias("first_possible_year"))
+
+
+def _filled_from_possible(spark, folder):
+    series = _filled(spark, folder).select("cited_1", "cited_2", "co_cited_year", "frequency").join(_possible(spark, folder), ["cited_1", "cited_2"]).filter("co_cited_year >= first_possible_year")
+    return R.fill_years(series, ["cited_1", "cited_2"], "co_cited_year", F.min("first_possible_year"), F.max("co_cited_year"), ["frequency"]).select("cited_1", "cited_2", "co_cited_year", "frequency")
+
+
+_FROM = _FILL + ", " + _POSSIBLE + ", gp AS (SELECT g.* FROM g JOIN f USING (cited_1, cited_2) WHERE co_cited_year >= f.f), ry AS (SELECT gp.cited_1, gp.cited_2, unnest(generate_series(min(f.f), max(co_cited_year))) AS y FROM gp JOIN f USING (cited_1, cited_2) GROUP BY gp.cited_1, gp.cited_2), gf AS (SELECT ry.cited_1, ry.cited_2, CAST(ry.y AS INTEGER) AS co_cited_year, coalesce(gp.frequency, 0) AS frequency FROM ry LEFT JOIN gp ON gp.cited_1 = ry.cited_1 AND gp.cited_2 = ry.cited_2 AND gp.co_cited_year = ry.y)"
+
+
+@query(_FROM + " SELECT * FROM gf")
+def cocite_gap_fill_from_possible(spark, folder):
+    """Zero rows from the first year in which both could be cited."""
+    return _filled_from_possible(spark, folder)
+
+
+@query(
+    _FROM + ", q AS (SELECT *, min(co_cited_year) OVER w AS t0, max(frequency) OVER w AS top, arg_min(frequency, co_cited_year) OVER w AS c0 FROM gf WINDOW w AS (PARTITION BY cited_1, cited_2)), p AS (SELECT *, min(CASE WHEN frequency = top THEN co_cited_year END) OVER (PARTITION BY cited_1, cited_2) AS tp FROM q) "
+    "SELECT cited_1, cited_2, round(coalesce(sum(CASE WHEN tp > t0 THEN ((top - c0) / (tp - t0) * (co_cited_year - t0) + c0 - frequency) / greatest(1, frequency) END), 0), 6) AS sb FROM p WHERE co_cited_year <= tp GROUP BY ALL"
+)
+def cocite_sleeping_beauty_from_possible(spark, folder):
+    """The line begins at the first year in which both could be cited."""
+    start = _possible(spark, folder).withColumnRenamed("first_possible_year", "start_year")
+    return P.sleeping_beauty(_filled_from_possible(spark, folder), start=start).withColumn("sb", F.round("sb", 6))
+
+
 @query(_FILL + " SELECT * FROM g")
 def cocite_gap_fill(spark, folder):
     return _filled(spark, folder)
@@ -417,10 +565,10 @@ def cocite_jaccard_closed(spark, folder):
     return _jaccard(spark, folder, closed=True)
 
 
-def _theta_sql(prime: bool, closed: bool = True) -> str:
+def _theta_sql(prime: bool, delta: bool = False) -> str:
     keep = " WHERE x + w = 1" if prime else ""
-    if not closed:
-        keep += (" AND " if keep else " WHERE ") + "citing NOT IN (cited_1, cited_2)"
+    if delta:
+        keep = " WHERE NOT EXISTS (SELECT 1 FROM e u JOIN e v ON v.citing = u.citing WHERE u.cited = n0.cited_1 AND v.cited = n0.cited_2 AND u.citing = n0.citing)"
     return (
         f"{WP}, n0 AS (SELECT l.cited_1, l.cited_2, e.citing, max(CASE WHEN e.cited = l.cited_1 THEN 1 ELSE 0 END) AS x, max(CASE WHEN e.cited = l.cited_2 THEN 1 ELSE 0 END) AS w FROM l JOIN e ON e.cited IN (l.cited_1, l.cited_2) JOIN y z ON z.node = e.citing AND z.year <= l.first_year GROUP BY ALL), n AS (SELECT * FROM n0{keep}), "
         "s AS (SELECT cited_1, cited_2, CAST(sum(x) AS BIGINT) AS n_x, CAST(sum(w) AS BIGINT) AS n_y FROM n GROUP BY ALL), "
@@ -429,8 +577,8 @@ def _theta_sql(prime: bool, closed: bool = True) -> str:
     )
 
 
-def _theta(spark, folder, prime, closed=True):
-    return P.theta_omega(citations(spark, folder), nodes(spark, folder), pair_list(spark, folder), "first_year", prime, closed).withColumn("theta", F.round("theta", 8))
+def _theta(spark, folder, prime, delta=False):
+    return P.theta_omega(citations(spark, folder), nodes(spark, folder), pair_list(spark, folder), "first_year", prime, delta).withColumn("theta", F.round("theta", 8))
 
 
 @query(_theta_sql(False))
@@ -443,9 +591,15 @@ def cocite_theta_omega_prime(spark, folder):
     return _theta(spark, folder, True)
 
 
-@query(_theta_sql(True, False))
+@query(_theta_sql(False, True))
 def cocite_theta_omega_delta(spark, folder):
-    return _theta(spark, folder, True, False)
+    return _theta(spark, folder, False, True)
+
+
+@query(f"WITH q AS ({_theta_sql(True)}) SELECT cited_1, cited_2, round((edges_xy + edges_yx) / nullif(n_x * n_y, 0), 8) AS density FROM q")
+def cocite_exy_density(spark, folder):
+    theta = P.theta_omega(citations(spark, folder), nodes(spark, folder), pair_list(spark, folder), "first_year", True)
+    return P.exy_density(theta).withColumn("density", F.round("density", 8))
 
 
 @query(f"{WP} SELECT l.cited_1, l.cited_2, EXISTS (SELECT 1 FROM e WHERE e.citing = l.cited_1 AND e.cited = l.cited_2) OR EXISTS (SELECT 1 FROM e WHERE e.citing = l.cited_2 AND e.cited = l.cited_1) AS connected FROM l")
@@ -463,13 +617,8 @@ def cocite_max(spark, folder):
     return P.max_cocitations(citations(spark, folder), _seed(spark, folder), 5)
 
 
-@query(f"WITH {E} SELECT a.citing AS citing_1, b.citing AS citing_2, count(*) AS coupling FROM e a JOIN e b ON a.cited = b.cited AND a.citing < b.citing GROUP BY ALL HAVING count(*) >= 3")
-def cocite_bibliographic_coupling(spark, folder):
-    return P.bibliographic_coupling(citations(spark, folder)).filter("coupling >= 3")
-
-
 @query(f"WITH {E} SELECT a.citing AS citing_1, b.citing AS citing_2, count(*) AS coupling FROM e a JOIN e b ON a.cited = b.cited AND a.citing < b.citing GROUP BY ALL")
-def cocite_bibliographic_coupling_whole(spark, folder):
+def cocite_bibliographic_coupling(spark, folder):
     return P.bibliographic_coupling(citations(spark, folder))
 
 
@@ -478,6 +627,11 @@ def cocite_common_neighbours(spark, folder):
     return P.common_neighbours(citations(spark, folder), 7, 25)
 
 
+@query(f"WITH {E}, d AS (SELECT cited AS n FROM e GROUP BY cited HAVING count(*) >= 25), m AS (SELECT DISTINCT cited AS n FROM e WHERE citing = 7 AND cited IN (SELECT n FROM d)) SELECT m.n AS neighbour, b.citing AS other, count(*) AS n FROM m JOIN e a ON a.citing = m.n JOIN e b ON b.cited = a.cited AND b.citing <> m.n GROUP BY ALL")
+def cocite_common_references(spark, folder):
+    return P.common_neighbours(citations(spark, folder), 7, 25, "references")
+
+
 _TRI = "t AS (SELECT a.cited AS scp1, b.cited AS scp2, c.cited AS scp3, count(*) AS frequency, min(z.year) AS first_year FROM e a JOIN e b ON b.citing = a.citing AND a.cited < b.cited JOIN e c ON c.citing = b.citing AND b.cited < c.cited LEFT JOIN y z ON z.node = a.citing GROUP BY ALL HAVING count(*) >= 3)"
 
 
@@ -492,6 +646,12 @@ def cocite_triplet_citations(spark, folder):
     return P.triplet_direct_citations(e, P.triplets(e, nodes(spark, folder), 3))
 
 
+@query(f"{W}, {_TRI} SELECT scp1, scp2, scp3, a.citing FROM t JOIN e a ON a.cited = scp1 JOIN e b ON b.citing = a.citing AND b.cited = scp2 JOIN e c ON c.citing = a.citing AND c.cited = scp3")
+def cocite_triplet_citers(spark, folder):
+    e = citations(spark, folder)
+    return P.triplet_citers(e, P.triplets(e, nodes(spark, folder), 3))
+
+
 @query(f"WITH {E} SELECT a.citing AS node_1, a.cited AS node_2 FROM e a JOIN e b ON a.citing = b.cited AND a.cited = b.citing WHERE a.citing < a.cited")
 def cocite_mutual(spark, folder):
     return P.mutual_citations(citations(spark, folder))
@@ -504,12 +664,12 @@ def cocite_line_graph(spark, folder):
 
 # Disruption.
 
-_DIS = "sh AS (SELECT a.citing AS focal, b.citing AS paper, count(*) AS shared FROM e a JOIN e b ON a.cited = b.cited AND a.citing <> b.citing GROUP BY ALL), ci AS (SELECT cited AS focal, citing AS paper FROM e), r AS (SELECT coalesce(ci.focal, sh.focal) AS focal, coalesce(sh.shared, 0) AS shared, ci.focal IS NOT NULL AS cites FROM ci FULL JOIN sh ON ci.focal = sh.focal AND ci.paper = sh.paper), d AS (SELECT focal, count(*) FILTER (WHERE cites AND shared = 0) AS i, count(*) FILTER (WHERE cites AND shared > 0) AS j, count(*) FILTER (WHERE NOT cites) AS k, count(*) FILTER (WHERE cites AND shared >= 1) AS j_1, count(*) FILTER (WHERE NOT cites AND shared >= 1) AS k_1, count(*) FILTER (WHERE cites AND shared >= 2) AS j_2, count(*) FILTER (WHERE NOT cites AND shared >= 2) AS k_2 FROM r GROUP BY focal)"
+_DIS = "sh AS (SELECT a.citing AS focal, b.citing AS paper, count(*) AS shared FROM e a JOIN e b ON a.cited = b.cited AND a.citing <> b.citing GROUP BY ALL), ci AS (SELECT cited AS focal, citing AS paper FROM e), r AS (SELECT coalesce(ci.focal, sh.focal) AS focal, coalesce(sh.shared, 0) AS shared, ci.focal IS NOT NULL AS cites FROM ci FULL JOIN sh ON ci.focal = sh.focal AND ci.paper = sh.paper), d AS (SELECT focal, count(*) FILTER (WHERE cites AND shared = 0) AS i, count(*) FILTER (WHERE cites AND shared > 0) AS j, count(*) FILTER (WHERE NOT cites) AS k, " + ", ".join(f"count(*) FILTER (WHERE cites AND shared >= {n}) AS j_{n}, count(*) FILTER (WHERE NOT cites AND shared >= {n}) AS k_{n}" for n in range(1, 12)) + " FROM r GROUP BY focal)"
 
 
 @query(f"WITH {E}, {_DIS} SELECT *, round((i - j) / (i + j + k), 8) AS disruption FROM d WHERE j > 0 AND k > 0")
 def disrupt_all_papers(spark, folder):
-    return D.disruption(citations(spark, folder), thresholds=(1, 2)).withColumn("disruption", F.round("disruption", 8))
+    return D.disruption(citations(spark, folder), thresholds=tuple(range(1, 12))).withColumn("disruption", F.round("disruption", 8))
 
 
 @query(f"{W}, {_DIS.replace('b.citing GROUP', 'b.citing JOIN y ON y.node = b.citing AND y.cluster_no < 10 GROUP', 1)} SELECT focal, i, j, k FROM d WHERE j > 0 AND k > 0")
@@ -549,10 +709,9 @@ def null_best_issn(spark, folder):
 
 
 def _hash_sql(*parts: str) -> str:
-    h = "17"
-    for p in parts:
-        h = f"(({h}) * 48271 + ({p} % 2147483647) * 69621 + 12345) % 2147483647"
-    return f"(({h}) * 16807) % 2147483647"
+    """portable_hash() as nested subqueries would need a name for each step; list_reduce keeps one."""
+    values = ", ".join(f"CAST({p} AS BIGINT) % 2147483647" for p in (*parts, "0"))
+    return f"list_reduce([17::BIGINT, {values}], lambda h, p: (h * h + h * 48271 + p * 69621 + 12345) % 2147483647)"
 
 
 _PERM = f"p0 AS (SELECT *, CAST(unnest(generate_series(1, 10)) AS INTEGER) AS perm_id FROM s), p1 AS (SELECT *, {_hash_sql('CAST(perm_id AS BIGINT)', 'source_id', 'ref_id')} AS h FROM p0), p2 AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY perm_id, ref_year) AS n FROM p1 WINDOW w AS (PARTITION BY perm_id, ref_year ORDER BY h, source_id, ref_id)), p3 AS (SELECT a.perm_id, a.source_id, a.source_issn, a.ref_year, b.ref_id, b.ref_issn FROM p2 a JOIN p2 b ON b.perm_id = a.perm_id AND b.ref_year = a.ref_year AND b.i = a.i % a.n + 1), pm AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY perm_id, source_id, ref_id) AS c FROM p3) WHERE c = 1)"
@@ -590,7 +749,7 @@ def null_z_scores(spark, folder):
     return _z(spark, folder)[1].select("issn_1", "issn_2", "observed", "n", F.round("mean", 6).alias("mean"), F.round("z", 4).alias("z"))
 
 
-_SUMMARY = _Z + ", j AS (SELECT DISTINCT source_id, ref_issn FROM s), w AS (SELECT a.source_id, z.z FROM j a JOIN j b ON a.source_id = b.source_id AND a.ref_issn <= b.ref_issn JOIN z ON z.issn_1 = a.ref_issn AND z.issn_2 = b.ref_issn WHERE isfinite(z.z)), u AS (SELECT source_id, quantile_cont(z, 0.5) AS med, quantile_cont(z, 0.1) AS ten, quantile_cont(z, 0.01) AS one FROM w GROUP BY source_id)"
+_SUMMARY = _Z + ", rp AS (SELECT a.source_id, a.ref_id AS ref_1, b.ref_id AS ref_2, a.ref_issn AS issn_1, b.ref_issn AS issn_2 FROM s a JOIN s b ON a.source_id = b.source_id AND (a.ref_issn < b.ref_issn OR (a.ref_issn = b.ref_issn AND a.ref_id < b.ref_id))), w AS (SELECT rp.source_id, z.z FROM rp JOIN z USING (issn_1, issn_2) WHERE isfinite(z.z)), u AS (SELECT source_id, quantile_cont(z, 0.5) AS med, quantile_cont(z, 0.1) AS ten, quantile_cont(z, 0.01) AS one FROM w GROUP BY source_id)"
 
 
 @query(_SUMMARY + " SELECT source_id, round(med, 5) AS med, round(ten, 5) AS ten, round(one, 5) AS one FROM u")
@@ -598,6 +757,26 @@ def null_pub_z_summary(spark, folder):
     return N.pub_z_summary(*_z(spark, folder)).select("source_id", *(F.round(c, 5).alias(c) for c in ("med", "ten", "one")))
 
 
+@query(_SUMMARY + " SELECT source_id, ref_1, ref_2, rp.issn_1, rp.issn_2, observed, n, round(mean, 6) AS mean, round(z, 4) AS z FROM rp JOIN z ON z.issn_1 = rp.issn_1 AND z.issn_2 = rp.issn_2 WHERE z.z IS NOT NULL")
+def null_pub_pairs(spark, folder):
+    return N.pub_pairs(*_z(spark, folder)).select("source_id", "ref_1", "ref_2", "issn_1", "issn_2", "observed", "n", F.round("mean", 6).alias("mean"), F.round("z", 4).alias("z"))
+
+
+def _subset(spark, folder):
+    return nodes(spark, folder).filter("cluster_no < 16").select(F.col("node").alias("source_id"))
+
+
+@query(
+    _SUMMARY + ", sets AS (SELECT 'slice' AS part, * FROM u UNION ALL SELECT 'subset', * FROM u WHERE source_id IN (SELECT node FROM y WHERE cluster_no < 16)), md AS (SELECT part, quantile_cont(med, 0.5) AS m, count(*) AS t FROM sets GROUP BY part), "
+    "cs AS (SELECT part, CASE WHEN med <= m THEN 'LC' ELSE 'HC' END || CASE WHEN ten >= 0 THEN 'LN' ELSE 'HN' END AS category, t FROM sets JOIN md USING (part)) SELECT part, category, count(*) AS n, CAST(floor(100 * count(*) / t) AS BIGINT) AS percent FROM cs GROUP BY part, category, t"
+)
+def null_category_shares(spark, folder):
+    """Categories of the whole slice, and of a subset against its own median."""
+    summary = materialise(N.pub_z_summary(*_z(spark, folder)))
+    whole, part = N.category_shares(summary), N.category_shares(summary, _subset(spark, folder))
+    return whole.withColumn("part", F.lit("slice")).unionByName(part.withColumn("part", F.lit("subset")))
+
+
 _CAT = _SUMMARY + ", cn AS (SELECT cited AS source_id, count(*) AS citation_count FROM e GROUP BY cited), cc AS (SELECT u.*, coalesce(citation_count, 0) AS citation_count FROM u LEFT JOIN cn USING (source_id)), ct AS (SELECT source_id, CASE WHEN ten < 0 THEN 'HN' ELSE 'LN' END || CASE WHEN med > (SELECT quantile_cont(med, 0.5) FROM cc) THEN 'HC' ELSE 'LC' END AS category, citation_count >= (SELECT quantile_cont(citation_count, 0.9) FROM cc) AS is_hit FROM cc)"
 
 

@@ -5,6 +5,7 @@ What both engines spell alike is one SQL text; SPARK holds the text for Spark wh
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,13 +21,13 @@ SQL = {
     "rel_between": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_totalprice BETWEEN 1000 AND 50000",
     "rel_in_subquery": "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')",
     "rel_not_in_null_aware": "SELECT sgr FROM scopus_group_deletes WHERE sgr NOT IN (SELECT sgr FROM scopus_publication_groups WHERE sgr IS NOT NULL)",
-    "rel_not_in_with_null": "SELECT sgr FROM scopus_group_deletes WHERE sgr NOT IN (SELECT CASE WHEN p_partkey = 0 THEN NULL ELSE p_partkey END FROM part)",
+    "rel_not_in_with_null": "SELECT o_orderstatus, count(*) AS n, count(CASE WHEN o_custkey NOT IN (SELECT CASE WHEN c_custkey = 1 THEN NULL ELSE c_custkey END FROM customer WHERE c_nationkey < 5 OR c_custkey = 1) THEN 1 END) AS n_outside FROM orders GROUP BY o_orderstatus",
     "rel_exists": "SELECT s_suppkey FROM supplier s WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey = s.s_suppkey AND l.l_quantity > 49)",
-    "rel_not_exists": "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)",
+    "rel_not_exists": "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000)",
     "rel_exists_flag": "SELECT c.c_custkey, o.k IS NOT NULL AS has_order FROM customer c LEFT JOIN (SELECT DISTINCT o_custkey AS k FROM orders) o ON o.k = c.c_custkey",
     "rel_row_value_in": "SELECT DISTINCT cited_1, cited_2 FROM sb_plus_complete_kinetics WHERE (cited_1, cited_2) IN (SELECT cited_1, cited_2 FROM sb_plus_complete_kinetics GROUP BY cited_1, cited_2 HAVING sum(frequency) >= 10)",
     "rel_is_distinct_from": "SELECT count(*) AS n FROM sb_plus_complete_kinetics WHERE cited_1_pub_year IS DISTINCT FROM cited_2_pub_year",
-    "rel_like": "SELECT p_partkey FROM part WHERE p_type LIKE '%STEEL%' OR p_name LIKE 'a%'",
+    "rel_like": "SELECT p_partkey FROM part WHERE p_type LIKE '%STEEL%' OR p_name LIKE '%1%' OR p_brand LIKE 'Brand#1_'",
     "rel_regex": "SELECT appl_no, product_no FROM fda_products WHERE regexp_matches(trade_name, '^[A-M].*[AEIOU]$')",
     "rel_case": "SELECT o_orderkey, CASE WHEN o_totalprice >= 200000 THEN 'high' WHEN o_totalprice >= 100000 THEN 'mid' ELSE 'low' END AS band FROM orders",
     "rel_pair_inequality": "SELECT a.n_nationkey AS a, b.n_nationkey AS b, c.n_nationkey AS c FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey JOIN nation c ON c.n_regionkey = b.n_regionkey AND b.n_nationkey < c.n_nationkey",
@@ -122,19 +123,18 @@ SPARK = {
 }
 
 
-def register(spark: SparkSession, folder: str, text: str) -> None:
-    """The tables that the text names, as views of the folder."""
-    for name in TABLES:
-        if name in text:
-            spark.read.parquet(f"{folder}/{name}.parquet").createOrReplaceTempView(name)
+def over_tables(spark: SparkSession, folder: str, text: str) -> DataFrame:
+    """The text's result over the folder's tables, which stand before it as named subqueries over the files; views of the
+    caller's are neither used nor replaced."""
+    named = [f"{name} AS (SELECT * FROM parquet.`{folder}/{name}.parquet`)" for name in TABLES if re.search(rf"\b{name}\b", text)]
+    return spark.sql(f"WITH {', '.join(named)} {text}" if named else text)
 
 
 def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     text = SPARK.get(name, SQL[name])
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        register(spark, folder, text)
-        return spark.sql(text)
+        return over_tables(spark, folder, text)
 
     run.__name__ = name
     return run

@@ -28,17 +28,14 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "4g
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: what the session names in spark.checkpoint.dir, or one of our own where that is
-    unset (tests, one machine)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "citeloom-shared")
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of df with a reliable checkpoint in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """The folder all executors share: what the session names in spark.checkpoint.dir. Where that is unset it is one of
+    our own on one machine (tests), and an error on a cluster, whose executors could not read each other's disks."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "citeloom-shared")
 
 
 _shipped: set[str] = set()
@@ -82,13 +79,35 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the table that materialise wrote for df, of which nothing is to be read any more."""
+    path = getattr(df, "_written_at", None)
+    if path is not None:
+        _remove(df.sparkSession, path)
+        _written[:] = [w for w in _written if w[1] != path]
+
+
+def replaced(new: DataFrame, *old: DataFrame) -> DataFrame:
+    """new materialised, and the tables it replaces removed: the step of a loop, which so holds one table at a time."""
+    out = materialise(new)
+    for df in old:
+        discard(df)
+    return out
 
 
 def _remove_written() -> None:
     for spark, path in _written:
         try:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _remove(spark, path)
         except Exception:  # noqa: BLE001 - the session may be gone; its folder goes with the cluster
             return

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -96,7 +96,8 @@ def read_memberships(spark: SparkSession, path: str, threshold: float, sep: str
 
 def read_clustering(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """cluster_no, node from the usual layouts: pairs (cluster node, by a blank), ikc (node,cluster,...), lines (one cluster
-    a line, numbered in order of its least node), labels (line number = node from 1, value = cluster)."""
+    a line, numbered in order of its least node), labels (line number = node from 1, value = cluster; an empty
+    line is a node without cluster)."""
     if kind == "pairs":
         return spark.read.schema("cluster_no long, node long").option("sep", " ").csv(path)
     if kind == "ikc":
@@ -106,7 +107,12 @@ def read_clustering(spark: SparkSession, path: str, kind: str) -> DataFrame:
         sets = lines.select(F.transform(F.split(F.trim("value"), r"\s+"), lambda x: x.cast("long")).alias("nodes"))
         return sets.select(F.array_min("nodes").alias("cluster_no"), F.explode("nodes").alias("node"))
     if kind == "labels":
-        return spark.read.schema("node long, cluster_no long").option("sep", "\t").csv(path).select("cluster_no", "node")
+        # The place of a line: files in order of name, lines numbered within each file and shifted by the files before.
+        lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+        sizes = lines.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+        before = sizes.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+        numbered = lines.withColumn("node", F.row_number().over(Window.partitionBy("file").orderBy("at"))).join(F.broadcast(before), "file")
+        return numbered.filter("trim(value) <> ''").select(F.trim("value").cast("long").alias("cluster_no"), (F.col("node") + F.col("before")).cast("long").alias("node"))
     raise ValueError(f"unknown layout: {kind}")
 
 

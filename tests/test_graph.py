@@ -89,6 +89,42 @@ def test_shortest_paths_betweenness_closeness(spark, rows):
     t = spark.createDataFrame([(4,)], "node long")
     assert rows(G.bounded_paths(e, s, t, 4)) == [(1, 0), (2, 0), (3, 2), (4, 0)]
     assert rows(G.most_used_nodes(e, s, t, 3, 2)) == [(1, 1), (3, 2)]
+    one = spark.createDataFrame([(1,)], "node long")
+    assert rows(G.most_used_nodes(e, s, t, 3, 5, one)) == [(1, 1), (3, 1)]
+    assert rows(G.through_flagged(e, s, t, one)) == [(0, 4, 3, 2, 1)]
+    assert rows(G.through_flagged(e, s, t, spark.createDataFrame([(0,), (4,)], "node long"))) == [(0, 4, 3, 2, 0)]
+
+
+def test_long_chains_have_no_bound(spark, rows):
+    """Farther than 20 steps, and a chain of components: nothing is left out."""
+    e = graph(spark, [(i, i + 1) for i in range(45)])
+    s = spark.createDataFrame([(0,)], "node long")
+    assert rows(G.shortest_paths(e, s)) == sorted([(0, i, i, 1) for i in range(46)], key=repr)
+    assert rows(G.shortest_paths(e, s, 3)) == [(0, i, i, 1) for i in range(4)]
+    assert rows(G.closeness(e, s)) == [(0, 45, pytest.approx(45 / (45 * 46 / 2)))]
+    assert {r["component"] for r in G.components(e).collect()} == {0}
+
+
+def test_coreness_in_one_loop(spark, rows):
+    rng = random.Random(3)
+    pairs = sorted({(min(a, b), max(a, b)) for a, b in ((rng.randrange(40), rng.randrange(40)) for _ in range(200)) if a != b})
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want, k = {}, 1
+    while near:
+        low = [n for n, x in near.items() if len(x) < k]
+        if not low:
+            k += 1
+            continue
+        for n in low:
+            want[n] = k - 1
+            for x in near.pop(n):
+                if x in near:
+                    near[x].discard(n)
+    assert dict(rows(G.coreness(graph(spark, pairs)))) == want
+    assert G.coreness(graph(spark, [])).count() == 0
 
 
 def test_relabel_counts_from_one(spark, rows):
@@ -126,7 +162,10 @@ def test_validity_ikc_kc(spark, rows):
     for r in K.kmp_validity(e, K.kmp_parse(e, c, 5, 2), 5, 2).collect():
         assert (r["size"], r["core_size"], r["min_core_degree"]) == (7, 6, 5)
         assert r["k_valid"] and r["m_valid"] and r["p_valid"]
-    assert {(r["cluster_no"], r["node"]) for r in K.ikc(e, 5).collect()} == {(4, n) for n in range(4, 10)} | {(10, n) for n in range(10, 16)}
+    assert {(r["cluster_no"], r["node"]) for r in K.ikc(e, 5).collect()} == {(4, n) for n in range(4, 10)} | {(10, n) for n in range(10, 16)} | {(n, n) for n in range(4)}
+    tail = graph(spark, [(1, 2), (2, 3), (1, 3), (3, 4), (9, 9)])
+    assert rows(K.ikc(tail, 2)) == [(n, n, 0) for n in (1, 2, 3, 4, 9)]  # the triangle holds no more edges than by chance
+    assert rows(K.ikc(graph(spark, [(1, 2), (2, 3), (1, 3), (3, 4), (5, 6), (6, 7), (5, 7)]), 2)) == [(1, 1, 2), (1, 2, 2), (1, 3, 2), (4, 4, 0), (5, 5, 2), (5, 6, 2), (5, 7, 2)]
     assert {r["cluster_no"] for r in K.kc_clusters(e, 5).collect()} == {4, 10}
 
 
@@ -141,11 +180,38 @@ def test_cluster_sums_hold(spark):
 
 def test_agglomerate_and_threshold(spark, rows):
     m = spark.createDataFrame([(1, 2, 5.0), (2, 3, 4.0), (1, 3, 3.0), (3, 4, 6.5)], "cluster_1 long, cluster_2 long, weight double")
-    assert rows(K.agglomerate(m, 9)) == [(1, 3, 4, 6.5), (2, 1, 2, 5.0), (3, 1, 3, 7.0)]
+    assert rows(K.agglomerate(m, 9)) == [(1, 3, 4, 5, 6.5), (2, 1, 2, 6, 5.0), (3, 5, 6, 7, 4.0)]
+    assert rows(K.agglomerate(m, 2)) == [(1, 3, 4, 5, 6.5), (2, 1, 2, 6, 5.0)]
     p = spark.createDataFrame([(1, 2, 9.0), (2, 3, 8.0), (3, 4, 1.0), (5, 6, 7.0)], "cited_1 long, cited_2 long, v double")
     assert rows(K.threshold_clusters(p, "v", [0.25, 0.75], 3)) == [(1, 1, 1), (1, 2, 1), (1, 3, 1), (5, 5, 1), (5, 6, 1)]
 
 
+def test_agglomerate_against_greedy_merging(spark, rows):
+    """Every step looks for the heaviest link anew and keeps the heavier of two merged links."""
+    rng = random.Random(5)
+    links = {}
+    for _ in range(60):
+        a, b = rng.randrange(14), rng.randrange(14)
+        if a != b:
+            links[(min(a, b), max(a, b))] = float(rng.randrange(1000))
+    left, want, number = {k: (w, k) for k, w in links.items()}, [], max(b for _, b in links)
+    for step in range(1, 14):
+        if not left:
+            break
+        (a, b), (w, _) = min(left.items(), key=lambda x: (-x[1][0], x[1][1]))
+        number += 1
+        want.append((step, a, b, number, w))
+        new = {}
+        for (x, y), v in left.items():
+            x, y = (number if x in (a, b) else x), (number if y in (a, b) else y)
+            if x != y:
+                key = (min(x, y), max(x, y))
+                new[key] = min([new.get(key, v), v], key=lambda t: (-t[0], t[1]))
+        left = new
+    got = K.agglomerate(spark.createDataFrame([(a, b, w) for (a, b), w in links.items()], "cluster_1 long, cluster_2 long, weight double"), 13)
+    assert rows(got) == sorted(want, key=repr)
+
+
 def dense_mcl(pairs, rounds=200):
     nodes = sorted({n for p in pairs for n in p})
     m = {j: {i: 1.0 for i in nodes if i == j or (i, j) in pairs or (j, i) in pairs} for j in nodes}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from citeloom.functions import scalars as C
@@ -106,18 +108,29 @@ def test_xml_shredding(spark, rows, tmp_path):
 
 
 def test_streams(spark, rows, tmp_path):
-    df = spark.createDataFrame([r[:3] for r in FEED[3:]], "oci string, citing string, cited string").coalesce(1)
-    df.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    q = feed.route_stream(stream).writeStream.format("memory").queryName("routed").option("checkpointLocation", str(tmp_path / "cp1")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    routes = [r["route"] for r in spark.table("routed").collect()]
-    assert sorted(routes) == sorted(["main", "exact_repeat", "exact_repeat", "looping", "parallel", "main"])
+    more = [("o7", "X", "Y", "2000-01-01", 10, "duplicate"), ("o8", "B", "A", "2000-01-01", 11, "looping"), ("o5", "b", "a", "2000-01-01", 12, "exact_repeat")]
+    df = spark.createDataFrame([r[:5] for r in FEED + more], "oci string, citing string, cited string, creation string, seq int").coalesce(1)
+    assert {r["seq"]: r["route"] for r in R.triage_citations(df).collect()} == {r[4]: r[5] for r in FEED + more}
+    df.filter("seq <= 5").write.parquet(str(tmp_path / "in"))
+    df.filter("seq > 5").write.mode("append").parquet(str(tmp_path / "in"))
+
+    def routed(source, name):
+        out = str(tmp_path / name)
+        q = source.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-cp").trigger(availableNow=True).start()
+        q.awaitTermination()
+        return spark.read.parquet(out)
+
+    first = routed(feed.route_ids(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))), "first")
+    first.filter("route is null").coalesce(1).write.parquet(str(tmp_path / "passed"))
+    second = routed(feed.route_pairs(spark.readStream.schema(first.schema).parquet(str(tmp_path / "passed"))), "second")
+    got = first.filter("route is not null").select("seq", "route").unionByName(second.select("seq", "route"))
+    assert {r["seq"]: r["route"] for r in got.collect()} == {r[4]: r[5] for r in FEED + more}
     seq = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "c", 1)], "k long, v string, seq int").coalesce(1)
     seq.write.parquet(str(tmp_path / "in2"))
-    q = feed.upsert_stream(spark.readStream.schema(seq.schema).parquet(str(tmp_path / "in2")), str(tmp_path / "out"), ["k"], "seq", str(tmp_path / "cp2"))
+    spark.createDataFrame([(2, "d", 3), (3, "e", 1)], seq.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in2"))
+    q = feed.upsert_stream(spark.readStream.schema(seq.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in2")), str(tmp_path / "out"), ["k"], "seq", str(tmp_path / "cp2"))
     q.awaitTermination()
-    assert rows(spark.read.parquet(str(tmp_path / "out/version=0"))) == [(1, "b", 2), (2, "c", 1)]
+    assert rows(feed.read_upserted(spark, str(tmp_path / "out"))) == [(1, "b", 2), (2, "d", 3), (3, "e", 1)]
     events = spark.createDataFrame([("2020-01-01 00:10:00", "x"), ("2020-01-01 00:20:00", "x"), ("2020-01-01 02:00:00", "y")], "t string, kind string").select(F.to_timestamp("t").alias("t"), "kind").coalesce(1)
     events.write.parquet(str(tmp_path / "in3"))
     counts = feed.windowed_counts(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in3")), "t", ["kind"])
@@ -132,3 +145,55 @@ def test_tables(spark, rows):
     io.replace_table(spark, "swap_me", lambda d: d.filter("k = 2"))
     assert rows(spark.table("swap_me")) == [(2,)]
     spark.sql("DROP TABLE swap_me")
+
+
+def test_label_files_and_plain_upserts(spark, rows, tmp_path):
+    (tmp_path / "labels.txt").write_text("5\n7\n\n5\n")
+    assert rows(io.read_clustering(spark, str(tmp_path / "labels.txt"), "labels")) == [(5, 1), (5, 4), (7, 2)]
+    base, delta = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(2, "c"), (2, "d"), (2, "d"), (3, None)], "k int, v string")
+    assert rows(R.upsert(base, delta, ["k"])) == [(1, "a"), (2, "d"), (3, None)]
+
+
+def test_tiles_and_numbers(spark, rows):
+    df = spark.createDataFrame([(i * 7 % 23,) for i in range(23)], "x int")
+    assert dict(rows(R.numbered(df, ["x"], "n"))) == {i: i + 1 for i in range(23)}
+    for n in (1, 4, 23, 40):
+        want = dict(rows(df.select("x", F.ntile(n).over(Window.orderBy("x")))))
+        assert dict(rows(R.tiles(df, ["x"], n, "t"))) == want
+
+
+def test_ids_flags_and_text_join(spark, rows):
+    df = spark.createDataFrame([(1, "a b  a"), (2, None), (3, ""), (None, "z")], "o int, ids string")
+    assert rows(R.explode_ids(df, "o", "ids", "x:")) == [("x:1", "a"), ("x:1", "b")]
+    grants = spark.createDataFrame([(1, "R01DA1"), (1, "R01CA1"), (2, "R01CA2")], "k int, number string")
+    keys = spark.createDataFrame([(1,), (2,), (3,)], "k int")
+    assert rows(R.support_flags(keys, "k", grants, "number", "DA", "da", "other")) == [(1, True, True), (2, False, True), (3, False, False)]
+    texts = spark.createDataFrame([(1, "A Trial of Plain-Words"), (2, "plain trial"), (3, None)], "id int, t string")
+    phrases = spark.createDataFrame([("plain words",), ("trial",), ("!!",), (None,)], "p string")
+    assert rows(R.text_join(texts, "t", phrases, "p").select("id", "p")) == [(1, "plain words"), (1, "trial"), (2, "trial")]
+
+
+def test_shared_folder_is_named_on_a_cluster(spark, monkeypatch):
+    from citeloom import session
+
+    class Cluster:
+        class sparkContext:
+            master = "spark://host:7077"
+
+        class conf:
+            @staticmethod
+            def get(name, default=None):
+                return default
+
+    with pytest.raises(RuntimeError):
+        session.shared_folder(Cluster)
+
+
+def test_core_stands_without_the_llm_subpackage():
+    """In a process in which citeloom.llm cannot be imported, the core's queries are there."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import sys; sys.modules['citeloom.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'p3_found' in q and 'p6_found' not in q; assert set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parent.parent)
