@@ -6,7 +6,8 @@ sequences of tokens that begin in l..c and end in c..r, for all of which the lea
 text are the nodes of the Cartesian tree over its hashes. Only windows that hold a sequence of full length are kept,
 about two for each such length. Two equal stretches of `least` characters have the same tokens, hence the same least
 hash at the same place under any hash function; so one function finds all exact spans, and more would find no further
-ones. Windows with one signature meet, and their surroundings are compared exactly around the aligned places c.
+ones. Windows with one signature meet with their places c laid on each other; what both intervals l..r hold in common is
+compared exactly.
 """
 
 from __future__ import annotations
@@ -102,37 +103,39 @@ def _codes(text: str) -> np.ndarray:
 
 
 def window_rows(docs: DataFrame, least: int, gram: int) -> DataFrame:
-    """sig, doc, row, at: signature and place c of each compact window of the texts of docs (doc, row, text)."""
+    """sig, doc, row, at, low, high: of each compact window (l, c, r) of the texts of docs (doc, row, text) the signature, c,
+    and the first and past the last character of its sequences that hold c and are at most least characters long."""
     width = least - gram + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in slices(batches):
-            sigs, docs, rows, ats = [], [], [], []
+            sigs, docs, rows, ats, lows, highs = [], [], [], [], [], []
             for doc, row, value in zip(*columns, strict=True):
                 hashes = gram_hashes(_codes(value), gram)
-                places = np.array([c for _, c, _ in compact_windows(hashes, width)], np.int64)
+                windows = np.array(compact_windows(hashes, width), np.int64).reshape(-1, 3)
+                left, places, right = windows[:, 0], windows[:, 1], windows[:, 2]
                 sigs.append(hashes[places].view(np.int64))
                 docs.append(np.full(len(places), doc, np.int64))
                 rows.append(np.full(len(places), row, np.int64))
                 ats.append(places.astype(np.int32))
+                lows.append(np.maximum(left, places + gram - least).clip(0).astype(np.int32))
+                highs.append(np.minimum(right + gram, places + least).astype(np.int32))
             if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sigs, docs, rows, ats)], names=["sig", "doc", "row", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sigs, docs, rows, ats, lows, highs)], names=["sig", "doc", "row", "at", "low", "high"])
 
-    return docs.select("doc", "row", "text").mapInArrow(run, "sig long, doc long, row long, at int")
+    return docs.select("doc", "row", "text").mapInArrow(run, "sig long, doc long, row long, at int, low int, high int")
 
 
-def _surroundings(joined: DataFrame, least: int) -> DataFrame:
-    """sig, doc, row, at, head, around: the text within which all stretches of least characters hold the place at, and
-    how much of it is before that place."""
+def _surroundings(joined: DataFrame) -> DataFrame:
+    """sig, doc, row, at, head, around: the text of each window, and how much of it is before the place at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in slices(batches):
             out: list[list] = [[], [], [], [], [], []]
             for doc, row, value, hits in zip(*columns, strict=True):
                 for hit in hits:
-                    at = hit["at"]
-                    low = max(0, at + 1 - least)
-                    for column, x in zip(out, (hit["sig"], doc, row, at, at - low, value[low : at + least]), strict=True):
+                    at, low = hit["at"], hit["low"]
+                    for column, x in zip(out, (hit["sig"], doc, row, at, at - low, value[low : hit["high"]]), strict=True):
                         column.append(x)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["sig", "doc", "row", "at", "head", "around"])
@@ -157,8 +160,8 @@ def _common(a: str, b: str) -> int:
 def shared_reach(members: list[tuple[int, int, str]], least: int) -> list[tuple[int, int] | None]:
     """Of each (owner, head, around) the first and last start, from the place on, of the stretches it shares with others.
 
-    owner -1 stands for several documents that all have this surrounding. All stretches hold the place, so the first and
-    the last of them bound one run.
+    owner -1 stands for several documents that all have this window. All stretches hold the place, so the first and the
+    last of them bound one run.
     """
     reach: list[list[int]] = [[least, -least] for _ in members]
 
@@ -210,13 +213,23 @@ def _compared(classes: DataFrame, least: int) -> DataFrame:
 
 
 def _stretches(classes: DataFrame, least: int) -> DataFrame:
-    """class, first, last by grouping the stretches of large groups by 128 bits of hashes: nothing is collected."""
+    """class, first, last by grouping the stretches of large groups by 128 bits of hashes: nothing is collected.
+
+    Each group holds its least and greatest text; where these differ, different texts have met in it by their hashes, and
+    its stretches are grouped by the texts themselves.
+    """
     start = F.explode(F.sequence(F.lit(0), F.length("around") - least))
     cut = classes.filter(F.length("around") >= least).select("class", "sig", "owner", "head", "around", start.alias("s"))
     piece, place = F.substring(F.col("around"), F.col("s") + 1, F.lit(least)), (F.col("s") - F.col("head")).cast("int")
-    cut = materialise(cut.select(F.xxhash64("sig", place, piece).alias("stretch"), F.xxhash64(F.lit(1), piece).alias("more"), "class", "owner", place.alias("from")))
-    met = cut.groupBy("stretch", "more").agg(F.min("owner").alias("low"), F.max("owner").alias("high"), F.count(F.lit(1)).alias("n")).filter("low != high or low = -1").select("stretch", F.col("more").alias("other"), "n")
-    found = skew_join(cut, met, "stretch", "n", cut.agg(F.count(F.lit(1)).alias("n"))).filter("more = other")
+    pieces = cut.select(F.xxhash64("sig", place, piece).alias("stretch"), F.xxhash64(F.lit(1), piece).alias("more"), "class", "owner", place.alias("from"), piece.alias("piece"))
+    groups = materialise(
+        pieces.groupBy("stretch", "more").agg(F.min("owner").alias("low"), F.max("owner").alias("high"), F.count(F.lit(1)).alias("n"), F.min("piece").alias("a"), F.max("piece").alias("b")).select("stretch", F.col("more").alias("other"), "low", "high", "n", (F.col("a") == F.col("b")).alias("one"))
+    )
+    cut, shared = materialise(pieces.drop("piece")), F.expr("low != high or low = -1")
+    found = skew_join(cut, groups.filter(shared & F.col("one")).select("stretch", "other", "n"), "stretch", "n", cut.agg(F.count(F.lit(1)).alias("n"))).filter("more = other").select("class", "from")
+    mixed = pieces.join(groups.filter("not one").select("stretch", F.col("other").alias("more")), ["stretch", "more"])
+    texts = mixed.groupBy("stretch", "piece").agg(F.min("owner").alias("low"), F.max("owner").alias("high")).filter(shared).select("stretch", "piece")
+    found = found.unionByName(mixed.join(texts, ["stretch", "piece"]).select("class", "from"))
     return found.groupBy("class").agg(F.min("from").alias("first"), F.max("from").alias("last"))
 
 
@@ -236,10 +249,10 @@ def shared_spans(df: DataFrame, key: str, text: str, least: int = 200, gram: int
     short texts and null keys give no row, nor does a stretch that only repeats within its own document. Long texts are
     taken whole; extra columns are ignored.
 
-    A signature whose windows all lie in one document is left at once. The others get their surroundings; equal ones are
-    merged to a class with its lowest and highest document, so copies and stock lines are compared once. Up to group
-    classes of a signature are compared where they meet; more are compared by grouping the hashes of their stretches, so
-    that no task holds a group without bound, and nothing is left out.
+    A signature whose windows all lie in one document is left at once. The others get the texts of their windows; equal ones
+    are merged to a class with its lowest and highest document, so copies and stock lines are compared once. Up to group
+    classes of a signature are compared where they meet; more are compared by grouping their stretches, so that no task
+    holds a group without bound, and nothing is left out. Both ways compare texts, not hashes alone.
     """
     gram = max(1, least // 2) if gram is None else gram
     if not 0 < gram <= least:
@@ -250,8 +263,8 @@ def shared_spans(df: DataFrame, key: str, text: str, least: int = 200, gram: int
     met = rows.groupBy("sig").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("n")).filter("low != high").select("sig", "n")
     hits = skew_join(rows, met, "sig", "n", rows.agg(F.count(F.lit(1)).alias("n")), "left_semi")
     # The places of one text: bounded by its own length.
-    places = hits.groupBy("doc", "row").agg(F.collect_set(F.struct("sig", "at")).alias("hits"))
-    near = _surroundings(docs.join(places, ["doc", "row"]).select("doc", "row", "text", "hits"), least)
+    places = hits.groupBy("doc", "row").agg(F.collect_set(F.struct("sig", "at", "low", "high")).alias("hits"))
+    near = materialise(_surroundings(docs.join(places, ["doc", "row"]).select("doc", "row", "text", "hits")))
     name = F.struct("sig", "head", F.xxhash64("around").alias("a"), F.xxhash64(F.lit(1), "around").alias("b"))
     classes = near.groupBy("sig", "head", "around").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("n"))
     classes = materialise(classes.select("sig", "head", "around", "n", name.alias("class"), F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(-1).alias("owner")))
