@@ -35,20 +35,23 @@ ABBREVIATIONS = {
     "akst": -540, "akdt": -480, "hst": -600, "sast": 120, "cat": 120, "eat": 180, "wat": 60, "brt": -180, "art": -180,
 }
 DEFAULT_ZONE = "US/Eastern"
-YEARS = (1900, 2101)
+#: Years of the interval table. No zone changed its offset before the first of them, so earlier times find its first
+#: interval, which has no beginning. After the last of them the rules of the calendar go on, so a later time is looked up
+#: in the year of the last 28 that has the same calendar.
+YEARS = (1840, 2101)
 
 _ACCENTS = ("áàâäãåéèêëíìîïóòôöõúùûüñç", "aaaaaaeeeeiiiiooooouuuunc")
 _MONTH = r"([a-z]+)\.?"
-_TIME = r"(?:^|[ t])(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,]\d+)?)? ?(am|pm|a\.m\.|p\.m\.)? ?([+-]\d{2}:?\d{2}|[a-z]+(?:/[a-z_+\-0-9]+)*)?$"
+_TIME = r"(?:^|[ t])(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,]\d+)?)? ?(am|pm|a\.m\.|p\.m\.)? ?([+-]\d{2}:?\d{2}|[a-z]+(?:/[a-z_+\-0-9]+){0,2})?$"
 
 
 def zone_intervals(spark: SparkSession, zones: Iterable[str] | None = None) -> DataFrame:
     """zone, year, spans: of each zone (lower case) and local year, the intervals with one offset that touch it.
 
     An interval (first, last, until, offset) covers the local seconds first <= t < last since 1970; until is the start
-    of the next interval where that leaves a gap, else last. The intervals are exploded by year, so that a local time
-    finds its candidates by equality. The size depends on the zone database only (some 600 zones x 200 years), not on
-    the data.
+    of the next interval where that leaves a gap, else last; the first interval has no beginning. The intervals are
+    exploded by year, so that a local time finds its candidates by equality. The size depends on the zone database only
+    (some 600 zones x 260 years), not on the data.
     """
     ship(spark)
     names = sorted(zones if zones is not None else zoneinfo.available_timezones())
@@ -85,7 +88,7 @@ def zone_intervals(spark: SparkSession, zones: Iterable[str] | None = None) -> D
                 changes.append((begin, int((end - epoch).total_seconds()), now))
                 for i, (start, stop, shift) in enumerate(changes):
                     until = max(stop + shift, changes[i + 1][0] + changes[i + 1][2]) if i + 1 < len(changes) else stop + shift
-                    out.append((name.lower(), start + shift, stop + shift, until, shift))
+                    out.append((name.lower(), start + shift if i else -(10**12), stop + shift, until, shift))
             yield pd.DataFrame(out, columns=["zone", "first", "last", "until", "offset"])
 
     flat = spark.createDataFrame([(n,) for n in names], "zone string").repartition(8).mapInPandas(build, "zone string, first long, last long, until long, offset long")
@@ -93,7 +96,7 @@ def zone_intervals(spark: SparkSession, zones: Iterable[str] | None = None) -> D
     def year(second: Column) -> Column:
         return F.year(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(second / 86400).cast("int")))
 
-    years = flat.withColumn("year", F.explode(F.sequence(year(F.col("first")), year(F.col("until") - 1))))
+    years = flat.withColumn("year", F.explode(F.sequence(F.greatest(F.lit(YEARS[0]), year(F.greatest("first", F.lit(-5 * 10**9)))), year(F.col("until") - 1))))
     return years.groupBy("zone", "year").agg(F.array_sort(F.collect_list(F.struct("first", "last", "until", "offset"))).alias("spans"))
 
 
@@ -110,16 +113,17 @@ def normalise_timestamps(df: DataFrame, value: str, default_zone: str = DEFAULT_
     zone database): one matching interval gives the offset, two mean ambiguous, none nonexistent, for which the last
     interval before it counts.
 
-    Null, empty, blank and very long texts and texts that are no date give null in all three. Repeated rows stay
-    repeated. Other columns are kept; out, precision and status replace columns of these names.
+    Null, empty and blank texts and texts that are no date, of any length, give null in all three; so do years outside
+    1000 to 2999. Repeated rows stay repeated. Other columns are kept; out, precision and status replace columns of these names.
     """
     columns = [F.col(f"`{c}`") for c in df.columns if c not in (out, precision, status)]
     text = F.lower(F.regexp_replace(F.col(value).cast("string"), r"[\s   　]+", " "))
     text = F.translate(text, *_ACCENTS)
     text = F.trim(F.regexp_replace(F.trim(text), r"[ .;,]+$", ""))
-    # A date has few characters. What is longer is none, and is not worth a regular expression.
-    text = F.when(F.length(text) <= 80, text)
-    text = F.regexp_replace(text, r"^(?:(?:approved|licensed|marketed|on the market|not|available) )*(?:prior to|before|on or before|until|by|after|since|as of|from|not later than|no later than) ", "")
+    # Words before a bound are taken off one after the other (\\G), which costs no stack on long texts.
+    bound = r"^(?:prior to|before|on or before|until|by|after|since|as of|from|not later than|no later than) "
+    bare = F.regexp_replace(text, r"\G(?:approved|licensed|marketed|on the market|not(?! later)|available) ", "")
+    text = F.when(bare.rlike(bound), F.regexp_replace(bare, bound, "")).otherwise(text)
     text = F.regexp_replace(text, r"^(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?\.?,? (?=\S)", "")
     frame = df.select(*columns, text.alias("__t"))
     clock = [F.regexp_extract("__t", _TIME, i) for i in range(6)]
@@ -168,7 +172,7 @@ def normalise_timestamps(df: DataFrame, value: str, default_zone: str = DEFAULT_
         .when(fits(month_year), ymd(part(month_year, 2), part(month_year, 1).try_cast("int"), None))
         .when(fits(name_year), ymd(part(name_year, 2), month_of(part(name_year, 1)), None))
     )
-    year_only = F.when(fits(r"^[12]\d{3}$"), F.col("__d"))
+    year_only = F.when(F.col("__c").isNull() & fits(r"^[12]\d{3}$"), F.col("__d"))
     seconds = F.when(F.col("__c").isNull() & fits(r"^\d{10}$"), F.col("__d").try_cast("long")).when(F.col("__c").isNull() & fits(r"^\d{13}$"), F.floor(F.col("__d").try_cast("long") / 1000))
     frame = frame.select(*columns, "__c", date.alias("__date"), coarse.alias("__coarse"), year_only.alias("__year"), seconds.alias("__epoch"))
 
@@ -184,13 +188,22 @@ def normalise_timestamps(df: DataFrame, value: str, default_zone: str = DEFAULT_
     numeric = F.when(signed != "", (F.regexp_extract(given, r"(\d{2}):?(\d{2})$", 1).try_cast("int") * 3600 + F.regexp_extract(given, r"(\d{2}):?(\d{2})$", 2).try_cast("int") * 60) * F.when(signed == "-", -1).otherwise(1))
     short = F.try_element_at(F.create_map(*(F.lit(x) for name, m in ABBREVIATIONS.items() for x in (name, m * 60))), F.when(given != "", given).otherwise(F.lit("?")))
     frame = frame.select(*columns, "__coarse", "__year", "__epoch", day.alias("__day"), c.isNotNull().alias("__clock"), local.alias("__local"), F.coalesce(numeric, short).alias("__offset"), F.when(given == "", F.lit(default_zone.lower())).otherwise(given).alias("__zone"))
-    frame = frame.withColumn("__zy", F.when(F.col("__clock") & F.col("__offset").isNull(), F.year("__day")))
+    the_year = F.year("__day")
+    first_day = lambda y: F.make_date(y, F.lit(1), F.lit(1))
+    leap = lambda y: (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
+    alike = F.filter(F.sequence(F.lit(YEARS[1] - 29), F.lit(YEARS[1] - 2)), lambda y: (F.weekday(first_day(y)) == F.weekday(first_day(the_year))) & (leap(y) == leap(the_year)))
+    looked = F.when(the_year >= YEARS[1] - 1, F.element_at(alike, 1)).otherwise(F.greatest(the_year, F.lit(YEARS[0])))
+    frame = frame.withColumn("__zy", F.when(F.col("__clock") & F.col("__offset").isNull(), looked))
+    # The local second as it would be in the year that is looked up; the same but for far later years.
+    moved = F.when(the_year >= YEARS[1] - 1, F.col("__local") - F.datediff(first_day(the_year), first_day(F.col("__zy"))).cast("long") * 86400).otherwise(F.col("__local"))
+    frame = frame.withColumn("__at", moved)
 
     spans = zone_intervals(df.sparkSession, zones).select(F.col("zone").alias("__zone2"), F.col("year").alias("__year2"), F.col("spans").alias("__spans"))
     frame = frame.join(F.broadcast(spans), (F.col("__zone") == F.col("__zone2")) & (F.col("__zy") == F.col("__year2")), "left")
     t = F.col("__local")
-    inside = F.filter("__spans", lambda s: (s["first"] <= t) & (t < s["last"]))
-    before = F.filter("__spans", lambda s: (s["last"] <= t) & (t < s["until"]))
+    at = F.col("__at")
+    inside = F.filter("__spans", lambda s: (s["first"] <= at) & (at < s["last"]))
+    before = F.filter("__spans", lambda s: (s["last"] <= at) & (at < s["until"]))
     frame = frame.withColumn("__inside", inside).withColumn("__before", before)
     instant = (
         F.when(F.col("__epoch").isNotNull(), F.col("__epoch"))
@@ -206,17 +219,18 @@ def normalise_timestamps(df: DataFrame, value: str, default_zone: str = DEFAULT_
     )
     frame = frame.withColumn("__instant", instant).withColumn("__kind", kind)
     whole, rest = F.floor(F.col("__instant") / 86400).cast("int"), F.pmod(F.col("__instant"), F.lit(86400))
+    in_range = F.year(F.date_add(F.lit("1970-01-01").cast("date"), whole)).between(1000, 2999)
     utc = F.concat(F.date_add(F.lit("1970-01-01").cast("date"), whole).cast("string"), F.format_string("T%02d:%02d:%02dZ", F.floor(rest / 3600), F.floor(rest / 60) % 60, rest % 60))
     month = F.col("__coarse")
     month_text = F.when(month["m"].between(1, 12) & month["y"].between(1000, 2999), F.format_string("%04d-%02d", month["y"], month["m"]))
     good_day = F.year("__day").between(1000, 2999)
     norm = (
-        F.when(F.col("__instant").isNotNull(), utc)
+        F.when(F.col("__instant").isNotNull() & in_range, utc)
         .when(F.col("__clock"), F.lit(None))
         .when(good_day, F.col("__day").cast("string"))
         .otherwise(F.coalesce(month_text, F.col("__year")))
     )
     fine = (
-        F.when(F.col("__instant").isNotNull(), "instant").when(F.col("__clock"), F.lit(None)).when(good_day, "day").when(month_text.isNotNull(), "month").when(F.col("__year").isNotNull(), "year")
+        F.when(F.col("__instant").isNotNull() & in_range, "instant").when(F.col("__clock"), F.lit(None)).when(good_day, "day").when(month_text.isNotNull(), "month").when(F.col("__year").isNotNull(), "year")
     )
-    return frame.select(*columns, norm.alias(out), fine.alias(precision), F.when(F.col("__instant").isNotNull(), F.col("__kind")).alias(status))
+    return frame.select(*columns, norm.alias(out), fine.alias(precision), F.when(F.col("__instant").isNotNull() & in_range, F.col("__kind")).alias(status))

@@ -45,17 +45,40 @@ def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def input_chunks(df: DataFrame) -> int:
+    """The number of tasks that read df, which each hold a chunk of its input."""
+    return max(1, df.rdd.getNumPartitions())
+
+
+def row_counts(df: DataFrame, key: str, fan_in: int = FAN_IN) -> DataFrame:
+    """key, n_rows: the rows of each key, by the tree over the input's chunks; null keys form one group.
+
+    A chunk is combined in the task that reads it, so of a hot key each chunk sends one row, and a reducer gets fan_in of
+    them at most.
+    """
+    rows = df.select(F.col(key).alias("__k"))
+    return tree_aggregate(rows, ["__k"], {"n_rows": (F.lit(1).cast("long"), F.sum)}, input_chunks(df), fan_in).withColumnRenamed("__k", key)
+
+
+def member_counts(df: DataFrame, key: str, member: str, fan_in: int = FAN_IN) -> DataFrame:
+    """key, n_members: the distinct non-null members of each key that has any.
+
+    Members are made distinct by (key, member), which spreads a hot key over all partitions by the hash of its members;
+    each is then in one chunk, so the chunks' numbers of members add up along the tree.
+    """
+    pairs = df.select(F.col(key).alias("__k"), F.col(member).alias("__m")).filter("__m is not null").distinct()
+    return tree_aggregate(pairs, ["__k"], {"n_members": (F.lit(1).cast("long"), F.sum)}, shuffle_partitions(df), fan_in).withColumnRenamed("__k", key)
+
+
 def group_counts(df: DataFrame, key: str, member: str, fan_in: int = FAN_IN) -> DataFrame:
-    """key, n_rows, n_members: of each key the rows and the distinct non-null members.
+    """key, n_rows, n_members: of each key the rows and the distinct non-null members (see row_counts, member_counts).
 
-    The rows are first combined by (key, member), which spreads a hot key over all partitions by the hash of its
-    members; each (key, member) is then in one chunk, so the distinct members add up and the tree can merge plain
-    sums. A hot (key, member) is combined before the shuffle. Null keys form one group; rows with a null member count
-    as rows only. Other columns of df are ignored, an empty df gives no rows.
+    Null keys form one group; rows with a null member count as rows only. Other columns of df are ignored, an empty df
+    gives no rows.
     """
-    pairs = df.select(F.col(key).alias("__k"), F.col(member).alias("__m")).groupBy("__k", "__m").agg(F.count(F.lit(1)).alias("__n"))
-    states = {"n_rows": (F.col("__n"), F.sum), "n_members": (F.when(F.col("__m").isNotNull(), 1).otherwise(0).cast("long"), F.sum)}
-    return tree_aggregate(pairs, ["__k"], states, shuffle_partitions(df), fan_in).withColumnRenamed("__k", key)
+    rows, members = row_counts(df, key, fan_in), member_counts(df, key, member, fan_in).withColumnRenamed(key, "__key")
+    joined = rows.join(members, rows[key].eqNullSafe(members["__key"]), "left")
+    return joined.select(key, "n_rows", F.coalesce("n_members", F.lit(0).cast("long")).alias("n_members"))
 
 
 def total_rows(groups: DataFrame, rows: str, fan_in: int = FAN_IN) -> DataFrame:
@@ -63,7 +86,7 @@ def total_rows(groups: DataFrame, rows: str, fan_in: int = FAN_IN) -> DataFrame:
     return tree_aggregate(groups, [], {"total": (F.col(rows).cast("long"), F.sum)}, shuffle_partitions(groups), fan_in)
 
 
-def heavy_keys(df: DataFrame, key: str, member: str, share: float = 0.01, fan_in: int = FAN_IN) -> DataFrame:
-    """key, n_rows, n_members of the non-null keys that hold at least share of the rows with a non-null key."""
-    groups = group_counts(df.filter(F.col(key).isNotNull()), key, member, fan_in)
+def heavy_keys(df: DataFrame, key: str, share: float = 0.01, fan_in: int = FAN_IN) -> DataFrame:
+    """key, n_rows of the non-null keys that hold at least share of the rows with a non-null key."""
+    groups = row_counts(df.filter(F.col(key).isNotNull()), key, fan_in)
     return groups.filter(F.col("n_rows") >= total_rows(groups, "n_rows", fan_in).scalar() * F.lit(share))

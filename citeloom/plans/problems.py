@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return heavy_keys(table(spark, folder, "scopus_references"), "ref_sgr", "scp", 0.01).select("ref_sgr")
+    return heavy_keys(table(spark, folder, "scopus_references"), "ref_sgr", 0.01).select("ref_sgr")
 
 
 def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
@@ -24,18 +26,18 @@ def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("ref_sgr", F.col("n_rows").alias("n_references"), F.col("n_members").alias("n_citing"))
 
 
-def _orphans(spark: SparkSession, folder: str) -> DataFrame:
+def _orphans(spark: SparkSession, folder: str, find: Callable[..., DataFrame]) -> DataFrame:
     parents = Side(table(spark, folder, "scopus_publication_groups"), "sgr", "last_updated_time")
     deletes = Side(table(spark, folder, "scopus_group_deletes"), "sgr", "delete_time")
-    return orphan_references(table(spark, folder, "scopus_references"), "scp", "ref_sgr", "last_updated_time", parents, deletes, "scopus_publication_groups")
+    return find(table(spark, folder, "scopus_references"), "scp", "ref_sgr", "last_updated_time", parents, deletes, "scopus_publication_groups")
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _orphans(spark, folder).select("scp", "ref_sgr", "kind", "period")
+    return _orphans(spark, folder, orphan_references).select("scp", "ref_sgr", "kind", "period")
 
 
 def p3_report(spark: SparkSession, folder: str) -> DataFrame:
-    return orphan_report(_orphans(spark, folder))
+    return _orphans(spark, folder, orphan_report)
 
 
 INTERVENTIONS, LABELS, INVESTIGATORS = "ct_interventions", "ct_intervention_arm_group_labels", "ct_location_investigators"

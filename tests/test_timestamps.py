@@ -54,3 +54,16 @@ def test_intervals_agree_with_the_zone_database(spark, zone):
         assert offset in found
         assert len(found) == len({int(local.replace(fold=f).utcoffset().total_seconds()) for f in (0, 1)})
         at += timedelta(days=14, hours=5, minutes=17)
+
+
+def test_far_years_and_long_texts(spark):
+    """Times outside the interval table's years, and dates in texts of any length."""
+    cases = {
+        "1899-05-01 10:00:00": "1899-05-01T15:00:00Z", "1700-01-01 00:00:00": "1700-01-01T04:56:02Z", "2150-07-01 10:00:00": "2150-07-01T14:00:00Z", "2150-01-05 10:00:00": "2150-01-05T15:00:00Z",
+        "2100-12-31 23:30:00": "2101-01-01T04:30:00Z", "2400-02-29 12:00:00": "2400-02-29T17:00:00Z", "2150-05-01 10:10:00 Europe/Berlin": "2150-05-01T08:10:00Z", "2999-12-31 23:00:00": None,
+        "approved " * 40 + "prior to Jan 1, 1982": "1982-01-01", "approved jan 1, 1982": None, "not later than 2 May 2010": "2010-05-02", " " * 300 + "2 May" + " " * 300 + "2010": "2010-05-02",
+        "approved " * 20000: None, "a/" * 50000: None, "1" * 200000: None, "10:10 a/b" * 20000: None,
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "v string")
+    got = {r["v"]: r["norm_value"] for r in normalise_timestamps(df, "v", zones=ZONES).collect()}
+    assert got == cases
