@@ -9,25 +9,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.llm.batches import slices
-from citeloom.session import ship
+from citeloom.operators.skew import skew_join
+from citeloom.session import materialise, ship
 
-#: The masks: which of successive words a seed takes. A seed is the taken words alone, so a word that one side lacks is
-#: met by another mask on the other side. Any passage of 12 or more words of which at most 2 in 10 are altered, dropped
-#: or added has four successive words left as they were, but for 15 words with three changes at even distances, where
-#: two words on either side of a change make the seed.
-MASKS = ((0, 1, 2, 3), (0, 1, 3, 4))
+#: The masks: which of successive words a seed takes; the others, at fixed places, are ignored. A seed is the taken words
+#: alone, so a word that one side lacks or has besides is met by another mask on the other side. Any passage of 12 or more
+#: words of which at most 2 in 10 are altered, dropped or added has four successive words left as they were, but for 15
+#: words with three changes at even distances, where two words on either side of a change make the seed.
+MASKS = ((0, 1, 2, 3), (0, 1, 3, 4), (0, 2, 3, 5))
 LEAST_WORDS, CHANGES_IN_TEN = 12, 2
-#: Items, and characters of items, that are sent to the executors at a time; a larger set goes in several blocks.
-BLOCK_ITEMS, BLOCK_CHARS = 20_000, 20_000_000
-TEXTS_AT_ONCE = 1000
+#: Bits of the filter of the items' seeds that goes to the executors, at most: 16 MB, whatever the number of items. Where
+#: these make more seeds than it can tell apart, more of the documents' seeds travel, and none is lost.
+FILTER_BITS = 1 << 27
+#: Words whose codes a worker keeps. Only speed depends on it.
+KEPT_WORDS = 500_000
 
 # Letters of other scripts that look like Latin ones.
 LOOKALIKES = dict(zip("авеѕіјкмһоорсԁтухԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧοԍɡı", "abesijkmhoopcdtyxqwABEZHIKMNOPTYXogi" + "gi", strict=False))
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>|<!--.*?-->", re.DOTALL)
+# A tag is short, or all its attributes have quoted values of any length.
+_TAG = re.compile(r"""</?[A-Za-z][^<>]{0,200}>|<[A-Za-z][\w:-]*(?:\s+[\w:@.-]+\s*=\s*(?:"[^"]*"|'[^']*'))+\s*/?>""")
 _WORD = re.compile(r"[぀-ヿ㐀-鿿가-힯]|[^\W_぀-ヿ㐀-鿿가-힯]+")
 _BROKEN = re.compile(r"(?<=[^\W\d_])-[ \t]*\r?\n\s*(?=[^\W\d_])")
 _INSIDE = re.compile(r"(?<=[^\W_])[-.,'_](?=[^\W_])")
@@ -61,6 +67,15 @@ class _Folds(dict):
 _FOLDS = _Folds()
 
 
+def _without_comments(text: str) -> str:
+    """The text without what stands between comment marks; an open one at the end stays."""
+    out, at = [], 0
+    while (start := text.find("<!--", at)) >= 0 and (end := text.find("-->", start + 4)) >= 0:
+        out.append(text[at:start])
+        at = end + 3
+    return " ".join([*out, text[at:]])
+
+
 def normal_words(text: str | None) -> list[str]:
     """The words of a text without differences of case, punctuation, spacing, markup and character encoding."""
     if not text:
@@ -68,7 +83,7 @@ def normal_words(text: str | None) -> list[str]:
     if "&" in text:
         text = html.unescape(text)
     if "<" in text:
-        text = _TAG.sub(" ", text)
+        text = _TAG.sub(" ", _without_comments(text))
     if not text.isascii():
         text = unicodedata.normalize("NFKD", text).translate(_FOLDS)
     # A word may be broken at the end of a line; marks inside a word or number are no border.
@@ -83,90 +98,62 @@ _DRIFT = _REACH * CHANGES_IN_TEN // 10 + 1
 _STEP = 8
 
 
-class ItemIndex:
-    """The seeds of a block of items."""
-
-    def __init__(self, items: list[tuple[int, str | None]]):
-        self.words: dict[str, int] = {}
-        self.ids: list[int] = []
-        # All items in one array, with gaps of -1 in which nothing matches.
-        parts, self.owner = [np.full(4 * _REACH, -1, np.int32)], [np.full(4 * _REACH, -1, np.int32)]
-        for item, text in items:
-            codes = np.array([self.words.setdefault(w, len(self.words) + 1) for w in normal_words(text)], np.int32)
-            if len(codes) >= LEAST_WORDS:
-                parts += [codes, parts[0]]
-                self.owner += [np.full(len(codes), len(self.ids), np.int32), self.owner[0]]
-                self.ids.append(item)
-        self.codes, self.owner = np.concatenate(parts), np.concatenate(self.owner)
-        keys, places = self.seeds(self.codes)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.places = keys[order], places[order]
-
-    @staticmethod
-    def seeds(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Keys and places of the seeds in an array of word codes; a word that no item has (0) or a gap makes no seed."""
-        keys, places = [], []
-        with np.errstate(over="ignore"):
-            for mask in MASKS:
-                n = max(0, len(codes) - mask[-1])
-                taken = [codes[m : m + n] for m in mask]
-                good = np.flatnonzero(np.logical_and.reduce([t > 0 for t in taken]))
-                key = np.zeros(len(good), np.uint64)
-                for t in taken:
-                    key = (key * np.uint64(0x9E3779B97F4A7C15) + t[good].astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
-                    key ^= key >> np.uint64(29)
-                keys.append(key)
-                places.append(good)
-        return np.concatenate(keys), np.concatenate(places)
-
-    def found(self, texts: list[list[str]]) -> list[tuple[int, int]]:
-        """(number of the text, item id) for each text that holds a passage of an item."""
-        get, gap = self.words.get, np.full(2 * _REACH, -2, np.int32)
-        parts, starts, at = [gap], [], len(gap)
-        for words in texts:
-            starts.append(at)
-            parts += [np.fromiter((get(w, 0) for w in words), np.int32, len(words)), gap]
-            at += len(words) + len(gap)
-        codes = np.concatenate(parts)
-        keys, places = self.seeds(codes)
-        first, last = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
-        n = last - first
-        total = int(n.sum())
-        if not total:
-            return []
-        index = np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(total)
-        text_at, item_at = np.repeat(places, n), self.places[index]
-        diagonal = text_at - item_at
-        _, one = np.unique(np.stack([diagonal, item_at // _STEP]), axis=1, return_index=True)
-        text_at, item_at = text_at[one], item_at[one]
-        # Of 12 words with 2 changes 10 are left: where fewer words of the item come again near their place, none is held.
-        left = LEAST_WORDS - LEAST_WORDS * CHANGES_IN_TEN // 10
-        span = np.arange(-_REACH - _STEP + 1, _REACH + _STEP + 4)
-        keep = np.zeros(len(text_at), bool)
-        for low in range(0, len(text_at), 4096):
-            part = slice(low, low + 4096)
-            own = self.codes[item_at[part, None] + span]
-            own[self.owner[item_at[part, None] + span] != self.owner[item_at[part]][:, None]] = -1
-            again = np.zeros(own.shape, bool)
-            for drift in range(-_DRIFT, _DRIFT + 1):
-                again |= own == codes[np.clip(text_at[part, None] + span + drift, 0, len(codes) - 1)]
-            upto = np.cumsum(again, axis=1, dtype=np.int32)
-            keep[part] = (upto[:, _REACH - 2] >= left) | ((upto[:, _REACH - 1 :] - upto[:, : 1 - _REACH]).max(axis=1) >= left)
-        number = np.searchsorted(np.array(starts), text_at, "right") - 1
-        out: set[tuple[int, int]] = set()
-        for h in np.flatnonzero(keep):
-            item, owner = int(item_at[h]), int(self.owner[item_at[h]])
-            case = (int(number[h]), self.ids[owner])
-            if case in out:
-                continue
-            own = self.codes[item + span]
-            own = own[self.owner[item + span] == owner]
-            a = int(text_at[h])
-            # The gap between two texts is wider than any passage may drift, so none is found across it.
-            text = codes[max(0, a + span[0] - _DRIFT) : a + span[-1] + _DRIFT + 1]
-            if holds_passage(own, text):
-                out.add(case)
-        return sorted(out)
+_codes: dict[str, int] = {}
+
+
+def word_codes(words: list[str]) -> np.ndarray:
+    """The words as numbers, the same on every executor."""
+    kept = _codes
+    if len(kept) > KEPT_WORDS:
+        kept.clear()
+    out = []
+    for w in words:
+        code = kept.get(w)
+        if code is None:
+            code = kept[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+        out.append(code)
+    return np.array(out, np.uint64)
+
+
+def seeds(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, number of the text, place) of all seeds of the texts, each an array of word codes."""
+    lengths = np.array([len(t) for t in texts], np.int64)
+    starts = np.concatenate(([0], np.cumsum(lengths)))
+    codes, owner = np.concatenate([*texts, np.empty(0, np.uint64)]), np.repeat(np.arange(len(texts)), lengths)
+    keys, places = [], []
+    with np.errstate(over="ignore"):
+        for mask in MASKS:
+            n = max(0, len(codes) - mask[-1])
+            good = np.flatnonzero(owner[:n] == owner[mask[-1] : mask[-1] + n])
+            key = np.zeros(len(good), np.uint64)
+            for m in mask:
+                key = (key * np.uint64(0x9E3779B97F4A7C15) + codes[good + m]) * np.uint64(0xBF58476D1CE4E5B9)
+                key ^= key >> np.uint64(29)
+            keys.append(key)
+            places.append(good)
+    key, place = np.concatenate(keys), np.concatenate(places)
+    number = owner[place]
+    return key, number, place - starts[number]
+
+
+def pair_holds(item: np.ndarray, text: np.ndarray, hits: list[tuple[int, int]]) -> bool:
+    """Whether the text holds a passage of the item around one of the hits (place in the text, place in the item)."""
+    # Of 12 words with 2 changes 10 are left: where fewer words of the item come again near their place, none is held.
+    left = LEAST_WORDS - LEAST_WORDS * CHANGES_IN_TEN // 10
+    for text_at, item_at in hits:
+        low, high = max(0, item_at - _REACH - _STEP + 1), min(len(item), item_at + _REACH + _STEP + 4)
+        own, at = item[low:high], np.arange(low, high) + (text_at - item_at)
+        again = np.zeros(len(own), bool)
+        for drift in range(-_DRIFT, _DRIFT + 1):
+            there = at + drift
+            again |= (text[there.clip(0, len(text) - 1)] == own) & (there >= 0) & (there < len(text))
+        upto = np.concatenate(([0], np.cumsum(again)))
+        width = min(_REACH - 1, len(own))
+        if (upto[width:] - upto[: len(upto) - width]).max() < left:
+            continue
+        if holds_passage(own, text[max(0, at[0] - _DRIFT) : max(0, at[-1] + _DRIFT + 1)]):
+            return True
+    return False
 
 
 def holds_passage(item: np.ndarray, text: np.ndarray) -> bool:
@@ -196,37 +183,94 @@ def holds_passage(item: np.ndarray, text: np.ndarray) -> bool:
     return False
 
 
+def _worded(texts: DataFrame, name: str, bits: Broadcast | None = None) -> DataFrame:
+    """name, row, codes, seeds (key, at) of texts (name, row, text). With a filter only seeds whose bit is set, and only
+    texts that have such; without one the texts of LEAST_WORDS words or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.frombuffer(bits.value, np.uint8) if bits is not None else None
+        for ids, rows, values in slices(batches):
+            texts = [word_codes(normal_words(t)) for t in values]
+            if marks is None:
+                texts = [t if len(t) >= LEAST_WORDS else t[:0] for t in texts]
+            key, number, at = seeds(texts)
+            if marks is not None:
+                bit = key & np.uint64(len(marks) * 8 - 1)
+                held = np.flatnonzero((marks[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1)
+                key, number, at = key[held], number[held], at[held]
+            order = np.argsort(number, kind="stable")
+            key, at = key[order], at[order]
+            ends = np.concatenate(([0], np.cumsum(np.bincount(number, minlength=len(texts)))))
+            kept = np.flatnonzero(np.diff(ends))
+            found = pa.StructArray.from_arrays([pa.array(key.view(np.int64)), pa.array(at.astype(np.int32))], names=["key", "at"])
+            codes = [texts[i] for i in kept]
+            bounds = np.concatenate(([0], np.cumsum([len(c) for c in codes]))).astype(np.int32)
+            flat = np.concatenate([*codes, np.empty(0, np.uint64)]).view(np.int64)
+            # Texts without a seed lie between the others' ends, and hold no entries there.
+            limits = np.append(ends[kept], ends[-1]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([ids[i] for i in kept], pa.int64()), pa.array([rows[i] for i in kept], pa.int64()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat)), pa.ListArray.from_arrays(pa.array(limits), found)],
+                names=[name, "row", "codes", "seeds"],
+            )
+
+    return texts.select(name, "row", "text").mapInArrow(run, f"{name} long, row long, codes array<long>, seeds array<struct<key:long,at:int>>")
+
+
+def _filter_bits(keys: DataFrame) -> bytes:
+    """A bit for each key modulo a power of two, at least 64 for each key up to FILTER_BITS; built in the cluster, in pieces
+    of 4 KB."""
+    n = keys.agg(F.count(F.lit(1))).first()[0]
+    size = min(FILTER_BITS, max(1 << 15, 1 << (64 * n).bit_length()))
+    bit = F.col("key").bitwiseAND(F.lit(size - 1))
+    pieces = keys.select(F.shiftright(bit, 15).alias("piece"), bit.bitwiseAND(F.lit(32767)).alias("bit")).groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = bytearray(size // 8)
+    for piece, bits in pieces.collect():  # at most FILTER_BITS bits
+        out[piece * 4096 : piece * 4096 + len(bits)] = bits
+    return bytes(out)
+
+
 def leaked_items(documents: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str) -> DataFrame:
     """doc_key, item_key: each document with each item of which it holds a passage of 12 words or more, 2 in 10 changed.
 
-    The items are the query set: they are cut into blocks of bounded size (BLOCK_ITEMS, BLOCK_CHARS), a block is sent to
-    the executors, and all documents pass it; there is no shuffle but the last distinct. Keys are whole numbers. Null and
-    empty texts and items of fewer than 12 words are in no case, null keys give no row, repeated rows give their cases
-    once. Texts are taken whole, extra columns are ignored.
+    The seeds of the items are a table. A filter of bounded size (FILTER_BITS) made of them goes to the executors, where a
+    document keeps the seeds that pass it; these are joined with the items' by their keys, frequent ones by skew_join.
+    The pairs that meet get their word codes, and the passage is looked for by an alignment around the hits. Nothing of the
+    documents and no item comes to the driver, and any number of items takes one pass over the documents.
+
+    Keys are whole numbers. Null and empty texts and items of fewer than 12 words are in no case, null keys give no row,
+    repeated rows give their cases once. Texts are taken whole, extra columns are ignored.
     """
     spark = documents.sparkSession
     ship(spark)
-    wanted = items.select(F.col(item_key).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).filter("item is not null and text is not null").distinct()
-    size = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    blocks = max(1, -(-size[0] // BLOCK_ITEMS), -(-size[1] // BLOCK_CHARS))
-    texts = documents.select(F.col(doc_key).cast("long").alias("doc"), F.col(doc_text).cast("string").alias("text")).filter("doc is not null and text is not null")
-    out = None
-    for block in range(blocks):
-        part = wanted.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block) if blocks > 1 else wanted
-        sent = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(sent.value)
-            for ids, texts in slices(batches, TEXTS_AT_ONCE):
-                docs, found = [], []
-                for number, item in index.found([normal_words(t) for t in texts]):
-                    docs.append(ids[number])
-                    found.append(item)
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(found, pa.int64())], names=["doc", "item"])
-
-        cases = texts.mapInArrow(run, "doc long, item long")
-        out = cases if out is None else out.unionByName(cases)
-    return out.select(F.col("doc").alias(doc_key), F.col("item").alias(item_key)).distinct()
+
+    def texts(df: DataFrame, key: str, text: str, name: str) -> DataFrame:
+        value = F.col(text).cast("string")
+        return df.select(F.col(key).cast("long").alias(name), F.xxhash64(value).alias("row"), value.alias("text")).filter(F.col(name).isNotNull() & F.col("text").isNotNull())
+
+    wanted = materialise(_worded(texts(items, item_key, item_text, "item").distinct(), "item").withColumnRenamed("row", "item_row"))
+    index = wanted.select("item", "item_row", F.explode("seeds").alias("s")).select("item", "item_row", F.col("s.key").alias("key"), F.col("s.at").alias("item_at"))
+    bits = spark.sparkContext.broadcast(_filter_bits(index.select("key").distinct()))
+    marked = materialise(_worded(texts(documents, doc_key, doc_text, "doc"), "doc", bits))
+    hits = marked.select("doc", "row", F.explode("seeds").alias("s")).select("doc", "row", F.col("s.key").alias("key"), F.col("s.at").alias("text_at"))
+    total = hits.agg(F.count(F.lit(1)).alias("n"))
+    seen = hits.groupBy("key").agg(F.count(F.lit(1)).alias("n_hits"))
+    met = skew_join(hits, index.join(seen, "key"), "key", "n_hits", total)
+    # Of the hits on one diagonal those less than _STEP words apart see the same passages: one of them stays.
+    one = met.groupBy("doc", "row", "item", "item_row", (F.col("text_at") - F.col("item_at")).alias("diagonal"), F.floor(F.col("item_at") / _STEP).alias("step")).agg(F.min("item_at").alias("item_at"))
+    pairs = materialise(one.groupBy("doc", "row", "item", "item_row").agg(F.collect_list(F.struct((F.col("item_at") + F.col("diagonal")).cast("int").alias("text_at"), "item_at")).alias("hits")))
+    name = F.xxhash64("item", "item_row").alias("name")
+    often = pairs.groupBy(name).agg(F.count(F.lit(1)).alias("n_pairs"))
+    own = wanted.select(name, F.col("item").alias("item_2"), F.col("item_row").alias("row_2"), F.col("codes").alias("own")).join(often, "name")
+    armed = skew_join(pairs.withColumn("name", name), own, "name", "n_pairs", pairs.agg(F.count(F.lit(1)).alias("n"))).filter("item = item_2 and item_row = row_2")
+    both = armed.select("doc", "row", "item", "own", "hits").join(marked.select("doc", "row", "codes").dropDuplicates(["doc", "row"]), ["doc", "row"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for docs, numbers, owns, codes, places in slices(batches, 256):
+            held = [i for i in range(len(docs)) if pair_holds(np.array(owns[i], np.int64), np.array(codes[i], np.int64), [(h["text_at"], h["item_at"]) for h in places[i]])]
+            yield pa.RecordBatch.from_arrays([pa.array([docs[i] for i in held], pa.int64()), pa.array([numbers[i] for i in held], pa.int64())], names=["doc", "item"])
+
+    cases = both.select("doc", "item", "own", "codes", "hits").mapInArrow(verify, "doc long, item long")
+    return cases.select(F.col("doc").alias(doc_key), F.col("item").alias(item_key)).distinct()
 
 
 def leak_report(cases: DataFrame, item_key: str, doc_key: str) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from citeloom.llm import leakage
-from citeloom.llm.leakage import ItemIndex, holds_passage, leak_report, leaked_items, normal_words
+from citeloom.llm.leakage import holds_passage, leak_report, leaked_items, normal_words, pair_holds, seeds, word_codes
 
 
 def brute(item, text):
@@ -28,6 +28,8 @@ def test_words():
     assert normal_words("The <b>Acute</b>&nbsp;саll, in\xadhibited ｖａｒ! 5.9 in😀duced ‮İone né") == ["the", "acute", "call", "inhibited", "var", "59", "induced", "ione", "ne"]
     assert normal_words("weak-\n ened co-citation O\u2019Neil 1,000 end. Next") == ["weakened", "cocitation", "oneil", "1000", "end", "next"]
     assert normal_words("中文 mix漢a") == ["中", "文", "mix", "漢", "a"]
+    assert normal_words(f'<p class="{"c " * 300}">hello world</p> a < b') == ["hello", "world", "a", "b"]
+    assert normal_words("a<!-- x\n y -->b <!-- c") == ["a", "b", "c"] and len(normal_words("<!--" * 100_000 + " <a b=" * 100_000)) == 200_000
     assert normal_words(None) == normal_words("") == normal_words(" .,! ") == []
 
 
@@ -45,19 +47,19 @@ def altered(rng, words, changes):
     return out
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_search_against_brute_force(seed):
+@pytest.mark.parametrize("seed", range(2))
+def test_search_against_brute_force(spark, seed):
     rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(60)]
     items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(10, 30)))) for i in range(12)]
     texts = []
-    for _ in range(60):
+    for _ in range(120):
         item = rng.choice(items)[1].split()
         a = rng.randrange(max(1, len(item) - 11))
         part = altered(rng, item[a : a + rng.randrange(9, 24)], rng.randrange(5))
         filler = lambda: [rng.choice(vocabulary + ["zz"] * 30) for _ in range(rng.randrange(12))]
         texts.append([*filler(), *part, *filler()])
-    got = set(ItemIndex(items).found(texts))
+    got = {tuple(r) for r in frame(spark, [(n, " ".join(t)) for n, t in enumerate(texts)], items).collect()}
     want = {(n, i) for n, t in enumerate(texts) for i, s in items if brute(s.split(), t)}
     assert want and got == want
 
@@ -72,7 +74,19 @@ def test_an_alignment_at_the_limit():
     # Three changes at even distances leave no four words together: the gapped mask finds them.
     words = [f"a{i}" for i in range(15)]
     spoiled = [w if i not in (3, 7, 11) else "x" for i, w in enumerate(words)]
-    assert ItemIndex([(1, " ".join(words))]).found([spoiled]) == [(0, 1)]
+    a, b = word_codes(words), word_codes(spoiled)
+    keys, _, places = seeds([a, b])
+    half = len(seeds([a])[0])
+    assert set(seeds([a])[0]) & set(seeds([b])[0]) and len(keys) == 2 * half
+    at = {k: p for k, p in zip(*(seeds([a])[i] for i in (0, 2)), strict=True)}
+    hits = [(int(p), int(at[k])) for k, p in zip(*(seeds([b])[i] for i in (0, 2)), strict=True) if k in at]
+    assert pair_holds(a, b, hits)
+
+
+def test_seeds_do_not_cross_texts():
+    texts = [word_codes(x.split()) for x in ("a b c", "d e f g h", "", "i")]
+    keys, numbers, places = seeds(texts)
+    assert list(zip(numbers, places, strict=True)) == [(1, 0), (1, 1), (1, 0)] and set(keys) <= set(seeds([texts[1]])[0])
 
 
 def frame(spark, docs, items):
@@ -89,7 +103,7 @@ def test_documents(spark, rows, monkeypatch):
     items = [(10, ITEM), (10, ITEM), (11, None), (12, ""), (13, "too short an item"), (None, ITEM), (14, ITEM)]
     want = sorted([(d, i) for d in (1, 5, 6, 7) for i in (10, 14)], key=repr)
     assert rows(frame(spark, docs, items)) == want
-    monkeypatch.setattr(leakage, "BLOCK_ITEMS", 1)
+    monkeypatch.setattr(leakage, "FILTER_BITS", 1 << 15)
     assert rows(frame(spark, docs, items)) == want
     assert rows(leak_report(frame(spark, docs, items), "item_id", "doc_id")) == [(10, 4), (14, 4)]
 
