@@ -78,7 +78,11 @@ def cooccurrences(members: DataFrame, min_count: int = 1, min_lift: float = 0.0,
     pairs = basket_pairs(collapsed_baskets(kept, block=block)).filter(F.col("n") >= min_count)
     one = useful.select(F.col("__item").alias("item_1"), F.col("__n").alias("n_1"))
     two = useful.select(F.col("__item").alias("item_2"), F.col("__n").alias("n_2"))
-    scored = pairs.join(one, "item_1").join(two, "item_2").withColumn("n_baskets", every)
+    # An item of many baskets is in many pairs: the counts meet the pairs by skew_join, over the number of its pairs.
+    pairs = materialise(pairs)
+    all_pairs = pairs.agg(F.count(F.lit(1)).alias("n"))
+    one, two = (side.join(pairs.groupBy(c).agg(F.count(F.lit(1)).alias(f"p_{c}")), c) for side, c in ((one, "item_1"), (two, "item_2")))
+    scored = skew_join(skew_join(pairs, one, "item_1", "p_item_1", all_pairs), two, "item_2", "p_item_2", all_pairs).withColumn("n_baskets", every)
     lift = F.col("n") * F.col("n_baskets") / (F.col("n_1").cast("double") * F.col("n_2"))
 
     def conviction(left: str, right: str):

@@ -25,18 +25,13 @@ def _pairs(members: DataFrame, min_count: int, min_lift: float) -> DataFrame:
     return found.withColumnsRenamed({"item_1": "cited_1", "item_2": "cited_2", "n_baskets": "n_records"})
 
 
-def _scored_pairs(spark: SparkSession, folder: str, min_count: int) -> DataFrame:
-    return _pairs(_members(spark, folder), min_count, 0.0).select("cited_1", "cited_2", "n", "n_1", "n_2", "n_records", *(F.round(c, 6).alias(c) for c in ("lift", "conviction_12", "conviction_21")))
+def _scored_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return _pairs(_members(spark, folder), 1, 0.0).select("cited_1", "cited_2", "n", "n_1", "n_2", "n_records", *(F.round(c, 6).alias(c) for c in ("lift", "conviction_12", "conviction_21")))
 
 
 def p2_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Every pair that is cited together at least twice, with lift and conviction."""
-    return _scored_pairs(spark, folder, 2)
-
-
-def p2_pairs_whole(spark: SparkSession, folder: str) -> DataFrame:
     """Every pair that is cited together, with lift and conviction."""
-    return _scored_pairs(spark, folder, 1)
+    return _scored_pairs(spark, folder)
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -86,7 +81,7 @@ def p9_share(spark: SparkSession, folder: str) -> DataFrame:
     return shared_share(documents, "doc_id", "text", shared_spans(documents, "doc_id", "text", 200))
 
 
-QUERIES = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p2_pairs_whole": p2_pairs_whole, "p6_found": p6_found, "p6_entities": p6_entities, "p7_ids": p7_ids, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_share": p9_share}
+QUERIES = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p6_found": p6_found, "p6_entities": p6_entities, "p7_ids": p7_ids, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_share": p9_share}
 
 _PAIRS = """
 WITH p AS (SELECT DISTINCT scp, ref_sgr FROM scopus_references WHERE scp IS NOT NULL AND ref_sgr IS NOT NULL),
@@ -100,7 +95,7 @@ SQL = {
     + """SELECT cited_1, cited_2, c.n, i.n AS n_1, j.n AS n_2, n_records, round(c.n::DOUBLE * n_records / (i.n::DOUBLE * j.n), 6) AS lift,
  CASE WHEN c.n = i.n THEN NULL ELSE round((1 - j.n::DOUBLE / n_records) / (1 - c.n::DOUBLE / i.n), 6) END AS conviction_12,
  CASE WHEN c.n = j.n THEN NULL ELSE round((1 - i.n::DOUBLE / n_records) / (1 - c.n::DOUBLE / j.n), 6) END AS conviction_21
-FROM c JOIN i ON i.ref_sgr = cited_1 JOIN i j ON j.ref_sgr = cited_2, t WHERE c.n >= 2""",
+FROM c JOIN i ON i.ref_sgr = cited_1 JOIN i j ON j.ref_sgr = cited_2, t""",
     "p2_found": _PAIRS
     + """, k AS (SELECT least(cited_1, cited_2) AS a, greatest(cited_1, cited_2) AS b, co_cited_year AS y, frequency AS f FROM sb_plus_complete_kinetics
  WHERE cited_1 <> cited_2 AND co_cited_year IS NOT NULL AND frequency IS NOT NULL),
@@ -111,4 +106,3 @@ SELECT 'pair' AS kind, cited_1, cited_2, 0 AS co_cited_year FROM c JOIN i ON i.r
  WHERE c.n >= 8 AND c.n::DOUBLE * n_records / (i.n::DOUBLE * j.n) >= 12
 UNION ALL SELECT DISTINCT 'frequency', k.a, k.b, k.y FROM k LEFT JOIN f USING (a, b, y) WHERE k.f <> coalesce(f.n, 0)""",
 }
-SQL["p2_pairs_whole"] = SQL["p2_pairs"].removesuffix(" WHERE c.n >= 2")

@@ -3,7 +3,8 @@
 Of each prefix of a piece of text, exactly one token can be the last of the prefix's encoding. It is the token that ends
 there for which the encoding of what comes before ends in a token that may stand before it: two tokens may stand side by
 side if encoding their joint bytes gives just these two. So a table of last tokens, filled from left to right, holds the
-encoding of every prefix; appending bytes extends the table, and an edit leaves the entries before it as they are.
+encoding of every prefix; appending bytes extends the table, and an edit leaves the entries before it as they are and
+those after it from where the table meets the old one again.
 """
 
 from __future__ import annotations
@@ -39,24 +40,38 @@ def _byte_letters() -> dict[str, int]:
 class PrefixTable:
     """The last tokens of all prefixes of a byte string."""
 
-    __slots__ = ("bpe", "data", "last")
+    __slots__ = ("bpe", "computed", "data", "last")
 
     def __init__(self, bpe: PrefixBPE, data: bytes = b""):
-        self.bpe, self.data, self.last = bpe, b"", []
+        #: computed: the entries that had to be found so far.
+        self.bpe, self.data, self.last, self.computed = bpe, b"", [], 0
         self.append(data)
 
     def append(self, more: bytes) -> PrefixTable:
         """Add bytes at the end; the entries so far stay."""
         self.data += more
+        self.computed += len(more)
         self.bpe._extend(self.data, self.last)
         return self
 
     def replace(self, start: int, end: int, new: bytes) -> PrefixTable:
-        """Put new in place of the bytes from start to end; only what follows start is encoded again."""
-        tail = self.data[end:]
+        """Put new in place of the bytes from start to end; entries are found again from start on until they meet the old
+        ones.
+
+        An entry depends on the bytes and entries before it as far as the longest token reaches. So once as many entries
+        behind the new bytes are as they were, all that follow are too, and are taken over.
+        """
+        old, shift, longest = self.last[start:], len(new) - (end - start), self.bpe.longest
+        self.data = self.data[:start] + new + self.data[end:]
         del self.last[start:]
-        self.data = self.data[:start] + new + tail
-        self.bpe._extend(self.data, self.last)
+        same = 0
+        while len(self.last) < len(self.data):
+            self.bpe._extend(self.data, self.last, len(self.last) + 1)
+            self.computed += 1
+            at = len(self.last) - 1 - shift - start
+            same = same + 1 if len(self.last) > start + len(new) and old[at] == self.last[-1] else 0
+            if same == longest:
+                self.last += old[at + 1 :]
         return self
 
     def ids(self) -> list[int]:
@@ -128,9 +143,9 @@ class PrefixBPE:
             self.beside[(left, right)] = good
         return good
 
-    def _extend(self, data: bytes, last: list[int]) -> None:
+    def _extend(self, data: bytes, last: list[int], upto: int | None = None) -> None:
         ids, longest, follows, lengths = self.ids_of, self.longest, self.may_follow, self.lengths
-        for end in range(len(last) + 1, len(data) + 1):
+        for end in range(len(last) + 1, (len(data) if upto is None else upto) + 1):
             for start in range(max(0, end - longest), end):
                 token = ids.get(data[start:end])
                 if token is not None and (start == 0 or follows(last[start - 1], token)):

@@ -21,5 +21,5 @@ def test_runs(spark, name):
 def test_whole_pairs_have_those_of_one_record(spark, tmp_path):
     cited = [(1, 10), (1, 11), (2, 10), (2, 11), (3, 10), (3, 12), (3, 12), (4, 13), (5, None), (None, 11)]
     spark.createDataFrame(cited, "scp long, ref_sgr long").write.parquet(f"{tmp_path}/scopus_references.parquet")
-    got = {(r["cited_1"], r["cited_2"], r["n"], r["n_1"], r["n_2"], r["n_records"]) for r in QUERIES["p2_pairs_whole"](spark, str(tmp_path)).collect()}
+    got = {(r["cited_1"], r["cited_2"], r["n"], r["n_1"], r["n_2"], r["n_records"]) for r in QUERIES["p2_pairs"](spark, str(tmp_path)).collect()}
     assert got == {(10, 11, 2, 3, 2, 4), (10, 12, 1, 3, 1, 4)}

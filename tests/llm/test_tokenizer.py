@@ -74,3 +74,20 @@ def test_documents(spark, other):
         want = other.encode(text, add_special_tokens=False).ids if text else []
         assert [r["ids"] for r in got if r["doc_id"] == key][0] == want
     assert encode_documents(df.limit(0), "doc_id", "text").count() == 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(text=st.text(alphabet="ab the\n1é", max_size=120), new=st.text(alphabet="ab the\n1é", max_size=6), a=st.integers(0, 200), b=st.integers(0, 200))
+def test_edits_equal_encoding_anew(bpe, text, new, a, b):
+    data, more = text.encode(), new.encode()
+    start, end = sorted((min(a, len(data)), min(b, len(data))))
+    table = PrefixTable(bpe, data).replace(start, end, more)
+    assert table.data == data[:start] + more + data[end:] and table.last == PrefixTable(bpe, table.data).last
+
+
+def test_an_edit_finds_few_entries_again(bpe):
+    table = PrefixTable(bpe, b"the patients of the trial were seen again after a year " * 400)
+    before = table.computed
+    table.replace(5000, 5003, b"never")
+    assert table.computed - before < 4 * bpe.longest < len(table.data) - 5000
+    assert table.last == PrefixTable(bpe, table.data).last
