@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.operators.orphans import Side, orphan_references, orphan_report
-from citeloom.operators.shred import Link, assemble_links, latest_rows, shred_levels
+from citeloom.operators.shred import FlatTable, Link, assemble_links, flat_tables, latest_rows, shred_levels
 from citeloom.operators.timestamps import normalise_timestamps
 from citeloom.operators.treeagg import group_counts, heavy_keys
 
@@ -93,6 +93,32 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return _study_rows(spark, folder).select("nct_id", "child_table", parent.alias("parent_key"), F.col("child").alias("child_key")).filter("parent_key is not null and child_key is not null").distinct()
 
 
+def study_tables() -> tuple[FlatTable, ...]:
+    """The flat tables of the first two layouts: studies with their interventions, these with their labels, and locations with
+    their investigators. Tables of the layouts have the layout's number at the end."""
+    out: list[FlatTable] = []
+    for number, root in ((1, "clinical_study"), (2, "batch.studies")):
+        out += [
+            FlatTable(f"studies_{number}", root, None, {"nct_id": f"{root}.id_info.nct_id"}),
+            FlatTable(f"interventions_{number}", f"{root}.intervention", root, {"name": f"{root}.intervention.intervention_name"}),
+            FlatTable(f"labels_{number}", f"{root}.intervention.arm_group_label", f"{root}.intervention", {"name": f"{root}.intervention.arm_group_label"}),
+            FlatTable(f"locations_{number}", f"{root}.location", root, {"name": f"{root}.location.facility.name"}),
+            FlatTable(f"investigators_{number}", f"{root}.location.investigator", f"{root}.location", {"name": f"{root}.location.investigator.last_name"}),
+        ]
+    return tuple(out)
+
+
+def p4_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """All rows of the flat tables of all readable deliveries under each other: table, record, row, parent row, name."""
+    records = table(spark, folder, "ct_study_records").select("record_id", "payload")
+    tables = flat_tables(shred_levels(records, "payload"), study_tables(), ["record_id"])
+    out = None
+    for name, rows in tables.items():
+        part = rows.select(F.lit(name).alias("table_name"), "record_id", "row_no", "parent_no", rows.columns[-1]).toDF("table_name", "record_id", "row_no", "parent_no", "name")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def p5_values(spark: SparkSession, folder: str) -> DataFrame:
     studies, products, book = (table(spark, folder, n) for n in ("ct_clinical_studies", "fda_products", "fda_purple_book"))
 
@@ -113,7 +139,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return p5_values(spark, folder).filter("norm_value is not null").select("src_table", "row_key", "field", "norm_value").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p5_found": p5_found, "p5_values": p5_values}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_tables": p4_tables, "p5_found": p5_found, "p5_values": p5_values}
 
 _ORPHANS = """
 WITH r AS (SELECT scp, ref_sgr, min(last_updated_time) AS at FROM scopus_references WHERE scp IS NOT NULL AND ref_sgr IS NOT NULL GROUP BY ALL),
