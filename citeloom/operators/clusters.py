@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.operators.graph import components, coreness, degrees, induced, kcore, nodes_of, symmetrise, unique_pairs
+from citeloom.operators.skew import pairs_within
 from citeloom.session import discard, materialise, replaced
 
 
@@ -201,7 +202,8 @@ def unsplit(before: DataFrame, after: DataFrame) -> DataFrame:
 def marker_cooccurrence(clusterings: DataFrame, markers: DataFrame) -> DataFrame:
     """version, marker_1 < marker_2, cluster_no: markers that share a cluster of a clustering version."""
     m = clusterings.join(markers.select("node"), "node", "left_semi")
-    return m.select("version", "cluster_no", F.col("node").alias("marker_1")).join(m.select("version", "cluster_no", F.col("node").alias("marker_2")), ["version", "cluster_no"]).filter("marker_1 < marker_2")
+    pairs = pairs_within(m.select("version", "cluster_no", "node"), ["version", "cluster_no"], "node")
+    return pairs.select("version", "cluster_no", F.col("item_1").alias("marker_1"), F.col("item_2").alias("marker_2"))
 
 
 def marker_distribution(clusters: DataFrame, markers: DataFrame) -> DataFrame:

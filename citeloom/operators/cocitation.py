@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeloom.operators.skew import pairs_within
+
 PAIR = ["cited_1", "cited_2"]
 
 
@@ -16,8 +18,8 @@ def cocited_pairs(edges: DataFrame, pairs: DataFrame | None = None) -> DataFrame
     if pairs is not None:
         both = _both(edges, pairs).groupBy(*PAIR).agg(F.count(F.lit(1)).alias("frequency"))
         return pairs.select(*PAIR).distinct().join(both, PAIR, "left").na.fill(0, ["frequency"])
-    one, two = edges.select("citing", F.col("cited").alias("cited_1")), edges.select("citing", F.col("cited").alias("cited_2"))
-    return one.join(two, "citing").filter("cited_1 < cited_2").groupBy(*PAIR).agg(F.count(F.lit(1)).alias("frequency"))
+    pairs = pairs_within(edges.select("citing", "cited"), ["citing"], "cited")
+    return pairs.groupBy(F.col("item_1").alias("cited_1"), F.col("item_2").alias("cited_2")).agg(F.count(F.lit(1)).alias("frequency"))
 
 
 def _both(edges: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -250,4 +252,4 @@ def line_graph(edges: DataFrame, edge: str, through: Column | None = None) -> Da
     """edge_1 < edge_2, shared: citations that have an end in common (of the ends for which through holds)."""
     ends = edges.select(edge, F.explode(F.array("citing", "cited")).alias("shared"))
     ends = ends.filter(through) if through is not None else ends
-    return ends.select(F.col(edge).alias("edge_1"), "shared").join(ends.select(F.col(edge).alias("edge_2"), "shared"), "shared").filter("edge_1 < edge_2").distinct()
+    return pairs_within(ends.distinct(), ["shared"], edge).select(F.col("item_1").alias("edge_1"), F.col("item_2").alias("edge_2"), "shared")

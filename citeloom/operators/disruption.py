@@ -5,14 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.operators.skew import skew_join
+
+#: Papers of a list of citers.
+CHUNK = 4096
+
 
 def disruption(edges: DataFrame, focal: DataFrame | None = None, thresholds: tuple[int, ...] = (1, 2, 3, 5, 10), universe: DataFrame | None = None, complete: bool = True) -> DataFrame:
     """focal, i, j, k, j_n and k_n for each threshold n, disruption.
 
     i papers cite the focal paper and none of its references, j cite both, k only references; j_n and k_n ask for at least
     n shared references; disruption is (i - j) / (i + j + k). universe (node) limits the citers of references. complete
-    keeps focal papers with j > 0 and k > 0 only. The citers of references and those of the focal paper are laid under
-    each other and merged by one aggregation, instead of an outer join: partial sums are formed before the shuffle.
+    keeps focal papers with j > 0 and k > 0 only.
+
+    The citers of a reference travel as lists of at most CHUNK papers, so a reference that a third of all papers cite is many
+    rows of bounded size, joined in as many tasks. They are laid under the focal paper's own citers by focal paper and
+    unfolded there, where its papers are counted without a further shuffle.
     """
     own = edges.select(F.col("citing").alias("focal"), F.col("cited").alias("ref"))
     papers = edges.select(F.col("cited").alias("focal"), F.col("citing").alias("paper"))
@@ -22,9 +30,16 @@ def disruption(edges: DataFrame, focal: DataFrame | None = None, thresholds: tup
     third = edges.select(F.col("citing").alias("paper"), F.col("cited").alias("ref"))
     if universe is not None:
         third = third.join(universe.select(F.col("node").alias("paper")), "paper", "left_semi")
-    shared = own.join(third, "ref").filter("paper <> focal").groupBy("focal", "paper").agg(F.count(F.lit(1)).alias("shared")).withColumn("cites", F.lit(0))
-    every = shared.unionByName(papers.withColumns({"shared": F.lit(0).cast("long"), "cites": F.lit(1)}))
-    rows = every.groupBy("focal", "paper").agg(F.sum("shared").alias("shared"), F.max("cites").alias("cites"))
+    total = third.agg(F.count(F.lit(1)).alias("n"))
+    sizes = third.groupBy("ref").agg(F.count(F.lit(1)).alias("n"))
+    chunk = F.pmod(F.xxhash64("paper"), F.ceil(F.col("n") / CHUNK).cast("int")).cast("int").alias("chunk")
+    lists = skew_join(third, sizes, "ref", "n", total).groupBy("ref", chunk).agg(F.collect_list("paper").alias("papers"))
+    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    wide = skew_join(own, sizes, "ref", "n", total).select("focal", "ref", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
+    met = wide.join(lists, ["ref", "chunk"]).select("focal", "papers", F.lit(0).alias("cites"))
+    every = met.unionByName(papers.select("focal", F.array("paper").alias("papers"), F.lit(1).alias("cites"))).repartition("focal")
+    pairs = every.select("focal", "cites", F.explode("papers").alias("paper")).filter("paper <> focal")
+    rows = pairs.groupBy("focal", "paper").agg(F.count_if(F.col("cites") == 0).alias("shared"), F.max("cites").alias("cites"))
     cites, other = F.col("cites") == 1, F.col("cites") == 0
     aggs = [F.count_if(cites & (F.col("shared") == 0)).alias("i"), F.count_if(cites & (F.col("shared") > 0)).alias("j"), F.count_if(other).alias("k")]
     for n in thresholds:

@@ -25,3 +25,31 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, rows: str, total: Dat
     cold = right.filter(~is_hot)
     rest = left.join(F.broadcast(right.filter(is_hot).select(key)), key, "left_anti")
     return left.join(hot, key, how).unionByName(rest.join(cold, key, how))
+
+
+#: Items of a block of pairs_within.
+PAIR_BLOCK = 256
+
+
+def pairs_within(df: DataFrame, keys: list[str], item: str, block: int = PAIR_BLOCK) -> DataFrame:
+    """keys, item_1, item_2: all pairs of two items of one key, item_1 < item_2, each once for each key (rows of df distinct).
+
+    The items of a key are cut into blocks of about `block` by their hash, and each two blocks make a piece of their own. So
+    a key that holds a third of all rows is spread over as many tasks as it has pieces, and no task holds more than two
+    blocks of it as arrays. Null keys and items pair with nothing.
+    """
+    rows = df.select(*keys, item).na.drop()
+    key = F.xxhash64(*keys).alias("__key")
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    sized = skew_join(rows.withColumn("__key", key), sizes, "__key", "__n", rows.agg(F.count(F.lit(1)).alias("n")))
+    blocks = F.ceil(F.col("__n") / block).cast("int")
+    own = F.pmod(F.xxhash64(F.col(item)), blocks).cast("int")
+    spread = sized.select(*keys, F.col(item).alias("__item"), own.alias("__own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("__other"))
+    low, high = F.least("__own", "__other"), F.greatest("__own", "__other")
+    pieces = spread.groupBy(*keys, low.alias("__low"), high.alias("__high")).agg(
+        F.collect_list(F.when(F.col("__own") == low, F.col("__item"))).alias("__first"), F.collect_list(F.when(F.col("__own") != low, F.col("__item"))).alias("__second")
+    )
+    whole = F.col("__low") == F.col("__high")
+    one = pieces.select(*keys, F.explode("__first").alias("__x"), F.when(whole, F.col("__first")).otherwise(F.col("__second")).alias("__rest"), whole.alias("__whole"))
+    two = one.select(*keys, "__x", "__whole", F.explode("__rest").alias("__y")).filter((F.col("__x") < F.col("__y")) | (~F.col("__whole") & (F.col("__x") > F.col("__y"))))
+    return two.select(*keys, F.least("__x", "__y").alias("item_1"), F.greatest("__x", "__y").alias("item_2"))

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class TableSpec:
-    """An output table: the nested array path its rows come from ("" for the document), its columns (name -> expression over
-    the document's columns and the item r, with its position pos from 1), its key, and aggregates for repeated keys."""
+    """An output table: the nested array path its rows come from ("" for the document; / between arrays within each other),
+    its columns (name -> expression over the document's columns, the item r with its position pos from 1, and the item up
+    around it with up_pos), its key, and aggregates for repeated keys."""
 
     path: str
     columns: dict[str, str]
@@ -45,7 +46,7 @@ def shred(documents: DataFrame, spec: dict[str, TableSpec], only: list[str] | No
             steps = t.path.split("/")
             for i, step in enumerate(steps):
                 source = step if i == 0 else f"r.{step}"
-                rows = rows.select("*", F.posexplode(F.expr(source)).alias("__pos", "__r")).drop("r", "pos").withColumnsRenamed({"__pos": "pos", "__r": "r"}).withColumn("pos", F.col("pos") + 1)
+                rows = rows.select("*", F.posexplode(F.expr(source)).alias("__pos", "__r")).drop("up", "up_pos").withColumnsRenamed({"r": "up", "pos": "up_pos"}).withColumnsRenamed({"__pos": "pos", "__r": "r"}).withColumn("pos", F.col("pos") + 1)
         if t.where:
             rows = rows.filter(t.where)
         rows = rows.select(*(F.expr(e).alias(c) for c, e in t.columns.items()))

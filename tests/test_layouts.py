@@ -45,9 +45,12 @@ def test_publications(spark, rows, tmp_path):
     assert rows(t["identifiers"]) == [(11, "11", "SCP"), (11, "11", "SGR")]
     assert rows(t["dois"]) == [(11, "10.1/x", "DOI")]
     assert rows(t["grants"].select("grant_id", "grantor", "country_code")) == [("", "NIH", "USA")]
-    assert rows(t["classes"]) == [(11, "1701")]
+    assert rows(t["classes"]) == [(11, "ASJC", "1701")]
+    assert rows(t["publication_groups"]) == [(11, 2001)] and rows(t["issns"]) == [("s1", "1234", "print")]
+    assert rows(t["author_affiliations"]) == [(11, 1, 1), (11, 1, 2)]
+    assert rows(t["conference_events"]) == rows(t["isbns"]) == []
     assert rows(t["references"]) == [(11, 20, "r")]
-    assert rows(t["sources"]) == [("s1", "j", "J", "1234", None)]
+    assert rows(t["sources"]) == [("s1", "j", "J", "1234", None, None, None, None)]
     for name in ("abstracts", "piis", "acknowledgments", "chemicals"):
         assert rows(t[name]) == []
 
@@ -71,3 +74,44 @@ def test_trials(spark, rows, tmp_path):
     assert rows(t["interventions"].select("intervention_no", "intervention_name")) == [(1, "i1"), (2, "i2")]
     for name in set(L.TRIAL_TABLES):
         t[name].collect()
+
+
+PROCEEDINGS = """<items><item><bibrecord><item-info><itemidlist><itemid idtype="SCP">12</itemid><itemid idtype="SGR">13</itemid></itemidlist></item-info>
+<head><correspondence><affiliation><organization>Dept</organization><organization>Uni</organization></affiliation></correspondence>
+<author-group><author seq="1"/><affiliation afid="8"/></author-group><author-group><author seq="1"/><author seq="2"/><affiliation afid="9"/></author-group>
+<source srcid="p1" type="p"><sourcetitle>Proc</sourcetitle><codencode>PRC</codencode><isbn type="print" length="13" level="set">978</isbn><isbn>979</isbn><volisspag><voliss volume="4" issue="2"/><pagerange first="10" last="19"/></volisspag>
+<publicationyear first="2010"/><publicationdate><year>2010</year><month>2</month></publicationdate><publisher><publishername>Pub</publishername></publisher>
+<additional-srcinfo><conferenceinfo><confevent><confname>Big
+ Meeting</confname><confnumber>3</confnumber><conflocation><city>Town</city></conflocation><confdate><startdate year="2010" month="2" day="30"/><enddate year="2010" month="3" day="2"/></confdate><confcode>77</confcode><confsponsors><confsponsor>A</confsponsor><confsponsor>B</confsponsor></confsponsors></confevent>
+<confpublication><procpartno>1</procpartno><procpagecount>123p.</procpagecount><confeditors><editors><editor><ce:indexed-name xmlns:ce="u">Doe A.</ce:indexed-name><ce:surname xmlns:ce="u">Doe</ce:surname></editor></editors><editoraddress>Street</editoraddress></confeditors></confpublication></conferenceinfo></additional-srcinfo></source>
+<enhancement><descriptorgroup><descriptors><descriptor><mainterm>t 1</mainterm></descriptor><descriptor><mainterm>t 2</mainterm></descriptor></descriptors></descriptorgroup>
+<classificationgroup><classifications type="SUBJABBR"><classification>MEDI</classification></classifications><classifications type="SUBJECT"><classification>Medicine</classification></classifications></classificationgroup></enhancement></head></bibrecord></item></items>"""
+
+
+def test_proceedings(spark, rows, tmp_path):
+    t = tables(spark, tmp_path, PROCEEDINGS, L.PUBLICATION_TAG, L.PUBLICATION_SCHEMA, L.PUBLICATION_TABLES)
+    assert rows(t["isbns"]) == sorted([("p1", "978", 13, "print", "set"), ("p1", "979", None, None, None)], key=repr)
+    assert rows(t["publication_details"]) == [(12, "2", "4", "10", "19", 2010, datetime.date(2010, 2, 1), "77", "Big Meeting")]
+    assert rows(t["conference_events"]) == [("77", "Big Meeting", None, "Town", None, None, datetime.date(2010, 3, 2), "3", None, "A,B")]
+    assert rows(t["conference_proceedings"]) == [("p1", "77", "Big Meeting", "1", None, 123)]
+    assert rows(t["conference_editors"].select("indexed_name", "surname", "address")) == [("Doe A.", "Doe", "Street")]
+    assert rows(t["author_affiliations"]) == [(12, 1, 1), (12, 2, 1), (12, 2, 2)]
+    assert (rows(t["indexed_terms"]), rows(t["subjects"]), rows(t["subject_keywords"]), rows(t["classes"])) == ([(12, "t 1"), (12, "t 2")], [(12, "MEDI")], [(12, "Medicine")], [])
+    assert rows(t["corresponding_organizations"]) == [(12, "Dept, Uni")]
+    assert rows(t["sources"].select("coden_code", "publisher_name")) == [("PRC", "Pub")]
+
+
+RELATED = """<docs><bibliographic-data><publication-reference><document-id><country>US</country><doc-number>7</doc-number><kind>B2</kind></document-id></publication-reference>
+<parties><agents><agent sequence="1"><addressbook><name>Law</name></addressbook></agent></agents></parties>
+<legal-data><legal-event sequence="1"><publication-date><date>20010203</date></publication-date><event-code-1>E1</event-code-1><new-owner>Own</new-owner><withdrawn-date>20020101</withdrawn-date></legal-event></legal-data>
+<related-documents><reissue><relation><parent-doc><document-id><country>US</country><doc-number>5</doc-number></document-id><parent-status>GRANTED</parent-status></parent-doc><child-doc><document-id><doc-number>7</doc-number></document-id></child-doc></relation></reissue>
+<provisional-application><document-id><country>US</country><doc-number>60</doc-number><date>20000102</date></document-id></provisional-application></related-documents></bibliographic-data></docs>"""
+
+
+def test_related_patents(spark, rows, tmp_path):
+    t = tables(spark, tmp_path, RELATED, L.PATENT_TAG, L.PATENT_SCHEMA, L.PATENT_TABLES)
+    assert len([n for n in t if n.startswith("related_")]) == 14
+    assert rows(t["related_reissue"].select("relation", "parent_number", "parent_status", "child_number")) == [("reissue", "5", "GRANTED", "7")]
+    assert rows(t["related_provisional_application"].select("related_number", "related_date")) == [("60", datetime.date(2000, 1, 2))]
+    assert rows(t["legal_events"].select("event_code_1", "new_owner", "withdrawn_date", "event_date")) == [("E1", "Own", "20020101", datetime.date(2001, 2, 3))]
+    assert rows(t["us_agents"].select("name")) == [("Law",)] and rows(t["ep_agents"]) == []

@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from citeloom.operators.skew import skew_join
+from citeloom.operators.skew import pairs_within, skew_join
 from citeloom.operators.treeagg import group_counts, heavy_keys, row_counts, total_rows, tree_aggregate
 
 
@@ -67,3 +67,11 @@ def test_skew_join_equals_join(spark, rows):
         assert rows(skew_join(left, right, "k", "n", total, how)) == rows(left.join(right, "k", how))
     with pytest.raises(ValueError):
         skew_join(left, right, "k", "n", total, "full")
+
+
+@pytest.mark.parametrize("block", [1, 3, 7, 256])
+def test_pairs_within_hot_keys(spark, rows, block):
+    data = [(1, i) for i in range(30)] + [(2, 5), (2, 9), (3, 4), (None, 1), (None, 2), (4, None), (4, 1)]
+    got = [tuple(r) for r in pairs_within(spark.createDataFrame(data, "k long, x long"), ["k"], "x", block).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(1, a, b) for a in range(30) for b in range(a + 1, 30)} | {(2, 5, 9)}
+    assert rows(pairs_within(spark.createDataFrame([], "k long, x long"), ["k"], "x", block)) == []
