@@ -136,24 +136,52 @@ def seeds(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return key, number, place - starts[number]
 
 
-def pair_holds(item: np.ndarray, text: np.ndarray, hits: list[tuple[int, int]]) -> bool:
-    """Whether the text holds a passage of the item around one of the hits (place in the text, place in the item)."""
-    # Of 12 words with 2 changes 10 are left: where fewer words of the item come again near their place, none is held.
+def near_hits(items: np.ndarray, item_of: np.ndarray, texts: np.ndarray, text_of: np.ndarray, item_at: np.ndarray, text_at: np.ndarray) -> np.ndarray:
+    """Which of the hits may lie in a passage: of 12 words with 2 changes 10 are left, so as many words of the item must come
+    again near their place in the text.
+
+    items and texts hold many word lists one behind the other, item_of and text_of tell whose each word is; item_at and
+    text_at are the hits' places in them.
+    """
     left = LEAST_WORDS - LEAST_WORDS * CHANGES_IN_TEN // 10
-    for text_at, item_at in hits:
-        low, high = max(0, item_at - _REACH - _STEP + 1), min(len(item), item_at + _REACH + _STEP + 4)
-        own, at = item[low:high], np.arange(low, high) + (text_at - item_at)
-        again = np.zeros(len(own), bool)
+    span = np.arange(-_REACH - _STEP + 1, _REACH + _STEP + 4)
+    keep = np.zeros(len(item_at), bool)
+    for low in range(0, len(item_at), 4096):
+        part = slice(low, low + 4096)
+        at = item_at[part, None] + span
+        inside = at.clip(0, len(items) - 1)
+        mine = (item_of[inside] == item_of[item_at[part], None]) & (at == inside)
+        own, again = items[inside], np.zeros(mine.shape, bool)
         for drift in range(-_DRIFT, _DRIFT + 1):
-            there = at + drift
-            again |= (text[there.clip(0, len(text) - 1)] == own) & (there >= 0) & (there < len(text))
-        upto = np.concatenate(([0], np.cumsum(again)))
-        width = min(_REACH - 1, len(own))
-        if (upto[width:] - upto[: len(upto) - width]).max() < left:
-            continue
-        if holds_passage(own, text[max(0, at[0] - _DRIFT) : max(0, at[-1] + _DRIFT + 1)]):
-            return True
-    return False
+            there = text_at[part, None] + span + drift
+            inside = there.clip(0, len(texts) - 1)
+            again |= (texts[inside] == own) & (text_of[inside] == text_of[text_at[part], None]) & (there == inside)
+        upto = np.cumsum(again & mine, axis=1, dtype=np.int32)
+        keep[part] = (upto[:, _REACH - 2] >= left) | ((upto[:, _REACH - 1 :] - upto[:, : 1 - _REACH]).max(axis=1) >= left)
+    return keep
+
+
+def held_pairs(items: tuple[np.ndarray, np.ndarray], texts: tuple[np.ndarray, np.ndarray], hits: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[int]:
+    """The numbers of the pairs whose text holds a passage of their item around one of their hits.
+
+    items and texts are (words, ends): the words of all pairs one behind the other, with len(pairs) + 1 limits; hits are
+    (limits, places in the text, places in the item).
+    """
+    (own, own_ends), (codes, ends), (limits, text_at, item_at) = items, texts, hits
+    if not len(text_at):
+        return []
+    pair = np.repeat(np.arange(len(limits) - 1), np.diff(limits))
+    own_of, text_of = np.repeat(np.arange(len(own_ends) - 1), np.diff(own_ends)), np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+    i, t = own_ends[pair] + item_at, ends[pair] + text_at
+    found: set[int] = set()
+    for h in np.flatnonzero(near_hits(own, own_of, codes, text_of, i, t)):
+        p = int(pair[h])
+        if p not in found:
+            a, b = max(own_ends[p], i[h] - _REACH - _STEP + 1), min(own_ends[p + 1], i[h] + _REACH + _STEP + 4)
+            c, d = max(ends[p], t[h] - (i[h] - a) - _DRIFT), min(ends[p + 1], t[h] + (b - i[h]) + _DRIFT)
+            if holds_passage(own[a:b], codes[c:d]):
+                found.add(p)
+    return sorted(found)
 
 
 def holds_passage(item: np.ndarray, text: np.ndarray) -> bool:
@@ -184,7 +212,7 @@ def holds_passage(item: np.ndarray, text: np.ndarray) -> bool:
 
 
 def _worded(texts: DataFrame, name: str, bits: Broadcast | None = None) -> DataFrame:
-    """name, row, codes, seeds (key, at) of texts (name, row, text). With a filter only seeds whose bit is set, and only
+    """name, row, codes, seeds (key, at) of texts (name, row, text). The codes are the words' lower 32 bits. With a filter only seeds whose bit is set, and only
     texts that have such; without one the texts of LEAST_WORDS words or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +233,7 @@ def _worded(texts: DataFrame, name: str, bits: Broadcast | None = None) -> DataF
             found = pa.StructArray.from_arrays([pa.array(key.view(np.int64)), pa.array(at.astype(np.int32))], names=["key", "at"])
             codes = [texts[i] for i in kept]
             bounds = np.concatenate(([0], np.cumsum([len(c) for c in codes]))).astype(np.int32)
-            flat = np.concatenate([*codes, np.empty(0, np.uint64)]).view(np.int64)
+            flat = np.concatenate([*codes, np.empty(0, np.uint64)]).astype(np.uint32).view(np.int32)
             # Texts without a seed lie between the others' ends, and hold no entries there.
             limits = np.append(ends[kept], ends[-1]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -213,7 +241,7 @@ def _worded(texts: DataFrame, name: str, bits: Broadcast | None = None) -> DataF
                 names=[name, "row", "codes", "seeds"],
             )
 
-    return texts.select(name, "row", "text").mapInArrow(run, f"{name} long, row long, codes array<long>, seeds array<struct<key:long,at:int>>")
+    return texts.select(name, "row", "text").mapInArrow(run, f"{name} long, row long, codes array<int>, seeds array<struct<key:long,at:int>>")
 
 
 def _filter_bits(keys: DataFrame) -> bytes:
@@ -264,10 +292,16 @@ def leaked_items(documents: DataFrame, doc_key: str, doc_text: str, items: DataF
     armed = skew_join(pairs.withColumn("name", name), own, "name", "n_pairs", pairs.agg(F.count(F.lit(1)).alias("n"))).filter("item = item_2 and item_row = row_2")
     both = armed.select("doc", "row", "item", "own", "hits").join(marked.select("doc", "row", "codes").dropDuplicates(["doc", "row"]), ["doc", "row"])
 
+    def lists(column: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+        ends = column.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+        return ends - ends[0], column.values.slice(ends[0], ends[-1] - ends[0])
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for docs, numbers, owns, codes, places in slices(batches, 256):
-            held = [i for i in range(len(docs)) if pair_holds(np.array(owns[i], np.int64), np.array(codes[i], np.int64), [(h["text_at"], h["item_at"]) for h in places[i]])]
-            yield pa.RecordBatch.from_arrays([pa.array([docs[i] for i in held], pa.int64()), pa.array([numbers[i] for i in held], pa.int64())], names=["doc", "item"])
+        for batch in batches:
+            (own_ends, own), (ends, codes), (limits, places) = (lists(batch.column(c)) for c in ("own", "codes", "hits"))
+            spots = [places.field(c).to_numpy(zero_copy_only=False) for c in ("text_at", "item_at")]
+            held = pa.array(held_pairs((own.to_numpy(), own_ends), (codes.to_numpy(), ends), (limits, *spots)), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc").take(held), batch.column("item").take(held)], names=["doc", "item"])
 
     cases = both.select("doc", "item", "own", "codes", "hits").mapInArrow(verify, "doc long, item long")
     return cases.select(F.col("doc").alias(doc_key), F.col("item").alias(item_key)).distinct()

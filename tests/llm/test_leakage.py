@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from citeloom.llm import leakage
-from citeloom.llm.leakage import holds_passage, leak_report, leaked_items, normal_words, pair_holds, seeds, word_codes
+from citeloom.llm.leakage import held_pairs, holds_passage, leak_report, leaked_items, normal_words, seeds, word_codes
 
 
 def brute(item, text):
@@ -80,7 +80,9 @@ def test_an_alignment_at_the_limit():
     assert set(seeds([a])[0]) & set(seeds([b])[0]) and len(keys) == 2 * half
     at = {k: p for k, p in zip(*(seeds([a])[i] for i in (0, 2)), strict=True)}
     hits = [(int(p), int(at[k])) for k, p in zip(*(seeds([b])[i] for i in (0, 2)), strict=True) if k in at]
-    assert pair_holds(a, b, hits)
+    n, (texts_at, items_at) = len(hits), np.array(hits).T
+    one, other = (np.concatenate([a, a]), np.array([0, 15, 30])), (np.concatenate([b, b[:9]]), np.array([0, 15, 24]))
+    assert held_pairs(one, other, (np.array([0, n, n + 1]), np.append(texts_at, 0), np.append(items_at, 0))) == [0]
 
 
 def test_seeds_do_not_cross_texts():
