@@ -67,35 +67,38 @@ def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def compact_windows(hashes: np.ndarray, width: int) -> list[tuple[int, int, int]]:
-    """(l, c, r) of the Cartesian tree's nodes that span at least width hashes, of equal hashes the left one above."""
-    if len(hashes) < width:
-        return []
-    least = _sliding_least(hashes, width)
-    # The nodes are the places of the least hashes of all runs: the first place of its value in each run.
-    new = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-    places = []
-    for start, stop in zip(new, [*new[1:], len(least)], strict=True):
-        value, low, high = least[start], int(start), int(stop) + width - 1
-        same = low + np.flatnonzero(hashes[low:high] == value)
-        at = low
-        for p in same:
-            if at < stop and p >= at:
-                places.append(int(p))
-                at = int(p) + 1
-    places.sort()
-    out, stack, left = [], [], {}
-    ends: dict[int, int] = {}
-    for p in places:
-        while stack and hashes[stack[-1]] > hashes[p]:
-            ends[stack.pop()] = p - 1
-        left[p] = stack[-1] + 1 if stack else 0
-        stack.append(p)
-    for p in stack:
-        ends[p] = len(hashes) - 1
-    for p in places:
-        out.append((left[p], p, ends[p]))
-    return out
+def compact_windows(hashes: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(l, c, r) of the Cartesian trees' nodes that span at least width hashes, of equal hashes the left one above.
+
+    hashes holds those of many texts one behind the other, ends where each text's begin and the last one's end. A node of
+    that span is the least hash of some run of width hashes, so the nodes are the places at which the greatest of the least
+    hashes of the runs around is the hash itself; only their ends are looked for one by one, with a stack.
+    """
+    n = len(hashes)
+    if n < width:
+        return (np.empty(0, np.int64),) * 3
+    least, lengths = _sliding_least(hashes, width), np.diff(ends)
+    stop = np.repeat(ends[1:], lengths)
+    runs = np.zeros(n + width - 1, np.uint64)  # width - 1 in front; runs that reach into the next text count as none
+    runs[width - 1 : n] = np.where(np.arange(len(least)) + width <= stop[: len(least)], least, np.uint64(0))
+    places = np.flatnonzero(hashes == ~_sliding_least(~runs, width))
+    values, limits, left, right, stack = hashes[places].tolist(), stop[places].tolist(), [], [0] * len(places), []
+    firsts, at = (stop - np.repeat(lengths, lengths))[places].tolist(), places.tolist()
+    limit = -1
+    for i, value in enumerate(values):
+        if limits[i] != limit:
+            for j in stack:
+                right[j] = limit - 1
+            stack, limit = [], limits[i]
+        while stack and values[stack[-1]] > value:
+            right[stack.pop()] = at[i] - 1
+        left.append(at[stack[-1]] + 1 if stack else firsts[i])
+        stack.append(i)
+    for j in stack:
+        right[j] = limit - 1
+    low, high = np.array(left, np.int64), np.array(right, np.int64)
+    kept = np.flatnonzero(high - low + 1 >= width)
+    return low[kept], places[kept], high[kept]
 
 
 def _codes(text: str) -> np.ndarray:
@@ -108,20 +111,19 @@ def window_rows(docs: DataFrame, least: int, gram: int) -> DataFrame:
     width = least - gram + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in slices(batches):
-            sigs, docs, rows, ats, lows, highs = [], [], [], [], [], []
-            for doc, row, value in zip(*columns, strict=True):
-                hashes = gram_hashes(_codes(value), gram)
-                windows = np.array(compact_windows(hashes, width), np.int64).reshape(-1, 3)
-                left, places, right = windows[:, 0], windows[:, 1], windows[:, 2]
-                sigs.append(hashes[places].view(np.int64))
-                docs.append(np.full(len(places), doc, np.int64))
-                rows.append(np.full(len(places), row, np.int64))
-                ats.append(places.astype(np.int32))
-                lows.append(np.maximum(left, places + gram - least).clip(0).astype(np.int32))
-                highs.append(np.minimum(right + gram, places + least).astype(np.int32))
-            if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sigs, docs, rows, ats, lows, highs)], names=["sig", "doc", "row", "at", "low", "high"])
+        for ids, marks, values in slices(batches):
+            texts = [_codes(v) for v in values]
+            lengths = np.array([len(t) for t in texts], np.int64)
+            # Grams that reach into the next text are left out; a text of fewer than least characters has no window.
+            every = gram_hashes(np.concatenate([*texts, np.zeros(gram, np.uint32)]), gram)
+            begins, counts = np.concatenate(([0], np.cumsum(lengths)[:-1])), np.where(lengths >= least, lengths - gram + 1, 0)
+            ends = np.concatenate(([0], np.cumsum(counts)))
+            hashes = every[np.repeat(begins - ends[:-1], counts) + np.arange(ends[-1])]
+            left, places, right = compact_windows(hashes, ends, width)
+            text = np.searchsorted(ends, places, "right") - 1
+            at, first, last = places - ends[text], left - ends[text], right - ends[text]
+            columns = (hashes[places].view(np.int64), np.array(ids, np.int64)[text], np.array(marks, np.int64)[text], at.astype(np.int32), np.maximum(first, at + gram - least).astype(np.int32), np.minimum(last + gram, at + least).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["sig", "doc", "row", "at", "low", "high"])
 
     return docs.select("doc", "row", "text").mapInArrow(run, "sig long, doc long, row long, at int, low int, high int")
 

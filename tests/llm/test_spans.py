@@ -90,7 +90,11 @@ def test_windows_are_the_cartesian_tree():
             while high < len(h) - 1 and h[high + 1] >= h[c]:
                 high += 1
             want.append((low, c, high))
-        assert compact_windows(h, width) == want
+        got = compact_windows(h, np.array([0, len(h)]), width)
+        assert list(zip(*(x.tolist() for x in got), strict=True)) == want
+        # Two texts one behind the other have the windows of each.
+        both = compact_windows(np.concatenate([h, h]), np.array([0, len(h), len(h), 2 * len(h)]), width)
+        assert list(zip(*(x.tolist() for x in both), strict=True)) == want + [tuple(x + len(h) for x in w) for w in want]
         # Each run of width hashes belongs to one window, whose place is in it.
         for i in range(len(h) - width + 1):
             assert sum(lo <= i <= c <= i + width - 1 <= hi for lo, c, hi in want) == 1
