@@ -90,6 +90,16 @@ t AS (SELECT count(DISTINCT scp) AS n_records FROM p),
 c AS (SELECT a.ref_sgr AS cited_1, b.ref_sgr AS cited_2, count(*) AS n FROM p a JOIN p b ON a.scp = b.scp AND a.ref_sgr < b.ref_sgr GROUP BY ALL)
 """
 
+#: All stretches of 200 characters of all texts; places that occur in several documents, joined to runs.
+_SPANS = """
+WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 200),
+q AS (SELECT doc_id, md5(text) AS row, s, substring(text, s + 1, 200) AS piece FROM (SELECT doc_id, text, CAST(unnest(generate_series(0, length(text) - 200)) AS BIGINT) AS s FROM d)),
+g AS (SELECT piece FROM q GROUP BY piece HAVING count(DISTINCT doc_id) > 1),
+h AS (SELECT doc_id, row, s, lag(s) OVER (PARTITION BY doc_id, row ORDER BY s) AS before FROM q JOIN g USING (piece)),
+i AS (SELECT *, count(CASE WHEN before IS NULL OR s - before > 200 THEN 1 END) OVER (PARTITION BY doc_id, row ORDER BY s) AS run FROM h),
+sp AS (SELECT DISTINCT doc_id, span_start, span_end FROM (SELECT doc_id, CAST(min(s) AS INTEGER) AS span_start, CAST(max(s) + 200 AS INTEGER) AS span_end FROM i GROUP BY doc_id, row, run))
+"""
+
 SQL = {
     "p2_pairs": _PAIRS
     + """SELECT cited_1, cited_2, c.n, i.n AS n_1, j.n AS n_2, n_records, round(c.n::DOUBLE * n_records / (i.n::DOUBLE * j.n), 6) AS lift,
@@ -105,4 +115,8 @@ f AS (SELECT w.a, w.b, g.pub_year AS y, count(DISTINCT x.scp) AS n FROM w JOIN p
 SELECT 'pair' AS kind, cited_1, cited_2, 0 AS co_cited_year FROM c JOIN i ON i.ref_sgr = cited_1 JOIN i j ON j.ref_sgr = cited_2, t
  WHERE c.n >= 8 AND c.n::DOUBLE * n_records / (i.n::DOUBLE * j.n) >= 12
 UNION ALL SELECT DISTINCT 'frequency', k.a, k.b, k.y FROM k LEFT JOIN f USING (a, b, y) WHERE k.f <> coalesce(f.n, 0)""",
+    "p9_found": _SPANS + "SELECT doc_id, span_start, span_end FROM sp",
+    "p9_share": _SPANS
+    + """, k AS (SELECT doc_id, count(*) AS n, CAST(sum(span_end - span_start) AS BIGINT) AS c FROM sp GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(text) AS INTEGER) AS n_chars, coalesce(k.n, 0) AS n_spans, coalesce(k.c, 0) AS shared_chars, coalesce(k.c, 0) / nullif(length(text), 0)::DOUBLE AS shared_share FROM documents d LEFT JOIN k USING (doc_id)""",
 }
