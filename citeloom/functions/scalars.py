@@ -31,14 +31,17 @@ def iso_date(text: Column) -> Column:
 
 
 def iso_interval(text: Column) -> Column:
-    """A signed ISO-8601 duration such as -P1Y2M3D as struct(months, days); null for null and other texts."""
+    """A signed ISO-8601 duration such as -P1Y2M3DT4H5M6.5S as struct(months, days, seconds); null for null and other texts."""
     sign = F.when(text.startswith("-"), -1).otherwise(1)
+    days_part, time_part = F.split_part(text, F.lit("T"), F.lit(1)), F.split_part(text, F.lit("T"), F.lit(2))
 
-    def part(unit: str) -> Column:
-        return F.coalesce(F.nullif(F.regexp_extract(text, rf"(\d+){unit}", 1), F.lit("")).try_cast("int"), F.lit(0))
+    def part(of: Column, unit: str, number: str = r"\d+", kind: str = "int") -> Column:
+        return F.coalesce(F.nullif(F.regexp_extract(of, rf"({number}){unit}", 1), F.lit("")).try_cast(kind), F.lit(0))
 
-    months, days = sign * (part("Y") * 12 + part("M")), sign * (part("W") * 7 + part("D"))
-    return F.when(text.rlike(r"^-?P(\d+Y)?(\d+M)?(\d+W)?(\d+D)?$"), F.struct(months.cast("int").alias("months"), days.cast("int").alias("days")))
+    months, days = sign * (part(days_part, "Y") * 12 + part(days_part, "M")), sign * (part(days_part, "W") * 7 + part(days_part, "D"))
+    seconds = sign * (part(time_part, "H") * 3600 + part(time_part, "M") * 60 + part(time_part, "S", r"\d+(?:[.,]\d+)?", "double"))
+    good = text.rlike(r"^-?P(?=.)(\d+Y)?(\d+M)?(\d+W)?(\d+D)?(T(?=.)(\d+H)?(\d+M)?(\d+(\.\d+)?S)?)?$")
+    return F.when(good, F.struct(months.cast("int").alias("months"), days.cast("int").alias("days"), seconds.cast("double").alias("seconds")))
 
 
 def substring_match(text: Column, pattern: str) -> Column:

@@ -597,10 +597,10 @@ def fn_partial_dates(spark, folder):
     return table(spark, folder, "ct_clinical_studies").select(F.trim("start_date").alias("s")).distinct().select("s", C.extract_year(s).alias("y"), C.extract_month(s).alias("m"), C.iso_date(s).alias("d"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN -1 ELSE 1 END * (p_size * 12 + p_partkey % 12) AS months, CASE WHEN p_size % 2 = 0 THEN -1 ELSE 1 END * (p_partkey % 30) AS days FROM part")
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN -1 ELSE 1 END * (p_size * 12 + p_partkey % 12) AS months, CASE WHEN p_size % 2 = 0 THEN -1 ELSE 1 END * (p_partkey % 30) AS days, CASE WHEN p_size % 2 = 0 THEN -1 ELSE 1 END * ((p_partkey % 24) * 3600 + (p_size % 60) * 60 + 1.5::DOUBLE) AS seconds FROM part")
 def fn_iso_interval(spark, folder):
-    text = F.concat(F.when(F.col("p_size") % 2 == 0, "-").otherwise(""), F.lit("P"), F.col("p_size"), F.lit("Y"), F.col("p_partkey") % 12, F.lit("M"), F.col("p_partkey") % 30, F.lit("D"))
-    return table(spark, folder, "part").select("p_partkey", C.iso_interval(text).alias("i")).select("p_partkey", F.col("i.months").cast("long").alias("months"), F.col("i.days").cast("long").alias("days"))
+    text = F.concat(F.when(F.col("p_size") % 2 == 0, "-").otherwise(""), F.lit("P"), F.col("p_size"), F.lit("Y"), F.col("p_partkey") % 12, F.lit("M"), F.col("p_partkey") % 30, F.lit("DT"), F.col("p_partkey") % 24, F.lit("H"), F.col("p_size") % 60, F.lit("M1.5S"))
+    return table(spark, folder, "part").select("p_partkey", C.iso_interval(text).alias("i")).select("p_partkey", F.col("i.months").cast("long").alias("months"), F.col("i.days").cast("long").alias("days"), F.col("i.seconds").alias("seconds"))
 
 
 @query("SELECT id, lower(concat(trim(last_name, ' '), substr(trim(first_name, ' '), 1, 1))) AS author_key FROM ct_overall_officials WHERE last_name IS NOT NULL")

@@ -62,8 +62,10 @@ def test_fuzzy_against_brute_force(spark):
 def test_scalars(spark):
     df = spark.createDataFrame([("-P1Y2M3D", "2020-02", "12p.", "1701;1702"), ("P3D", "2020-13-01", "xii", "17"), (None, None, None, None)], "i string, d string, p string, c string")
     got = df.select(C.iso_interval(F.col("i")).alias("i"), C.extract_year(F.col("d")), C.extract_month(F.col("d")), C.iso_date(F.col("d")), C.page_count(F.col("p")), C.class_code(F.col("c"))).collect()
-    assert [tuple(r["i"]) if r["i"] else None for r in got] == [(-14, -3), (0, 3), None]
+    assert [tuple(r["i"]) if r["i"] else None for r in got] == [(-14, -3, 0.0), (0, 3, 0.0), None]
     assert [tuple(r[1:]) for r in got] == [(2020, 2, None, 12, "1701"), (2020, 13, None, None, None), (None,) * 5]
+    times = spark.createDataFrame([("PT1H2M3.5S",), ("-P1DT2M",), ("P",), ("P1DT",), ("PT",), ("P2M",)], "i string").select(C.iso_interval(F.col("i")).alias("i")).collect()
+    assert [tuple(r["i"]) if r["i"] else None for r in times] == [(0, 0, 3723.5), (0, -1, -120.0), None, None, None, (2, 0, 0.0)]
     dates = spark.createDataFrame([(2020, 0, 0), (2020, 2, 30), (None, 1, 1), (2020, None, 5)], "y int, m int, d int")
     assert [str(r[0]) for r in dates.select(C.try_parse(F.col("y"), F.col("m"), F.col("d"))).collect()] == ["2020-01-01", "None", "None", "2020-01-05"]
 
