@@ -69,6 +69,20 @@ def replace_table(spark: SparkSession, name: str, change) -> None:
     spark.sql(f"DROP TABLE {old}")
 
 
+def materialized_view(spark: SparkSession, name: str, query: str) -> None:
+    """The result of a query as a table that remembers the query (see refresh_view)."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    save_table(spark.sql(query), name)
+    spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('view.query' = '{query.replace(chr(92), chr(92) * 2).replace(chr(39), chr(92) + chr(39))}')")
+
+
+def refresh_view(spark: SparkSession, name: str) -> None:
+    """A table of materialized_view made anew from its query; readers see the old rows until the new ones are written."""
+    query = spark.sql(f"SHOW TBLPROPERTIES {name} ('view.query')").first()["value"]
+    replace_table(spark, name, lambda _: spark.sql(query))
+    spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('view.query' = '{query.replace(chr(92), chr(92) * 2).replace(chr(39), chr(92) + chr(39))}')")
+
+
 def cached_view(df: DataFrame, name: str) -> DataFrame:
     """A temporary view whose rows are kept once computed."""
     df.cache().createOrReplaceTempView(name)
@@ -94,6 +108,16 @@ def read_memberships(spark: SparkSession, path: str, threshold: float, sep: str
     return spark.read.schema("node long, cluster_no long, p double").option("sep", sep).csv(path).filter(F.col("p") > threshold)
 
 
+def write_memberships(memberships: DataFrame, path: str, sep: str = "\t") -> None:
+    """node, cluster_no, p as a long file without header, the sparse form of a membership matrix: zeros are left out."""
+    write_delimited(memberships.filter("p > 0").select("node", "cluster_no", "p"), path, sep=sep, header=False)
+
+
+def membership_matrix(memberships: DataFrame) -> DataFrame:
+    """node, memberships: of each node its clusters and shares, in order of the cluster: a row of the sparse matrix."""
+    return memberships.filter("p > 0").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("cluster_no", "p"))).alias("memberships"))
+
+
 def read_clustering(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """cluster_no, node from the usual layouts: pairs (cluster node, by a blank), ikc (node,cluster,...), lines (one cluster
     a line, numbered in order of its least node), labels (line number = node from 1, value = cluster; an empty

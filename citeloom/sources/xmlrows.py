@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citeloom.operators.relational import upsert
+
 
 @dataclass(frozen=True)
 class TableSpec:
@@ -56,3 +58,13 @@ def shred(documents: DataFrame, spec: dict[str, TableSpec], only: list[str] | No
             rows = rows.dropna(subset=list(t.keys))
         out[name] = rows
     return out
+
+
+def upsert_documents(tables: dict[str, DataFrame], documents: DataFrame, spec: dict[str, TableSpec]) -> dict[str, DataFrame]:
+    """The tables of a spec with the rows of newly read documents put in by key, tables without a key with theirs added. A table
+    that is not there yet begins with the new rows."""
+    out: dict[str, DataFrame] = {}
+    for name, rows in shred(documents, spec).items():
+        base, keys = tables.get(name), list(spec[name].keys)
+        out[name] = rows if base is None else upsert(base, rows, keys) if keys else base.unionByName(rows.select(*base.columns))
+    return out

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from citeloom.functions import scalars as C
 from citeloom.operators import relational as R
 from citeloom.sources import io
-from citeloom.sources.xmlrows import TableSpec, parse_xml, read_xml, shred
+from citeloom.sources.xmlrows import TableSpec, parse_xml, read_xml, shred, upsert_documents
 from citeloom.streaming import feed
 
 
@@ -199,3 +199,28 @@ def test_core_stands_without_the_llm_subpackage():
 
     code = "import sys; sys.modules['citeloom.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'p3_found' in q and 'p6_found' not in q; assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parent.parent)
+
+
+def test_views_memberships_and_loads_of_documents(spark, rows, tmp_path):
+    spark.sql("DROP TABLE IF EXISTS mv_base")
+    spark.createDataFrame([(1, "a'b")], "k int, v string").write.saveAsTable("mv_base")
+    io.materialized_view(spark, "mv_kept", "SELECT k, v FROM mv_base WHERE v <> 'x\\'y'")
+    spark.createDataFrame([(2, "c")], "k int, v string").write.insertInto("mv_base")
+    assert rows(spark.table("mv_kept")) == [(1, "a'b")]
+    for _ in range(2):
+        io.refresh_view(spark, "mv_kept")
+        assert rows(spark.table("mv_kept")) == [(1, "a'b"), (2, "c")]
+    for name in ("mv_kept", "mv_base"):
+        spark.sql(f"DROP TABLE {name}")
+    m = spark.createDataFrame([(1, 5, 0.25), (1, 4, 0.75), (2, 5, 0.0), (3, 5, 1.0)], "node long, cluster_no long, p double")
+    io.write_memberships(m, str(tmp_path / "m"))
+    assert rows(io.read_memberships(spark, str(tmp_path / "m"), 0.5)) == [(1, 4, 0.75), (3, 5, 1.0)]
+    assert [(r["node"], [tuple(x) for x in r["memberships"]]) for r in io.membership_matrix(m).orderBy("node").collect()] == [(1, [(4, 0.75), (5, 0.25)]), (3, [(5, 1.0)])]
+    spec = {"orders": TableSpec("", {"id": "id", "v": "v"}, ("id",)), "lines": TableSpec("line", {"id": "id", "part": "r._part"})}
+
+    def read(texts):
+        return parse_xml(spark.createDataFrame([(t,) for t in texts], "x string"), "x", "id long, v string, line array<struct<_part:long>>").select("doc.*")
+
+    first = upsert_documents({}, read(["<o><id>1</id><v>a</v><line part='7'/></o>", "<o><id>2</id><v>b</v></o>"]), spec)
+    second = upsert_documents(first, read(["<o><id>2</id><v>c</v><line part='8'/></o>", "<o><id>3</id></o>"]), spec)
+    assert rows(second["orders"]) == sorted([(1, "a"), (2, "c"), (3, None)], key=repr) and rows(second["lines"]) == [(1, 7), (2, 8)]
