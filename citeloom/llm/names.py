@@ -45,6 +45,8 @@ KINDS = {
 }
 # Words of companies; the kind of business is part of the name, the rest is not.
 COMPANY = {"pharmaceuticals": "pharm pharma pharmaceutical pharmaceuticals", "therapeutics": "thera ther therapeutics therapeutic", "biosciences": "biosc biosci bioscience biosciences", "biotech": "biotech biotechnology biotechnologies", "laboratories": "lab labs laboratory laboratories"}
+# Usual initials of two such words.
+INITIALS = {"mc": ("medical", "center"), "uh": ("university", "hospital"), "gh": ("general", "hospital"), "rc": ("research", "center"), "ch": ("childrens", "hospital")}
 # Words that name a part of an institution when they begin or end what stands between two marks.
 UNITS = frozenset("department division section unit ward service services office program programme branch campus".split())
 _EMPTY = frozenset("of the and at for de la du s main campus usa us uk canada germany france spain italy japan china india brazil kenya australia israel mexico sweden denmark poland netherlands switzerland austria belgium".split())
@@ -103,6 +105,8 @@ def institution(text: str | None, kept: dict[str, str]) -> tuple[str, str] | Non
         for w in words:
             if w in KINDS or w in COMPANY:
                 kinds.add(w)
+            elif w in INITIALS:
+                kinds.update(INITIALS[w])
             elif w not in _EMPTY:
                 own.append(w)
     return (" ".join(sorted(own)), " ".join(sorted(kinds))) if own else None

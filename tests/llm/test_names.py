@@ -78,6 +78,7 @@ def test_institutions_and_companies():
     assert institution("St. Alda Hosp., Bohekram", {}) == institution("Bohekram, Saint Alda Hospital", {}) != institution("Saint Alda Hospital, Brugado", {})
     assert institution("Kanolo Meedical Cener", {}) == institution("Kanolo Med. Center", {})
     assert institution("University of Vedrochand; Clinical Research Unit", {}) == ("vedrochand", "university")
+    assert institution("Kanolo MC", {}) == institution("Kanolo Medical Center", {})
     assert institution("Siant Alda Hosptial, Brugado", {}) == institution("Saint Alda Hospital, Brugado", {})
     assert institution(None, {}) is institution("", {}) is None
     firms = ["Dezeplakrel Pharmaceuticals, Inc.", "DEZEPLAKREL PHARM.", "Dezeplakrel Pharmaceuticals Clinical Trials"]
