@@ -50,6 +50,8 @@ def pairs_within(df: DataFrame, keys: list[str], item: str, block: int = PAIR_BL
         F.collect_list(F.when(F.col("__own") == low, F.col("__item"))).alias("__first"), F.collect_list(F.when(F.col("__own") != low, F.col("__item"))).alias("__second")
     )
     whole = F.col("__low") == F.col("__high")
-    one = pieces.select(*keys, F.explode("__first").alias("__x"), F.when(whole, F.col("__first")).otherwise(F.col("__second")).alias("__rest"), whole.alias("__whole"))
-    two = one.select(*keys, "__x", "__whole", F.explode("__rest").alias("__y")).filter((F.col("__x") < F.col("__y")) | (~F.col("__whole") & (F.col("__x") > F.col("__y"))))
+    sorted_pieces = pieces.select(*keys, whole.alias("__whole"), F.when(whole, F.array_sort("__first")).otherwise(F.col("__first")).alias("__first"), "__second")
+    one = sorted_pieces.select(*keys, "__whole", "__first", "__second", F.posexplode("__first").alias("__at", "__x"))
+    rest = F.when(F.col("__whole"), F.slice("__first", F.col("__at") + 2, F.size("__first") - F.col("__at") - 1)).otherwise(F.col("__second"))
+    two = one.select(*keys, "__x", F.explode(rest).alias("__y"))
     return two.select(*keys, F.least("__x", "__y").alias("item_1"), F.greatest("__x", "__y").alias("item_2"))
