@@ -160,6 +160,13 @@ def name_parts(first: str | None, last: str | None) -> tuple[str, str, str]:
     return joined(long[:-1]), long[-1], "loose"
 
 
+def _meet(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """left and right joined by sorting both, so that neither is gathered on the driver to be broadcast. Left to itself the
+    engine judges a side by the compressed file that it is read from, as it is before its words are cut into segments, and
+    takes for small what is many times larger."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _parsed(df: DataFrame, key: str, first: str, last: str, affiliation: str, nicknames: dict[str, str]) -> DataFrame:
     """id, kind, front, back, how, place, sort: the parts of each mention; place is null without affiliation."""
 
@@ -211,8 +218,9 @@ def _oriented(parsed: DataFrame, nicknames: dict[str, str]) -> DataFrame:
     def side(c: str, name: str, n: str) -> DataFrame:
         return counts.filter(F.col(n) > 0).select(F.col("word").alias(c), F.col("ahead").alias(f"ahead_{name}"), F.col("behind").alias(f"behind_{name}"), n)
 
-    met = skew_join(person, side("front", "f", "n_front"), "front", "n_front", total)
-    met = skew_join(met, side("given_back", "b", "n_back"), "given_back", "n_back", total)
+    # Each join is a plan of its own. The hint holds for the keys that are not hot; those have one of their own.
+    met = materialise(skew_join(person, side("front", "f", "n_front").hint("merge"), "front", "n_front", total))
+    met = skew_join(met, side("given_back", "b", "n_back").hint("merge"), "given_back", "n_back", total)
 
     def score(ahead: Column, behind: Column) -> Column:
         return (ahead + 0.5) / (behind + 0.5)
@@ -249,7 +257,7 @@ def segment_pairs(names: DataFrame, name: str = "name", edits: int = EDITS) -> D
     probe = probe.withColumn("at", at).withColumn("size", to - at)
     probe = probe.select("name", "n", "i", "size", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - edits), F.greatest(F.lit(0), F.least(F.col("at") + edits, F.col("own") - F.col("size"))))).alias("s"))
     probe = probe.select("name", "n", "i", F.expr("substring(name, s + 1, size)").alias("segment")).distinct()
-    met = probe.withColumnRenamed("name", "b").join(index.withColumnRenamed("name", "a"), ["n", "i", "segment"]).filter("a != b")
+    met = _meet(probe.withColumnRenamed("name", "b"), index.withColumnRenamed("name", "a"), ["n", "i", "segment"]).filter("a != b")
     both = met.select(F.least("a", "b").alias("name_1"), F.greatest("a", "b").alias("name_2")).distinct()
     return both.filter(F.levenshtein("name_1", "name_2", edits) >= 0)
 
@@ -266,13 +274,14 @@ def similar(words: DataFrame, edits: int = EDITS) -> DataFrame:
     """
     distinct = materialise(words.select("name").filter("name != ''").distinct())
     n = F.length("name")
-    long = segment_pairs(distinct.filter(n >= 5), "name", edits)
-    short = segment_pairs(distinct.filter(n.between(3, 5)), "name", 1).filter(F.least(F.length("name_1"), F.length("name_2")) <= 4)
+    long = materialise(segment_pairs(distinct.filter(n >= 5), "name", edits))
+    short = materialise(segment_pairs(distinct.filter(n.between(3, 5)), "name", 1).filter(F.least(F.length("name_1"), F.length("name_2")) <= 4))
     few = distinct.filter(n.between(3, 4)).select("name", _letters(F.col("name")).alias("letters"))
-    swapped = few.withColumnRenamed("name", "name_1").join(few.withColumnRenamed("name", "name_2"), "letters").filter((F.col("name_1") < F.col("name_2")) & (F.levenshtein("name_1", "name_2", 2) >= 0))
+    swapped = _meet(few.withColumnRenamed("name", "name_1"), few.withColumnRenamed("name", "name_2"), "letters").filter((F.col("name_1") < F.col("name_2")) & (F.levenshtein("name_1", "name_2", 2) >= 0))
     pairs = reduce(DataFrame.unionByName, (long, short, swapped.select("name_1", "name_2"))).distinct()
     same = distinct.select(F.col("name").alias("name_1"), F.col("name").alias("name_2"))
-    return materialise(pairs.unionByName(pairs.select(F.col("name_2").alias("name_1"), F.col("name_1").alias("name_2"))).unionByName(same))
+    either = F.array(F.struct("name_1", "name_2"), F.struct(F.col("name_2").alias("name_1"), F.col("name_1").alias("name_2")))
+    return materialise(pairs.select(F.inline(either)).unionByName(same))
 
 
 def _alike(a: Column, b: Column) -> Column:
@@ -293,7 +302,7 @@ def given_pairs(given: DataFrame, alike: DataFrame) -> DataFrame:
     full = given.select("name").filter("length(name) > 1").distinct()
     alike = alike.select(F.col("name_1").alias("given_1"), F.col("name_2").alias("given_2"))
     cut = full.filter("length(name) > 3").select(F.col("name").alias("given_1"), F.explode(F.sequence(F.lit(3), F.length("name") - 1)).alias("k")).select("given_1", F.expr("left(given_1, k)").alias("given_2"))
-    begun = cut.join(full.select(F.col("name").alias("given_2")), "given_2").select("given_1", "given_2")
+    begun = _meet(cut, full.select(F.col("name").alias("given_2")), "given_2").select("given_1", "given_2")
     return alike.unionByName(begun).unionByName(begun.select(F.col("given_2").alias("given_1"), F.col("given_1").alias("given_2"))).distinct()
 
 
@@ -317,8 +326,8 @@ def place_pairs(places: DataFrame, words: DataFrame, alike: DataFrame) -> DataFr
 
     A place meets others by its rarest word: another place alike to it holds that word or one alike to it.
     """
-    rarest = words.join(words.groupBy("name").agg(F.count(F.lit(1)).alias("n")), "name").groupBy("place").agg(F.min_by("name", F.struct("n", "name")).alias("name_1"))
-    met = rarest.withColumnRenamed("place", "place_1").join(alike, "name_1").join(words.select(F.col("place").alias("place_2"), F.col("name").alias("name_2")), "name_2")
+    rarest = _meet(words, words.groupBy("name").agg(F.count(F.lit(1)).alias("n")), "name").groupBy("place").agg(F.min_by("name", F.struct("n", "name")).alias("name_1"))
+    met = _meet(_meet(rarest.withColumnRenamed("place", "place_1"), alike, "name_1"), words.select(F.col("place").alias("place_2"), F.col("name").alias("name_2")), "name_2")
     found = met.select("place_1", "place_2").distinct().filter(_same_words(F.col("place_1"), F.col("place_2")))
     return found.unionByName(places.filter("place is not null").select(F.col("place").alias("place_1"), F.col("place").alias("place_2"))).distinct()
 
@@ -344,9 +353,9 @@ def _by_letter(left: DataFrame, right: DataFrame, names: DataFrame) -> DataFrame
     """Pairs of mentions that meet by name and first letter of the given name, or by name alone where one has none."""
     letter = F.substring("given_1", 1, 1)
     probes = F.when(F.col("given_1") == "", F.array(F.lit("*"))).otherwise(F.array(letter, F.lit("")))
-    a = left.join(names, "name_1").withColumn("key", F.explode(probes))
+    a = _meet(left, names, "name_1").withColumn("key", F.explode(probes))
     b = right.withColumn("key", F.explode(F.array(F.substring("given_2", 1, 1), F.lit("*"))))
-    return a.join(b, ["kind", "name_2", "key"]).filter(_fits()).select("m_1", "m_2", "n_2")
+    return _meet(a, b, ["kind", "name_2", "key"]).filter(_fits()).select("m_1", "m_2", "n_2")
 
 
 def _heads(pairs: DataFrame, mentions: DataFrame) -> DataFrame:
@@ -357,23 +366,23 @@ def _heads(pairs: DataFrame, mentions: DataFrame) -> DataFrame:
     contradict each other.
     """
     degree = pairs.groupBy(F.col("m_1").alias("m_2")).agg(F.count(F.lit(1)).alias("d_2"))
-    at = materialise(pairs.join(degree, "m_2").groupBy("m_1").agg(F.max_by("m_2", F.struct("n_2", "d_2", "m_2")).alias("head")))
+    at = materialise(_meet(pairs, degree, "m_2").groupBy("m_1").agg(F.max_by("m_2", F.struct("n_2", "d_2", "m_2")).alias("head")))
     while True:
         up = at.select(F.col("m_1").alias("head"), F.col("head").alias("top"))
-        new = materialise(at.join(up, "head").select("m_1", "head", "top"))
+        new = materialise(_meet(at, up, "head").select("m_1", "head", "top"))
         still = new.filter("head != top").isEmpty()
         at = new.select("m_1", F.col("top").alias("head"))
         if still:
             break
     one, two = at.select("m_1", F.col("head").alias("h_1")), at.select(F.col("m_1").alias("m_2"), F.col("head").alias("h_2"))
-    across = pairs.join(one, "m_1").join(two, "m_2").filter("h_1 < h_2").select(F.col("h_1").alias("m_1"), F.col("h_2").alias("m_2")).distinct()
-    met = across.join(_side(mentions, 1), "m_1").join(_side(mentions, 2), ["kind", "m_2"]).filter(_fits() & (F.levenshtein("name_1", "name_2", 2 * EDITS) >= 0))
+    across = _meet(_meet(pairs, one, "m_1"), two, "m_2").filter("h_1 < h_2").select(F.col("h_1").alias("m_1"), F.col("h_2").alias("m_2")).distinct()
+    met = _meet(_meet(materialise(across), _side(mentions, 1), "m_1"), _side(mentions, 2), ["kind", "m_2"]).filter(_fits() & (F.levenshtein("name_1", "name_2", 2 * EDITS) >= 0))
     links = materialise(met.select(F.col("m_1").alias("citing"), F.col("m_2").alias("cited")))
     out = at.select(F.col("m_1").alias("m"), F.col("head").alias("entity"))
     if links.isEmpty():
         return out
     joined = components(links).withColumnRenamed("node", "entity")
-    return out.join(joined, "entity", "left").select("m", F.coalesce("component", "entity").alias("entity"))
+    return materialise(_meet(out, joined, "entity", "left").select("m", F.coalesce("component", "entity").alias("entity")))
 
 
 def link_names(df: DataFrame, key: str, first: str, last: str, affiliation: str, edits: int = EDITS, nicknames: dict[str, str] = NICKNAMES) -> DataFrame:
@@ -400,33 +409,35 @@ def link_names(df: DataFrame, key: str, first: str, last: str, affiliation: str,
     rows = materialise(_oriented(parsed, nicknames).distinct().select("id", *parts, mention))
     person = F.col("kind") == "person"
     mentions = materialise(rows.groupBy("m", *parts).agg(F.count(F.lit(1)).alias("n")).withColumn("weak", person & (F.col("place").isNull() | (F.length("given") <= 1))))
-    words, given = place_words(mentions), mentions.filter(person).select(F.col("given").alias("name"))
+    words, given = materialise(place_words(mentions)), mentions.filter(person).select(F.col("given").alias("name"))
     alike = similar(mentions.select("name").unionByName(words.select("name")).unionByName(given.filter("length(name) > 1")), edits)
-    names = alike.join(mentions.select(F.col("name").alias("name_1")).distinct(), "name_1", "left_semi")
+    names = materialise(_meet(alike, mentions.select(F.col("name").alias("name_1")).distinct(), "name_1", "left_semi"))
+    places, givens = materialise(place_pairs(mentions, words, alike)), materialise(given_pairs(given, alike))
     one, two = _side(mentions, 1), _side(mentions.filter("not weak"), 2)
-    anchored = one.filter("place_1 is not null").join(names, "name_1").join(place_pairs(mentions, words, alike), "place_1").join(two, ["kind", "name_2", "place_2"])
-    firms = one.filter("kind = 'organisation'").join(names, "name_1").withColumn("given_2", F.col("given_1")).join(two, ["kind", "name_2", "given_2"])
+    anchored = _meet(_meet(_meet(one.filter("place_1 is not null"), names, "name_1"), places, "place_1"), two, ["kind", "name_2", "place_2"])
+    firms = _meet(_meet(one.filter("kind = 'organisation'"), names, "name_1").withColumn("given_2", F.col("given_1")), two, ["kind", "name_2", "given_2"])
     bare = one.filter("kind = 'person' and place_1 is null")
-    named = bare.filter("length(given_1) > 1").join(names, "name_1").join(given_pairs(given, alike), "given_1").join(two, ["kind", "name_2", "given_2"])
+    named = _meet(_meet(_meet(bare.filter("length(given_1) > 1"), names, "name_1"), givens, "given_1"), two, ["kind", "name_2", "given_2"])
     met = [d.filter(_fits()).select("m_1", "m_2", "n_2") for d in (anchored, firms, named)]
     met.append(_by_letter(bare.filter("length(given_1) <= 1"), two, names))
-    pairs = materialise(reduce(DataFrame.unionByName, met).distinct())
+    # Each way to meet is written by itself: what the driver keeps of a plan grows with the square of its size.
+    pairs = materialise(reduce(DataFrame.unionByName, map(materialise, met)).distinct())
     weak = mentions.filter("weak").select(F.col("m").alias("m_1"))
-    heads = _heads(pairs.join(weak, "m_1", "left_anti"), mentions)
-    joined = pairs.join(weak, "m_1", "left_semi").join(heads.select(F.col("m").alias("m_2"), "entity"), "m_2").select(F.col("m_1").alias("m"), "entity")
+    heads = _heads(materialise(_meet(pairs, weak, "m_1", "left_anti")), mentions)
+    joined = _meet(_meet(pairs, weak, "m_1", "left_semi"), heads.select(F.col("m").alias("m_2"), "entity"), "m_2").select(F.col("m_1").alias("m"), "entity")
     joined = materialise(joined.distinct())
-    alone = mentions.filter("weak").join(joined.select("m"), "m", "left_anti")
+    alone = materialise(_meet(mentions.filter("weak"), joined.select("m"), "m", "left_anti"))
     rest = _heads(materialise(_by_letter(_side(alone, 1), _side(alone, 2), names).distinct()), mentions)
     members = heads.unionByName(joined).unionByName(rest)
-    return rows.select("id", "m").join(members, "m").select("entity", F.col("id").alias(key)).distinct()
+    return materialise(_meet(rows.select("id", "m"), members, "m").select("entity", F.col("id").alias(key)).distinct())
 
 
 def linked_pairs(members: DataFrame, key: str, block: int = PAIR_BLOCK) -> DataFrame:
     """id_1, id_2: all pairs of rows of one entity, id_1 < id_2. A large entity is cut into blocks, each two of which meet
     in a task of their own."""
     sizes = members.groupBy("entity").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    rows = members.join(sizes, "entity").select("entity", F.col(key).alias("id"), "blocks", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int").alias("own"))
+    rows = _meet(members, sizes, "entity").select("entity", F.col(key).alias("id"), "blocks", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int").alias("own"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     one = rows.select("entity", F.col("id").alias("id_1"), F.col("own").alias("p"), every.alias("q"))
     two = rows.select("entity", F.col("id").alias("id_2"), F.col("own").alias("q"), every.alias("p"))
-    return one.join(two, ["entity", "p", "q"]).filter("id_1 < id_2").select("id_1", "id_2").distinct()
+    return _meet(one, two, ["entity", "p", "q"]).filter("id_1 < id_2").select("id_1", "id_2").distinct()

@@ -160,7 +160,8 @@ def components(edges: DataFrame) -> DataFrame:
         pairs, n = new, m
         if same:
             break
-    return nodes_of(edges).join(pairs.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    # Sorted, not broadcast by the size of the file, in which the components' names are compressed.
+    return nodes_of(edges).join(pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).hint("merge"), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def kcore(edges: DataFrame, k: int) -> DataFrame:

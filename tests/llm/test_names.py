@@ -6,6 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from citeloom.llm import names as names_module
 from citeloom.llm.names import company, given_pairs, institution, link_names, linked_pairs, name_parts, near, place_pairs, place_words, segment_pairs, similar
 
 
@@ -161,3 +162,19 @@ def test_with_and_without_short_forms(spark):
     rows = [("Richard", "Starkrobal", place), ("Dick", "Starkrobal", place), ("Rich", "Starkrobal", place), ("Jim", "Starkrobal", place), ("Tim", "Starkrobal", place)]
     assert pairs_of(spark, rows) == {(1, 2), (1, 3), (2, 3)}
     assert pairs_of(spark, rows, nicknames={}) == {(1, 3)}
+
+
+def test_no_broadcast_by_the_size_of_a_file(spark, monkeypatch):
+    """The tables are far below the threshold: what is broadcast all the same are the hot keys of skew_join, by its hint."""
+    plans, write = [], names_module.materialise
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution())
+        return write(df)
+
+    monkeypatch.setattr(names_module, "materialise", noted)
+    df = spark.createDataFrame([(*r, "x") for r in ROWS], SCHEMA + ", entity string")
+    plans.append(linked_pairs(link_names(df, "id", "first_name", "last_name", "affiliation"), "id")._jdf.queryExecution())
+    asked = [(p.executedPlan().toString().count("BroadcastHashJoin"), p.optimizedPlan().toString().count("strategy=broadcast")) for p in plans]
+    assert any(hints for _, hints in asked)
+    assert [x for x in asked if x[0] != x[1]] == []
