@@ -94,17 +94,36 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def study_tables() -> tuple[FlatTable, ...]:
-    """The flat tables of the first two layouts: studies with their interventions, these with their labels, and locations with
-    their investigators. Tables of the layouts have the layout's number at the end."""
+    """The flat tables of all layouts of study_links(), a layout's number at the end: studies, arm groups, interventions with
+    their labels, locations with their investigators. In the fourth an arm group holds its interventions, which link to it;
+    those of no arm group are a table of their own, and the facility of a site and its staff are parts of the site's row."""
     out: list[FlatTable] = []
+
+    def add(number: int, name: str, path: str, parent: str | None, value: str) -> None:
+        out.append(FlatTable(f"{name}_{number}", path, parent, {"nct_id" if parent is None else "name": f"{path}.{value}" if value else path}))
+
     for number, root in ((1, "clinical_study"), (2, "batch.studies")):
-        out += [
-            FlatTable(f"studies_{number}", root, None, {"nct_id": f"{root}.id_info.nct_id"}),
-            FlatTable(f"interventions_{number}", f"{root}.intervention", root, {"name": f"{root}.intervention.intervention_name"}),
-            FlatTable(f"labels_{number}", f"{root}.intervention.arm_group_label", f"{root}.intervention", {"name": f"{root}.intervention.arm_group_label"}),
-            FlatTable(f"locations_{number}", f"{root}.location", root, {"name": f"{root}.location.facility.name"}),
-            FlatTable(f"investigators_{number}", f"{root}.location.investigator", f"{root}.location", {"name": f"{root}.location.investigator.last_name"}),
-        ]
+        add(number, "studies", root, None, "id_info.nct_id")
+        add(number, "arm_groups", f"{root}.arm_group", root, "arm_group_label")
+        add(number, "interventions", f"{root}.intervention", root, "intervention_name")
+        add(number, "labels", f"{root}.intervention.arm_group_label", f"{root}.intervention", "")
+        add(number, "other_names", f"{root}.intervention.other_name", f"{root}.intervention", "")
+        add(number, "locations", f"{root}.location", root, "facility.name")
+        add(number, "investigators", f"{root}.location.investigator", f"{root}.location", "last_name")
+    root, arms, places = "study", "study.protocol.arms_interventions", "study.protocol.contacts_locations.locations"
+    add(3, "studies", root, None, "protocol.identification.nct_id")
+    add(3, "arm_groups", f"{arms}.arm_groups", root, "arm_group_label")
+    add(3, "interventions", f"{arms}.interventions", root, "intervention_name")
+    add(3, "labels", f"{arms}.interventions.arm_group_labels", f"{arms}.interventions", "arm_group_label")
+    add(3, "locations", places, root, "facility.name")
+    add(3, "investigators", f"{places}.investigators", places, "name.investigator_last_name")
+    root = "clinical_study_v3"
+    add(4, "studies", root, None, "nct_id")
+    add(4, "arm_groups", f"{root}.design.arm_groups", root, "arm_group_label")
+    add(4, "interventions", f"{root}.design.arm_groups.interventions", f"{root}.design.arm_groups", "intervention_name")
+    add(4, "unassigned_interventions", f"{root}.design.unassigned_interventions", root, "intervention_name")
+    add(4, "locations", f"{root}.sites", root, "facility.name")
+    add(4, "investigators", f"{root}.sites.staff.investigators", f"{root}.sites", "last_name")
     return tuple(out)
 
 

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from citeloom.operators.shred import FlatTable, Link, assemble_links, flat_tables, latest_rows, parse_document, rebuild_document, shred_document, shred_levels, table_rows
-from citeloom.plans.problems import study_links
+from citeloom.plans.problems import study_links, study_tables
 
 names = st.sampled_from(["a", "b", "c", "d"])
 scalars = st.one_of(st.text(max_size=4), st.integers(-3, 3), st.booleans())
@@ -141,3 +141,30 @@ def test_flat_tables_against_a_walk(spark):
         assert sorted(got, key=repr) == walked(document), rec
     assert not any(r["rec"] > 80 for rows in tables.values() for r in rows)
     assert table_rows([], TABLES) == []
+
+
+def flat(document):
+    levels = [{"path": ".".join(path), "reps": r, "defs": d, "vals": v} for path, (r, d, v) in shred_document(document).items()]
+    return [(table, row, parent, *values.values()) for table, row, parent, values in table_rows(levels, study_tables())]
+
+
+def test_every_layout_has_its_flat_tables():
+    held, paths = {leaf for t in study_tables() for leaf in t.values.values()}, {t.path for t in study_tables()}
+    assert {leaf for link in study_links() for leaf in (link.key, link.parent, link.child) if leaf} <= held
+    assert all(t.parent is None or t.parent in paths for t in study_tables())
+    third = {"study": {"protocol": {
+        "identification": {"nct_id": "N3"}, "arms_interventions": {"arm_groups": [{"arm_group_label": "A"}], "interventions": [{"intervention_name": "x"}, {"intervention_name": "y", "arm_group_labels": [{"arm_group_label": "A", "seq": 0}]}]},
+        "contacts_locations": {"locations": [{"place": {"city": "c"}, "investigators": []}, {"facility": {"name": "f"}, "investigators": {"name": {"investigator_last_name": "l"}}}]},
+    }}}
+    assert flat(third) == [
+        ("studies_3", 0, None, "N3"), ("arm_groups_3", 0, 0, "A"), ("interventions_3", 0, 0, "x"), ("interventions_3", 1, 0, "y"), ("labels_3", 1, 1, "A"),
+        ("locations_3", 0, 0, None), ("locations_3", 1, 0, "f"), ("investigators_3", 1, 1, "l"),
+    ]
+    fourth = {"clinical_study_v3": {
+        "nct_id": "N4", "design": {"arm_groups": [{"arm_group_label": "A"}, {"arm_group_label": "B", "interventions": [{"intervention_name": "x"}]}], "unassigned_interventions": [{"intervention_name": "y"}]},
+        "sites": [{"facility": {"name": "f"}, "staff": {"investigators": [{"last_name": "k"}, {"last_name": "l"}]}}],
+    }}
+    assert flat(fourth) == [
+        ("studies_4", 0, None, "N4"), ("arm_groups_4", 0, 0, "A"), ("arm_groups_4", 1, 0, "B"), ("interventions_4", 1, 1, "x"), ("unassigned_interventions_4", 0, 0, "y"),
+        ("locations_4", 0, 0, "f"), ("investigators_4", 0, 0, "k"), ("investigators_4", 1, 0, "l"),
+    ]
