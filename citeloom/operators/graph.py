@@ -234,26 +234,32 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_depth: int | None =
     return seen
 
 
-def through_flagged(edges: DataFrame, sources: DataFrame, targets: DataFrame, flagged: DataFrame) -> DataFrame:
-    """source, target, distance, paths, paths_through: the shortest paths from each source to each target, and how many of
-    them pass through a flagged node between the two.
+def through_flagged(edges: DataFrame, sources: DataFrame, targets: DataFrame, flagged: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """source, target, distance, paths, paths_through: the shortest paths from each source to each target (of at most
+    max_depth steps, if given), and how many of them pass through a flagged node between the two.
 
-    Paths that avoid the flagged nodes inside are counted along the levels of the breadth-first search, so none is listed.
+    All paths and those that avoid the flagged nodes inside are counted along the levels of one breadth-first search, so
+    none is listed. With max_depth a level holds only nodes from which a target is within the steps that are left: a
+    shortest path has no others, so distances and counts are the same, and the last levels go straight to the targets.
     """
-    levels = materialise(shortest_paths(edges, sources))
-    links, marks = edges.select("citing", "cited").distinct(), flagged.select("node").distinct().withColumn("flag", F.lit(True))
-    deepest = levels.agg(F.max("distance")).first()[0] or 0
-    free = levels.filter("distance = 0").select("source", "node", F.lit(1).cast("long").alias("clear"))
-    out = None
-    for depth in range(1, deepest + 1):
-        here = levels.filter(F.col("distance") == depth)
-        given = free.join(links, free["node"] == links["citing"]).groupBy("source", F.col("cited").alias("node")).agg(F.sum("clear").alias("clear"))
-        level = materialise(here.join(given, ["source", "node"], "left").join(marks, "node", "left").select("source", "node", "distance", "paths", F.coalesce("clear", F.lit(0)).alias("clear"), F.coalesce("flag", F.lit(False)).alias("flag")))
-        free = level.filter("not flag").select("source", "node", "clear")
-        found = level.join(targets.select("node").distinct(), "node", "left_semi").select("source", F.col("node").alias("target"), "distance", "paths", (F.col("paths") - F.col("clear")).alias("paths_through"))
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return levels.limit(0).select("source", F.col("node").alias("target"), "distance", "paths", F.col("paths").alias("paths_through"))
+    links = materialise(edges.select("citing", "cited").distinct())
+    ends, marks = targets.select("node").distinct(), flagged.select("node").distinct().withColumn("flag", F.lit(True))
+    near = materialise(k_hop(links, ends, max_depth - 1, "citing")) if max_depth else None
+    front = materialise(sources.select(F.col("node").alias("source"), "node").distinct().withColumns({"paths": F.lit(1).cast("long"), "clear": F.lit(1).cast("long")}))
+    seen, depth = front.select("source", "node"), 0
+    out = front.limit(0).select("source", F.col("node").alias("target"), F.lit(0).alias("distance"), "paths", F.col("clear").alias("paths_through"))
+    while max_depth is None or depth < max_depth:
+        depth += 1
+        steps = links if near is None else links.join(near.filter(F.col("hop") <= max_depth - depth).select(F.col("node").alias("cited")), "cited", "left_semi")
+        new = front.join(steps, front["node"] == steps["citing"]).groupBy("source", F.col("cited").alias("node")).agg(F.sum("paths").alias("paths"), F.sum("clear").alias("clear"))
+        level = materialise(new.join(seen, ["source", "node"], "left_anti").join(marks, "node", "left").select("source", "node", "paths", "clear", F.coalesce("flag", F.lit(False)).alias("flag")))
+        if level.isEmpty():
+            break
+        out = out.unionByName(level.join(ends, "node", "left_semi").select("source", F.col("node").alias("target"), F.lit(depth).alias("distance"), "paths", (F.col("paths") - F.col("clear")).alias("paths_through")))
+        front = level.select("source", "node", "paths", F.when(F.col("flag"), 0).otherwise(F.col("clear")).alias("clear"))
+        seen = seen.unionByName(level.select("source", "node"))
+        if depth % 8 == 0:
+            seen = materialise(seen)
     return out
 
 

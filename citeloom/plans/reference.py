@@ -364,8 +364,7 @@ _FLAG = "f AS (SELECT node FROM y WHERE cluster_no = 7)"
        "SELECT source, target, CAST(distance AS INTEGER) AS distance, CAST(paths AS BIGINT) AS paths, CAST(paths_through AS BIGINT) AS paths_through FROM near JOIN t ON t.node = target WHERE source <> target UNION ALL SELECT source, target, 3, paths, paths_through FROM p3 WHERE source <> target AND (source, target) NOT IN (SELECT (source, target) FROM near)".replace("(SELECT (source, node)", "(SELECT row(source, node)").replace("(SELECT (source, target)", "(SELECT row(source, target)").replace("(source, target) NOT IN", "row(source, target) NOT IN").replace("(a.source, c.cited) NOT IN", "row(a.source, c.cited) NOT IN"))
 def graph_through_flagged(spark, folder):
     """Shortest paths between two sets of nodes, at most 3 steps here, with those through a flagged node."""
-    found = G.through_flagged(citations(spark, folder), *_ends(spark, folder), nodes(spark, folder).filter("cluster_no = 7"))
-    return found.filter("distance <= 3")
+    return G.through_flagged(citations(spark, folder), *_ends(spark, folder), nodes(spark, folder).filter("cluster_no = 7"), 3)
 
 
 @query(

@@ -95,6 +95,29 @@ def test_shortest_paths_betweenness_closeness(spark, rows):
     assert rows(G.through_flagged(e, s, t, spark.createDataFrame([(0,), (4,)], "node long"))) == [(0, 4, 3, 2, 0)]
 
 
+def test_flagged_paths_within_a_bound_look_only_where_targets_are(spark, rows, monkeypatch):
+    """The bound leaves out farther targets and nothing else, and levels hold no nodes that lead to no target in time."""
+    pairs, sizes = sparse(40, 120, 4), []
+    e, s, t, f = graph(spark, pairs), spark.range(0, 8).toDF("node"), spark.range(30, 36).toDF("node"), spark.range(5, 25, 3).toDF("node")
+    every = rows(G.through_flagged(e, s, t, f))
+    assert {r[2] for r in every} >= {1, 2, 3, 4} and any(0 < r[4] < r[3] for r in every)
+    for bound in (0, 3):
+        assert rows(G.through_flagged(e, s, t, f, bound)) == [r for r in every if r[2] <= bound]
+    write = G.materialise
+
+    def counted(df):
+        out = write(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(G, "materialise", counted)
+    # 0 -> 1 -> 2, and from 1 to a hundred others that go on
+    pairs = [(0, 1), (1, 2)] + [x for i in range(10, 110) for x in ((1, i), (i, i + 100))]
+    got = rows(G.through_flagged(graph(spark, pairs), *(spark.createDataFrame([(i,)], "node long") for i in (0, 2, 1)), 3))
+    assert got == [(0, 2, 2, 1, 1)]
+    assert max(sorted(sizes)[:-1]) <= 3  # all but the links
+
+
 def test_long_chains_have_no_bound(spark, rows):
     """Farther than 20 steps, and a chain of components: nothing is left out."""
     e = graph(spark, [(i, i + 1) for i in range(45)])
