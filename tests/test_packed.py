@@ -63,3 +63,18 @@ def test_closeness_writes_no_levels(spark, rows, monkeypatch):
     got = rows(G.closeness(spark.createDataFrame(pairs, "citing long, cited long"), spark.createDataFrame([(0,), (99,)], "node long")))
     near = [d for d, _ in brute_paths(pairs, 0).values()]
     assert got == [(0, len(near) - 1, pytest.approx((len(near) - 1) / sum(near)))] and written == [["citing", "cited"]]
+
+
+def test_shares_against_brute_force():
+    """Of all paths through a node and on to another one, listed."""
+    pairs = sparse(14, 40, 6)
+    g = packed(pairs)
+    for at, source in enumerate(g.ids.tolist()):
+        near = brute_paths(pairs, source)
+        want = dict.fromkeys(g.ids.tolist(), 0.0)
+        for mid in near:
+            beyond = brute_paths(pairs, mid)
+            for end, (d, n) in near.items():
+                if end != mid and end in beyond and near[mid][0] + beyond[end][0] == d:
+                    want[mid] += near[mid][1] * beyond[end][1] / n
+        assert dict(zip(g.ids.tolist(), P.shares(g, *P.search(g, at, None)).tolist(), strict=True)) == pytest.approx(want)
