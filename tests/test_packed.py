@@ -78,3 +78,23 @@ def test_shares_against_brute_force():
                 if end != mid and end in beyond and near[mid][0] + beyond[end][0] == d:
                     want[mid] += near[mid][1] * beyond[end][1] / n
         assert dict(zip(g.ids.tolist(), P.shares(g, *P.search(g, at, None)).tolist(), strict=True)) == pytest.approx(want)
+
+
+def test_packed_and_joined_agree(spark, rows, monkeypatch):
+    """Also for sources outside the graph and links without an end. The packed searches write the links and no level."""
+    pairs = [*sparse(30, 90, 2), (3, None), (None, 4), (1, 2), (1, 2)]
+    e = spark.createDataFrame(pairs, "citing long, cited long").coalesce(2)
+    s = spark.createDataFrame([(i,) for i in (0, 1, 2, 2, 5, 99)], "node long").coalesce(1)
+    write, written = G.materialise, []
+    monkeypatch.setattr(G, "materialise", lambda df: written.append(df.columns) or write(df))
+    got = [rows(f(e, s)) for f in (G.shortest_paths, G.closeness, G.betweenness)]
+    assert written == [["citing", "cited"]] * 3
+    monkeypatch.setattr(G, "PACKED_EDGES", 0)
+    for a, b in zip(got, [rows(f(e, s)) for f in (G.shortest_paths, G.closeness, G.betweenness)], strict=True):
+        assert len(a) == len(b) > 0 and all(x == pytest.approx(y) for x, y in zip(a, b, strict=True))
+    text = rows(G.shortest_paths(spark.createDataFrame([("a", "b")], "citing string, cited string"), spark.createDataFrame([("a",)], "node string")))
+    assert text == [("a", "a", 0, 1), ("a", "b", 1, 1)]
+    empty = spark.createDataFrame([], "citing long, cited long")
+    monkeypatch.undo()
+    assert rows(G.shortest_paths(empty, s)) == [(i, i, 0, 1) for i in (0, 1, 2, 5, 99)]
+    assert rows(G.closeness(empty, s)) == rows(G.betweenness(empty, s)) == rows(G.shortest_paths(e, s.limit(0))) == []
