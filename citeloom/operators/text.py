@@ -22,21 +22,27 @@ def folded(text: Column) -> Column:
 
 def words(text: Column, least: int = 3, stop: list[str] | None = None) -> Column:
     """Lower-case words of letters and digits, at least `least` long, not all digits, without stop words, in order."""
-    stops = F.array(*(F.lit(w) for w in (STOP_WORDS if stop is None else stop)))
-    return F.filter(F.split(folded(text), r"[^\p{L}\p{N}]+"), lambda w: (F.length(w) >= least) & ~w.rlike(r"^\d+$") & ~F.array_contains(stops, w))
+    stops = STOP_WORDS if stop is None else stop
+    return F.filter(F.split(folded(text), r"[^\p{L}\p{N}]+"), lambda w: (F.length(w) >= least) & ~w.rlike(r"^\d+$") & ~w.isin(stops))
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    """The runs of n tokens, joined by a blank."""
-    count = F.size(tokens) - n + 1
-    return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    """The runs of n tokens, joined by a blank. The tokens are the variable of a lambda, so they are made once and not anew
+    for each run."""
+
+    def runs(t: Column) -> Column:
+        return F.transform(F.slice(t, F.lit(1), F.greatest(F.size(t) - (n - 1), F.lit(0))), lambda w, i: F.concat_ws(" ", w, *(F.get(t, i + k) for k in range(1, n))))
+
+    return F.coalesce(F.element_at(F.transform(F.array(tokens), runs), 1), F.array().cast("array<string>"))
 
 
 def token_table(df: DataFrame, doc: str, text: str, n: int = 1, least: int = 3, stop: list[str] | None = None) -> DataFrame:
     """doc, term, n: how often each term (n-gram) is in each document."""
     tokens = words(F.col(text), least, stop)
     rows = df.select(F.col(doc).alias("doc"), (tokens if n == 1 else ngrams(tokens, n)).alias("t"))
-    return rows.select("doc", F.explode("t").alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("n"))
+    # Outer: for explode the optimiser filters by the size of the array, for which it makes the tokens a second time.
+    terms = rows.select("doc", F.explode_outer("t").alias("term")).filter("term is not null")
+    return terms.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def cluster_terms(tokens: DataFrame, clusters: DataFrame, least_docs: int = 2) -> DataFrame:

@@ -122,3 +122,12 @@ def test_bigrams_and_phrases(spark, rows):
     assert rows(T.text_match(docs, "doc_id", "text", "deep nets")) == [(1,), (2,)]
     assert rows(T.text_match(docs, "doc_id", "text", "fail other", "any")) == [(1,)]
     assert rows(docs.select(F.size(T.ngrams(F.array(F.lit("a")), 2)))) == [(0,), (0,), (0,)]
+
+
+def test_ngrams_make_the_tokens_once(spark, rows):
+    """Not anew for each run, of which a long text has many; with fewer tokens than a run there is none."""
+    docs = spark.createDataFrame([(1, " ".join(f"w{i:05d}" for i in range(6000))), (2, "alone"), (3, None), (4, "the 123 of")], "doc_id long, text string")
+    table = T.token_table(docs, "doc_id", "text", 3)
+    assert table._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert rows(table) == [(1, f"w{i:05d} w{i + 1:05d} w{i + 2:05d}", 1) for i in range(5998)]
+    assert rows(docs.select("doc_id", T.ngrams(T.words(F.col("text"), stop=[]), 1)).filter("doc_id > 1")) == [(2, ["alone"]), (3, []), (4, ["the"])]
