@@ -38,8 +38,9 @@ def ngrams(tokens: Column, n: int) -> Column:
 
 def token_table(df: DataFrame, doc: str, text: str, n: int = 1, least: int = 3, stop: list[str] | None = None) -> DataFrame:
     """doc, term, n: how often each term (n-gram) is in each document."""
-    tokens = words(F.col(text), least, stop)
-    rows = df.select(F.col(doc).alias("doc"), (tokens if n == 1 else ngrams(tokens, n)).alias("t"))
+    tokens = words(F.col("text"), least, stop)
+    # Texts are smaller than their terms: these are counted where the text is, not sent by document and term.
+    rows = df.select(F.col(doc).alias("doc"), F.col(text).alias("text")).repartition("doc").select("doc", (tokens if n == 1 else ngrams(tokens, n)).alias("t"))
     # Outer: for explode the optimiser filters by the size of the array, for which it makes the tokens a second time.
     terms = rows.select("doc", F.explode_outer("t").alias("term")).filter("term is not null")
     return terms.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("n"))
