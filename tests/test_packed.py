@@ -58,11 +58,12 @@ def test_more_paths_than_a_long_holds_are_an_error():
 
 def test_closeness_writes_no_levels(spark, rows, monkeypatch):
     pairs = sparse(30, 90, 2)
+    source = pairs[0][0]
     write, written = G.materialise, []
     monkeypatch.setattr(G, "materialise", lambda df: written.append(df.columns) or write(df))
-    got = rows(G.closeness(spark.createDataFrame(pairs, "citing long, cited long"), spark.createDataFrame([(0,), (99,)], "node long")))
-    near = [d for d, _ in brute_paths(pairs, 0).values()]
-    assert got == [(0, len(near) - 1, pytest.approx((len(near) - 1) / sum(near)))] and written == [["citing", "cited"]]
+    got = rows(G.closeness(spark.createDataFrame(pairs, "citing long, cited long"), spark.createDataFrame([(source,), (99,)], "node long")))
+    near = [d for d, _ in brute_paths(pairs, source).values()]
+    assert got == [(source, len(near) - 1, pytest.approx((len(near) - 1) / sum(near)))] and written == [["citing", "cited"]]
 
 
 def test_shares_against_brute_force():
